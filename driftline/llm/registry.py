@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from driftline.llm import exact_dedup, line_rules, packing
+from driftline.llm import bpe, exact_dedup, line_rules, near_dedup, packing, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op2_host_reputation": urls.query,
+        "op3_superminhash": near_dedup.query,
+        "op5_indexed_warc": warc.query,
         "op6_line_rules": line_rules.query,
+        "op8_rank_array_bpe": bpe.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_host_reputation": urls.SQL, "op9_exact_dedup": exact_dedup.SQL}
