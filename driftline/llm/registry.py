@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, exact_dedup, line_rules, near_dedup, packing, urls, warc
+from driftline.llm import bpe, exact_dedup, line_rules, near_dedup, packing, quality, toxicity, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op1_counterfactual_toxicity": toxicity.query,
         "op2_host_reputation": urls.query,
         "op3_superminhash": near_dedup.query,
         "op5_indexed_warc": warc.query,
         "op6_line_rules": line_rules.query,
+        "op7_nbsvm_quality": quality.query,
         "op8_rank_array_bpe": bpe.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_best_fit_packing": packing.query,
