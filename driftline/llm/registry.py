@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, exact_dedup, line_rules, near_dedup, packing, quality, toxicity, urls, warc
+from driftline.llm import bpe, exact_dedup, language_model, line_rules, near_dedup, packing, quality, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_counterfactual_toxicity": toxicity.query,
         "op2_host_reputation": urls.query,
         "op3_superminhash": near_dedup.query,
+        "op4_gru_scores": language_model.query,
         "op5_indexed_warc": warc.query,
         "op6_line_rules": line_rules.query,
         "op7_nbsvm_quality": quality.query,
