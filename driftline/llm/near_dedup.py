@@ -9,12 +9,15 @@ classes:
 
 1. each band of a signature names a bucket; each class of a bucket is tried against
    the bucket's smallest class;
-2. tries whose signatures agree too little are dropped (5 standard deviations below
-   the limit), the others are confirmed on the full sets;
+2. tries whose signatures agree too little (5 standard deviations below the limit)
+   or whose profiles rule the limit out are dropped, the others are confirmed on the
+   full sets; a profile counts a set's elements in ``SLOTS`` slots, and the sum of the
+   lesser counts of two profiles is never below their intersection;
 3. confirmed links give components;
 4. in buckets that still hold several components, all classes of different
-   components are compared by signature, in blocks, and survivors confirmed too, so
-   that a link is found through any bucket that both its ends share;
+   components are compared by signature and profile, in blocks, each pair in the
+   first band that it shares, and survivors confirmed too, so that a link is found
+   through any bucket that both its ends share;
 5. components of all links.
 
 With 128 places in 32 bands, a pair at the limit of 0.8 shares no bucket with
@@ -43,6 +46,7 @@ WIDTH = 5
 SIMILARITY = 80
 PLACES = 128
 BANDS = 32
+SLOTS = 512
 #: Classes of a bucket that one task compares with so many others at a time.
 BLOCK = 512
 #: Text hashes (8 bytes each) up to this number are broadcast to pick candidate texts; beyond it the pick shuffles.
@@ -114,12 +118,25 @@ def set_names(row: np.ndarray, key: np.ndarray, n: int) -> list[bytes | None]:
     return [both[16 * i : 16 * i + 16] if sizes[i] else None for i in range(n)]
 
 
+def profiles(row: np.ndarray, key: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
+    """How many elements of each set fall into each slot; 255 means any number from 255."""
+    slot = ((key >> np.uint64(32)) % np.uint64(slots)).astype(np.int64)
+    return np.minimum(np.bincount(row * slots + slot, minlength=n * slots), 255).astype(np.uint8).reshape(n, slots)
+
+
+def possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements with these profiles can have 100 * intersection >= percent * union."""
+    most = np.where((np.minimum(x, y) == 255).any(axis=-1), np.minimum(n, m), np.minimum(x, y).sum(axis=-1, dtype=np.int64))
+    most = np.minimum(most, np.minimum(n, m))
+    return 100 * most >= percent * (n + m - most)
+
+
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(values))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, text_hash, n, cls, bands, signature): the class, bucket keys and 16-bit signature places of each row."""
+    """(id, text_hash, n, cls, bands, signature, profile): the class, bucket keys, 16-bit signature places and profile of each row."""
 
     def run(batches):
         for batch in batches:
@@ -129,15 +146,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 values = signatures(row, key, n)
                 keys, cls = band_keys(values), set_names(row, key, n)
                 short = (tk.mix(values) & np.uint64(0xFFFF)).astype("<u2")
-                sizes = tk.per_row(row, n)
+                sizes, slots = tk.per_row(row, n), profiles(row, key, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(sizes.astype(np.int64)), pa.array(cls, pa.binary()), _lists(keys.ravel(), np.full(n, keys.shape[1])), pa.array([short[i].tobytes() for i in range(n)], pa.binary())],
-                    ["id", "text_hash", "n", "cls", "bands", "signature"],
+                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(sizes.astype(np.int64)), pa.array(cls, pa.binary()), _lists(keys.ravel(), np.full(n, keys.shape[1])), *(pa.array([x[i].tobytes() for i in range(n)], pa.binary()) for x in (short, slots))],
+                    ["id", "text_hash", "n", "cls", "bands", "signature", "profile"],
                 )
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return kept.mapInArrow(run, "id long, text_hash long, n long, cls binary, bands array<long>, signature binary")
+    return kept.mapInArrow(run, "id long, text_hash long, n long, cls binary, bands array<long>, signature binary, profile binary")
 
 
 def full_sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -156,17 +173,23 @@ def _agree(x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
     return (x == y).sum(axis=-1) >= least
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """The (a, b) pairs whose signatures agree in so many places."""
-    place = classes.select("cls", "signature")
-    both = pairs.join(place.select(F.col("cls").alias("a"), F.col("signature").alias("x")), "a").join(place.select(F.col("cls").alias("b"), F.col("signature").alias("y")), "b")
+def _rows(column: pa.Array, kind: str) -> np.ndarray:
+    """Equally long binary values as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
+    """The (a, b) pairs whose signatures agree in so many places and whose profiles allow a link."""
+    place = classes.select("cls", F.struct("signature", "profile", "n").alias("x"))
+    both = pairs.join(place.select(F.col("cls").alias("a"), F.col("x")), "a").join(place.select(F.col("cls").alias("b"), F.col("x").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for k in (2, 3))
-                mask = pa.array(_agree(x, y, least))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+                x, y = (batch.column(k).flatten() for k in (2, 3))
+                mask = _agree(_rows(x[0], "<u2"), _rows(y[0], "<u2"), least)
+                mask &= possible(_rows(x[1], "u1"), _rows(y[1], "u1"), x[2].to_numpy(), y[2].to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(mask)), batch.column(1).filter(pa.array(mask))], ["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
@@ -197,25 +220,29 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
     return written(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "confirmed")
 
 
-def _across(buckets: DataFrame, least: int) -> DataFrame:
-    """Likely pairs of different components inside each bucket of (band, cls, signature, root), block against block."""
+def _across(buckets: DataFrame, least: int, percent: int) -> DataFrame:
+    """Likely pairs of different components inside each bucket of (band, cls, root, signature, profile, n, bands), block against block."""
     sizes = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     part = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     # block i meets block j <= i: each class goes to the meetings of its own block with all blocks
     dealt = buckets.join(sizes, "band").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"), "part", "cls", "signature", "root")
+    dealt = dealt.select("band", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"), "part", "cls", "root", "signature", "profile", "n", "bands")
 
     def run(table: pa.Table) -> pa.Table:
-        part = table.column("part").to_numpy()
+        table = table.combine_chunks()
+        part, n, band = table.column("part").to_numpy(), table.column("n").to_numpy(), table.column("band")[0].as_py()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         cls, root = np.array(table.column("cls").to_pylist(), dtype=object), np.array(table.column("root").to_pylist(), dtype=object)
-        place = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype="<u2").reshape(len(cls), -1)
+        place, slots = _rows(table.column("signature"), "<u2"), _rows(table.column("profile"), "u1")
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
         found: tuple[list, list] = ([], [])
         right = np.flatnonzero(part == j)
         for x in np.flatnonzero(part == i):
-            y = right[(right > x)] if i == j else right
+            y = right[right > x] if i == j else right
             y = y[root[y] != root[x]]
-            y = y[_agree(place[y], place[x], least)] if len(y) else y
+            y = y[_agree(place[y], place[x], least)]
+            y = y[possible(slots[y], slots[x], n[y], n[x], percent)]
+            y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == band]
             for other in cls[y]:
                 found[0].append(min(cls[x], other))
                 found[1].append(max(cls[x], other))
@@ -228,21 +255,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n, component_id) of each row: the size of its set and the smallest id that it reaches."""
     rows = written(sketches(docs, id_col, text_col, width), "sketches")
     # a text stands for its class; all texts of a class have the same bands and signature
-    classes = written(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct("text_hash", "bands", "signature")).alias("x")).select("cls", "x.*"), "classes")
+    classes = written(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(F.struct("text_hash", "n", "bands", "signature", "profile")).alias("x")).select("cls", "x.*"), "classes")
     s = percent / 100
     least = max(1, math.floor(PLACES * s - 5 * math.sqrt(PLACES * s * (1 - s))))
     banded = classes.select("cls", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("size")).where(F.col("size") > 1).drop("size")
     buckets = written(banded.join(hubs, "band"), "buckets")
     tries = buckets.where(F.col("a") != F.col("cls")).select("a", F.col("cls").alias("b")).distinct()
-    links = confirmed(_likely(tries, classes, least), classes, docs, text_col, width, percent)
+    links = confirmed(_likely(tries, classes, least, percent), classes, docs, text_col, width, percent)
     roots = written(components(links), "roots")
 
     rooted = buckets.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("band")
-    rest = rooted.join(mixed, "band", "left_semi").join(classes.select("cls", "signature"), "cls")
+    rest = rooted.join(mixed, "band", "left_semi").join(classes.select("cls", "signature", "profile", "n", "bands"), "cls")
     tried = written(tries, "tried")
-    more = written(_across(rest, least).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    more = written(_across(rest, least, percent).distinct().join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         added = confirmed(more, classes, docs, text_col, width, percent)
         roots = written(components(links.unionByName(added)), "roots")
