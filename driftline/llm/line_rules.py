@@ -148,22 +148,22 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def clean_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, without their boilerplate lines; columns as before (n_chars, if there, follows the text)."""
     text_col = options.get("text_col", "text")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    verdicts = line_rules(docs, **options).where("kept").select(F.col("row").alias("__row"), F.col("removed").alias("__removed"))
-    joined = numbered.join(verdicts, "__row")
+    numbered = docs.withColumn("__driftline_row", F.monotonically_increasing_id())
+    verdicts = line_rules(docs, **options).where("kept").select(F.col("row").alias("__driftline_row"), F.col("removed").alias("__driftline_removed"))
+    joined = numbered.join(verdicts, "__driftline_row")
     names = joined.columns
 
     def run(batches):
         for batch in batches:
-            texts, removed = batch.column(names.index(text_col)), batch.column(names.index("__removed"))
+            texts, removed = batch.column(names.index(text_col)), batch.column(names.index("__driftline_removed"))
             hit = np.flatnonzero(removed.is_valid().to_numpy(zero_copy_only=False))
             if len(hit):
                 out = texts.to_pylist()
                 for i in hit.tolist():
                     out[i] = without_lines(out[i], set(removed[i].as_py()))
                 texts = pa.array(out, texts.type)
-            arrays = [texts if c == text_col else batch.column(k) for k, c in enumerate(names) if not c.startswith("__")]
-            yield pa.RecordBatch.from_arrays(arrays, [c for c in names if not c.startswith("__")])
+            arrays = [texts if c == text_col else batch.column(k) for k, c in enumerate(names) if not c.startswith("__driftline_")]
+            yield pa.RecordBatch.from_arrays(arrays, [c for c in names if not c.startswith("__driftline_")])
 
     cleaned = joined.mapInArrow(run, docs.schema)
     return cleaned.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned

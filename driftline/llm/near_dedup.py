@@ -199,8 +199,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
     pairs = written(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = written(classes.join(ends, "cls", "left_semi").select("text_hash").distinct(), "wanted")
-    texts = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    texts = texts.join(small_or_shuffled(wanted.withColumnRenamed("text_hash", "__hash"), wanted.count(), BROADCAST_TEXTS), "__hash", "left_semi")
+    texts = docs.withColumn("__driftline_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    texts = texts.join(small_or_shuffled(wanted.withColumnRenamed("text_hash", "__driftline_hash"), wanted.count(), BROADCAST_TEXTS), "__driftline_hash", "left_semi")
     sets = written(full_sets(texts, text_col, width).where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("elements").alias("elements")), "sets")
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
 
