@@ -1,11 +1,19 @@
-"""Queries of the engine and their SQL oracles."""
+"""Queries of the engine and their SQL oracles, collected from the plan modules."""
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("asof", "rules", "contexts", "sequences", "profiles", "versions", "rankings", "folds", "lineups", "models", "views")
+
+
+def _modules():
+    return [importlib.import_module(f"driftline.plans.{name}") for name in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for module in _modules() for name, run in module.plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _modules() for name, sql in module.plans.sql.items()}
