@@ -35,7 +35,9 @@ TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au"
 
 Z = 1.645
 BLOCK_ABOVE = 0.5
-LOWEST_RHO, HIGHEST_RHO = 0.001, 0.9
+#: The highest correlation leaves the prior the weight of one page: beyond it the posterior is U-shaped, its lower
+#: bound is not mean - Z * deviation, and a single page would decide on a host.
+LOWEST_RHO, HIGHEST_RHO = 0.001, 0.5
 #: Hosts (about 60 bytes each) up to this number are broadcast to the pages; beyond it the join shuffles.
 BROADCAST_HOSTS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
