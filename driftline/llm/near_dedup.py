@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.select("id", "n", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("root"))
     named = written(named, "named")
     smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("rows"))
-    grouped = smallest.where(F.col("rows") > 1).drop("rows")
+    # written, so that both sides of the join come straight from an exchange and a component with many rows can be split
+    grouped = written(smallest.where(F.col("rows") > 1).drop("rows"), "grouped")
     return named.join(grouped, "root", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
 
 
