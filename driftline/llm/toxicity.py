@@ -37,7 +37,7 @@ BEGINNINGS = (3, 4, 5, 6, 8)
 SWAP_PENALTY = 10.0
 #: Sentences that counterfactuals are made of, at most.
 MOST_SENTENCES = 4000
-RIDGE = 1e-3
+RIDGE = 1e-4
 #: Standard errors that a feature's class log ratio must be from 0.
 LEAST_TELLS = 2.5
 STEPS = 250
