@@ -1,43 +1,43 @@
-"""Exact budgeted line-ups: one item of each slot, with variety bonus and conflict penalty."""
+"""Exact budgeted line-ups: one item of each slot, with variety bonus and conflict penalty, for each market."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pruned(items: DataFrame, slot: str, group: str, cost: str, value: str, item: str) -> DataFrame:
-    """Drops an item if another of the same slot and group costs no more and is worth no less (ties by item).
+def pruned(items: DataFrame, keys: list[str], cost: str, value: str, item: str, k: int) -> DataFrame:
+    """Drops an item if k others of its keys have the same cost and are worth no less, or the same value and cost no more (ties by item).
 
-    Groups decide variety and conflicts, so a dropped item is in no best line-up that
-    its rival could not take over.
+    Each of these could take its place in a line-up that ranks before, so that none
+    of the k best line-ups holds it; keys name all that decides variety and conflicts.
     """
-    from pyspark.sql import Window
+    same_cost = F.row_number().over(Window.partitionBy(*keys, cost).orderBy(F.col(value).desc(), item))
+    same_value = F.row_number().over(Window.partitionBy(*keys, value).orderBy(cost, item))
+    known = items.where(F.col(cost).isNotNull() & F.col(value).isNotNull())
+    return known.withColumn("_r", same_cost).where(F.col("_r") <= k).withColumn("_r", same_value).where(F.col("_r") <= k).drop("_r")
 
-    order = Window.partitionBy(slot, group).orderBy(cost, F.col(value).desc(), item).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(value).over(order)
-    return items.where(F.col(cost).isNotNull() & F.col(value).isNotNull()).withColumn("_best", best).where(F.col("_best").isNull() | (F.col(value) > F.col("_best"))).drop("_best")
 
+def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, value: str, item: str, budget: float, variety: dict[int, float], k: int, opponent: str | None = None, penalty: float = 0.0, market: list[str] | None = None) -> DataFrame:
+    """The k best line-ups of each market by rank score, total, base and least cost; without market columns all items are one market.
 
-def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, value: str, item: str, budget: float, variety: dict[int, float], k: int, opponent: str | None = None, penalty: float = 0.0) -> DataFrame:
-    """The k best line-ups by rank score, total, base and least cost.
-
-    Slots join one after the other; what is over the budget with the cheapest rest is
-    dropped at once.  The enumeration is exact over the items that ``pruned`` leaves.
+    Slots join one after the other on the market; what is over the budget with the
+    market's cheapest rest is dropped at once.  The enumeration is exact.
     """
-    items = pruned(items, slot, group, cost, value, item) if opponent is None else items
-    cheapest = {r[0]: r[1] for r in items.groupBy(slot).agg(F.min(cost)).collect()}
-    lineup = None
+    keys = market or ["_market"]
+    items = items if market else items.withColumn("_market", F.lit(0))
+    if opponent is None:
+        items = pruned(items, [*keys, slot, group], cost, value, item, k)
+    least = items.groupBy(*keys).pivot(slot, slots).agg(F.min(cost))
+    least = least.select(*keys, *(F.col(f"`{s}`").alias(f"_least{n}") for n, s in enumerate(slots))).dropna()
+    lineup = least
     for number, name in enumerate(slots):
-        part = items.where(F.col(slot) == name).select(F.col(item).alias(f"item{number}"), F.col(group).alias(f"group{number}"), F.col(cost).alias(f"cost{number}"), F.col(value).alias(f"value{number}"), *([F.col(opponent).alias(f"opponents{number}")] if opponent else []))
-        if lineup is None:
-            lineup = part.withColumns({"cost": F.col("cost0"), "base": F.col("value0")})
-        else:
-            rest = sum(cheapest.get(s, 0.0) for s in slots[number + 1 :])
-            lineup = lineup.crossJoin(F.broadcast(part)).withColumns({"cost": F.col("cost") + F.col(f"cost{number}"), "base": F.col("base") + F.col(f"value{number}")}).where(F.col("cost") <= budget + 1e-9 - rest)
-        lineup = lineup.drop(f"cost{number}", f"value{number}")
+        part = items.where(F.col(slot) == name).select(*keys, F.col(item).alias(f"item{number}"), F.col(group).alias(f"group{number}"), F.col(cost).alias("_cost"), F.col(value).alias("_value"), *([F.col(opponent).alias(f"opponents{number}")] if opponent else []))
+        spent, base = (F.col("cost") + F.col("_cost"), F.col("base") + F.col("_value")) if number else (F.col("_cost"), F.col("_value"))
+        rest = sum((F.col(f"_least{n}") for n in range(number + 1, len(slots))), F.lit(0.0))
+        lineup = lineup.join(part, keys).withColumns({"cost": spent, "base": base}).where(F.col("cost") + rest <= budget + 1e-9).drop("_cost", "_value")
     groups = F.size(F.array_distinct(F.array(*(f"group{n}" for n in range(len(slots))))))
     bonus: Column = F.lit(0.0)
     for count, value_ in sorted(variety.items()):
@@ -47,6 +47,7 @@ def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, va
         for a, b in combinations(range(len(slots)), 2):
             conflict = conflict + F.when(F.array_contains(f"opponents{a}", F.col(f"group{b}")) | F.array_contains(f"opponents{b}", F.col(f"group{a}")), penalty).otherwise(0.0)
     lineup = lineup.withColumns({"groups": groups, "total": F.bround(F.col("base") * (1 + bonus), 2), "cost": F.bround("cost", 2), "base": F.bround("base", 2)})
-    lineup = lineup.withColumn("rank_score", F.bround(F.col("total") - conflict, 2))
+    lineup = lineup.withColumn("rank_score", F.bround(F.col("total") - conflict, 2)).drop(*(f"_least{n}" for n in range(len(slots))))
     order = [F.col(c).desc() for c in ("rank_score", "total", "base")] + ["cost", *(f"item{n}" for n in range(len(slots)))]
-    return lineup.orderBy(*order).limit(k)
+    ranked = lineup.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+    return ranked if market else ranked.drop("_market")

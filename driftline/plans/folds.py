@@ -29,10 +29,10 @@ def price_path(spark, sf_dir):
     return folds.price_paths(_weeks(spark, sf_dir), "user_id", "week", "period", "score", folds.Market(digits=3))
 
 
-@plans.query("official_prices", f"""{_PATH}, o AS (SELECT user_id, date_trunc('week', ts)::DATE AS week, arg_max(value, (ts, event_id)) AS price FROM events WHERE event_type = 'signup' AND event_id % 3 = 0 GROUP BY ALL)
+@plans.query("official_prices", f"""{_PATH}, o AS (SELECT user_id, date_trunc('week', ts)::DATE AS week, arg_max(value, (ts, event_id)) AS price FROM events WHERE event_type = 'signup' GROUP BY ALL)
 SELECT user_id, week, coalesce(o.price, p.price) AS price, CASE WHEN o.price IS NOT NULL THEN 'official' ELSE 'modeled' END AS source FROM p FULL JOIN o USING (user_id, week)""")
 def official_prices(spark, sf_dir):
-    captured = table(spark, sf_dir, "events").where("event_type = 'signup' AND event_id % 3 = 0").select("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week"), F.struct("ts", "event_id").alias("captured"), F.col("value").alias("price"))
+    captured = table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week"), F.struct("ts", "event_id").alias("captured"), F.col("value").alias("price"))
     official = folds.latest_capture(captured, ["user_id", "week"], "captured")
     return folds.official_prices(price_path(spark, sf_dir), official, ["user_id", "week"]).select("user_id", "week", "price", "source")
 

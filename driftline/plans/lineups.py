@@ -1,25 +1,25 @@
-"""Line-up query over parts: one part of each type within a budget."""
+"""Line-up query: of the parts a customer bought in a year, one of each type within a budget."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from driftline.operators import lineup
-from driftline.operators.ranking import top_per_group
 from driftline.plans.base import Plans, table
 
 plans = Plans()
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-_SLOT = "(SELECT p_partkey AS item, p_brand AS grp, p_retailprice - 880 AS cost, (p_partkey * 37 % 101)::DOUBLE AS value FROM part WHERE p_type = '{0}' QUALIFY row_number() OVER (ORDER BY p_partkey * 37 % 101 DESC, p_partkey) <= 8) s{1}"
+_MARKET = "(SELECT DISTINCT o_custkey AS customer, year(o_orderdate) AS season, p_type AS slot, p_brand AS grp, p_retailprice - 880 AS cost, p_size::DOUBLE AS value, p_partkey AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)"
+_JOINS = " ".join(f"JOIN m s{n} ON s{n}.customer = s0.customer AND s{n}.season = s0.season AND s{n}.slot = '{t}'" for n, t in enumerate(TYPES) if n)
 
 
 @plans.query("lineup_topk", f"""
-SELECT items, round_even(cost, 2) AS cost, round_even(base, 2) AS base, total, groups FROM (SELECT *, round_even(base * (1 + CASE WHEN groups >= 6 THEN 0.25 WHEN groups >= 5 THEN 0.10 ELSE 0 END), 2) AS total FROM (
- SELECT concat_ws('-', {', '.join(f's{n}.item' for n in range(6))}) AS items, {' + '.join(f's{n}.cost' for n in range(6))} AS cost, {' + '.join(f's{n}.value' for n in range(6))} AS base, len(list_distinct([{', '.join(f's{n}.grp' for n in range(6))}])) AS groups, {', '.join(f's{n}.item AS i{n}' for n in range(6))}
- FROM {', '.join(_SLOT.format(t, n) for n, t in enumerate(TYPES))}) WHERE cost <= 420 + 1e-9) ORDER BY total DESC, round_even(base, 2) DESC, round_even(cost, 2), i0, i1, i2, i3, i4, i5 LIMIT 10""")
+WITH m AS {_MARKET}, l AS (SELECT s0.customer, s0.season, concat_ws('-', {', '.join(f's{n}.item' for n in range(6))}) AS items, {' + '.join(f's{n}.cost' for n in range(6))} AS cost, {' + '.join(f's{n}.value' for n in range(6))} AS base,
+ len(list_distinct([{', '.join(f's{n}.grp' for n in range(6))}])) AS groups, {', '.join(f's{n}.item AS i{n}' for n in range(6))} FROM m s0 {_JOINS} WHERE s0.slot = '{TYPES[0]}')
+SELECT customer, season, items, round_even(cost, 2) AS cost, round_even(base, 2) AS base, total, groups FROM (SELECT *, round_even(base * (1 + CASE WHEN groups >= 6 THEN 0.25 WHEN groups >= 5 THEN 0.10 ELSE 0 END), 2) AS total FROM l WHERE cost <= 420 + 1e-9)
+QUALIFY row_number() OVER (PARTITION BY customer, season ORDER BY total DESC, round_even(base, 2) DESC, round_even(cost, 2), i0, i1, i2, i3, i4, i5) <= 3""")
 def lineup_topk(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("slot"), F.col("p_brand").alias("grp"), (F.col("p_retailprice") - 880).alias("cost"), (F.col("p_partkey") * 37 % 101).cast("double").alias("value"))
-    # the feature is a choice among the eight best of each slot, as a market offers them
-    offered = top_per_group(part, ["slot"], [F.col("value").desc(), "item"], 8).drop("rank")
-    best = lineup.optimize(offered, TYPES, "slot", "grp", "cost", "value", "item", 420.0, {5: 0.10, 6: 0.25}, 10)
-    return best.select(F.concat_ws("-", *(F.col(f"item{n}").cast("string") for n in range(6))).alias("items"), "cost", "base", "total", F.col("groups").cast("long").alias("groups"))
+    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    items = bought.select(F.col("o_custkey").alias("customer"), F.year("o_orderdate").cast("long").alias("season"), F.col("p_type").alias("slot"), F.col("p_brand").alias("grp"), (F.col("p_retailprice") - 880).alias("cost"), F.col("p_size").cast("double").alias("value"), F.col("p_partkey").alias("item")).distinct()
+    best = lineup.optimize(items, TYPES, "slot", "grp", "cost", "value", "item", 420.0, {5: 0.10, 6: 0.25}, 3, market=["customer", "season"])
+    return best.select("customer", "season", F.concat_ws("-", *(F.col(f"item{n}").cast("string") for n in range(6))).alias("items"), "cost", "base", "total", F.col("groups").cast("long").alias("groups"))

@@ -45,13 +45,13 @@ def portfolio(spark, sf_dir):
 
 
 @plans.query("novelty_multiplier", """
-WITH h AS (SELECT DISTINCT user_id % 5 AS role, user_id, event_type FROM events WHERE event_id % 40 = 0), c AS (SELECT user_id, user_id % 5 AS role, t AS event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type AS t FROM events))
+WITH h AS (SELECT DISTINCT user_id % 5 AS role, user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-03'), c AS (SELECT user_id, user_id % 5 AS role, t AS event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type AS t FROM events))
 SELECT user_id, event_type, CASE WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.role = c.role AND h.event_type = c.event_type) THEN 1.7::DOUBLE WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = c.user_id AND h.event_type = c.event_type) THEN 1.5 ELSE 1.3 END AS multiplier FROM c""")
 def novelty_multiplier(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("role", F.col("user_id") % 5)
     kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
     wanted = events.select("user_id", "role").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, kinds))))
-    return rk.novelty(wanted, events.where("event_id % 40 = 0"), "role", "user_id", "event_type").select("user_id", "event_type", "multiplier")
+    return rk.novelty(wanted, events.where(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")), "role", "user_id", "event_type").select("user_id", "event_type", "multiplier")
 
 
 @plans.query("legal_candidates", """
