@@ -80,8 +80,23 @@ def elo(matches: DataFrame, pool: str, order: list[str], k: float = 32.0, base:
     return matches.select(*columns).groupBy(pool).applyInPandas(run, schema)
 
 
-def counters(df: DataFrame, order: list[str], groups: dict[str, list[str]]) -> DataFrame:
-    """Adds, for each name, the earlier rows of the same keys."""
+def counters(df: DataFrame, order: list[str], groups: dict[str, list[str]], hot: dict[str, list[str]] | None = None, bucket: Column | None = None) -> DataFrame:
+    """Adds, for each name, the earlier rows of the same keys.
+
+    Names in ``hot`` have few keys or none: their rows are counted inside buckets of
+    time (a column that never falls along the order), and the totals of a key's earlier
+    buckets, which are few rows, are added.
+    """
+    for n, keys in (hot or {}).items():
+        df = df.withColumn("_bucket", bucket)
+        inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+        # a key without columns has one total a bucket; all of them fit in one window
+        earlier = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+        at = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*keys, "_bucket"]]
+        met = df.withColumn("_inside", F.count("*").over(inside)).alias("x").join(sizes.alias("y"), at)
+        df = met.select("x.*", (F.col("_inside") + F.col("_before")).alias(n)).drop("_inside", "_bucket")
     return df.withColumns({n: F.count("*").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)) for n, keys in groups.items()})
 
 

@@ -57,13 +57,16 @@ def elo_ratings(spark, sf_dir):
     return df.select("l_orderkey", rounded("rating_a", 3).alias("rating_a"), rounded("rating_b", 3).alias("rating_b"))
 
 
-@plans.query("surprise_counters", """
-WITH c AS (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, count(*) OVER (PARTITION BY p ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tm, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tn, count(*) OVER (PARTITION BY user_id % 10, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS om, count(*) OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM (SELECT *, event_id % 4 AS p FROM events))
-SELECT event_id, round_even(-ln(0.60 * ((m + 0.4) / (n * 4 + m + 2)) + 0.25 * ((tm + 0.4) / (tn + 2)) + 0.15 * ((om + 0.4) / (o + 2))), 6) AS surprise FROM c""")
+_BEFORE = "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_COUNTERS = {"m": "event_type", "n": "", "tm": "user_id, event_type", "tn": "user_id", "om": "user_id % 10, event_type", "o": "user_id % 10"}
+
+
+@plans.query("surprise_counters", f"""
+WITH c AS (SELECT event_id, {', '.join(f"count(*) OVER ({'PARTITION BY ' + k if k else ''} {_BEFORE}) AS {n}" for n, k in _COUNTERS.items())} FROM events)
+SELECT event_id, round_even(-ln(0.60 * ((m + 0.4) / (n + 2)) + 0.25 * ((tm + 0.4) / (tn + 2)) + 0.15 * ((om + 0.4) / (o + 2))), 6) AS surprise FROM c""")
 def surprise_counters(spark, sf_dir):
-    df = table(spark, sf_dir, "events").withColumns({"part": F.col("event_id") % 4, "target": F.col("user_id") % 10})
-    df = folds.counters(df, ["ts", "event_id"], {"m": ["event_type"], "n": ["part"], "tm": ["user_id", "event_type"], "tn": ["user_id"], "om": ["target", "event_type"], "o": ["target"]})
-    # the whole table's rows are counted in parts, so that no window runs without keys
-    meta = folds.smoothed(F.col("m"), F.col("n") * 4 + F.col("m"), 0.2)
-    mean = 0.60 * meta + 0.25 * folds.smoothed(F.col("tm"), F.col("tn"), 0.2) + 0.15 * folds.smoothed(F.col("om"), F.col("o"), 0.2)
+    df = table(spark, sf_dir, "events").withColumn("target", F.col("user_id") % 10)
+    hot = {"m": ["event_type"], "n": [], "om": ["target", "event_type"], "o": ["target"]}
+    df = folds.counters(df, ["ts", "event_id"], {"tm": ["user_id", "event_type"], "tn": ["user_id"]}, hot, F.date_trunc("hour", "ts"))
+    mean = 0.60 * folds.smoothed(F.col("m"), F.col("n"), 0.2) + 0.25 * folds.smoothed(F.col("tm"), F.col("tn"), 0.2) + 0.15 * folds.smoothed(F.col("om"), F.col("o"), 0.2)
     return df.select("event_id", rounded(-F.log(mean), 6).alias("surprise"))
