@@ -218,3 +218,36 @@ def test_streams_give_batch_rows(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select * from weekly").collect())) == batch
     assert [r[0] for r in batch] == [datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 8)]
     assert windows.sessions(df, "ts", ["k"]).count() == 2
+
+
+def test_hot_counters_are_plain_counters(spark):
+    rows = [(k, None if k % 11 == 0 else "ab"[k % 3 == 0], k // 7) for k in range(60)]
+    df = spark.createDataFrame(rows, "n long, kind string, hour long")
+    got = folds.counters(df, ["n"], {"plain": ["kind"]}, {"hot": ["kind"], "every": []}, F.col("hour")).collect()
+    assert len(got) == 60 and all(r["hot"] == r["plain"] and r["every"] == r["n"] for r in got)
+
+
+def test_lineups_of_markets_are_those_of_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    rows = [(m, s, "xyz"[rng.randrange(3)], float(rng.randrange(1, 6)), float(rng.randrange(1, 6)), 100 * m + 10 * n + j) for m in range(3) for n, s in enumerate("abc") for j in range(7) if (m, s) != (2, "b")]
+    df = spark.createDataFrame(rows, "market int, slot string, team string, cost double, points double, item int")
+    got = {(r["market"], r["rank"]): (r["item0"], r["item1"], r["item2"]) for r in lineup.optimize(df, list("abc"), "slot", "team", "cost", "points", "item", 9.0, {3: 0.25}, 4, market=["market"]).collect()}
+    want = {}
+    for m in range(3):
+        found = []
+        for three in itertools.product(*([r for r in rows if r[0] == m and r[1] == s] for s in "abc")):
+            cost, base = sum(r[3] for r in three), sum(r[4] for r in three)
+            if cost <= 9:
+                found.append((-round(base * (1.25 if len({r[2] for r in three}) == 3 else 1.0), 2), -base, cost, tuple(r[5] for r in three)))
+        want |= {(m, k): x[3] for k, x in enumerate(sorted(found)[:4], 1)}
+    assert got == want and len(got) == 8
+
+
+def test_teammates_count_without_the_player(spark):
+    df = spark.createDataFrame([(1, "p", "x", 0.6), (1, "p", "y", 0.4), (1, "q", "y", 1.0), (2, "r", "x", 1.0)], "team int, player string, item string, chance double")
+    boosts = spark.createDataFrame([("x", "y", 0.2)], "a string, b string, boost double")
+    got = {(r["player"], r["item"]): (round(r["p"], 6), round(r["synergy"], 6)) for r in ranking.teammate_synergy(df, boosts, ["team"], "player", "item", "chance", rounds=1).collect()}
+    assert got == {("p", "x"): (round(0.72 / 1.12, 6), 0.2), ("p", "y"): (round(0.4 / 1.12, 6), 0.0), ("q", "y"): (1.0, 0.12), ("r", "x"): (1.0, 0.0)}
