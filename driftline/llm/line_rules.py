@@ -1,11 +1,9 @@
 """Quality rules with cross-document line frequency.
 
 Each line with a word is normalised (A-Z lower-cased, words joined by one space)
-and hashed.  Per host, the documents that hold a line are counted, and the
-contexts (line before, line after) that it stands in.  A line is boilerplate if
-over ``max_docs`` documents of the host hold it and at least ``context_share`` of
-these show it in a context of its own: lines of copies and near copies, which
-always stand between the same neighbours, are not boilerplate.  A document is
+and hashed, and so is the whole text.  Per host, the different texts that hold a line
+are counted; copies of a text are one, whatever their case and spaces.  A line is
+boilerplate if over ``max_docs`` different texts of the host hold it.  A document is
 depleted, and rejected, if less than ``min_left`` of its words is left without
 these lines.  Documents that fail the base counts are rejected as well.
 
@@ -25,7 +23,6 @@ from driftline.llm import textkernel as tk
 from driftline.llm.shared import small_or_shuffled, written
 
 MAX_DOCS = 20
-CONTEXT_SHARE = 0.5
 MIN_LEFT = 0.3
 #: Boilerplate lines up to this number are broadcast (about 16 bytes each); beyond it the join shuffles.
 BROADCAST_LINES = 200_000
@@ -84,7 +81,7 @@ def _lists(row: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.Array]:
 
 
 def _measure(column: pa.Array):
-    """Arrays for each cut of a text column: counts, and the distinct lines of each text."""
+    """Arrays for each cut of a text column: counts with the normalised text's hash, and the distinct lines of each text."""
     for first, last, data, offsets in tk.chunks(column):
         n = last - first
         starts, ends, n_words = tk.words(data, offsets)
@@ -94,22 +91,21 @@ def _measure(column: pa.Array):
         line_row, begin, end, word, word_end = lines(data, offsets, starts)
         dup = tk.per_row(line_row, n) - tk.per_row(tk.distinct(line_row, exact.hash(begin, end))[0], n)
         repeated = repeated_words(row, exact.hash(starts, ends), n)
-        folded = _sequences(tk.Spans(data, tk.LOWER).hash(starts, ends), word, word_end)
-        before, after = np.zeros_like(folded), np.zeros_like(folded)
-        inner = np.flatnonzero(line_row[1:] == line_row[:-1])
-        before[inner + 1], after[inner] = folded[inner], folded[inner + 1]
-        context = tk.mix(tk.mix(before) + after)
-        # one entry for each different line of a text: its words in all places, and the context of the first
+        low = tk.Spans(data, tk.LOWER).hash(starts, ends)
+        folded = _sequences(low, word, word_end)
+        last_word = np.cumsum(n_words)
+        whole = _sequences(low, last_word - n_words, last_word).view(np.int64)
+        # one entry for each different line of a text: its words in all places
         order = np.lexsort((np.arange(len(folded)), folded, line_row))
-        r, h, c, w = line_row[order], folded[order], context[order], (word_end - word)[order]
+        r, h, w = line_row[order], folded[order], (word_end - word)[order]
         new = np.ones(len(r), dtype=bool)
         new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
         at = np.flatnonzero(new)
         total = np.add.reduceat(w, at) if len(at) else w[:0]
-        yield first, last, [n_words, chars, _sums(SYMBOLS[data], offsets), dup, repeated], _lists(r[at], n, h[at].view(np.int64), c[at].view(np.int64), total.astype(np.int64))
+        yield first, last, [n_words, chars, _sums(SYMBOLS[data], offsets), dup, repeated, whole], _lists(r[at], n, h[at].view(np.int64), total.astype(np.int64))
 
 
-_SCHEMA = "id long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, context array<long>, words array<long>"
+_SCHEMA = "id long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, whole long, line array<long>, words array<long>"
 
 
 def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -123,23 +119,21 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return kept.mapInArrow(run, _SCHEMA)
 
 
-def boilerplate(found: DataFrame, max_docs: int, context_share: float) -> DataFrame:
+def boilerplate(found: DataFrame, max_docs: int) -> DataFrame:
     """(host, line) of all boilerplate lines of a table of measures."""
-    each = found.select("host", F.explode(F.arrays_zip("line", "context")).alias("x")).select("host", "x.line", "x.context")
-    contexts = each.groupBy("host", "line", "context").agg(F.count("*").alias("docs"))
-    counted = contexts.groupBy("host", "line").agg(F.sum("docs").alias("docs"), F.count("*").alias("contexts"))
-    return counted.where((F.col("docs") > max_docs) & (F.col("contexts") >= context_share * F.col("docs"))).select("host", "line")
+    each = found.select("host", "whole", F.explode("line").alias("line")).distinct()
+    return each.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, context_share: float = CONTEXT_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Per row: id, row, the base counts, base_failed, removed (hashes of its boilerplate lines), words_left, kept."""
     found = written(measures(docs, id_col, text_col, host_col), "line-measures")
-    bad = written(boilerplate(found, max_docs, context_share), "boilerplate")
+    bad = written(boilerplate(found, max_docs), "boilerplate")
     each = found.select("row", "host", F.explode(F.arrays_zip("line", "words")).alias("x")).select("row", "host", "x.line", "x.words")
     bad = small_or_shuffled(bad.withColumnRenamed("host", "bad_host").withColumnRenamed("line", "bad_line"), bad.count(), BROADCAST_LINES)
     hits = each.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line")))
     removed = hits.groupBy("row").agg(F.sum("words").alias("gone"), F.collect_list("line").alias("removed"))
-    joined = found.drop("line", "context", "words", "host").join(removed, "row", "left")
+    joined = found.drop("whole", "line", "words", "host").join(removed, "row", "left")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     return joined.withColumns({"base_failed": base_failed, "words_left": left, "kept": ~base_failed & (left >= min_left * F.col("n_words"))}).drop("gone")

@@ -63,6 +63,25 @@ def test_depleted_documents_are_rejected(documents):
     assert not got[1000]["kept"] and not got[1000]["base_failed"] and all(got[k]["kept"] for k in range(60))
 
 
+def test_blocks_of_shared_lines_go(documents):
+    footer = "\n".join(f"Footer {j} " + " ".join(f"f{j}x{i}" for i in range(10)) for j in range(5))
+    rows = [(k, f"{story(k)}\n{footer}", "host") for k in range(30)]
+    rows += [(100, f"{story(100, 5)}\n{footer}", "host")]  # little but the block
+    got = {r["id"]: r for r in line_rules.line_rules(documents(rows)).collect()}
+    assert all(got[k]["words_left"] == 60 and got[k]["kept"] for k in range(30))
+    assert got[100]["words_left"] == 5 and not got[100]["kept"] and not got[100]["base_failed"]
+
+
+def test_a_banner_goes_beside_many_copies(documents):
+    banner = "Subscribe to our weekly letter now"
+    copied = f"{story(500)}\n{banner}\n{story(501)}"
+    rows = [(k, f"{story(k)}\n{banner}\n{story(1000 + k, 5)}", "host") for k in range(30)]
+    rows += [(2000 + k, copied.upper() if k % 2 else copied.replace(" ", "  "), "host") for k in range(100)]
+    got = {r["id"]: r for r in line_rules.line_rules(documents(rows)).collect()}
+    assert all(got[k]["words_left"] == 65 for k in range(30))
+    assert all(got[2000 + k]["words_left"] == 120 and got[2000 + k]["kept"] for k in range(100))
+
+
 def test_packing_keeps_every_word(documents, odd_rows):
     rows = odd_rows + [(30 + k, "w " * (1 + 37 * k % 900)) for k in range(200)]
     got = packing.pack(documents(rows), shard_docs=50).collect()
