@@ -91,7 +91,7 @@ def elo_metrics(spark, sf_dir):
 @plans.query("logit_fit")
 def logit_fit(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("y"), (F.bround(F.col("o_totalprice") / 250000 - 1, 1)).alias("price"), (F.year("o_orderdate") - 1998).cast("double").alias("year"))
-    w = models.logistic(df, ["price", "year"], "y", steps=20)
+    w = models.logistic(df, ["price", "year"], "y")
     return spark.createDataFrame([(n, float(v)) for n, v in zip(("price", "year", "intercept"), w, strict=True)], "feature string, weight double")
 
 
@@ -100,5 +100,5 @@ def conditional_logit(spark, sf_dir):
     own = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("m"))
     window = models.Window.partitionBy("user_id")
     df = own.select("user_id", (F.col("n") / F.sum("n").over(window)).alias("share"), (F.col("m") / 50).alias("mean"), (F.row_number().over(window.orderBy(F.col("m").desc(), "event_type")) == 1).alias("chosen"))
-    w = models.conditional_logit(df, "user_id", ["share", "mean"], "chosen", [2.5, 1.8], steps=5)
+    w = models.conditional_logit(df, "user_id", ["share", "mean"], "chosen", [2.5, 1.8])
     return spark.createDataFrame([(n, float(v)) for n, v in zip(("share", "mean"), w, strict=True)], "feature string, weight double")

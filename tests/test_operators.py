@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import text
 from driftline.operators import asof, context, folds, lineup, models, profiles, ranking, scoring, sequences, vectors, versions
+from driftline.plans import registry
 from driftline.sources import tables
 from driftline.streaming import windows
 
@@ -145,6 +146,30 @@ def test_logistic_matches_numpy(spark):
     assert got == pytest.approx(w)
 
 
+def test_registered_fits_take_all_steps(spark):
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    rows = orders.select((F.col("o_orderstatus") == "F").cast("double"), F.bround(F.col("o_totalprice") / 250000 - 1, 1).cast("double"), (F.year("o_orderdate") - 1998).cast("double")).toPandas().to_numpy()
+    y, x = rows[:, 0], np.column_stack([rows[:, 1:], np.ones(len(rows))])
+    w = np.zeros(3)
+    for _ in range(200):
+        w = w - 0.1 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + np.array([0.01, 0.01, 0]) * w)
+    got = {r["feature"]: r["weight"] for r in registry.queries()["logit_fit"](spark, sf).collect()}
+    assert [got[k] for k in ("price", "year", "intercept")] == pytest.approx(w.tolist(), abs=1e-6)
+
+    own = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("m")).toPandas()
+    users = [(g["n"].to_numpy() / g["n"].sum(), g["m"].to_numpy() / 50) for _, g in own.sort_values(["user_id", "m", "event_type"], ascending=[True, False, True]).groupby("user_id")]
+    w = np.array([2.5, 1.8])
+    for _ in range(10):
+        slope = np.zeros(2)
+        for pair in users:
+            z = np.exp(w @ np.array(pair))
+            slope += np.array([c[0] - (z / z.sum()) @ c for c in pair])
+        w = np.maximum(0.001, w + 0.05 * (slope / len(users) - 0.01 * w))
+    got = {r["feature"]: r["weight"] for r in registry.queries()["conditional_logit"](spark, sf).collect()}
+    assert [got[k] for k in ("share", "mean")] == pytest.approx(w.tolist(), abs=1e-6)
+
+
 def test_context_flip_and_opponents(spark):
     rows = spark.createDataFrame([("g", "Blue", "A", 1), ("g", "Red", "B", 2), ("h", "Blue", "A", 3)], "g string, side string, team string, v int")
     flipped = context.attach_context(rows, rows, ["g", "side"], ["v"], "opp_", ("side", {"Blue": "Red", "Red": "Blue"}))
