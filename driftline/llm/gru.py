@@ -154,7 +154,7 @@ class Trainer:
         prob *= scale
         back = prob @ p["w"].T
         gradients = {"w": flat.T @ prob, "c": prob.sum(axis=0)}
-        inner_updates = []
+        dv, dd = np.zeros_like(p["v"]), np.zeros_like(p["d"])
         for rows, lo, hi in _segments(k, self.spans):
             inner = np.exp(flat[rows] @ p["v"][lo:hi].T + p["d"][lo:hi])
             norm = inner.sum(axis=1)
@@ -164,7 +164,7 @@ class Trainer:
             inner[np.arange(len(rows)), own] -= 1
             inner *= scale
             back[rows] += inner @ p["v"][lo:hi]
-            inner_updates.append((lo, hi, inner.T @ flat[rows], inner.sum(axis=0)))
+            dv[lo:hi], dd[lo:hi] = inner.T @ flat[rows], inner.sum(axis=0)
         back = back.reshape(len(x), -1, n)
         du = np.zeros_like(p["u"])
         dx = np.empty((len(x), x.shape[1], 3 * n), dtype=np.float32)
@@ -188,9 +188,8 @@ class Trainer:
         self._apply("u", du)
         for name, gradient in gradients.items():
             self._apply(name, gradient)
-        for lo, hi, dv, dd in inner_updates:
-            self._apply("v", dv, slice(lo, hi))
-            self._apply("d", dd, slice(lo, hi))
+        self._apply("v", dv)
+        self._apply("d", dd)
         return h, loss
 
     def train(self, tokens: np.ndarray, classes: np.ndarray, words: np.ndarray, first: np.ndarray) -> float:

@@ -9,10 +9,11 @@ words, one share standing for all words never seen.  So
     log P(text) = sum over words and the end of log P(class | words before) + log P(word | class, words before)
 
 with the state carried through the whole text.  The network is trained by truncated
-backpropagation on one training document in ``1 / TRAIN_SHARE``, so that its training
-grows with the corpus: each round, every partition trains a replica on that round's
-part, and the replicas' weights are averaged by their tokens.  Counts are of all
-training texts.
+backpropagation on all training documents once.  They are dealt by a hash of their id
+(of the row number where that is null) over rounds and replicas, about ``SLOT_WORDS``
+words to each replica of each round; each round, the replicas learn from their slots and
+their weights and squared gradients are averaged by their tokens.  Rounds grow with the
+root of the corpus, so updates follow the corpus and not the layout of its files.
 
 Words are compared by 64-bit hashes of their A-Z lower-cased bytes.  Counts of the
 most frequent words (at most ``BROADCAST_WORDS``) go to all tasks; rarer words of
@@ -26,6 +27,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,13 +36,13 @@ from pyspark.sql import functions as F
 
 from driftline.llm import gru
 from driftline.llm import textkernel as tk
-from driftline.llm.shared import remainder, table, written
+from driftline.llm.shared import new_path, remainder, table, written
 
 HEAD = 2048
 HEAD_CLASSES = 32
 TAIL_CLASSES = 32
-TRAIN_SHARE = 1 / 16
-ROUNDS = 2
+#: Words that one replica learns from in one round.
+SLOT_WORDS = 250_000
 BROADCAST_WORDS = 400_000
 #: Words that one task scores in step; one longer document goes alone.
 POOL_WORDS = 3_000_000
@@ -184,47 +187,86 @@ def _averaged(replicas: DataFrame) -> tuple[np.ndarray | None, int]:
     return sum(r["n"] * np.frombuffer(r["weights"], dtype=np.float32).astype(float) for r in rows) / total, total
 
 
-def train(texts: DataFrame, words: Vocabulary, share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> dict:
-    """The network's weights after all rounds over one text column."""
-    spark = texts.sparkSession
-    known, model = spark.sparkContext.broadcast(words), words.new_model()
-    parts = max(1, round(rounds / share))
-    dealt = texts.withColumn("part", F.pmod(F.xxhash64("text", F.lit(17)), F.lit(parts)))
+def schedule(total: int, slot_words: int = SLOT_WORDS) -> tuple[int, int]:
+    """(rounds, replicas) for a number of words: slots of a fixed size, twice as many replicas as rounds."""
+    slots = max(1, math.ceil(total / slot_words))
+    rounds = math.ceil(math.sqrt(slots / 2))
+    return rounds, math.ceil(slots / rounds)
+
+
+def dealt(training: DataFrame, words: Vocabulary, rounds: int, replicas: int) -> DataFrame:
+    """(key, row, replica, inputs, round) of all training rows (id, row, text), written by round."""
+    spark = training.sparkSession
+    known = spark.sparkContext.broadcast(words)
+
+    def run(batches):
+        words = known.value
+        for batch in batches:
+            for first, last, data, offsets in tk.chunks(batch.column(3)):
+                counts, key, suffix = tokens(data, offsets)
+                inputs = words.lookup(key, suffix)[3]
+                lists = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+                columns = [batch.column(k).slice(first, last - first) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(lists, pa.array(inputs.astype(np.int16)))], ["key", "row", "slot", "inputs"])
+
+    key = F.coalesce("id", "row")
+    slot = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(rounds * replicas))
+    found = training.select(key.alias("key"), "row", slot.cast("int").alias("slot"), "text").mapInArrow(run, "key long, row long, slot int, inputs array<short>")
+    path = new_path(spark, "train-tokens")
+    found.select("key", "row", F.floor(F.col("slot") / rounds).cast("int").alias("replica"), "inputs", (F.col("slot") % rounds).alias("round")).write.partitionBy("round").parquet(path)
+    return spark.read.schema("key long, row long, replica int, inputs array<short>, round int").parquet(path)
+
+
+def train(training: DataFrame, words: Vocabulary, slot_words: int = SLOT_WORDS) -> dict:
+    """The network's weights after all rounds over all training rows (id, row, text)."""
+    spark, model = training.sparkSession, words.new_model()
+    if not words.total:
+        return model
+    rounds, replicas = schedule(words.total, slot_words)
+    slots = dealt(training, words, rounds, replicas)
+    known, squares = spark.sparkContext.broadcast(words), None
     for number in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
+        sent = spark.sparkContext.broadcast((model, squares))
 
         def run(batches, sent=sent):
-            words = known.value
-            trainer, size = gru.Trainer(sent.value, words.spans, words.start), 0
+            words, (model, squares) = known.value, sent.value
+            trainer, size, replica = gru.Trainer(model, words.spans, words.start), 0, 0
+            if squares is not None:
+                trainer.squares = {k: v.copy() for k, v in squares.items()}
+            head = len(words.head_class)
             held: list = []
 
             def learn():
-                key, suffix, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
-                _, word, classes, inputs = words.lookup(key, suffix)
-                first = np.zeros(len(key), dtype=bool)
+                inputs, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+                word = np.where(inputs < head, inputs, -1)
+                classes = inputs - head + HEAD_CLASSES
+                classes[word >= 0] = words.head_class[word[word >= 0]]
+                first = np.zeros(len(inputs), dtype=bool)
                 first[np.cumsum(lengths) - lengths] = True
                 trainer.train(inputs, classes, word, first)
 
             waiting = 0
             for batch in batches:
-                for _, _, data, offsets in tk.chunks(batch.column(0)):
-                    counts, key, suffix = tokens(data, offsets)
-                    held.append((key, suffix, counts))
-                    waiting, size = waiting + len(key), size + len(key)
-                    if waiting >= POOL_WORDS // 4:
-                        learn()
-                        held, waiting = [], 0
+                if not batch.num_rows:
+                    continue
+                replica, lists = batch.column(0)[0].as_py(), batch.column(1)
+                held.append((lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)))
+                waiting, size = waiting + len(held[-1][0]), size + len(held[-1][0])
+                if waiting >= POOL_WORDS // 4:
+                    learn()
+                    held, waiting = [], 0
             if held:
                 learn()
             if size:
-                from pyspark import TaskContext
-
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(trainer.p).astype(np.float32).tobytes()], pa.binary())], ["replica", "n", "weights"])
+                weights = np.concatenate([_pack(trainer.p), _pack(trainer.squares)]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([replica], pa.int64()), pa.array([size], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["replica", "n", "weights"])
 
-        part = dealt.where(F.col("part") == number).select("text")
+        # one replica to a task; the order of rows is that of their keys, whatever the files
+        part = slots.where(F.col("round") == number).repartitionById(replicas, F.col("replica")).sortWithinPartitions("key", "row").select("replica", "inputs")
         flat, _ = _averaged(written(part.mapInArrow(run, "replica long, n long, weights binary"), "replicas"))
         if flat is not None:
-            model = _unpack(flat, model)
+            half = len(flat) // 2
+            model, squares = _unpack(flat[:half], model), _unpack(flat[half:], model)
     return model
 
 
@@ -288,8 +330,8 @@ def _partial_scores(rows: DataFrame, words: Vocabulary, model: dict) -> DataFram
 def language_scores(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row, learned from rows that fit ``usable``; scores are log10."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    training = docs.where(F.lit(True) if usable is None else usable).select(text)
-    counts = written(count_words(training), "word-counts")
+    training = docs.where(F.lit(True) if usable is None else usable).select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text)
+    counts = written(count_words(training.select("text")), "word-counts")
     words = Vocabulary(counts)
     model = train(training, words)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text)

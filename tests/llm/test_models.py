@@ -103,6 +103,31 @@ def test_language_model_without_training_text(spark, documents):
     assert language_model.language_scores(documents([])).count() == 0
 
 
+def test_language_model_learns_from_all_rows(spark, documents):
+    rows = [(k, "one hot text of seven words only") for k in range(1000)] + [(1000 + k, f"a{k} b{k % 7} c{k % 3} d e f g") for k in range(2000)]
+    training = documents(rows).select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
+    words = language_model.Vocabulary(language_model.count_words(training.select("text")))
+    rounds, replicas = language_model.schedule(words.total, 2_000)
+    assert rounds * replicas >= words.total / 2_000 == 12
+    slots = language_model.dealt(training, words, rounds, replicas).select("key", "round", "replica", F.size("inputs").alias("n")).toPandas()
+    assert sorted(slots["key"]) == list(range(3000)) and slots["n"].sum() == words.total
+    dealt = slots.assign(hot=slots["key"] < 1000).groupby(["round", "replica"]).agg(n=("n", "sum"), hot=("hot", "mean"))
+    assert len(dealt) == rounds * replicas and dealt["n"].between(1_000, 3_000).all() and dealt["hot"].between(0.2, 0.5).all()
+
+
+def test_language_model_updates_follow_the_corpus():
+    def updates(total):
+        return language_model.schedule(total)[0] * language_model.SLOT_WORDS
+
+    assert updates(10**10) > 5 * updates(10**8) > 25 * updates(10**6) > 0
+
+
+def test_language_model_does_not_depend_on_partitions(spark, documents):
+    docs = documents([tuple(r) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()])
+    one, many = ({r["id"]: r["score"] for r in language_model.language_scores(docs.repartition(n)).collect()} for n in (1, 16))
+    assert one == pytest.approx(many, rel=1e-5)
+
+
 def small_model():
     rng = np.random.default_rng(1)
     spans = np.array([0, 1, 4, 4])
