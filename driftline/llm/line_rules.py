@@ -3,7 +3,8 @@
 Each line with a word is normalised (A-Z lower-cased, words joined by one space)
 and hashed, and so is the whole text.  Per host, the different texts that hold a line
 are counted; copies of a text are one, whatever their case and spaces.  A line is
-boilerplate if over ``max_docs`` different texts of the host hold it.  A document is
+boilerplate if over ``max_docs`` different texts of the host, and over ``max_share``
+of all its different texts, hold it.  A document is
 depleted, and rejected, if less than ``min_left`` of its words is left without
 these lines.  Documents that fail the base counts are rejected as well.
 
@@ -23,6 +24,8 @@ from driftline.llm import textkernel as tk
 from driftline.llm.shared import small_or_shuffled, written
 
 MAX_DOCS = 20
+#: The count of a host of 1,000 texts as a share; larger hosts follow it.
+MAX_SHARE = 0.02
 MIN_LEFT = 0.3
 #: Boilerplate lines up to this number are broadcast (about 16 bytes each); beyond it the join shuffles.
 BROADCAST_LINES = 200_000
@@ -119,16 +122,20 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return kept.mapInArrow(run, _SCHEMA)
 
 
-def boilerplate(found: DataFrame, max_docs: int) -> DataFrame:
+def boilerplate(found: DataFrame, max_docs: int, max_share: float) -> DataFrame:
     """(host, line) of all boilerplate lines of a table of measures."""
     each = found.select("host", "whole", F.explode("line").alias("line")).distinct()
-    return each.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "line")
+    often = each.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    sizes = found.select(F.col("host").alias("size_host"), "whole").distinct().groupBy("size_host").agg(F.count("*").alias("texts")).where(F.col("texts") > max_docs)
+    sizes = written(sizes, "host-sizes")
+    sizes = small_or_shuffled(sizes, sizes.count(), BROADCAST_LINES)
+    return often.join(sizes, F.col("host").eqNullSafe(F.col("size_host"))).where(F.col("docs") > max_share * F.col("texts")).select("host", "line")
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """Per row: id, row, the base counts, base_failed, removed (hashes of its boilerplate lines), words_left, kept."""
     found = written(measures(docs, id_col, text_col, host_col), "line-measures")
-    bad = written(boilerplate(found, max_docs), "boilerplate")
+    bad = written(boilerplate(found, max_docs, max_share), "boilerplate")
     each = found.select("row", "host", F.explode(F.arrays_zip("line", "words")).alias("x")).select("row", "host", "x.line", "x.words")
     bad = small_or_shuffled(bad.withColumnRenamed("host", "bad_host").withColumnRenamed("line", "bad_line"), bad.count(), BROADCAST_LINES)
     hits = each.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("line") == F.col("bad_line")))

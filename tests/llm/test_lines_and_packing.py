@@ -82,6 +82,15 @@ def test_a_banner_goes_beside_many_copies(documents):
     assert all(got[2000 + k]["words_left"] == 120 and got[2000 + k]["kept"] for k in range(100))
 
 
+def test_verdicts_follow_the_size_of_the_host(documents):
+    def host(n):  # a banner in 1 text of 20, a greeting in 1 of 100
+        return [(k, "\n".join([story(k), *["All rights reserved here"] * (k % 20 == 0), *["Good morning to all"] * (k % 100 == 1)]), None) for k in range(n)]
+
+    for n in (1000, 10_000):
+        got = line_rules.line_rules(documents(host(n))).select("id", "n_words", "words_left").collect()
+        assert len(got) == n and all(r["n_words"] - r["words_left"] == (4 if r["id"] % 20 == 0 else 0) for r in got)
+
+
 def test_packing_keeps_every_word(documents, odd_rows):
     rows = odd_rows + [(30 + k, "w " * (1 + 37 * k % 900)) for k in range(200)]
     got = packing.pack(documents(rows), shard_docs=50).collect()
