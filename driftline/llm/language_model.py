@@ -39,17 +39,17 @@ from driftline.llm import textkernel as tk
 from driftline.llm.shared import new_path, remainder, table, written
 
 HEAD = 2048
-HEAD_CLASSES = 32
+HEAD_CLASSES = 24
 TAIL_CLASSES = 32
 #: Words that one replica learns from in one round.
-SLOT_WORDS = 250_000
+SLOT_WORDS = 1_000_000
 BROADCAST_WORDS = 400_000
 #: Words that one task scores in step; one longer document goes alone.
 POOL_WORDS = 3_000_000
 #: Words counted before the counts of a task are handed on.
 COUNT_WORDS = 4_000_000
 #: Replicas that one task averages.
-FAN_IN = 16
+FAN_IN = 8
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _NO_SUFFIX = 0
@@ -129,20 +129,27 @@ class Vocabulary:
         place = self.suffixes[tails["suffix"].to_numpy(dtype=np.int64)] - HEAD_CLASSES
         self.tail_n = np.bincount(place, weights=tails["n"].to_numpy(dtype=float), minlength=TAIL_CLASSES)
         self.tail_v = np.bincount(place, weights=tails["v"].to_numpy(dtype=float), minlength=TAIL_CLASSES)
-        order = np.argsort(key)
-        self.keys, self.n, self.rank = key[order], n[order], order
+        # each slot of a table of places holds its most frequent word; words that lose their slot are searched
+        self.keys, self.n = key, n
+        self.slots = np.full(1 << max(10, (4 * len(key)).bit_length()), -1, dtype=np.int32)
+        slot = (key & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        self.slots[slot[::-1]] = np.arange(len(key), dtype=np.int32)[::-1]
+        lost = np.flatnonzero(self.slots[slot] != np.arange(len(key)))
+        self.lost = lost[np.argsort(key[lost])]
         self.inputs = head + TAIL_CLASSES
         self.start = self.inputs
 
     def lookup(self, key: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(count or 0 if not among the known, word or -1, class, input) of each word."""
-        found, at = np.unique(key, return_inverse=True)
+        rank = self.slots[(key & np.uint64(len(self.slots) - 1)).astype(np.int64)].astype(np.int64)
         if len(self.keys):
-            place = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-            hit = self.keys[place] == found
-            count, rank = np.where(hit, self.n[place], 0)[at], np.where(hit, self.rank[place], 1 << 60)[at]
-        else:
-            count, rank = np.zeros(len(key), dtype=np.int64), np.full(len(key), 1 << 60)
+            rank[self.keys[rank] != key] = -1
+        if len(self.lost):
+            missed = np.flatnonzero(rank < 0)
+            place = self.lost[np.minimum(np.searchsorted(self.keys[self.lost], key[missed]), len(self.lost) - 1)]
+            rank[missed] = np.where(self.keys[place] == key[missed], place, -1)
+        count = np.where(rank >= 0, self.n[rank] if len(self.keys) else 0, 0)
+        rank = np.where(rank >= 0, rank, 1 << 60)
         head = rank < len(self.head_class)
         word = np.where(head, rank, -1)
         classes = self.suffixes[suffix]
@@ -252,7 +259,7 @@ def train(training: DataFrame, words: Vocabulary, slot_words: int = SLOT_WORDS)
                 replica, lists = batch.column(0)[0].as_py(), batch.column(1)
                 held.append((lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)))
                 waiting, size = waiting + len(held[-1][0]), size + len(held[-1][0])
-                if waiting >= POOL_WORDS // 4:
+                if waiting >= POOL_WORDS // 2:
                     learn()
                     held, waiting = [], 0
             if held:

@@ -156,6 +156,22 @@ def test_document_scores_are_those_of_one_at_a_time():
     assert together == pytest.approx(alone, abs=1e-4)
 
 
+def test_every_training_token_reaches_a_gradient():
+    model, spans = small_model()
+    seen = []
+
+    class Recorder(gru.Trainer):
+        def window(self, x, fresh, classes, words, counts, h):
+            assert x.shape == counts.shape
+            seen.extend(classes.T[counts.T > 0].tolist())
+            return h, 0.0
+
+    n = 2 * gru.WINDOW * gru.UPDATES + 5
+    k = np.arange(n) % 4
+    Recorder(model, spans, 6).train(k, k, np.where(k == 0, 0, np.where(k == 1, 1, -1)), np.arange(n) % 50 == 0)
+    assert len(seen) == n and np.bincount(seen).tolist() == np.bincount(k).tolist()
+
+
 def test_gradients_match_differences():
     model, spans = small_model()
     model = {k: v.astype(np.float64) for k, v in model.items()}
@@ -165,6 +181,8 @@ def test_gradients_match_differences():
     fresh = np.zeros((5, 2), dtype=bool)
     fresh[0] = True
     fresh[3, 1] = True
+    counts = np.ones((5, 2), dtype=np.float32)
+    counts[4, 1] = 0
     taken = {}
 
     class Recorder(gru.Trainer):
@@ -172,9 +190,9 @@ def test_gradients_match_differences():
             taken.setdefault(name, np.zeros_like(self.p[name]))[at] += gradient
 
     def loss(p):
-        return gru.Trainer(p, spans, 6).window(x, fresh, k, w, np.zeros((2, 3)))[1] / 2
+        return gru.Trainer(p, spans, 6).window(x, fresh, k, w, counts, np.zeros((2, 3)))[1]
 
-    Recorder(model, spans, 6).window(x, fresh, k, w, np.zeros((2, 3)))
+    Recorder(model, spans, 6).window(x, fresh, k, w, counts, np.zeros((2, 3)))
     for name in model:
         for at in list(np.ndindex(model[name].shape))[:12]:
             up, down = ({n: v.copy() for n, v in model.items()} for _ in range(2))
