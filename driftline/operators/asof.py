@@ -19,54 +19,131 @@ def decay_weight(time: str, half_life_days: float, anchor: int) -> Column:
     return F.pow(F.lit(2.0), (F.col(time) - F.lit(anchor)) / F.lit(half_life_days * DAY))
 
 
-def decayed(window, value: Column, weight: Column, time: str, half_life_days: float, anchor: int, chosen: Column | None = None) -> dict[str, Column]:
-    """Weighted mean, effective weight at the row's time, population deviation and count over a window."""
+def frame_sum(keys: list, time: str, value: Column, frame_days: float | None) -> Column:
+    """Sum of a value over rows of the keys in [time - frame, time).
+
+    It is the running total up to the row less that up to the frame's start: both frames only
+    grow, so a row costs the same whatever the frame's length.  Counts come out exactly.
+    """
+    now = F.coalesce(F.sum(value).over(before(keys, time)), F.lit(0.0))
+    if frame_days is None:
+        return now
+    window = Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, -int(frame_days * DAY) - 1)
+    return now - F.coalesce(F.sum(value).over(window), F.lit(0.0))
+
+
+def moments(value: Column, weight: Column, chosen: Column | None = None) -> dict[str, Column]:
+    """What a decayed mean, weight, deviation and count need of each row."""
     ok = value.isNotNull() if chosen is None else value.isNotNull() & chosen
-    w, v = F.when(ok, weight), F.when(ok, value)
-    total = F.sum(w).over(window)
-    mean = F.try_divide(F.sum(w * v).over(window), total)
-    spread = F.try_divide(F.sum(w * v * v).over(window), total) - mean * mean
+    w = F.when(ok, weight).otherwise(0.0)
+    v = F.coalesce(value, F.lit(0.0))
+    return {"w": w, "wv": w * v, "wvv": w * v * v, "n": ok.cast("double")}
+
+
+def statistics(sums: dict[str, Column], weight_now: Column) -> dict[str, Column]:
+    """Weighted mean, effective weight at the row's time, population deviation and count from summed moments."""
+    some = sums["n"] > 0.5
+    mean = F.when(some, F.try_divide(sums["wv"], sums["w"]))
+    spread = F.when(some, F.try_divide(sums["wvv"], sums["w"])) - mean * mean
     return {
         "mean": mean,
-        "weight": F.coalesce(total, F.lit(0.0)) / decay_weight(time, half_life_days, anchor),
-        "deviation": F.sqrt(F.greatest(spread, F.lit(0.0))),
-        "rows": F.count(w).over(window),
+        "weight": F.when(some, sums["w"]).otherwise(0.0) / weight_now,
+        "deviation": F.when(some, F.sqrt(F.greatest(spread, F.lit(0.0)))),
+        "rows": F.round(sums["n"]).cast("long"),
     }
 
 
 def decayed_asof(df: DataFrame, keys: list[str], time: str, value: str, half_life_days: float, frame_days: float, anchor: int) -> DataFrame:
     """Adds mean, weight, deviation and rows of the decayed history of each row's keys."""
-    return df.withColumns(decayed(before(keys, time, frame_days), F.col(value), decay_weight(time, half_life_days, anchor), time, half_life_days, anchor))
+    weight = decay_weight(time, half_life_days, anchor)
+    sums = {k: frame_sum(keys, time, c, frame_days) for k, c in moments(F.col(value), weight).items()}
+    return df.withColumns(statistics(sums, weight))
+
 
+def hot_frame_sums(df: DataFrame, row: str, keys: list[str], time: str, values: dict[str, Column], frame_days: float, bucket_days: float = 1.0) -> DataFrame:
+    """(row, names of values) with sums over rows of the keys in [time - frame, time), for keys that hold many rows.
 
-def projection(df: DataFrame, entity: str, role: str, opponent: str, playoff: Column, time: str, value: str, half_life_days: float, frame_days: float, anchor: int) -> DataFrame:
+    Every row asks for the running total at its time and at its frame's start.  Totals are
+    running sums inside (keys, bucket of time) plus those of earlier buckets, which are few
+    rows, so that no task holds all rows of a key.  ``row`` is unique.
+    """
+    sent = df.select(row, *keys, F.col(time).alias("_at"), F.lit(1.0).alias("_sign"), *(c.alias(n) for n, c in values.items()))
+    start = df.select(row, *keys, (F.col(time) - int(frame_days * DAY)).alias("_at"), F.lit(-1.0).alias("_sign"), *(F.lit(0.0).alias(n) for n in values))
+    both = sent.unionByName(start).withColumn("_bucket", F.floor(F.col("_at") / int(bucket_days * DAY)))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    totals = both.groupBy(*keys, "_bucket").agg(*(F.sum(n).alias(f"_{n}") for n in values))
+    earlier = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0.0)).alias(f"_{n}") for n in values))
+    run = both.withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0.0)) for n in values}).join(totals, [*keys, "_bucket"])
+    return run.groupBy(row).agg(*(F.sum(F.col("_sign") * (F.col(n) + F.col(f"_{n}"))).alias(n) for n in values))
+
+
+def projection(df: DataFrame, row: str, entity: str, role: str, opponent: str, playoff: Column, time: str, value: str, half_life_days: float, frame_days: float, anchor: int, domestic: Column | None = None) -> DataFrame:
     """Shrunken projection of each row's value from earlier rows, with floor and ceiling.
 
     The entity's mean shrinks to its role's by weight / (weight + 5); the opponent's
     effect by weight / (weight + 15), the head-to-head by weight / (weight + 3) above
-    half a game; play-off form enters above one game of weight.
+    half a game; play-off form enters above one game of weight.  The role's pool are its
+    domestic rows, if there are any in the frame, else all its rows; without any, its mean is
+    the plain mean of all rows in the frame, else 0.  ``row`` is unique.
     """
     weight = decay_weight(time, half_life_days, anchor)
-
-    def stats(prefix: str, keys: list[str], chosen: Column | None = None):
-        return {f"{prefix}_{k}": c for k, c in decayed(before(keys, time, frame_days), F.col(value), weight, time, half_life_days, anchor, chosen).items()}
-
-    df = df.withColumns(stats("role", [role]) | stats("own", [entity, role]) | stats("opp", [role, opponent]) | stats("h2h", [entity, role, opponent]) | stats("playoff", [entity, role], playoff))
+    chosen = domestic if domestic is not None else F.lit(True)
+
+    def stats(prefix: str, keys: list[str], rows: Column | None = None):
+        sums = {k: frame_sum(keys, time, c, frame_days) for k, c in moments(F.col(value), weight, rows).items()}
+        return {f"{prefix}_{k}": c for k, c in statistics(sums, weight).items()}
+
+    values = {f"{p}_{k}": c for p, rows in (("any", None), ("home", chosen)) for k, c in moments(F.col(value), weight, rows).items()}
+    roles = hot_frame_sums(df, row, [role], time, values, frame_days)
+    plain = moments(F.col(value), F.lit(1.0))
+    world = hot_frame_sums(df, row, [], time, {"world_n": plain["n"], "world_v": plain["wv"]}, frame_days)
+    found = {p: statistics({k: F.col(f"{p}_{k}") for k in ("w", "wv", "wvv", "n")}, weight) for p in ("any", "home")}
+    df = df.join(roles, row).join(world, row).withColumn("at_home", found["home"]["rows"] > 0)
+    df = df.withColumns({f"role_{k}": F.when(F.col("at_home"), found["home"][k]).otherwise(found["any"][k]) for k in found["any"]}).drop(*values)
+    df = df.withColumns(stats("own", [entity, role]) | stats("opp_any", [role, opponent]) | stats("opp_home", [role, opponent], chosen) | stats("h2h", [entity, role, opponent]) | stats("playoff", [entity, role], playoff))
+    df = df.withColumns({f"opp_{k}": F.when(F.col("at_home"), F.col(f"opp_home_{k}")).otherwise(F.col(f"opp_any_{k}")) for k in ("mean", "weight")})
     own = before([entity, role], time, frame_days)
     spread = {f"p{k}": F.expr(f"percentile({value}, {k / 100})").over(own) for k in (10, 90)}
-    base = F.coalesce("role_mean", F.lit(0.0))
+    base = F.coalesce("role_mean", F.when(F.col("world_n") > 0.5, F.col("world_v") / F.col("world_n")), F.lit(0.0))
     mean = F.coalesce("own_mean", base)
     rel = F.col("own_weight") / (F.col("own_weight") + 5)
     shrunk = rel * mean + (1 - rel) * base
     opp = F.col("opp_weight") / (F.col("opp_weight") + 15) * (F.coalesce("opp_mean", base) - base)
     h2h = F.when(F.col("h2h_weight") > 0.5, F.col("h2h_weight") / (F.col("h2h_weight") + 3) * (F.coalesce("h2h_mean", F.lit(0.0)) - F.col("shrunk"))).otherwise(0.0)
-    playoff_effect = F.when((F.col("playoff_weight") > 1) & (mean != 0), 0.2 * (F.try_divide(F.col("playoff_mean"), mean) - 1)).otherwise(0.0)
+    playoff_effect = F.when(F.col("playoff_weight") > 1, 0.2 * (F.col("playoff_mean") / F.when(mean > 0, mean).otherwise(1.0) - 1)).otherwise(0.0)
     df = df.withColumns(spread).withColumns({"shrunk": shrunk, "opp_effect": opp})
     df = df.withColumns({"h2h_effect": h2h, "playoff_effect": playoff_effect})
     df = df.withColumn("projection", F.col("shrunk") + 0.35 * F.col("opp_effect") + 0.25 * F.col("h2h_effect") + F.col("shrunk") * F.col("playoff_effect"))
-    sd = F.coalesce("own_deviation", "role_deviation", F.lit(0.0))
+    # a spread of nothing counts as 3
+    sd = 1.28 * F.when(F.coalesce("own_deviation", "role_deviation") == 0, 3.0).otherwise(F.coalesce("own_deviation", "role_deviation"))
     many = F.col("own_rows") >= 3
-    return df.withColumns({"floor": F.when(many, F.col("p10")).otherwise(F.col("projection") - 1.28 * sd), "ceiling": F.when(many, F.col("p90")).otherwise(F.col("projection") + 1.28 * sd)})
+    return df.withColumns({"floor": F.when(many, F.col("p10")).otherwise(F.greatest(F.lit(0.0), F.col("projection") - sd)), "ceiling": F.when(many, F.col("p90")).otherwise(F.col("projection") + sd)})
+
+
+def opponents_mean(projected: DataFrame, keys: list[str], opponent: str, means: list[str], first: list[str], digits: int = 2) -> DataFrame:
+    """A week's projection: rounded means over all scheduled opponents, the first opponent's other columns, and the number of matchups."""
+    return projected.groupBy(*keys).agg(
+        *(F.bround(F.avg(c), digits).alias(c) for c in means), *(F.min_by(c, opponent).alias(c) for c in first),
+        F.count_distinct(F.when(F.col(opponent) != "", F.col(opponent))).alias("scheduled_matchups"),
+    )
+
+
+def weekly_combine(ranked: DataFrame, identity: list[str], means: list[str], sums: list[str], opponent: str) -> DataFrame:
+    """One row for each candidate of a week: means and sums over its matchups, and how many opponents it meets."""
+    return ranked.groupBy(*identity).agg(*(F.avg(c).alias(c) for c in means), *(F.sum(c).alias(c) for c in sums), F.count_distinct(opponent).alias("matchup_count"))
+
+
+def forecast_errors(df: DataFrame, keys: list[str], predicted: str, baseline: str, actual: str) -> DataFrame:
+    """Observations, mean absolute and root mean square error, and the baseline's absolute error."""
+    gap = F.col(actual) - F.col(predicted)
+    return df.groupBy(*keys).agg(F.count("*").alias("observations"), F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(F.col(actual) - F.col(baseline))).alias("baseline_mae"))
+
+
+def slate_errors(df: DataFrame, keys: list[str], predicted: str, actual: str, size: int = 5) -> DataFrame:
+    """Error of the mean over whole slates only: groups that have exactly so many rows."""
+    means = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(predicted).alias("predicted"), F.avg(actual).alias("actual")).where(F.col("rows") == size)
+    return means.select(*keys, F.abs(F.col("predicted") - F.col("actual")).alias("error"))
 
 
 def recent_mean(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int) -> Column:

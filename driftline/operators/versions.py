@@ -39,7 +39,7 @@ def weighted_shares(counts: DataFrame, targets: DataFrame, keys: list[str], item
     counts holds (keys, version, item, n), already summed by version, so only versions
     meet the few target versions.
     """
-    met = counts.join(F.broadcast(targets.select(F.col("version").alias("target"))))
+    met = counts.join(targets.select(F.col("version").alias("target")))
     met = met.withColumn("w", F.col("n") * decay(distance(F.col("target"), F.col("version")), rate))
     sums = met.groupBy(*keys, "target", item).agg(F.sum("w").alias("w"))
     totals = sums.groupBy(*keys, "target").agg(F.sum("w").alias("total"))
@@ -72,19 +72,26 @@ def pair_boosts(df: DataFrame, keys: list[str], group: str, item: str, least: in
     return out.select(*keys, "a", "b", "n", F.least(F.lit(cap), F.col("n") / F.least("n_a", "n_b") * F.col("n") / (F.col("n") + 8)).alias("boost"))
 
 
-def boost_lookup(wanted: DataFrame, boosts: DataFrame, rate: float = 0.15, reach: int = 4) -> DataFrame:
-    """(a, b, target) with the decayed mean boost of versions up to the target within reach; else that of the latest earlier season, halved for each season between."""
-    met = wanted.join(boosts, ["a", "b"], "left")
-    (tm, _), (vm, _) = parse(F.col("target")), parse(F.col("version"))
-    gap = distance(F.col("target"), F.col("version"))
-    (tm_, tn), (vm_, vn) = parse(F.col("target")), parse(F.col("version"))
+def season_boosts(df: DataFrame, major: str, group: str, item: str, cap: float = 0.05, part: float = 0.20) -> DataFrame:
+    """(major, a, b, boost) of whole seasons: a part of the season's pair boost, capped."""
+    return pair_boosts(df, [major], group, item).select(major, "a", "b", F.least(F.lit(cap), part * F.col("boost")).alias("boost"))
+
+
+def boost_lookup(wanted: DataFrame, boosts: DataFrame, seasons: DataFrame, rate: float = 0.15, reach: int = 4, cap: float = 0.25) -> DataFrame:
+    """(a, b, target, boost) of pairs (a, b, target).
+
+    Boosts (a, b, version, boost) of versions of the target's season, up to the target and
+    within reach, are decayed and averaged over the number of these versions; without any,
+    the latest earlier season (a, b, major, boost) counts, halved for each season between.
+    """
+    (tm, tn), (vm, vn) = parse(F.col("target")), parse(F.col("version"))
     near = (tm == vm) & (vn <= tn) & (tn - vn <= reach)
-    w = F.when(near, decay(gap, rate))
-    season = F.max(F.when(vm < tm, F.struct(vm.alias("major"), vn.alias("minor"), F.col("boost")))).alias("old")
-    sums = met.groupBy("a", "b", "target").agg(F.sum(w * F.col("boost")).alias("top"), F.sum(w).alias("w"), season)
-    major = parse(F.col("target"))[0]
-    old = F.least(F.lit(0.05), 0.20 * F.col("old.boost")) * F.pow(F.lit(0.5), major - F.col("old.major") - 1)
-    return sums.select("a", "b", "target", F.coalesce(F.try_divide("top", "w"), old, F.lit(0.0)).alias("boost"))
+    w = decay(distance(F.col("target"), F.col("version")), rate)
+    now = wanted.join(boosts, ["a", "b"]).where(near).groupBy("a", "b", "target").agg(F.least(F.lit(cap), F.avg(w * F.col("boost"))).alias("now"))
+    gap = F.pow(F.lit(0.5), F.greatest(F.lit(0), F.max(tm) - F.max("major") - 1))
+    old = wanted.join(seasons, ["a", "b"]).where(F.col("major") < tm).groupBy("a", "b", "target").agg((F.max_by("boost", "major") * gap).alias("old"))
+    found = wanted.join(now, ["a", "b", "target"], "left").join(old, ["a", "b", "target"], "left")
+    return found.select("a", "b", "target", F.coalesce("now", "old", F.lit(0.0)).alias("boost"))
 
 
 def duos(df: DataFrame, keys: list[str], role: str, first: str, second: str, item: str) -> DataFrame:
@@ -107,3 +114,27 @@ def maturity_weights(games: Column, early: tuple, mature: tuple, full: float) ->
     """Weights that move from early to mature over the first ``full`` games."""
     part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), games / full))
     return [F.lit(float(a)) + (float(b) - float(a)) * part for a, b in zip(early, mature, strict=True)]
+
+
+def latest_version(df: DataFrame, time: str, version: str, cutoff: Column, chosen: Column | None = None) -> DataFrame:
+    """The version of the latest row before the cutoff, of chosen rows only if given; empty without such a row."""
+    seen = df.where((F.col(time) < cutoff) & (F.lit(True) if chosen is None else chosen))
+    return seen.agg(F.coalesce(F.trim(F.max_by(version, F.struct(time, version))), F.lit("")).alias(version))
+
+
+def comfort_strength(games: Column, early: float, mature: float, full: float) -> Column:
+    """How much comfort counts: from early to mature over the first ``full`` games."""
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), games / max(1.0, full)))
+    return (1 - part) * early + part * mature
+
+
+def decay_column(name: str, rate: float) -> str:
+    return f"{name}_pdr_{rate:g}".replace(".", "_")
+
+
+def select_decay(df: DataFrame, names: list[str], rate: float) -> DataFrame:
+    """Shows the columns of one decay rate under their plain names; a rate that was not computed is an error."""
+    missing = [decay_column(n, rate) for n in names if decay_column(n, rate) not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.withColumns({n: F.col(decay_column(n, rate)) for n in names} | {"patch_decay_rate": F.lit(float(rate))})

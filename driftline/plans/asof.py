@@ -30,19 +30,20 @@ _POOL = """(SELECT a.event_id, count(b.value) AS n, coalesce(sum(pow(0.5, (epoch
  sum(b.value * pow(0.5, (epoch_us(a.ts) - epoch_us(b.ts)) / (5 * 86400000000.0))) / sum(pow(0.5, (epoch_us(a.ts) - epoch_us(b.ts)) / (5 * 86400000000.0))) AS m,
  quantile_cont(b.value, 0.1) AS lo, quantile_cont(b.value, 0.9) AS hi FROM events a LEFT JOIN events b ON b.event_type = a.event_type AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 10 DAY {0} GROUP BY 1)"""
 _OWN = "AND a.user_id = b.user_id"
+_HOME = "AND b.event_id % 11 = 3"
 _OPP = "AND a.event_id % 7 = b.event_id % 7"
 
 
 @plans.query("projection", f"""
 SELECT event_id, round_even(projection, 3) AS projection, round_even(CASE WHEN n >= 3 THEN lo END, 3) AS floor, round_even(CASE WHEN n >= 3 THEN hi END, 3) AS ceiling FROM (
  SELECT event_id, n, lo, hi, shrunk + 0.35 * ow / (ow + 15) * (coalesce(om, rm) - rm) + 0.25 * (CASE WHEN hw > 0.5 THEN hw / (hw + 3) * (hm - shrunk) ELSE 0 END)
-  + shrunk * (CASE WHEN pw > 1 AND mean <> 0 THEN 0.2 * (pm / mean - 1) ELSE 0 END) AS projection FROM (
- SELECT p.event_id, p.n, p.lo, p.hi, coalesce(r.m, 0) AS rm, coalesce(p.m, r.m, 0) AS mean, o.w AS ow, o.m AS om, h.w AS hw, h.m AS hm, f.w AS pw, f.m AS pm,
-  p.w / (p.w + 5) * coalesce(p.m, r.m, 0) + (1 - p.w / (p.w + 5)) * coalesce(r.m, 0) AS shrunk
- FROM {_POOL.format(_OWN)} p JOIN {_POOL.format('')} r USING (event_id) JOIN {_POOL.format(_OPP)} o USING (event_id) JOIN {_POOL.format(_OWN + ' ' + _OPP)} h USING (event_id) JOIN {_POOL.format(_OWN + ' AND b.event_id % 5 = 0')} f USING (event_id)))""")
+  + shrunk * (CASE WHEN pw > 1 THEN 0.2 * (pm / CASE WHEN mean > 0 THEN mean ELSE 1 END - 1) ELSE 0 END) AS projection FROM (
+ SELECT p.event_id, p.n, p.lo, p.hi, coalesce(d.m, r.m, a.m, 0) AS rm, coalesce(p.m, d.m, r.m, a.m, 0) AS mean, CASE WHEN d.n > 0 THEN od.w ELSE o.w END AS ow, CASE WHEN d.n > 0 THEN od.m ELSE o.m END AS om, h.w AS hw, h.m AS hm, f.w AS pw, f.m AS pm,
+  p.w / (p.w + 5) * coalesce(p.m, d.m, r.m, a.m, 0) + (1 - p.w / (p.w + 5)) * coalesce(d.m, r.m, a.m, 0) AS shrunk
+ FROM {_POOL.format(_OWN)} p JOIN {_POOL.format('')} r USING (event_id) JOIN {_POOL.format(_HOME)} d USING (event_id) JOIN (SELECT a.event_id, avg(b.value) AS m FROM events a LEFT JOIN events b ON b.ts < a.ts AND b.ts >= a.ts - INTERVAL 10 DAY GROUP BY 1) a USING (event_id) JOIN {_POOL.format(_OPP)} o USING (event_id) JOIN {_POOL.format(_OPP + ' ' + _HOME)} od USING (event_id) JOIN {_POOL.format(_OWN + ' ' + _OPP)} h USING (event_id) JOIN {_POOL.format(_OWN + ' AND b.event_id % 5 = 0')} f USING (event_id)))""")
 def projection(spark, sf_dir):
     df = events(spark, sf_dir).withColumn("opponent", F.col("event_id") % 7)
-    df = asof.projection(df, "user_id", "event_type", "opponent", F.col("event_id") % 5 == 0, "us", "value", 5, 10, ANCHOR)
+    df = asof.projection(df, "event_id", "user_id", "event_type", "opponent", F.col("event_id") % 5 == 0, "us", "value", 5, 10, ANCHOR, F.col("event_id") % 11 == 3)
     many = F.col("own_rows") >= 3
     return df.select("event_id", rounded("projection", 3).alias("projection"), rounded(F.when(many, F.col("floor")), 3).alias("floor"), rounded(F.when(many, F.col("ceiling")), 3).alias("ceiling"))
 

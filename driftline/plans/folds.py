@@ -47,11 +47,12 @@ _MATCHES = """(SELECT l_orderkey, o_orderpriority AS league, o_orderdate AS date
  JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)"""
 
 
-@plans.query("elo_ratings", f"""
-WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY date, l_orderkey) AS k FROM {_MATCHES}), f(league, k, l_orderkey, ra, rb, state) AS (
+ELO = f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY date, l_orderkey) AS k FROM {_MATCHES}), f(league, k, l_orderkey, ra, rb, state) AS (
  SELECT league, 0::BIGINT, -1::BIGINT, 0::DOUBLE, 0::DOUBLE, MAP {{}}::MAP(BIGINT, DOUBLE) FROM (SELECT DISTINCT league FROM m) UNION ALL
- SELECT league, k, l_orderkey, ra, rb, map_concat(state, MAP {{a: ra + 32 * (win - p), b: rb - 32 * (win - p)}}) FROM (SELECT *, 1 / (1 + pow(10, (rb - ra) / 400)) AS p FROM (SELECT m.*, f.state, coalesce(f.state[m.a], 1500) AS ra, coalesce(f.state[m.b], 1500) AS rb FROM f JOIN m ON m.league = f.league AND m.k = f.k + 1)))
-SELECT l_orderkey, round_even(ra, 3) AS rating_a, round_even(rb, 3) AS rating_b FROM f WHERE k > 0""")
+ SELECT league, k, l_orderkey, ra, rb, map_concat(state, MAP {{a: ra + 32 * (win - p), b: rb - 32 * (win - p)}}) FROM (SELECT *, 1 / (1 + pow(10, (rb - ra) / 400)) AS p FROM (SELECT m.*, f.state, coalesce(f.state[m.a], 1500) AS ra, coalesce(f.state[m.b], 1500) AS rb FROM f JOIN m ON m.league = f.league AND m.k = f.k + 1)))"""
+
+
+@plans.query("elo_ratings", f"""{ELO} SELECT l_orderkey, round_even(ra, 3) AS rating_a, round_even(rb, 3) AS rating_b FROM f WHERE k > 0""")
 def elo_ratings(spark, sf_dir):
     df = folds.elo(matches(spark, sf_dir), "league", ["date", "l_orderkey"])
     return df.select("l_orderkey", rounded("rating_a", 3).alias("rating_a"), rounded("rating_b", 3).alias("rating_b"))

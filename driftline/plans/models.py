@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from driftline.operators import models
 from driftline.operators.folds import elo
 from driftline.plans.base import Plans, rounded, table
-from driftline.plans.folds import matches
+from driftline.plans.folds import ELO, matches
 
 plans = Plans()
 
+ELO_SQL = f"""{ELO} SELECT league, count(*) AS rows, round_even(avg(((p >= 0.5) = (win = 1))::INT), 6) AS accuracy, round_even(avg(-(win * ln(least(1 - 1e-15, greatest(1e-15, p))) + (1 - win) * ln(1 - least(1 - 1e-15, greatest(1e-15, p))))), 6) AS log_loss, round_even(avg(pow(p - win, 2)), 6) AS brier
+FROM (SELECT *, 1 / (1 + pow(10, (rb - ra) / 400)) AS p FROM f JOIN m USING (league, k)) GROUP BY 1"""
 _NB = """
 WITH k AS (SELECT lang, source, quality FROM documents JOIN labels USING (doc_id)), c AS (SELECT quality, count(*)::DOUBLE AS cw FROM k GROUP BY 1), t AS (SELECT sum(cw) AS total, count(*) AS classes FROM c), l AS (SELECT quality, lang, count(*)::DOUBLE AS w FROM k GROUP BY ALL), s AS (SELECT quality, source, count(*)::DOUBLE AS w FROM k GROUP BY ALL),
 g AS (SELECT doc_id, c.quality, ln((cw + 1) / (total + classes)) + ln((coalesce(l.w, 0) + 1) / (cw + (SELECT count(DISTINCT lang) FROM k) + CASE WHEN lang IN (SELECT lang FROM k) THEN 0 ELSE 1 END)) + ln((coalesce(s.w, 0) + 1) / (cw + (SELECT count(DISTINCT source) FROM k) + CASE WHEN source IN (SELECT source FROM k) THEN 0 ELSE 1 END)) AS lg
@@ -81,16 +83,16 @@ def grid_search(spark, sf_dir):
     return found.select("trial", "targets", rounded("hit_rate", 6).alias("hit_rate"), rounded("mean_bonus").alias("mean_bonus"))
 
 
-@plans.query("elo_metrics")
+@plans.query("elo_metrics", ELO_SQL)
 def elo_metrics(spark, sf_dir):
     rated = elo(matches(spark, sf_dir), "league", ["date", "l_orderkey"])
     found = models.metrics(F.col("p_a"), F.col("a_win"))
-    return rated.groupBy("league").agg(*(c.alias(k) for k, c in found.items()))
+    return rated.groupBy("league").agg(*((c if k == "rows" else rounded(c, 6)).alias(k) for k, c in found.items()))
 
 
 @plans.query("logit_fit")
 def logit_fit(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("y"), (F.bround(F.col("o_totalprice") / 250000 - 1, 1)).alias("price"), (F.year("o_orderdate") - 1998).cast("double").alias("year"))
+    df = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").alias("y"), (F.col("o_totalprice") / 250000 - 1).alias("price"), (F.year("o_orderdate") - 1998).cast("double").alias("year"))
     w = models.logistic(df, ["price", "year"], "y")
     return spark.createDataFrame([(n, float(v)) for n, v in zip(("price", "year", "intercept"), w, strict=True)], "feature string, weight double")
 

@@ -54,20 +54,6 @@ def legality(spark, sf_dir):
     return df.select("event_id", seq.conflicts("event_type", F.col("drafted"), pool).alias("conflicts"))
 
 
-_STEPS = ", ".join(f"({i + 1}, '{p}', '{k}', '{s}', {n})" for i, (p, k, s, n) in enumerate(seq.DRAFT_ORDER))
-
-
-@plans.query("draft_expand", f"""
-WITH steps(action_number, action_phase, action_type, relative_side, slot) AS (VALUES {_STEPS}), g AS (SELECT user_id, list(event_id ORDER BY ts, event_id)[1:20] AS ids FROM events GROUP BY 1 HAVING count(*) >= 20)
-SELECT user_id, action_number, action_phase, action_type, CASE WHEN (relative_side = 'first') = (user_id % 2 = 0) THEN 'Blue' ELSE 'Red' END AS side,
- 'e' || ids[CASE WHEN (relative_side = 'first') = (user_id % 2 = 0) THEN 0 ELSE 10 END + CASE WHEN action_type = 'ban' THEN 0 ELSE 5 END + slot] AS champion FROM g, steps""")
-def draft_expand(spark, sf_dir):
-    df = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: F.concat(F.lit("e"), x["event_id"])).alias("ids")).where(F.size("ids") >= 20)
-    parts = {name: F.slice("ids", 1 + 5 * k, 5) for k, name in enumerate(("blue_bans", "blue_picks", "red_bans", "red_picks"))}
-    games = df.withColumns(parts).withColumn("first_side", F.when(F.col("user_id") % 2 == 0, "Blue").otherwise("Red"))
-    return seq.expand_drafts(games, "user_id").select("user_id", "action_number", "action_phase", "action_type", "side", "champion")
-
-
 @plans.query("change_points", """
 SELECT event_id, user_id, previous, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE previous <> event_type""")
 def change_points(spark, sf_dir):

@@ -63,16 +63,19 @@ def pair_synergy(spark, sf_dir):
 
 
 @plans.query("boost_lookup", f"""
-WITH x AS (SELECT a, b, 13 + (year - 1995) // 3 AS hm, 1 + (year - 1995) % 3 AS hn, boost FROM {_BOOSTS}), w AS (SELECT DISTINCT a, b, tm, tn FROM x, (VALUES (14, 2), (15, 1)) t(tm, tn)),
-s AS (SELECT a, b, tm, tn, sum(CASE WHEN near THEN exp(-0.15 * d) * boost END) / sum(CASE WHEN near THEN exp(-0.15 * d) END) AS now, arg_max(boost, (hm, hn, boost)) FILTER (hm < tm) AS old, max(hm) FILTER (hm < tm) AS om FROM (SELECT *, tm = hm AND hn <= tn AND tn - hn <= 4 AS near, {_DISTANCE} AS d FROM w JOIN x USING (a, b)) GROUP BY ALL)
-SELECT a, b, tm::VARCHAR || '.' || tn::VARCHAR AS target, round_even(coalesce(now, least(0.05, 0.20 * old) * pow(0.5, tm - om - 1), 0), 8) AS boost FROM s""")
+WITH x AS (SELECT a, b, 13 + (year - 1995) // 3 AS hm, 1 + (year - 1995) % 3 AS hn, boost FROM {_BOOSTS}), o AS (SELECT DISTINCT 13 + (year - 1995) // 3 AS major, l_orderkey, p_brand FROM {_BRANDS}), g AS (SELECT major, p_brand, count(*) AS g FROM o GROUP BY ALL),
+s AS (SELECT n.major, n.a, n.b, least(0.05, 0.20 * least(0.25, n::DOUBLE / least(p.g, q.g) * n / (n + 8))) AS boost FROM (SELECT p.major, p.p_brand AS a, q.p_brand AS b, count(*) AS n FROM o p JOIN o q ON p.major = q.major AND p.l_orderkey = q.l_orderkey AND p.p_brand < q.p_brand GROUP BY ALL HAVING count(*) >= 3) n JOIN g p ON p.major = n.major AND p.p_brand = n.a JOIN g q ON q.major = n.major AND q.p_brand = n.b),
+w AS (SELECT DISTINCT a, b, tm, tn FROM s, (VALUES (14, 2), (15, 1), (17, 1)) t(tm, tn)),
+near AS (SELECT a, b, tm, tn, least(0.25, sum(boost * exp(-0.15 * ({_DISTANCE}))) / count(*)) AS now FROM w JOIN x USING (a, b) WHERE tm = hm AND hn <= tn AND tn - hn <= 4 GROUP BY ALL),
+old AS (SELECT a, b, tm, tn, arg_max(boost, major) * pow(0.5, greatest(0, tm - max(major) - 1)) AS old FROM w JOIN s USING (a, b) WHERE major < tm GROUP BY a, b, tm, tn)
+SELECT a, b, tm::VARCHAR || '.' || tn::VARCHAR AS target, round_even(coalesce(now, old, 0), 8) AS boost FROM w LEFT JOIN near USING (a, b, tm, tn) LEFT JOIN old USING (a, b, tm, tn)""")
 def boost_lookup(spark, sf_dir):
-    boosts = ver.pair_boosts(_brands(spark, sf_dir), ["year"], "l_orderkey", "p_brand")
     age = F.col("year") - 1995
-    boosts = boosts.select("a", "b", F.concat((13 + F.floor(age / 3)).cast("string"), F.lit("."), (1 + age % 3).cast("string")).alias("version"), "boost")
-    targets = spark.createDataFrame([("14.2",), ("15.1",)], "target string")
-    wanted = boosts.select("a", "b").distinct().join(F.broadcast(targets))
-    return ver.boost_lookup(wanted, boosts).withColumn("boost", rounded("boost", 8))
+    brands = _brands(spark, sf_dir).withColumns({"major": (13 + F.floor(age / 3)).cast("int"), "minor": (1 + age % 3).cast("int")})
+    boosts = ver.pair_boosts(brands, ["major", "minor"], "l_orderkey", "p_brand").select("a", "b", F.concat_ws(".", "major", "minor").alias("version"), "boost")
+    seasons = ver.season_boosts(brands, "major", "l_orderkey", "p_brand")
+    wanted = seasons.select("a", "b").distinct().withColumn("target", F.explode(F.array(*map(F.lit, ("14.2", "15.1", "17.1")))))
+    return ver.boost_lookup(wanted, boosts, seasons).withColumn("boost", rounded("boost", 8))
 
 
 @plans.query("duo_pairs", f"""
