@@ -4,8 +4,8 @@ Texts are equal when they are identical after lower-casing A-Z.  A Misra-Gries
 summary of the digests names the few groups that may hold more than one row in
 ``heavy`` of all rows.  Their exact sizes and winners are counted with map-side
 sums and broadcast (at most about 4/3 * heavy rows), so rows of hot groups never
-meet in one task; all other digests take an ordinary shuffle, where a group is
-below that bound.
+meet in one task; all other digests take an ordinary shuffle: groups are summed by
+digest, and those of several rows join back to their rows.
 
 Null texts count as empty; a null id loses against any other.  Of repeated rows
 with the same largest id one stays.  An empty table gives an empty result.
@@ -18,7 +18,7 @@ import hashlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.shared import written
@@ -74,8 +74,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     winners = written(heavy_rows.groupBy("digest").agg(winner, F.count("*").alias("group_size")).where(F.col("group_size") >= least), "winners")
     split = rows.join(F.broadcast(winners), "digest", "left")
     hot = split.where(F.col("winner").isNotNull())
-    group = Window.partitionBy("digest")
-    light = split.where(F.col("winner").isNull()).select("id", "row", "digest", F.max(F.struct("id", "row")).over(group).alias("winner"), F.count("*").over(group).alias("group_size"))
+    # sums before the shuffle, and a join that adaptive execution may split, so that a group's size costs no task
+    rest = split.where(F.col("winner").isNull()).select("id", "row", "digest")
+    groups = written(rest.groupBy("digest").agg(winner, F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    met = rest.join(groups, "digest", "left")
+    light = met.select("id", "row", "digest", F.coalesce("winner", F.struct("id", "row")).alias("winner"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     columns = ["id", "row", "digest", F.col("winner.id").alias("keep_id"), "group_size", (F.col("row") == F.col("winner.row")).alias("kept")]
     return hot.select(*columns).unionByName(light.select(*columns))
 

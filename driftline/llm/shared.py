@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir.  Where it is unset, a temporary one in local mode, as in tests; on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")

@@ -6,8 +6,9 @@ host to registered domain to public suffix to all pages: at each level the prior
 Beta(strength * m, strength * (1 - m)), where m is the parent's posterior mean and
 strength comes from the level's intraclass correlation by the ANOVA estimate of the
 beta-binomial.  A host is blocked when the lower bound of its posterior bad rate,
-mean - Z * standard deviation, is above ``BLOCK_ABOVE``; hosts without labelled
-pages are judged by their domain's mean.
+mean - Z * standard deviation, is above ``BLOCK_ABOVE``.  The posterior of a host
+without labelled pages is its prior, so it needs a domain that is bad beyond doubt.
+A port takes no part in domain and suffix.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule, and is
 judged as the empty host.  Repeated rows count as pages of their own.  Labels of one
@@ -49,12 +50,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_port(host: Column) -> Column:
+    return F.regexp_replace(host, r":[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
+    host = without_port(host)
     two = F.substring_index(host, ".", -2)
     return F.when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
+    host = without_port(host)
     return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
@@ -98,7 +105,7 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     size = of_host + F.col("n")
     mean = a / size
     deviation = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - mean) / (size + 1)))
-    bound = F.when(F.col("n") > 0, mean - Z * deviation).otherwise(F.col("domain_mean"))
+    bound = mean - Z * deviation
     return hosts.join(domains, "domain").select("host", "n", "bad", mean.alias("mean"), bound.alias("bound"))
 
 
@@ -126,6 +133,9 @@ def _rule_case(column: int) -> str:
     return f"CASE {cases} END"
 
 
+_BARE = "regexp_replace(host, ':[0-9]*$', '')"
+
+
 def _two(host: str) -> str:
     return f"array_to_string(list_slice(string_split({host}, '.'), -2, -1), '.') IN ({', '.join(repr(x) for x in TWO_LABELS)})"
 
@@ -147,13 +157,13 @@ WITH parts AS (
  FROM (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)),
 outcomes AS (SELECT host, bad FROM (SELECT host, try_cast(nullif(regexp_extract(path, '/([0-9]+)([.]html|/)?$', 1), '') AS BIGINT) AS doc_id FROM parts)
  LEFT JOIN (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id) USING (doc_id)),
-hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, CASE WHEN {_two('host')} THEN {_last('host', 3)} ELSE {_last('host', 2)} END AS domain, CASE WHEN {_two('host')} THEN {_last('host', 2)} ELSE {_last('host', 1)} END AS suffix FROM outcomes GROUP BY host),
+hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, CASE WHEN {_two(_BARE)} THEN {_last(_BARE, 3)} ELSE {_last(_BARE, 2)} END AS domain, CASE WHEN {_two(_BARE)} THEN {_last(_BARE, 2)} ELSE {_last(_BARE, 1)} END AS suffix FROM outcomes GROUP BY host),
 domains AS (SELECT suffix, domain, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY ALL),
 {_moments('s_suffix', 'suffixes')}, {_moments('s_domain', 'domains')}, {_moments('s_host', 'hosts')},
 suffix_means AS (SELECT suffix, (strength * coalesce(rate, 0) + bad) / (strength + n) AS suffix_mean FROM suffixes, s_suffix),
 domain_means AS (SELECT domain, (strength * suffix_mean + bad) / (strength + n) AS domain_mean FROM domains JOIN suffix_means USING (suffix), s_domain),
-known AS (SELECT host, CASE WHEN n > 0 THEN mean - {Z} * sqrt(greatest(0, mean * (1 - mean) / (size + 1))) ELSE domain_mean END AS bound FROM
+known AS (SELECT host, mean - {Z} * sqrt(greatest(0, mean * (1 - mean) / (size + 1))) AS bound FROM
  (SELECT host, n, domain_mean, strength + n AS size, (strength * domain_mean + bad) / (strength + n) AS mean FROM hosts JOIN domain_means USING (domain), s_host))
 SELECT page_id, host, path, {_rule_case(0)} AS rule, coalesce({_rule_case(1)}, CASE WHEN bound > {BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN known USING (host)

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from driftline.llm.shared import new_path, small_or_shuffled, written
 
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 1 << 20
+#: Bytes of archives that one reading task takes, about.
+TASK_BYTES = 16 << 20
 #: Bytes between two records that are rather read than skipped.
 GAP_BYTES = 64 << 10
 LEVEL = 4
@@ -152,8 +154,11 @@ def read_records(index: DataFrame, folder: str, keep_payload: bool = False) -> D
                         low += n
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
+    # tasks by the bytes of the archives, of which the index tells nothing to adaptive execution
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
     block = F.floor(F.col("offset") / RANGE_BYTES)
-    dealt = index.select("file", "offset", "length").repartition("file", block).sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", block).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, schema)
 
 

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from driftline.llm import line_rules, packing
 from driftline.llm.shared import table
 
@@ -130,3 +132,63 @@ def test_bin_size_opens_by_cost():
     # overhead favours long sequences, attention short ones
     assert packing.best_fit([100] * 40, overhead=4096, attention=0)[2][0] == 4096
     assert set(packing.best_fit([100] * 40, overhead=0, attention=1)[2]) == {256}
+
+
+def test_content_is_that_of_taking_one_piece_at_a_time():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        ascending = sorted(rng.randrange(1, 60) for _ in range(rng.randrange(0, 25)))
+        before = [sum(ascending[:i]) for i in range(len(ascending) + 1)]
+        size, room, rest = rng.randrange(1, 60), 0, list(ascending)
+        capacity = size + rng.randrange(0, 200)
+        room = capacity - size
+        while fits := [x for x in rest if x <= room]:
+            rest.remove(max(fits))
+            room -= max(fits)
+        assert packing.content(size, capacity, ascending, before, len(ascending)) == capacity - room
+
+
+def least_cost(sizes, capacities, cost):
+    """The least cost of all ways to share some pieces among bins."""
+    best = [float("inf")]
+
+    def place(k, bins):
+        if k == len(sizes):
+            best[0] = min(best[0], sum(cost[min(c for c in capacities if c >= b)] for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + sizes[k] <= max(capacities):
+                place(k + 1, [*bins[:i], bins[i] + sizes[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_cost_is_near_the_least():
+    import random
+
+    rng = random.Random(4)
+    capacities = (256, 512, 1024, 2048, 4096)
+    cost = {c: packing.OVERHEAD + c + packing.ATTENTION * c * c for c in capacities}
+    total, least = 0.0, 0.0
+    for _ in range(60):
+        sizes = [rng.choice([rng.randrange(1, 300), rng.randrange(300, 1500), rng.randrange(1000, 4096)]) for _ in range(6)]
+        got = sum(cost[c] for c in packing.best_fit(sizes)[2])
+        want = least_cost(sizes, capacities, cost)
+        assert want - 1e-6 <= got <= 1.35 * want
+        total, least = total + got, least + want
+    assert total <= 1.08 * least
+
+
+def test_pieces_over_half_a_length_open_longer_bins():
+    bins, _, capacity, used = packing.best_fit([513] * 2000)
+    assert sum(used) / sum(capacity) > 0.7
+
+
+def test_lengths_of_a_column(documents):
+    docs = documents([(1, "a b"), (2, None), (3, "c")]).withColumn("tokens", F.when(F.col("doc_id") == 1, 5000).when(F.col("doc_id") == 2, -3))
+    got = {(r["doc_id"], r["piece"]): r["length"] for r in packing.pack(docs, length_col="tokens").collect()}
+    assert got == {(1, 0): 4096, (1, 1): 904, (2, 0): 0, (3, 0): 0}
