@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,6 @@ class Sample:
     index: np.ndarray
     start: np.ndarray
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    texts: list = field(default_factory=list)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return row_sums(self.start, w[self.index])
@@ -47,7 +47,7 @@ def row_sums(start: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, id_col: str, text_col: str, most: int) -> DataFrame:
-    """(text, y, share) of the sampled rows; share is the part of its class that the sample holds."""
+    """(doc_id, text, y, share) of the sampled rows; share is the part of its class that the sample holds."""
     known = labels.where(F.col(label).isNotNull() & usable).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("y"))
     known = written(known, "known-labels")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -59,11 +59,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, id_col: str
     if picks is None:
         picks = known.withColumn("share", F.lit(1.0))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(picks), "doc_id").select("text", "y", "share"), "labelled")
+    return written(texts.join(F.broadcast(picks), "doc_id").select("doc_id", "text", "y", "share"), "labelled")
 
 
-def gather(sample: DataFrame, features, least_texts: int = LEAST_TEXTS, most_features: int = MOST_FEATURES, least_tells: float = 0.0, keep_texts: bool = False) -> Sample:
-    """Counts features by class, selects those that tell most (by log ratio in standard errors), and brings the sample's rows in them to the driver."""
+def gather(sample: DataFrame, features, least_texts: int = LEAST_TEXTS, most_features: int = MOST_FEATURES, least_tells: float = 0.0, always: np.ndarray | None = None) -> Sample:
+    """Counts features by class, selects those that tell most (by log ratio in standard errors), and brings the sample's rows in them to the driver.
+
+    The few keys of ``always`` are features whatever they tell.  Rows come in the order of
+    their ids' hashes, whatever the files.
+    """
 
     def count(batches):
         for batch in batches:
@@ -83,6 +87,10 @@ def gather(sample: DataFrame, features, least_texts: int = LEAST_TEXTS, most_fea
     # a log ratio in units of its standard error
     tells = F.abs(ratio) / F.sqrt(1 / p + 1 / q)
     best = counted.where((F.col("positive") + F.col("negative") >= least_texts) & (tells >= least_tells)).orderBy(tells.desc(), "key").limit(most_features).toPandas()
+    if always is not None and len(always):
+        wanted = sample.sparkSession.createDataFrame([(int(k),) for k in np.unique(always).view(np.int64)], "key long")
+        forced = F.broadcast(wanted).join(counted, "key", "left").select("key", F.coalesce("positive", F.lit(0)).alias("positive"), F.coalesce("negative", F.lit(0)).alias("negative"))
+        best = pd.concat([best, forced.toPandas()]).drop_duplicates("key", ignore_index=True)
     keys = best["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys = keys[order]
@@ -94,14 +102,18 @@ def gather(sample: DataFrame, features, least_texts: int = LEAST_TEXTS, most_fea
             for first, last, data, offsets in tk.chunks(batch.column(0)):
                 row, at = lookup(known.value, *features(data, offsets))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tk.per_row(row, last - first))).astype(np.int32)), pa.array(at.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, last - first) for k in (1, 2)] + [lists, batch.column(0).slice(first, last - first)], ["y", "share", "at", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, last - first) for k in (1, 2, 3)] + [lists], ["doc_id", "y", "share", "at"])
 
-    held = sample.select("text", "y", "share").mapInArrow(rows, "y int, share double, at array<int>, text string")
-    held = (held if keep_texts else held.drop("text")).collect()
+    held = sample.select("text", "doc_id", "y", "share").mapInArrow(rows, "doc_id long, y int, share double, at array<int>").collect()
+    held.sort(key=lambda r: (hash_of(r["doc_id"]), r["doc_id"], r["at"]))
     start = np.append(0, np.cumsum([len(r["at"]) for r in held])).astype(np.int64)
     index = np.fromiter((i for r in held for i in r["at"]), dtype=np.int64, count=int(start[-1]))
     y, share = np.array([r["y"] for r in held], dtype=np.int64), np.array([r["share"] for r in held], dtype=float)
-    return Sample(keys, best["positive"].to_numpy(dtype=float)[order], best["negative"].to_numpy(dtype=float)[order], y, index, start, 1 / share, [r["text"] for r in held] if keep_texts else [])
+    return Sample(keys, best["positive"].to_numpy(dtype=float)[order], best["negative"].to_numpy(dtype=float)[order], y, index, start, 1 / share)
+
+
+def hash_of(number: int) -> int:
+    return int(tk.mix(np.array([number], dtype=np.int64).view(np.uint64))[0])
 
 
 def lookup(keys: np.ndarray, row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,3 +167,19 @@ def score_texts(docs: DataFrame, features, keys: np.ndarray, weights: np.ndarray
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(run, "id long, score double")
+
+
+def rows_under(docs: DataFrame, features, keys: np.ndarray, weights: np.ndarray, bias: float, text_col: str, threshold: float) -> DataFrame:
+    """The rows of docs, as they are, whose sigmoid(bias + sum of weights) is under the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast((keys, weights))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        keys, weights = model.value
+        for batch in batches:
+            for first, last, data, offsets in tk.chunks(batch.column(place)):
+                row, at = lookup(keys, *features(data, offsets))
+                score = sigmoid(tk.per_row(row, last - first, weights[at]) + bias)
+                yield batch.slice(first, last - first).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,9 +3,11 @@
 Features are words (runs of letters, lower-cased) and their beginnings.  The model is
 a logistic regression with a further penalty: identity terms in labelled sentences
 are swapped for others, and the squared change of the score is added to the loss, so
-that the model learns not to lean on group mentions.  Sentences without a term get
-one in place of their middle word, so that all terms take part even where a corpus
-never names them.
+that the model learns not to lean on group mentions.  All terms and their beginnings
+are features.  Sentences without a term get one in place of their middle word; of all
+sentences of the sample, at most ``most_pairs`` enter the penalty, those with a term
+first, then by a hash.  A term that no labelled text holds has no weight but by its
+beginnings; swaps for it then change little, and the penalty has little to do.
 
 Null and empty texts get the score of no features.  Without labels, or with labels
 of one class only, all texts get the same score (0.5 without labels).  Repeated rows
@@ -16,6 +18,8 @@ Other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ IDENTITY_TERMS = (
 BEGINNINGS = (3, 4, 5, 6, 8)
 SWAP_PENALTY = 10.0
 #: Sentences that counterfactuals are made of, at most.
-MOST_SENTENCES = 4000
+MOST_PAIRS = 4000
 RIDGE = 1e-4
 #: Standard errors that a feature's class log ratio must be from 0.
 LEAST_TELLS = 2.5
@@ -77,58 +81,89 @@ def _first(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row[at], key[at], at
 
 
-def counterfactuals(texts: list[str], groups=IDENTITY_TERMS, most: int = MOST_SENTENCES, seed: int = 7) -> list[tuple[str, str]]:
-    """Pairs of sentences that differ in one identity term."""
+def term_features(groups=IDENTITY_TERMS) -> np.ndarray:
+    """Keys of the terms and their beginnings."""
+    data, offsets = tk.buffers(pa.array([t for g in groups for t in g], pa.large_string()))
+    return word_features(data, offsets)[1]
+
+
+def counterfactuals(texts: list[str], groups=IDENTITY_TERMS) -> list[tuple[bool, int, str, str]]:
+    """For each sentence: whether it names a term, its hash, and two sentences that differ in one term, chosen by the hash."""
     group_of = {t: g for g in groups for t in g}
     named = re.compile(r"\b(" + "|".join(map(re.escape, sorted(group_of, key=len, reverse=True))) + r")\b", re.IGNORECASE)
-    rng = np.random.default_rng(seed)
-    swaps, plain = [], []
+    out = []
     for text in texts:
         for sentence in re.split(r"(?<=[.!?])\s+|\n", text):
+            raw = sentence.encode()
+            pick = zlib.crc32(raw) << 31 | zlib.crc32(raw, 7) >> 1
             if hit := named.search(sentence):
-                if len(swaps) < most:
-                    group = group_of[hit[0].lower()]
-                    other = group[int(rng.integers(len(group)))]
-                    swaps.append((sentence, named.sub(lambda m: m[0] if m[0].lower() not in group else other, sentence)))
-            elif len(plain) < most:
-                plain.append(sentence)
-    for sentence in plain[: max(0, most - len(swaps))]:
-        words = sentence.split()
-        group = groups[int(rng.integers(len(groups)))]
-        a, b = (group[int(i)] for i in rng.permutation(len(group))[:2])
-        middle = len(words) // 2
-        swaps.append(tuple(" ".join([*words[:middle], term, *words[middle + 1 :]]) for term in (a, b)))
-    return swaps
-
-
-def _matrix(keys: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of some texts."""
-    rows, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                group, own = group_of[hit[0].lower()], hit[0].lower()
+                others = [t for t in group if t != own]
+                other = others[pick % len(others)]
+                out.append((True, pick, sentence, named.sub(lambda m: m[0] if m[0].lower() not in group else other, sentence)))
+            elif words := sentence.split():
+                group = groups[pick % len(groups)]
+                at = pick // 8 % len(group)
+                middle = len(words) // 2
+                pair = (group[at], group[(at + 1 + pick // 1024 % (len(group) - 1)) % len(group)])
+                out.append((False, pick, *(" ".join([*words[:middle], term, *words[middle + 1 :]]) for term in pair)))
+    return out
+
+
+def _matrix(keys: np.ndarray, texts: list[str]) -> np.ndarray:
+    """row << 32 | feature of some texts."""
+    found = [np.zeros(0, dtype=np.int64)]
     for first, _, data, offsets in tk.chunks(pa.array(texts, pa.large_string())):
         r, a = linear.lookup(keys, *word_features(data, offsets))
-        rows.append(r + first)
-        at.append(a)
-    return np.concatenate(rows), np.concatenate(at)
+        found.append((r + first) << 32 | a)
+    return np.concatenate(found)
+
+
+@dataclass
+class Pairs:
+    """Features that only one sentence of a pair has: the pair, the feature, and 1 or -1 for its side."""
+
+    row: np.ndarray
+    at: np.ndarray
+    sign: np.ndarray
+    count: int
 
 
-def fit(sample: linear.Sample, pairs: list[tuple[str, str]], swap_penalty: float = SWAP_PENALTY, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def pairs_of(sample: DataFrame, keys: np.ndarray, groups=IDENTITY_TERMS, most: int = MOST_PAIRS) -> Pairs:
+    """The pairs of the sample's sentences, made in tasks; only their differences in features come to the driver."""
+    known = sample.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches):
+        for batch in batches:
+            made = sorted(set(counterfactuals(batch.column(0).to_pylist(), groups)), key=lambda x: (not x[0], *x[1:]))[:most]
+            a, b = (_matrix(known.value, [x[k] for x in made]) for k in (2, 3))
+            columns = [pa.array([x[k] for x in made], t) for k, t in ((0, pa.bool_()), (1, pa.int64()))]
+            for only in (np.setdiff1d(a, b), np.setdiff1d(b, a)):
+                ends = np.append(0, np.cumsum(tk.per_row(only >> 32, len(made))))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((only & 0xFFFFFFFF).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["named", "pick", "first", "second"])
+
+    found = sample.select("text").mapInArrow(run, "named boolean, pick long, first array<int>, second array<int>").distinct()
+    rows = found.orderBy(F.col("named").desc(), "pick", "first", "second").limit(most).collect()
+    sides = [(i, at, sign) for i, r in enumerate(rows) for sign, name in ((1.0, "first"), (-1.0, "second")) for at in r[name]]
+    row, at, sign = zip(*sides, strict=True) if sides else ((), (), ())
+    return Pairs(np.array(row, dtype=np.int64), np.array(at, dtype=np.int64), np.array(sign, dtype=float), len(rows))
+
+
+def fit(sample: linear.Sample, pairs: Pairs, swap_penalty: float = SWAP_PENALTY, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias of the penalised logistic regression, by full-batch Adam."""
     n, m = len(sample.keys), len(sample.y)
     if not m or sample.y.min() == sample.y.max():
         return np.zeros(n), linear.platt(np.zeros(m), sample.y, sample.weight)[1]
-    sides = [_matrix(sample.keys, [p[k] for p in pairs]) for k in (0, 1)]
-    pair_row = np.concatenate([sides[0][0], sides[1][0]])
-    pair_at = np.concatenate([sides[0][1], sides[1][1]])
-    pair_sign = np.concatenate([np.ones(len(sides[0][0])), -np.ones(len(sides[1][0]))])
     row = np.repeat(np.arange(m), np.diff(sample.start))
     weight = sample.weight / sample.weight.sum()
     w, b = np.zeros(n), 0.0
     mean, square, mean_b, square_b = np.zeros(n), np.zeros(n), 0.0, 0.0
     for step in range(1, steps + 1):
         error = weight * (linear.sigmoid(sample.dot(w) + b) - sample.y)
-        change = np.bincount(pair_row, weights=pair_sign * w[pair_at], minlength=max(1, len(pairs)))
+        change = np.bincount(pairs.row, weights=pairs.sign * w[pairs.at], minlength=max(1, pairs.count))
         gradient = np.bincount(sample.index, weights=error[row], minlength=n) + ridge * w
-        gradient += swap_penalty * np.bincount(pair_at, weights=pair_sign * change[pair_row], minlength=n) / max(1, len(pairs))
+        gradient += swap_penalty * np.bincount(pairs.at, weights=pairs.sign * change[pairs.row], minlength=n) / max(1, pairs.count)
         down = error.sum()
         rate = 0.1 * min(1.0, 2 * (1 - (step - 1) / steps))
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient * gradient
@@ -139,12 +174,24 @@ def fit(sample: linear.Sample, pairs: list[tuple[str, str]], swap_penalty: float
     return w, float(b)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, usable=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", groups=IDENTITY_TERMS, swap_penalty: float = SWAP_PENALTY, most_labelled: int = linear.MOST_LABELLED) -> DataFrame:
-    """(id, score) of each row; only label rows that fit ``usable`` are learned from."""
+def learned(docs: DataFrame, labels: DataFrame, usable=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", groups=IDENTITY_TERMS, swap_penalty: float = SWAP_PENALTY, most_labelled: int = linear.MOST_LABELLED, most_pairs: int = MOST_PAIRS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(keys, weights, bias), learned from label rows that fit ``usable``."""
     picked = linear.labelled(docs, labels, label, F.lit(True) if usable is None else usable, id_col, text_col, most_labelled)
-    sample = linear.gather(picked, word_features, least_tells=LEAST_TELLS, keep_texts=True)
-    weights, bias = fit(sample, counterfactuals(sample.texts, groups), swap_penalty)
-    return linear.score_texts(docs, word_features, sample.keys, weights, None, 1.0, bias, id_col, text_col)
+    sample = linear.gather(picked, word_features, least_tells=LEAST_TELLS, always=term_features(groups))
+    weights, bias = fit(sample, pairs_of(picked, sample.keys, groups, most_pairs), swap_penalty)
+    return sample.keys, weights, bias
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, score) of each row; options are those of ``learned``."""
+    keys, weights, bias = learned(docs, labels, usable, id_col=id_col, text_col=text_col, **options)
+    return linear.score_texts(docs, word_features, keys, weights, None, 1.0, bias, id_col, text_col)
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+    """The rows whose score is under the threshold, with all their columns; scored and kept in one pass, without a shuffle."""
+    keys, weights, bias = learned(docs, labels, usable, id_col=id_col, text_col=text_col, **options)
+    return linear.rows_under(docs, word_features, keys, weights, bias, text_col, threshold)
 
 
 def query(spark, sf_dir):

@@ -63,11 +63,39 @@ def test_swaps_lower_the_weight_of_identity_terms(spark, documents):
 
 def test_counterfactuals_swap_inside_a_group():
     pairs = toxicity.counterfactuals(["They like women. Men too!", "nothing to see here at all"])
-    assert pairs[0][0] == "They like women." and pairs[0][1] != ""
+    assert [p[0] for p in pairs] == [True, True, False] and pairs[0][2] == "They like women."
     groups = [set(g) for g in toxicity.IDENTITY_TERMS]
-    a, b = pairs[-1]
-    (x,), (y,) = set(a.split()) - set(b.split()), set(b.split()) - set(a.split())
-    assert any(x in g and y in g for g in groups)
+    for _, _, a, b in pairs:
+        (x,), (y,) = ({w.strip(".!").lower() for w in s.split()} - {w.strip(".!").lower() for w in t.split()} for s, t in ((a, b), (b, a)))
+        assert any(x in g and y in g for g in groups)
+    assert toxicity.counterfactuals(["", " \n "]) == []
+
+
+def test_pairs_do_not_depend_on_partitions(spark):
+    texts = [(f"Line {k} speaks of women. Then {k} more words without a term",) for k in range(300)]
+    sample = spark.createDataFrame(texts, "text string")
+    keys = np.unique(toxicity.term_features())
+    one, many = (toxicity.pairs_of(sample.repartition(n), keys, most=400) for n in (1, 7))
+    assert one.count == many.count == 400
+    assert one.row.tolist() == many.row.tolist() and one.at.tolist() == many.at.tolist() and one.sign.tolist() == many.sign.tolist()
+    few = toxicity.pairs_of(sample, keys, most=300)
+    assert few.count == 300 and set(few.row.tolist()) == set(range(300))
+
+
+@pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
+def test_classifiers_do_not_depend_on_partitions(spark, scores):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    one, many = ({r["id"]: r["score"] for r in scores(docs.repartition(n), labels).collect()} for n in (1, 9))
+    assert one == pytest.approx(many, abs=1e-6)
+
+
+def test_kept_rows_are_those_of_the_scores(spark, documents, odd_rows):
+    docs = documents(odd_rows + [(50 + k, "you moron and idiot" if k % 2 else "a calm river") for k in range(60)])
+    labels = spark.createDataFrame([(50 + k, 1, k % 2) for k in range(60)], NO_LABELS)
+    scores = sorted((str(r["id"]), r["score"]) for r in toxicity.toxicity_scores(docs, labels).collect())
+    kept = toxicity.clean_documents(docs, labels)
+    assert kept.schema == docs.schema
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == [i for i, s in scores if s < 0.5]
 
 
 def test_dual_coordinate_descent_meets_its_conditions():
