@@ -27,8 +27,8 @@ from driftline.llm.shared import written
 HEAVY = 1024
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, digest) of each row; row numbers are unique."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, row, digest) of each row; row numbers are unique, those of ``row_col`` if given."""
 
     def run(batches):
         for batch in batches:
@@ -36,7 +36,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             found = [hashlib.sha256((x or b"").lower()).digest() for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["id", "row", "digest"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("binary").alias("text"))
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("binary").alias("text"))
     return kept.mapInArrow(run, "id long, row long, digest binary")
 
 
@@ -62,9 +63,9 @@ def summaries(keys: DataFrame, capacity: int) -> DataFrame:
     return keys.mapInArrow(run, "key binary, n long")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, row_col: str | None = None) -> DataFrame:
     """(id, row, digest, keep_id, group_size, kept) for each row."""
-    rows = written(digests(docs, id_col, text_col), "digests")
+    rows = written(digests(docs, id_col, text_col, row_col), "digests")
     total = rows.count()
     least = max(2.0, total / heavy)
     # a partition's counter falls short by its rows / (capacity + 1) at most, so a heavy digest keeps 3/4 of its count

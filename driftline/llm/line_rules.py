@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm import textkernel as tk
-from driftline.llm.shared import small_or_shuffled, written
+from driftline.llm.shared import BROADCAST_ROWS, numbered, small_or_shuffled, written
 
 MAX_DOCS = 20
 #: The count of a host of 1,000 texts as a share; larger hosts follow it.
@@ -111,14 +111,15 @@ def _measure(column: pa.Array):
 _SCHEMA = "id long, row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, whole long, line array<long>, words array<long>"
 
 
-def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str, row_col: str | None = None) -> DataFrame:
     def run(batches):
         for batch in batches:
             for first, last, counts, arrays in _measure(batch.column(3)):
                 ids = [batch.column(k).slice(first, last - first) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c.astype(np.int64)) for c in counts), *arrays], [x.split()[0] for x in _SCHEMA.split(", ")])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     return kept.mapInArrow(run, _SCHEMA)
 
 
@@ -132,9 +133,9 @@ def boilerplate(found: DataFrame, max_docs: int, max_share: float) -> DataFrame:
     return often.join(sizes, F.col("host").eqNullSafe(F.col("size_host"))).where(F.col("docs") > max_share * F.col("texts")).select("host", "line")
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """Per row: id, row, the base counts, base_failed, removed (hashes of its boilerplate lines), words_left, kept."""
-    found = written(measures(docs, id_col, text_col, host_col), "line-measures")
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, row_col: str | None = None) -> DataFrame:
+    """Per row: id, row (that of ``row_col`` if given), the base counts, base_failed, removed (hashes of its boilerplate lines), words_left, kept."""
+    found = written(measures(docs, id_col, text_col, host_col, row_col), "line-measures")
     bad = written(boilerplate(found, max_docs, max_share), "boilerplate")
     each = found.select("row", "host", F.explode(F.arrays_zip("line", "words")).alias("x")).select("row", "host", "x.line", "x.words")
     bad = small_or_shuffled(bad.withColumnRenamed("host", "bad_host").withColumnRenamed("line", "bad_line"), bad.count(), BROADCAST_LINES)
@@ -147,11 +148,16 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def clean_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, without their boilerplate lines; columns as before (n_chars, if there, follows the text)."""
-    text_col = options.get("text_col", "text")
-    numbered = docs.withColumn("__driftline_row", F.monotonically_increasing_id())
-    verdicts = line_rules(docs, **options).where("kept").select(F.col("row").alias("__driftline_row"), F.col("removed").alias("__driftline_removed"))
-    joined = numbered.join(verdicts, "__driftline_row")
+    """The documents that the rules keep, without their boilerplate lines; columns as before (n_chars, if there, follows the text).
+
+    docs must be a table, which gives the same rows in the same order each time it is read.
+    """
+    text_col, row = options.get("text_col", "text"), "__driftline_row"
+    table = numbered(docs, row)
+    verdicts = written(line_rules(table, row_col=row, **options).where(~F.col("kept") | F.col("removed").isNotNull()).select(F.col("row").alias(row), F.col("kept").alias("__driftline_kept"), F.col("removed").alias("__driftline_removed")), "verdicts")
+    # rows that stay as they are have no verdict; the others are sent to all tasks if they and their lines are few
+    size = verdicts.agg(F.count("*") + F.coalesce(F.sum(F.greatest(F.lit(0), F.size("__driftline_removed"))), F.lit(0))).first()[0]
+    joined = table.join(small_or_shuffled(verdicts, size, BROADCAST_ROWS), row, "left").where(F.coalesce("__driftline_kept", F.lit(True)))
     names = joined.columns
 
     def run(batches):

@@ -43,3 +43,18 @@ def small_or_shuffled(df: DataFrame, rows: int, most: int) -> DataFrame:
 def remainder(column: str, modulus: int):
     """crc32 of an id's text, modulo a number; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+#: Row numbers (8 bytes each) up to this number are broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Rows with a unique number.  docs must give the same rows in the same order each time it is read, as a written table does."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose numbers are in the one-column table ``dropped``; texts move only if the numbers are too many to broadcast."""
+    dropped = written(dropped, "dropped")
+    return docs.join(small_or_shuffled(dropped, dropped.count(), BROADCAST_ROWS), name, "left_anti")
