@@ -1,10 +1,11 @@
 """Corpus pipeline: quality rules, toxicity, exact and near duplicates, packing.
 
-Each stage takes the documents that the stage before has kept and returns documents
-of the same columns, except the last, which returns where each piece of a document
-is packed.  Null, empty and repeated rows follow the operators' rules: texts under
-the base counts of the quality rules (so null and empty ones) are rejected by the
-first stage; of repeated rows one stays.
+Each stage takes the documents that the stage before has kept, as a table, and returns
+documents of the same columns, except the last, which returns where each piece of a
+document is packed.  Null, empty and repeated rows follow the operators' rules: texts
+under the base counts of the quality rules (so null and empty ones) are rejected by the
+first stage; of repeated rows one stays; rows with null or equal ids are judged each on
+its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import exact_dedup, line_rules, near_dedup, packing, toxicity
-from driftline.llm.shared import new_path, table
+from driftline.llm.shared import new_path, numbered, table, without_rows
+
+ROW = "__driftline_row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,25 +26,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half."""
-    numbered = docs.withColumn("__driftline_row", F.monotonically_increasing_id())
-    # the row number goes in as the id, so that rows with equal or null ids are judged on their own
-    labels = numbered.select("doc_id", F.col("__driftline_row")).join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
-    scores = toxicity.toxicity_scores(numbered, labels.select(F.col("__driftline_row").alias("doc_id"), "toxic"), id_col="__driftline_row")
-    kept = scores.where(F.col("score") < 0.5).select(F.col("id").alias("__driftline_row"))
-    return numbered.join(kept, "__driftline_row", "left_semi").select(*docs.columns)
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the largest id."""
-    numbered = docs.withColumn("__driftline_row", F.monotonically_increasing_id())
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("row").alias("__driftline_row"))
-    return numbered.join(kept, "__driftline_row", "left_semi").select(*docs.columns)
+    rows = numbered(docs, ROW)
+    dropped = exact_dedup.exact_duplicates(rows, row_col=ROW).where(~F.col("kept")).select(F.col("row").alias(ROW))
+    return without_rows(rows, dropped, ROW).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__driftline_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__driftline_id")), "left_semi").select(*docs.columns)
+    """One document of each component of near duplicates, the first of the table."""
+    rows = numbered(docs, ROW)
+    dropped = near_dedup.near_duplicates(rows, id_col=ROW).where(F.col("id") != F.col("component_id")).select(F.col("id").alias(ROW))
+    return without_rows(rows, dropped, ROW).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
