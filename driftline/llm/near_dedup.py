@@ -222,10 +222,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
 
 def _across(buckets: DataFrame, least: int, percent: int) -> DataFrame:
     """Likely pairs of different components inside each bucket of (band, cls, root, signature, profile, n, bands), block against block."""
-    sizes = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # only buckets of several blocks need their number, and they are few: a block has BLOCK classes
+    large = written(buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where(F.col("blocks") > 1), "large-buckets")
+    dealt = buckets.join(small_or_shuffled(large, large.count(), BROADCAST_TEXTS), "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     part = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     # block i meets block j <= i: each class goes to the meetings of its own block with all blocks
-    dealt = buckets.join(sizes, "band").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.greatest("part", "other").alias("i"), F.least("part", "other").alias("j"), "part", "cls", "root", "signature", "profile", "n", "bands")
 
     def run(table: pa.Table) -> pa.Table:

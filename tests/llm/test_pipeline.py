@@ -44,3 +44,40 @@ def test_eleven_queries_are_registered():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def components(texts, width, percent):
+    """Plain components of texts by their sets of word runs."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and min(len(a), len(sets[j])) * 100 >= percent * max(len(a), len(sets[j])) and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_stage_keeps_one_of_each_plain_component(spark):
+    docs = table(spark, SF, "documents")
+    rows = docs.select("doc_id", "text").collect()
+    want = components([r["text"] for r in rows], 5, 80)
+    place = {r["doc_id"]: i for i, r in enumerate(rows)}
+    kept = [want[place[r["doc_id"]]] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(kept) == len(set(kept)) == len(set(want))
+
+
+def test_rows_with_null_and_equal_ids_are_judged_each(spark, documents):
+    a, b = ("one two three four five six seven " * 3 + tail for tail in ("eight nine", "ten"))
+    docs = documents([(None, a), (None, a + " again and again"), (None, b * 9 + " other words all along"), (7, a), (7, "another text of quite a few words here"), (7, a)])
+    left = [r["text"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(left) == len(set(components(left, 5, 80))) and "another text of quite a few words here" in left
+    assert set(components([*left, a], 5, 80)) == set(components(left, 5, 80))
