@@ -49,7 +49,7 @@ BANDS = 32
 SLOTS = 512
 #: Classes of a bucket that one task compares with so many others at a time.
 BLOCK = 512
-#: Text hashes (8 bytes each) up to this number are broadcast to pick candidate texts; beyond it the pick shuffles.
+#: Text hashes and bucket keys (8 bytes each) up to this number are broadcast to pick texts and buckets; beyond it the pick shuffles.
 BROADCAST_TEXTS = 500_000
 
 
@@ -269,7 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rooted = buckets.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("band")
-    rest = rooted.join(mixed, "band", "left_semi").join(classes.select("cls", "signature", "profile", "n", "bands"), "cls")
+    mixed = written(mixed, "mixed")
+    rest = rooted.join(small_or_shuffled(mixed, mixed.count(), BROADCAST_TEXTS), "band", "left_semi").join(classes.select("cls", "signature", "profile", "n", "bands"), "cls")
     tried = written(tries, "tried")
     more = written(_across(rest, least, percent).distinct().join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
