@@ -58,3 +58,18 @@ def dashboard_split(year: str, round_name: str) -> Column:
 def natural_order(name: str) -> list[Column]:
     """Sort keys that put Week 2 before Week 10: the first number, then the text; names without one come last."""
     return [F.expr(f"try_cast(nullif(regexp_extract(`{name}`, '([0-9]+)', 1), '') AS INT)").asc_nulls_last(), F.col(name).asc()]
+
+
+def side_value(side: Column, blue: str | Column, red: str | Column) -> Column:
+    """The value of the row's own side."""
+    return F.when(side == "Blue", blue).when(side == "Red", red)
+
+
+def pick_set(*picks: str) -> Column:
+    """Distinct trimmed names of some columns, without empty ones."""
+    return F.array_distinct(F.filter(F.array(*(F.trim(F.coalesce(p, F.lit(""))) for p in picks)), lambda x: x != ""))
+
+
+def in_period(league: Column, year: Column, leagues: list[str], first: int, last: int) -> Column:
+    """Whether a row belongs to a league and a span of years, both ends included."""
+    return F.coalesce(league.isin(*leagues) & year.between(first, last), F.lit(False))

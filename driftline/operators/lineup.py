@@ -20,11 +20,13 @@ def pruned(items: DataFrame, keys: list[str], cost: str, value: str, item: str,
     return known.withColumn("_r", same_cost).where(F.col("_r") <= k).withColumn("_r", same_value).where(F.col("_r") <= k).drop("_r")
 
 
-def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, value: str, item: str, budget: float, variety: dict[int, float], k: int, opponent: str | None = None, penalty: float = 0.0, market: list[str] | None = None) -> DataFrame:
+def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, value: str, item: str, budget: float, variety: dict[int, float], k: int, opponent: str | None = None, penalty: float = 0.0, market: list[str] | None = None, slot_weights: dict | None = None) -> DataFrame:
     """The k best line-ups of each market by rank score, total, base and least cost; without market columns all items are one market.
 
     Slots join one after the other on the market; what is over the budget with the
-    market's cheapest rest is dropped at once.  The enumeration is exact.
+    market's cheapest rest is dropped at once.  The enumeration is exact.  Two slots whose
+    groups meet (``opponent`` lists an item's opponents) cost the penalty times the lesser
+    weight of both slots (1 unless given).
     """
     keys = market or ["_market"]
     items = items if market else items.withColumn("_market", F.lit(0))
@@ -45,7 +47,8 @@ def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, va
     conflict = F.lit(0.0)
     if opponent:
         for a, b in combinations(range(len(slots)), 2):
-            conflict = conflict + F.when(F.array_contains(f"opponents{a}", F.col(f"group{b}")) | F.array_contains(f"opponents{b}", F.col(f"group{a}")), penalty).otherwise(0.0)
+            risk = round(penalty * min((slot_weights or {}).get(slots[a], 1.0), (slot_weights or {}).get(slots[b], 1.0)), 2)
+            conflict = conflict + F.when(F.array_contains(f"opponents{a}", F.col(f"group{b}")) | F.array_contains(f"opponents{b}", F.col(f"group{a}")), risk).otherwise(0.0)
     lineup = lineup.withColumns({"groups": groups, "total": F.bround(F.col("base") * (1 + bonus), 2), "cost": F.bround("cost", 2), "base": F.bround("base", 2)})
     lineup = lineup.withColumn("rank_score", F.bround(F.col("total") - conflict, 2)).drop(*(f"_least{n}" for n in range(len(slots))))
     order = [F.col(c).desc() for c in ("rank_score", "total", "base")] + ["cost", *(f"item{n}" for n in range(len(slots)))]

@@ -128,3 +128,82 @@ def load_config(path: str) -> dict:
     """A small JSON file on the driver, whose values become literals of plans."""
     with open(path, encoding="utf-8") as file:
         return json.load(file)
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines): how many lines of each CSV file do not fit its columns; ``read_matches`` drops these."""
+    names = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
+    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    # a line counts by all its columns, since a query of the corrupt column alone would not parse the others
+    line = F.when(F.col("_corrupt").isNotNull() & (F.concat_ws("", *names) >= ""), 1)
+    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(line).alias("lines")).where("lines > 0")
+
+
+# What a draft needs of a team's row, and the player roles.
+TEAM_COLUMNS = ("gameid", "league", "year", "date", "patch", "side", "teamname", "game", "ban1", "ban2", "ban3", "ban4", "ban5", "pick1", "pick2", "pick3", "pick4", "pick5")
+PLAYER_ROLES = ("top", "jng", "mid", "bot", "sup")
+
+
+def team_drafts(rows: DataFrame, leagues: list[str]) -> DataFrame:
+    """The teams' rows of some leagues with a draft's columns only; bans and picks as arrays of five trimmed texts."""
+    require_columns(rows, [*TEAM_COLUMNS, "position"])
+    optional = [c for c in ("split", "playoffs", "firstPick", "result") if c in rows.columns]
+    df = rows.where((F.lower("position") == "team") & F.col("league").isin(*leagues)).select(*TEAM_COLUMNS, *optional)
+    items = {f"{kind}s": F.array(*(F.trim(F.coalesce(F.col(f"{kind}{k}"), F.lit(""))) for k in range(1, 6))) for kind in ("ban", "pick")}
+    return df.withColumns(items).drop(*(f"{kind}{k}" for kind in ("ban", "pick") for k in range(1, 6)))
+
+
+def player_rows(rows: DataFrame, leagues: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Rows of players of known roles with a champion, of some leagues."""
+    require_columns(rows, ["gameid", "league", "position", "playername", "champion"])
+    df = rows.where(F.lower("position").isin(*PLAYER_ROLES) & F.col("league").isin(*leagues) & (F.trim(F.coalesce("champion", F.lit(""))) != ""))
+    return df.select(*columns) if columns else df
+
+
+def read_market(spark: SparkSession, path: str) -> DataFrame:
+    """Market documents, one JSON object a file."""
+    return spark.read.schema(MARKET).option("multiLine", True).json(path)
+
+
+def read_model_rows(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Draft actions with the role and player of each pick (table ``players``), only some columns if given; the scan reads no others."""
+    actions = spark.read.parquet(f"{path}/draft_actions")
+    players = spark.read.parquet(f"{path}/players").select("gameid", "team", "champion", "role", "player")
+    df = actions.join(players, ["gameid", "team", "champion"], "left")
+    return df.select(*columns) if columns else df
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot whose folder's name is last, of a path with a folder for each."""
+    df = spark.read.option("recursiveFileLookup", True).parquet(path).withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    return df.join(F.broadcast(df.agg(F.max("_folder").alias("_folder"))), "_folder").drop("_folder")
+
+
+def cached_table(spark: SparkSession, path: str, key: dict, build) -> DataFrame:
+    """A table kept under a name made of its key's values; built and written only if it is not there."""
+    import hashlib
+
+    name = hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{path}/{name}")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+    build().write.mode("overwrite").parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Adds rows to a table: trials as they end, or new findings."""
+    df.write.mode("append").parquet(path)
+
+
+def load_learnings(spark: SparkSession, path: str) -> DataFrame:
+    """(category, severity, at, snippets) after all findings (category, severity, snippet, at) of a table; empty without one."""
+    from driftline.operators.vectors import learn
+
+    kept = read_or_empty(spark, path, "category string, severity double, snippet string, at timestamp")
+    return learn(kept, kept.limit(0))

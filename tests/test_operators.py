@@ -28,9 +28,16 @@ def test_later_rows_never_count(spark):
 
 
 def test_projection_falls_back_to_role(spark):
-    df = spark.createDataFrame([("a", "top", "x", 0, 10.0), ("b", "top", "y", 5, 0.0)], "e string, r string, o string, t long, v double")
-    got = asof.projection(df, "e", "r", "o", F.lit(False), "t", "v", 180, 730, 0).orderBy("t").collect()
+    df = spark.createDataFrame([(1, "a", "top", "x", 0, 10.0, True), (2, "b", "top", "y", 5, 0.0, False), (3, "c", "top", "y", 9, 4.0, False), (4, "d", "mid", "z", 12, 1.0, True)], "n int, e string, r string, o string, t long, v double, h boolean")
+    got = asof.projection(df, "n", "e", "r", "o", F.lit(False), "t", "v", 180, 730, 0).orderBy("t").collect()
     assert got[0]["projection"] == 0 and got[1]["projection"] == pytest.approx(10)
+    # spread of one row is nothing, which counts as 3
+    assert got[1]["ceiling"] == pytest.approx(10 + 1.28 * 3) and got[0]["ceiling"] is None
+    # a role without rows takes the plain mean of all
+    assert got[3]["projection"] == pytest.approx(14 / 3)
+    # domestic rows alone make the role, if there are any
+    got = asof.projection(df, "n", "e", "r", "o", F.lit(False), "t", "v", 180, 730, 0, F.col("h")).orderBy("t").collect()
+    assert got[2]["projection"] == pytest.approx(10) and got[3]["projection"] == pytest.approx(14 / 3)
 
 
 def test_scores(spark):
@@ -149,7 +156,7 @@ def test_logistic_matches_numpy(spark):
 def test_registered_fits_take_all_steps(spark):
     sf = "/root/testdata/sf0.001"
     orders = spark.read.parquet(f"{sf}/orders.parquet")
-    rows = orders.select((F.col("o_orderstatus") == "F").cast("double"), F.bround(F.col("o_totalprice") / 250000 - 1, 1).cast("double"), (F.year("o_orderdate") - 1998).cast("double")).toPandas().to_numpy()
+    rows = orders.select((F.col("o_orderstatus") == "F").cast("double"), (F.col("o_totalprice") / 250000 - 1).cast("double"), (F.year("o_orderdate") - 1998).cast("double")).toPandas().to_numpy()
     y, x = rows[:, 0], np.column_stack([rows[:, 1:], np.ones(len(rows))])
     w = np.zeros(3)
     for _ in range(200):
