@@ -58,26 +58,30 @@ def expected(a: float, b: float) -> float:
 def elo(matches: DataFrame, pool: str, order: list[str], k: float = 32.0, base: float = 1500.0) -> DataFrame:
     """Ratings before each match (side_a, side_b, a_win) of each pool.
 
-    Ratings depend on all matches before, so a pool runs in order in one task; pools
-    run in parallel, and only the six columns of a match go in.
+    Ratings depend on all matches before, so a pool runs in order in one task; pools run
+    in parallel.  Matches stream through in sorted batches of six columns, and a task keeps
+    one rating for each side of the pool it is in.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        ratings: dict = {}
-        out = []
-        for a, b, win in zip(pdf["side_a"], pdf["side_b"], pdf["a_win"], strict=True):
-            ra, rb = ratings.get(a, base), ratings.get(b, base)
-            p = expected(ra, rb)
-            out.append((ra, rb, p))
-            ratings[a], ratings[b] = ra + k * (win - p), rb - k * (win - p)
-        pdf[["rating_a", "rating_b", "p_a"]] = pd.DataFrame(out, columns=["rating_a", "rating_b", "p_a"])
-        return pdf
+    def run(batches):
+        name, ratings = None, {}
+        for pdf in batches:
+            out = []
+            for p, a, b, win in zip(pdf[pool], pdf["side_a"], pdf["side_b"], pdf["a_win"], strict=True):
+                if p != name:
+                    name, ratings = p, {}
+                ra, rb = ratings.get(a, base), ratings.get(b, base)
+                chance = expected(ra, rb)
+                out.append((ra, rb, chance))
+                ratings[a], ratings[b] = ra + k * (win - chance), rb - k * (win - chance)
+            pdf[["rating_a", "rating_b", "p_a"]] = pd.DataFrame(out, columns=["rating_a", "rating_b", "p_a"], dtype=float).to_numpy()
+            yield pdf
 
     columns = list(dict.fromkeys([pool, *order, "side_a", "side_b", "a_win"]))
     kinds = dict(matches.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["rating_a double", "rating_b double", "p_a double"])
-    return matches.select(*columns).groupBy(pool).applyInPandas(run, schema)
+    ordered = matches.select(*columns).repartition(pool).sortWithinPartitions(pool, *order)
+    return ordered.mapInPandas(run, schema)
 
 
 def counters(df: DataFrame, order: list[str], groups: dict[str, list[str]], hot: dict[str, list[str]] | None = None, bucket: Column | None = None) -> DataFrame:

@@ -107,10 +107,10 @@ def average_ranks(df: DataFrame, keys: list[str], column: str, name: str) -> Dat
 
 
 def grid_search(candidates: DataFrame, trials: DataFrame, target: str, features: list[str], hit: str, bonus: str, tie: str) -> DataFrame:
-    """Hit rate and mean bonus of each trial's best candidate of every target; trials are few and go to all tasks."""
+    """Hit rate and mean bonus of each trial's best candidate of every target; Catalyst broadcasts the trials if they are small."""
     score = F.lit(0.0)
     for c in features:
         score = score + F.col(c) * F.col(f"w_{c}")
-    scored = candidates.join(F.broadcast(trials)).withColumn("_score", score)
+    scored = candidates.join(trials).withColumn("_score", score)
     best = scored.groupBy("trial", target).agg(F.max_by(F.struct(hit, bonus), F.struct("_score", tie)).alias("x"))
     return best.groupBy("trial").agg(F.count("*").alias("targets"), F.avg(F.col(f"x.{hit}").cast("double")).alias("hit_rate"), F.avg(f"x.{bonus}").alias("mean_bonus"))

@@ -31,9 +31,11 @@ def novelty(df: DataFrame, history: DataFrame, role: str, entity: str, item: str
     return out.withColumn("multiplier", F.when(F.col("_role").isNull(), 1.7).when(F.col("_own").isNull(), 1.5).otherwise(1.3)).drop("_role", "_own")
 
 
-def legal_candidates(df: DataFrame, universe: list, used: str) -> DataFrame:
-    """Each row with each item of the universe that it has not used."""
-    return df.withColumn("candidate", F.explode(F.array_except(F.array(*map(F.lit, universe)), F.coalesce(F.col(used), F.array().cast("array<string>")))))
+def legal_candidates(df: DataFrame, universe: DataFrame, used: str) -> DataFrame:
+    """Each row with each item of the universe (one column, distinct) that it has not used."""
+    item = universe.columns[0]
+    met = df.crossJoin(universe.withColumnRenamed(item, "candidate"))
+    return met.where(~F.coalesce(F.array_contains(used, F.col("candidate")), F.lit(False)))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -49,8 +49,7 @@ WITH h AS (SELECT DISTINCT user_id % 5 AS role, user_id, event_type FROM events
 SELECT user_id, event_type, CASE WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.role = c.role AND h.event_type = c.event_type) THEN 1.7::DOUBLE WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = c.user_id AND h.event_type = c.event_type) THEN 1.5 ELSE 1.3 END AS multiplier FROM c""")
 def novelty_multiplier(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("role", F.col("user_id") % 5)
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
-    wanted = events.select("user_id", "role").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, kinds))))
+    wanted = events.select("user_id", "role").distinct().crossJoin(events.select("event_type").distinct())
     return rk.novelty(wanted, events.where(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz")), "role", "user_id", "event_type").select("user_id", "event_type", "multiplier")
 
 
@@ -58,7 +57,7 @@ def novelty_multiplier(spark, sf_dir):
 SELECT user_id, day, t AS candidate FROM (SELECT user_id, ts::DATE AS day, list(DISTINCT event_type) AS used FROM events GROUP BY ALL), (SELECT DISTINCT event_type AS t FROM events) WHERE NOT list_contains(used, t)""")
 def legal_candidates(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    universe = [r[0] for r in events.select("event_type").distinct().collect()]
+    universe = events.select("event_type").distinct()
     used = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("used"))
     return rk.legal_candidates(used, universe, "used").select("user_id", "day", "candidate")
 
@@ -99,9 +98,10 @@ def teammate_expectation(spark, sf_dir):
     counts = orders.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(rk.Window.partitionBy("o_custkey"))
     df = counts.select((F.col("o_custkey") % 50).alias("team"), F.col("o_custkey").alias("player"), F.col("o_orderpriority").alias("item"), share.alias("chance"))
-    items = sorted(r[0] for r in orders.select("o_orderpriority").distinct().collect())
-    boosts = [(a, b) for i, a in enumerate(items) for b in items[i + 1 :]]
-    pairs = spark.createDataFrame([(a, b, 0.01 * k) for k, (a, b) in enumerate(boosts, 1)], "a string, b string, boost double")
+    items = orders.select(F.col("o_orderpriority").alias("a")).distinct()
+    pairs = items.join(items.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
+    # the pairs of priorities are few; one window numbers them
+    pairs = pairs.withColumn("boost", 0.01 * F.row_number().over(rk.Window.orderBy("a", "b")))
     return rk.teammate_synergy(df, pairs, ["team"], "player", "item", "chance").select("player", "item", rounded("p", 6).alias("p"), rounded("synergy", 6).alias("synergy"))
 
 
