@@ -50,8 +50,9 @@ BROADCAST_ROWS = 1_000_000
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """Rows with a unique number.  docs must give the same rows in the same order each time it is read, as a written table does."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """Rows with a unique number, written once: numbers made anew at each read follow the splits of files, which follow the cores
+    alive when a read is planned, so after a lost executor they would name other rows."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
