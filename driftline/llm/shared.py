@@ -24,10 +24,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it again, so that a lost executor costs no earlier work."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +52,7 @@ BROADCAST_ROWS = 1_000_000
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """Rows with a unique number, written once: numbers made anew at each read follow the splits of files, which follow the cores
     alive when a read is planned, so after a lost executor they would name other rows."""
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", "zstd")
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:

@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes all rows and returns the index, read from its own table."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"), F.monotonically_increasing_id().alias("row"))
-    rows = written(rows, "pages")  # both reads below must see the same row numbers, also if cores are lost between them
+    rows = written(rows, "pages", "zstd")  # both reads below must see the same row numbers, also if cores are lost between them
     copies = rows.where(F.length("payload") >= min_bytes).groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = written(copies, "copies")
     joined = rows.join(small_or_shuffled(copies, copies.count(), BROADCAST_COPIES), "sha1", "left")
