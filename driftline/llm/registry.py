@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, exact_dedup, language_model, line_rules, near_dedup, packing, quality, toxicity, urls, warc
+from driftline.llm import bpe, exact_dedup, fill_in_middle, language_model, line_rules, near_dedup, packing, quality, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_rank_array_bpe": bpe.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_best_fit_packing": packing.query,
+        "op11_fim_chunks": fill_in_middle.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_reputation": urls.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_host_reputation": urls.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_fim_chunks": fill_in_middle.SQL}
