@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, exact_dedup, fill_in_middle, language_model, line_rules, near_dedup, packing, quality, toxicity, urls, warc
+from driftline.llm import bpe, exact_dedup, fill_in_middle, language_model, line_rules, near_dedup, packing, quality, stream_packing, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_exact_dedup": exact_dedup.query,
         "op10_best_fit_packing": packing.query,
         "op11_fim_chunks": fill_in_middle.query,
+        "op12_sum_of_squares": stream_packing.query,
     }
 
 
