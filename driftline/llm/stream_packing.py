@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import gc
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +41,7 @@ CAPACITY, END_ID = 4096, 2
 MOST_OPEN = 2048
 LEAST_FINAL = 256
 #: Words and pieces remembered by a worker, about 0.2 kB each.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 #: Characters of text that are encoded together.
 BATCH_CHARS = 4_000_000
 #: Marks that stand alone as a piece behind a word.
@@ -52,27 +51,29 @@ ID_BYTES = 4
 Piece = tuple[int | None, int, bytes, int]
 
 
-class WordIds(bpe.Tokenizer):
+class TextIds(bpe.Tokenizer):
     """Ids of whole texts only, from remembered words."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.word_ids = {}
-        self.piece_ids = {text: struct.pack("<I", i) for text, i in self.special.items()}
-
-    def words(self, text: str) -> list[str]:
-        """The words of a text, normalised already where that can be done for all of them at once."""
-        lower = text.lower()
-        if "<|" not in text and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower)):
-            text = lower
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split also splits at four separators that are no white space in Unicode
-            return [w for w in self.blank.split(text) if w]
-        return text.split()
+        self.remember({})
+
+    def remember(self, words: dict[str, bytes]) -> None:
+        """Forgets all words but those given, and their pieces."""
+        self.word_ids, self.piece_ids = words, {text: struct.pack("<I", i) for text, i in self.special.items()}
+
+    def parts(self, word: str) -> list[str]:
+        """The normalised pieces of a run of characters without ASCII white space."""
+        if word.isascii():
+            if word.isalpha():
+                return [word.lower()]
+            if word[-1] in MARKS and word[:-1].isalpha():
+                return [word[:-1].lower(), word[-1]]
+            return self.split(word)
+        return [p for part in self.blank.split(word) if part for p in self.split(part)]
 
     def learn(self, pieces) -> None:
+        """Encodes new pieces and remembers them."""
         by_length: dict[int, list[str]] = {}
         for text in pieces:
             by_length.setdefault(len(text.encode()), []).append(text)
@@ -81,10 +82,10 @@ class WordIds(bpe.Tokenizer):
             parts = self.inner[data]
             parts[:, -1] = self.last[data[:, -1]]
             found = self.merge(parts) if length <= bpe.LONG else [self.merge_long(x) for x in parts.tolist()]
-            for text, ids in zip(group, found, strict=True):
-                self.piece_ids[text] = struct.pack(f"<{len(ids)}I", *ids)
+            packs = {n: struct.Struct(f"<{n}I").pack for n in {len(ids) for ids in found}}
+            self.piece_ids.update(zip(group, [packs[len(ids)](*ids) for ids in found], strict=True))
 
-    def encode_ids(self, texts: list[str]) -> list[bytes]:
+    def encode_ids(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers; nothing here makes a cycle, so no search for garbage walks the remembered words."""
         gc.disable()
         try:
@@ -92,35 +93,38 @@ class WordIds(bpe.Tokenizer):
         finally:
             gc.enable()
 
-    def _encode_ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.word_ids) + len(self.piece_ids) >= REMEMBERED:
-            self.forget()
-        known, split = self.word_ids, [self.words(t) for t in texts]
-        pieces = {}
-        for w in set().union(*split):
-            if w not in known:
-                whole = w.isascii() and w.islower()
-                if whole and w.isalpha():
-                    pieces[w] = (w,)
-                elif whole and w[-1] in MARKS and w[:-1].isalpha():
-                    pieces[w] = (w[:-1], w[-1])
-                else:
-                    pieces[w] = self.split(w)
-        self.learn({p for found in pieces.values() for p in found if p not in self.piece_ids})
+    def _encode_ids(self, texts: pa.Array) -> list[bytes]:
+        # no piece spans white space; words that hold other white space than that of ASCII are parted where they are learnt
+        split = pc.ascii_split_whitespace(texts)
+        found = split.flatten().dictionary_encode()
+        words, known = found.dictionary.to_pylist(), self.word_ids
+        new = {w: self.parts(w) if w else [] for w in words if w not in known}
+        self.learn({p for parts in new.values() for p in parts if p not in self.piece_ids})
         of = self.piece_ids.__getitem__
-        for w, found in pieces.items():
-            known[w] = of(found[0]) if len(found) == 1 else b"".join(map(of, found))
-        of = known.__getitem__
-        return [b"".join(map(of, ws)) for ws in split]
-
-
-_loaded: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
+        for w, parts in new.items():
+            known[w] = of(parts[0]) if len(parts) == 1 else b"".join(map(of, parts))
+        raw = [known[w] for w in words]
+        if len(known) + len(self.piece_ids) > REMEMBERED:
+            # frequent words are among those of any batch
+            self.remember(dict(zip(words, raw, strict=True)))
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // ID_BYTES
+        flat, first = np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(sizes) - sizes
+        # all ids of all texts in one gather: those of an occurrence follow the first id of its word
+        word = found.indices.to_numpy()
+        size = sizes[word]
+        before = np.append(0, np.cumsum(size))
+        ids = flat[np.repeat(first[word] - before[:-1], size) + np.arange(before[-1])]
+        ends = before[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))].tolist()
+        return [ids[low:high].tobytes() for low, high in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_loaded: dict[str, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
     """The encoder of a file, loaded once by each worker."""
     if path not in _loaded:
-        _loaded[path] = WordIds(path)
+        _loaded[path] = TextIds(path)
     return _loaded[path]
 
 
@@ -251,7 +255,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         raise ValueError("the capacity must be a power of two")
 
     def run(batches):
-        encoder, end = word_ids(vocabulary), struct.pack("<I", end_id)
+        encoder, end = text_ids(vocabulary), struct.pack("<I", end_id)
         windows, number = Windows(capacity, most_open, least_final), TaskContext.get().partitionId() << 32
 
         def placed(doc, ids):
@@ -270,7 +274,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                     chars, high = chars + sizes[high], high + 1
                 part = batch.slice(low, high - low)
                 low = high
-                found = zip(part.column(0).to_pylist(), encoder.encode_ids(part.column(1).to_pylist()), strict=True)
+                found = zip(part.column(0).to_pylist(), encoder.encode_ids(part.column(1)), strict=True)
                 done = [w for doc, ids in found for w in placed(doc, ids + end)]
                 yield rows(done, number, keep_ids)
                 number += len(done)

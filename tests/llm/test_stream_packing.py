@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -21,15 +22,24 @@ def library():
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["H̱a ẖ", "Ị̇x İ", "ΑΣ Σ ΣΑΣ.", "<|endoftext|> A<|STARTOFTEXT|>b<|endoftext|>", "a\x1cb\x1dc", "é É", "it's IT'S, don't!", "x,y;z:.", "Ünï, cödé.", "1a 22, ²x ½", "日本語 テキスト", "a\u0085b c", "​ ﻿", "ﬁ Ⅷ", "😀 😀😀"]
+ODD = ["H̱a ẖ", "Ị̇x İ", "ΑΣ Σ ΣΑΣ.", "<|endoftext|> A<|STARTOFTEXT|>b<|endoftext|>", "a\x1cb\x1dc", "é É", "it's IT'S, don't!", "x,y;z:.", "Ünï, cödé.", "1a 22, ²x ½", "日本語 テキスト", "a\u0085b c", "​ ﻿", "ﬁ Ⅷ", "😀 😀😀", "xⅧy ½½ a²b", "_a_ é_é_1", "é's É'LL ’s!'s", "١٢ 3é4", "ª º ¼µ", "a\u00a0b\u2003c\u3000", "  lead  trail  "]
 
 
 def test_ids_equal_the_library(library, odd_rows):
     texts = [t or "" for _, t in odd_rows] + ODD + [" ".join(ODD)]
-    encoder = sp.WordIds(VOCABULARY)
+    encoder = sp.TextIds(VOCABULARY)
     for _ in range(2):
-        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.encode_ids(texts)] == [library(t) for t in texts]
-        encoder.word_ids.popitem()
+        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.encode_ids(pa.array(texts))] == [library(t) for t in texts]
+        encoder.remember({})
+
+
+def test_few_words_are_remembered(library, monkeypatch):
+    monkeypatch.setattr(sp, "REMEMBERED", 20)
+    encoder = sp.TextIds(VOCABULARY)
+    for k in range(6):
+        texts = [f"some word{k} and other{j}, it's é{j}" for j in range(5)]
+        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.encode_ids(pa.array(texts))] == [library(t) for t in texts]
+        assert len(encoder.word_ids) < 40 and len(encoder.piece_ids) < 40
 
 
 def held(pieces, docs, capacity, library):
