@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import bpe, exact_dedup, fill_in_middle, language_model, line_rules, near_dedup, packing, quality, stream_packing, toxicity, urls, warc
+from driftline.llm import bpe, exact_dedup, fill_in_middle, language_model, lexical_search, line_rules, near_dedup, packing, quality, stream_packing, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_best_fit_packing": packing.query,
         "op11_fim_chunks": fill_in_middle.query,
         "op12_sum_of_squares": stream_packing.query,
+        "op13_maxscore": lexical_search.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_reputation": urls.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_fim_chunks": fill_in_middle.SQL}
+    return {"op2_host_reputation": urls.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_fim_chunks": fill_in_middle.SQL, "op13_maxscore": lexical_search.SQL}
