@@ -1,9 +1,11 @@
 """Linear text classifiers: a bounded labelled sample, its features, and scores for all texts.
 
 Features are 64-bit hashes; a text has each of its features once.  The sample holds
-at most ``most`` labelled rows, half of them of either class if there are so many,
-picked by a hash of the id.  The model is a table of at most ``MOST_FEATURES``
-weights, so its size has a bound and it goes to all tasks.
+at most ``most`` labelled documents, half of them of either class if there are so many,
+picked by a hash of the id; of rows with one id it takes the text of the least hash, so
+that repeated rows add nothing.  The model is a table of at most ``most_features``
+weights, or as many as the bounded sample has, so its size has a bound and it goes to
+all tasks.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from driftline.llm import textkernel as tk
 from driftline.llm.shared import written
 
-#: Labelled rows that a model is fitted on, at most.
+#: Labelled documents that a model is fitted on, at most.
 MOST_LABELLED = 8000
+#: Features of a model, those that tell most; None takes all of the sample.
 MOST_FEATURES = 1 << 16
 LEAST_TEXTS = 4
 
@@ -59,10 +62,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, id_col: str
     if picks is None:
         picks = known.withColumn("share", F.lit(1.0))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(picks), "doc_id").select("doc_id", "text", "y", "share"), "labelled")
+    met = texts.join(F.broadcast(picks), "doc_id").groupBy("doc_id", "y", "share").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
+    return written(met.select("doc_id", F.col("least.text").alias("text"), "y", "share"), "labelled")
 
 
-def gather(sample: DataFrame, features, least_texts: int = LEAST_TEXTS, most_features: int = MOST_FEATURES, least_tells: float = 0.0, always: np.ndarray | None = None) -> Sample:
+def gather(sample: DataFrame, features, least_texts: int = LEAST_TEXTS, most_features: int | None = MOST_FEATURES, least_tells: float = 0.0, always: np.ndarray | None = None) -> Sample:
     """Counts features by class, selects those that tell most (by log ratio in standard errors), and brings the sample's rows in them to the driver.
 
     The few keys of ``always`` are features whatever they tell.  Rows come in the order of
@@ -86,7 +90,8 @@ def gather(sample: DataFrame, features, least_texts: int = LEAST_TEXTS, most_fea
     ratio = F.log(p / (of.get(1, 0) + 1.0)) - F.log(q / (of.get(0, 0) + 1.0))
     # a log ratio in units of its standard error
     tells = F.abs(ratio) / F.sqrt(1 / p + 1 / q)
-    best = counted.where((F.col("positive") + F.col("negative") >= least_texts) & (tells >= least_tells)).orderBy(tells.desc(), "key").limit(most_features).toPandas()
+    best = counted.where((F.col("positive") + F.col("negative") >= least_texts) & (tells >= least_tells))
+    best = (best if most_features is None else best.orderBy(tells.desc(), "key").limit(most_features)).toPandas()
     if always is not None and len(always):
         wanted = sample.sparkSession.createDataFrame([(int(k),) for k in np.unique(always).view(np.int64)], "key long")
         forced = F.broadcast(wanted).join(counted, "key", "left").select("key", F.coalesce("positive", F.lit(0)).alias("positive"), F.coalesce("negative", F.lit(0)).alias("negative"))

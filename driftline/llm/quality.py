@@ -8,7 +8,7 @@ sampled classes their true sizes.
 
 Null and empty texts get the score of no features.  Without labels, or with labels
 of one class only, all texts get the same score (0.5 without labels).  Repeated rows
-score alike; a null id stays null; labels of one document that disagree count as 1.
+score alike, and teach as one; a null id stays null; labels of one document that disagree count as 1.
 Other columns are ignored.
 """
 
@@ -104,10 +104,10 @@ def fit(sample: linear.Sample) -> tuple[np.ndarray, np.ndarray, float, float]:
     return w[:-1] * ratio, square, slope, intercept + slope * w[-1]
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, usable=None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_labelled: int = linear.MOST_LABELLED) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, usable=None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_labelled: int = linear.MOST_LABELLED, most_features: int | None = linear.MOST_FEATURES) -> DataFrame:
     """(id, score) of each row; only label rows that fit ``usable`` are learned from."""
     picked = linear.labelled(docs, labels, label, F.lit(True) if usable is None else usable, id_col, text_col, most_labelled)
-    sample = linear.gather(picked, ngrams)
+    sample = linear.gather(picked, ngrams, most_features=most_features)
     weights, norms, slope, bias = fit(sample)
     return linear.score_texts(docs, ngrams, sample.keys, weights, norms, slope, bias, id_col, text_col)
 

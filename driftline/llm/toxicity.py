@@ -174,10 +174,10 @@ def fit(sample: linear.Sample, pairs: Pairs, swap_penalty: float = SWAP_PENALTY,
     return w, float(b)
 
 
-def learned(docs: DataFrame, labels: DataFrame, usable=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", groups=IDENTITY_TERMS, swap_penalty: float = SWAP_PENALTY, most_labelled: int = linear.MOST_LABELLED, most_pairs: int = MOST_PAIRS) -> tuple[np.ndarray, np.ndarray, float]:
+def learned(docs: DataFrame, labels: DataFrame, usable=None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", groups=IDENTITY_TERMS, swap_penalty: float = SWAP_PENALTY, most_labelled: int = linear.MOST_LABELLED, most_pairs: int = MOST_PAIRS, most_features: int | None = linear.MOST_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """(keys, weights, bias), learned from label rows that fit ``usable``."""
     picked = linear.labelled(docs, labels, label, F.lit(True) if usable is None else usable, id_col, text_col, most_labelled)
-    sample = linear.gather(picked, word_features, least_tells=LEAST_TELLS, always=term_features(groups))
+    sample = linear.gather(picked, word_features, most_features=most_features, least_tells=LEAST_TELLS, always=term_features(groups))
     weights, bias = fit(sample, pairs_of(picked, sample.keys, groups, most_pairs), swap_penalty)
     return sample.keys, weights, bias
 

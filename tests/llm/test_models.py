@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, gru, language_model, quality, toxicity
+from driftline.llm import bpe, gru, language_model, linear, quality, toxicity
 from driftline.llm.shared import remainder, table
 
 SF = "/root/testdata/sf0.01"
@@ -265,3 +265,20 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     t, u = bpe.Tokenizer(WORD_BPE), bpe.Tokenizer(WORD_BPE)
     texts = ["one two three four", "two five six", "one one nine"]
     assert [t.encode(x) for x in texts] == u.encode_batch(texts)
+
+
+def test_a_repeated_id_is_sampled_once(spark, documents):
+    rows = [(k, f"word{k % 7} text{k} {'bad' if k % 2 else 'good'} line") for k in range(300)] + [(5, f"again {k}") for k in range(2000)]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(300)], "doc_id long, quality int, toxic int")
+    docs = documents(rows)
+    sample = linear.labelled(docs, labels, "toxic", F.lit(True), "doc_id", "text", 100).collect()
+    assert len(sample) == len({r["doc_id"] for r in sample}) == 100
+    assert {r["y"] for r in sample} == {0, 1} and sum(r["y"] for r in sample) == 50
+    # the same row whatever the partitions
+    again = linear.labelled(docs.repartition(7, "text"), labels, "toxic", F.lit(True), "doc_id", "text", 100).collect()
+    assert sorted(map(tuple, sample)) == sorted(map(tuple, again))
+    few, every = (linear.gather(linear.labelled(docs, labels, "quality", F.lit(True), "doc_id", "text", 300), quality.ngrams, least_texts=1, most_features=n) for n in (20, None))
+    assert len(few.keys) == 20 < len(every.keys) and set(few.keys.tolist()) < set(every.keys.tolist())
+    for scores in (quality.quality_scores, toxicity.toxicity_scores):
+        found = scores(docs, labels, most_labelled=200, most_features=None)
+        assert found.count() == len(rows)
