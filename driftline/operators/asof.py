@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
+#: A variance of less than this part of the mean square counts as none.
+NOTHING = 1e-10
 
 
 def before(keys: list, time: str, frame_days: float | None = None):
@@ -44,11 +46,13 @@ def statistics(sums: dict[str, Column], weight_now: Column) -> dict[str, Column]
     """Weighted mean, effective weight at the row's time, population deviation and count from summed moments."""
     some = sums["n"] > 0.5
     mean = F.when(some, F.try_divide(sums["wv"], sums["w"]))
-    spread = F.when(some, F.try_divide(sums["wvv"], sums["w"])) - mean * mean
+    square = F.when(some, F.try_divide(sums["wvv"], sums["w"]))
+    # what differences of running totals leave of a spread of nothing
+    spread = F.when(square - mean * mean > NOTHING * square, square - mean * mean).otherwise(0.0)
     return {
         "mean": mean,
         "weight": F.when(some, sums["w"]).otherwise(0.0) / weight_now,
-        "deviation": F.when(some, F.sqrt(F.greatest(spread, F.lit(0.0)))),
+        "deviation": F.when(some, F.sqrt(spread)),
         "rows": F.round(sums["n"]).cast("long"),
     }
 
@@ -60,26 +64,38 @@ def decayed_asof(df: DataFrame, keys: list[str], time: str, value: str, half_lif
     return df.withColumns(statistics(sums, weight))
 
 
-def hot_frame_sums(df: DataFrame, row: str, keys: list[str], time: str, values: dict[str, Column], frame_days: float, bucket_days: float = 1.0) -> DataFrame:
+#: Rows of all keys that a bucket of time holds on average, if its length is not given.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_length(df: DataFrame, time: str, rows: int = BUCKET_ROWS) -> int:
+    """Micros of a bucket of time that holds about so many rows, a day at most."""
+    found = df.agg(F.count("*").alias("n"), (F.max(time) - F.min(time)).alias("span")).first()
+    return max(1, min(DAY, (found["span"] or 0) * rows // max(1, found["n"]) + 1))
+
+
+def hot_frame_sums(df: DataFrame, row: str, keys: list[str], time: str, values: dict[str, Column], frame_days: float, bucket: int = DAY, asked: Column | None = None) -> DataFrame:
     """(row, names of values) with sums over rows of the keys in [time - frame, time), for keys that hold many rows.
 
-    Every row asks for the running total at its time and at its frame's start.  Totals are
-    running sums inside (keys, bucket of time) plus those of earlier buckets, which are few
-    rows, so that no task holds all rows of a key.  ``row`` is unique.
+    Every row, or every ``asked`` one, asks for the running total at its time and at its
+    frame's start.  Totals are running sums inside (keys, bucket of time) plus those of
+    earlier buckets, which are few rows, so that no task holds all rows of a key.  ``row``
+    is unique among rows that ask.
     """
-    sent = df.select(row, *keys, F.col(time).alias("_at"), F.lit(1.0).alias("_sign"), *(c.alias(n) for n, c in values.items()))
-    start = df.select(row, *keys, (F.col(time) - int(frame_days * DAY)).alias("_at"), F.lit(-1.0).alias("_sign"), *(F.lit(0.0).alias(n) for n in values))
-    both = sent.unionByName(start).withColumn("_bucket", F.floor(F.col("_at") / int(bucket_days * DAY)))
+    asked = F.lit(True) if asked is None else asked
+    sent = df.select(row, *keys, F.col(time).alias("_at"), F.when(asked, 1.0).alias("_sign"), *(c.alias(n) for n, c in values.items()))
+    start = df.where(asked).select(row, *keys, (F.col(time) - int(frame_days * DAY)).alias("_at"), F.lit(-1.0).alias("_sign"), *(F.lit(0.0).alias(n) for n in values))
+    both = sent.unionByName(start).withColumn("_bucket", F.floor(F.col("_at") / F.lit(bucket)))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     totals = both.groupBy(*keys, "_bucket").agg(*(F.sum(n).alias(f"_{n}") for n in values))
     earlier = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0.0)).alias(f"_{n}") for n in values))
-    run = both.withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0.0)) for n in values}).join(totals, [*keys, "_bucket"])
+    run = both.withColumns({n: F.coalesce(F.sum(n).over(inside), F.lit(0.0)) for n in values}).where("_sign IS NOT NULL").join(totals, [*keys, "_bucket"])
     return run.groupBy(row).agg(*(F.sum(F.col("_sign") * (F.col(n) + F.col(f"_{n}"))).alias(n) for n in values))
 
 
-def projection(df: DataFrame, row: str, entity: str, role: str, opponent: str, playoff: Column, time: str, value: str, half_life_days: float, frame_days: float, anchor: int, domestic: Column | None = None) -> DataFrame:
-    """Shrunken projection of each row's value from earlier rows, with floor and ceiling.
+def projection(df: DataFrame, row: str, entity: str, role: str, opponent: str, playoff: Column, time: str, value: str, half_life_days: float, frame_days: float, anchor: int, domestic: Column | None = None, asked: Column | None = None) -> DataFrame:
+    """Shrunken projection of each row's value (of each ``asked`` row's, and then of no other row) from earlier rows, with floor and ceiling.
 
     The entity's mean shrinks to its role's by weight / (weight + 5); the opponent's
     effect by weight / (weight + 15), the head-to-head by weight / (weight + 3) above
@@ -95,16 +111,18 @@ def projection(df: DataFrame, row: str, entity: str, role: str, opponent: str, p
         return {f"{prefix}_{k}": c for k, c in statistics(sums, weight).items()}
 
     values = {f"{p}_{k}": c for p, rows in (("any", None), ("home", chosen)) for k, c in moments(F.col(value), weight, rows).items()}
-    roles = hot_frame_sums(df, row, [role], time, values, frame_days)
+    bucket = bucket_length(df, time)
+    roles = hot_frame_sums(df, row, [role], time, values, frame_days, bucket, asked)
     plain = moments(F.col(value), F.lit(1.0))
-    world = hot_frame_sums(df, row, [], time, {"world_n": plain["n"], "world_v": plain["wv"]}, frame_days)
+    world = hot_frame_sums(df, row, [], time, {"world_n": plain["n"], "world_v": plain["wv"]}, frame_days, bucket, asked)
     found = {p: statistics({k: F.col(f"{p}_{k}") for k in ("w", "wv", "wvv", "n")}, weight) for p in ("any", "home")}
-    df = df.join(roles, row).join(world, row).withColumn("at_home", found["home"]["rows"] > 0)
-    df = df.withColumns({f"role_{k}": F.when(F.col("at_home"), found["home"][k]).otherwise(found["any"][k]) for k in found["any"]}).drop(*values)
-    df = df.withColumns(stats("own", [entity, role]) | stats("opp_any", [role, opponent]) | stats("opp_home", [role, opponent], chosen) | stats("h2h", [entity, role, opponent]) | stats("playoff", [entity, role], playoff))
-    df = df.withColumns({f"opp_{k}": F.when(F.col("at_home"), F.col(f"opp_home_{k}")).otherwise(F.col(f"opp_any_{k}")) for k in ("mean", "weight")})
     own = before([entity, role], time, frame_days)
     spread = {f"p{k}": F.expr(f"percentile({value}, {k / 100})").over(own) for k in (10, 90)}
+    df = df.withColumns(stats("own", [entity, role]) | stats("opp_any", [role, opponent]) | stats("opp_home", [role, opponent], chosen) | stats("h2h", [entity, role, opponent]) | stats("playoff", [entity, role], playoff)).withColumns(spread)
+    # rows that do not ask have been counted, and go before any join
+    df = (df if asked is None else df.where(asked)).join(roles, row).join(world, row).withColumn("at_home", found["home"]["rows"] > 0)
+    df = df.withColumns({f"role_{k}": F.when(F.col("at_home"), found["home"][k]).otherwise(found["any"][k]) for k in found["any"]}).drop(*values)
+    df = df.withColumns({f"opp_{k}": F.when(F.col("at_home"), F.col(f"opp_home_{k}")).otherwise(F.col(f"opp_any_{k}")) for k in ("mean", "weight")})
     base = F.coalesce("role_mean", F.when(F.col("world_n") > 0.5, F.col("world_v") / F.col("world_n")), F.lit(0.0))
     mean = F.coalesce("own_mean", base)
     rel = F.col("own_weight") / (F.col("own_weight") + 5)
@@ -112,7 +130,7 @@ def projection(df: DataFrame, row: str, entity: str, role: str, opponent: str, p
     opp = F.col("opp_weight") / (F.col("opp_weight") + 15) * (F.coalesce("opp_mean", base) - base)
     h2h = F.when(F.col("h2h_weight") > 0.5, F.col("h2h_weight") / (F.col("h2h_weight") + 3) * (F.coalesce("h2h_mean", F.lit(0.0)) - F.col("shrunk"))).otherwise(0.0)
     playoff_effect = F.when(F.col("playoff_weight") > 1, 0.2 * (F.col("playoff_mean") / F.when(mean > 0, mean).otherwise(1.0) - 1)).otherwise(0.0)
-    df = df.withColumns(spread).withColumns({"shrunk": shrunk, "opp_effect": opp})
+    df = df.withColumns({"baseline": base, "recent": mean, "shrunk": shrunk, "opp_effect": opp})
     df = df.withColumns({"h2h_effect": h2h, "playoff_effect": playoff_effect})
     df = df.withColumn("projection", F.col("shrunk") + 0.35 * F.col("opp_effect") + 0.25 * F.col("h2h_effect") + F.col("shrunk") * F.col("playoff_effect"))
     # a spread of nothing counts as 3
