@@ -16,17 +16,77 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def read_matches(spark: SparkSession, path: str, schema: T.StructType | None = None, text_columns: tuple[str, ...] = ("patch",)) -> DataFrame:
-    """All CSV files of a path as one table, with their own order kept in _file and _line; unreadable lines are dropped.
+#: Headers that are read at a time.
+HEADER_READS = 16
 
-    Without a schema all columns are text, so that versions such as 15.10 keep their last zero.
+
+def file_headers(spark: SparkSession, path: str) -> list[tuple[str, tuple[str, ...], str | None]]:
+    """(file, columns, problem) of each CSV file of a path; a file whose head cannot be read, or has no columns, has a problem.
+
+    Only the files' names and first lines come to the driver.
     """
-    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", False)
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    for column in text_columns:
-        if column in df.columns:
-            df = df.withColumn(column, F.col(column).cast("string"))
-    return df.withColumns({"_file": F.col("_metadata.file_path"), "_line": F.monotonically_increasing_id()})
+    from multiprocessing.pool import ThreadPool
+    from urllib.parse import unquote
+
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    def head(file: str):
+        try:
+            found = tuple(spark.read.option("header", True).csv(_literal(file)).columns)
+        except (Py4JJavaError, PySparkException) as error:
+            said = error.java_exception if isinstance(error, Py4JJavaError) else error
+            return file, (), str(said).splitlines()[0][:200]
+        return file, found, None if found else "no columns"
+
+    files = sorted(unquote(f) for f in spark.read.format("binaryFile").load(path).inputFiles())
+    with ThreadPool(HEADER_READS) as pool:
+        return pool.map(head, files)
+
+
+def _literal(file: str) -> str:
+    """A file's name as a path without patterns."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in file)
+
+
+def header_groups(headers: list[tuple[str, tuple[str, ...], str | None]], required: tuple[str, ...] = ()) -> tuple[dict[tuple[str, ...], list[str]], dict[str, str]]:
+    """Files by their columns, and the problem of each file that cannot be used."""
+    groups, problems = {}, {}
+    for file, columns, problem in headers:
+        missing = sorted(set(required) - set(columns))
+        problem = problem or (f"missing columns: {', '.join(missing)}" if missing else None)
+        if problem:
+            problems[file] = problem
+        else:
+            groups.setdefault(columns, []).append(file)
+    return groups, problems
+
+
+def _rows_of(spark: SparkSession, columns: tuple[str, ...], files: list[str], kinds: dict[str, T.DataType], mode: str, corrupt: str | None = None) -> DataFrame:
+    fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in columns] + ([T.StructField(corrupt, T.StringType())] if corrupt else [])
+    reader = spark.read.schema(T.StructType(fields)).option("header", True).option("mode", mode).option("ignoreCorruptFiles", True)
+    return (reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader).csv([_literal(f) for f in files])
+
+
+def read_matches(spark: SparkSession, path: str, schema: T.StructType | None = None, text_columns: tuple[str, ...] = ("patch",), required: tuple[str, ...] = ()) -> DataFrame:
+    """All CSV files of a path as one table by column names, with their own order kept in _file and _line.
+
+    Files of one header are one scan; a column that a file lacks is null there.  Unreadable lines are dropped
+    (``malformed_lines`` counts them), as are files without a readable head or without a ``required`` column
+    (``rejected_files`` names them), and what follows a broken place of a compressed file.  Without a schema all
+    columns are text, so that versions such as 15.10 keep their last zero.
+    """
+    groups, problems = header_groups(file_headers(spark, path), required)
+    if not groups:
+        raise ValueError(f"no readable CSV file: {'; '.join(f'{k}: {v}' for k, v in problems.items()) or path}")
+    kinds = {} if schema is None else {f.name: T.StringType() if f.name in text_columns else f.dataType for f in schema.fields}
+    scans = [_rows_of(spark, columns, files, kinds, "DROPMALFORMED").withColumn("_file", F.col("_metadata.file_path")) for columns, files in groups.items()]
+    return union_all(scans).withColumn("_line", F.monotonically_increasing_id())
+
+
+def rejected_files(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """(file, problem) of each file that ``read_matches`` leaves out."""
+    return spark.createDataFrame(list(header_groups(file_headers(spark, path), required)[1].items()), "file string, problem string")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -37,27 +97,38 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def normalize_players(rows: DataFrame, roles: dict[str, str], leagues: dict[str, str], tier_one: list[str], international: list[str], primary: DataFrame | None = None, least_rows: int = 18) -> DataFrame:
+def normalize_players(rows: DataFrame, roles: dict[str, str], leagues: dict[str, str], tier_one: list[str], international: list[str], primary: DataFrame | None = None, least_rows: int = 18, home: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Player rows of known roles and leagues, with source_league kept.
 
     primary holds (league, year, team); a league and year without an entry allows the
     teams with ``least_rows`` rows.  Show matches are dropped; internationals always pass.
+    ``home`` names internationals whose rows of a primary team count for the team's own
+    league, in a split of its own: {international: (league, split)}.
     """
     role = F.create_map(*(F.lit(x) for pair in roles.items() for x in pair))
     renamed = F.create_map(*(F.lit(x) for pair in leagues.items() for x in pair)) if leagues else None
     df = rows.where(~F.coalesce(F.lower("split").contains("showmatch"), F.lit(False)))
-    df = df.withColumns({"source_league": F.col("league"), "position": role[F.lower("position")]}).where(F.col("position").isNotNull())
-    df = df.withColumn("league", F.coalesce(renamed[F.col("league")], "league") if renamed is not None else F.col("league"))
-    df = df.where(F.col("league").isin(*tier_one, *international))
-    teams = df.groupBy("league", "year", "teamname").agg(F.count("*").alias("_rows"))
+    df = df.withColumns({"source_league": F.trim("league"), "position": role[F.lower(F.trim("position"))]}).where(F.col("position").isNotNull())
+    df = df.withColumn("league", F.coalesce(renamed[F.col("source_league")], "source_league") if renamed is not None else F.col("source_league"))
+    if home and primary is not None:
+        moved = F.create_map(*(x for name, (league, split) in home.items() for x in (F.lit(name), F.struct(F.lit(league).alias("league"), F.lit(split).alias("split")))))
+        listed = primary.select(F.col("league").alias("_home"), F.col("year").alias("_year"), F.col("team").alias("_team")).distinct()
+        df = df.withColumn("_to", moved[F.col("source_league")])
+        df = df.join(listed, (F.col("_to.league") == F.col("_home")) & (F.col("year") == F.col("_year")) & (F.trim("teamname") == F.col("_team")), "left")
+        at_home = F.col("_home").isNotNull()
+        df = df.withColumns({"league": F.when(at_home, F.col("_home")).otherwise(F.col("league")), "split": F.when(at_home, F.col("_to.split")).otherwise(F.col("split"))}).drop("_to", "_home", "_year", "_team")
+    abroad = F.col("source_league").isin(*international)
+    df = df.where(F.col("league").isin(*tier_one) | abroad)
+    teams = df.groupBy("league", "year", F.trim("teamname").alias("_team")).agg(F.count("*").alias("_rows"))
     if primary is not None:
-        listed = primary.select("league", "year", F.col("team").alias("teamname"), F.lit(True).alias("_listed"))
+        listed = primary.select("league", "year", F.col("team").alias("_team"), F.lit(True).alias("_listed")).distinct()
         covered = primary.select("league", "year").distinct().withColumn("_covered", F.lit(True))
-        teams = teams.join(listed, ["league", "year", "teamname"], "left").join(covered, ["league", "year"], "left")
+        teams = teams.join(listed, ["league", "year", "_team"], "left").join(covered, ["league", "year"], "left")
     else:
         teams = teams.withColumns({"_listed": F.lit(None).cast("boolean"), "_covered": F.lit(None).cast("boolean")})
-    allowed = teams.where(F.col("league").isin(*international) | F.coalesce("_listed", F.lit(False)) | (F.col("_covered").isNull() & (F.col("_rows") >= least_rows)))
-    return df.join(allowed.select("league", "year", "teamname"), ["league", "year", "teamname"], "left_semi")
+    allowed = teams.where(F.coalesce("_listed", F.lit(False)) | (F.col("_covered").isNull() & (F.col("_rows") >= least_rows)))
+    met = df.withColumn("_team", F.trim("teamname")).join(allowed.select("league", "year", "_team", F.lit(True).alias("_allowed")), ["league", "year", "_team"], "left")
+    return met.where(F.col("_allowed") | abroad).select(*df.columns)
 
 
 MARKET = T.StructType.fromJson(
@@ -131,13 +202,14 @@ def load_config(path: str) -> dict:
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, lines): how many lines of each CSV file do not fit its columns; ``read_matches`` drops these."""
-    names = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_corrupt", T.StringType())])
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    # a line counts by all its columns, since a query of the corrupt column alone would not parse the others
-    line = F.when(F.col("_corrupt").isNotNull() & (F.concat_ws("", *names) >= ""), 1)
-    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(line).alias("lines")).where("lines > 0")
+    """(file, lines): how many lines of each CSV file do not fit its own columns; ``read_matches`` drops these."""
+    counts = []
+    for columns, files in header_groups(file_headers(spark, path))[0].items():
+        df = _rows_of(spark, columns, files, {}, "PERMISSIVE", "_corrupt")
+        # a line counts by all its columns, since a query of the corrupt column alone would not parse the others
+        line = F.when(F.col("_corrupt").isNotNull() & (F.concat_ws("", *(F.col(f"`{c}`") for c in columns)) >= ""), 1)
+        counts.append(df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(line).alias("lines")).where("lines > 0"))
+    return union_all(counts) if counts else spark.createDataFrame([], "file string, lines long")
 
 
 # What a draft needs of a team's row, and the player roles.

@@ -156,3 +156,35 @@ def test_conflicts_count_the_lesser_slot_weight(spark):
     items = spark.createDataFrame([("TOP", "a", "t1", 1.0, 10.0, ["t2"]), ("MID", "b", "t2", 1.0, 10.0, ["t1", "t9"])], "slot string, item string, team string, cost double, value double, opponents array<string>")
     got = lineup.optimize(items, ["TOP", "MID"], "slot", "team", "cost", "value", "item", 10, {}, 1, "opponents", 4.0, slot_weights={"TOP": 0.5}).first()
     assert got["total"] == 20.0 and got["rank_score"] == 18.0
+
+
+def test_files_of_different_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("gameid,patch,league\ng1,15.10,LCK\ng2,15.1,LCK,more\n")
+    (tmp_path / "b.csv").write_text("gameid,league,patch,result\ng3,LPL,14.20,1\n")
+    (tmp_path / "c[1].csv").write_text("league,gameid\nLEC,g4\n")
+    (tmp_path / "d.csv").write_text("patch,gameid,league\n13.1,g5,LCS\n")
+    (tmp_path / "e.csv").write_text("")
+    (tmp_path / "f.csv.gz").write_bytes(b"\x1f\x8b not a gzip file")
+    (tmp_path / "g.csv").write_text("other,names\n1,2\n")
+    rows = tables.read_matches(spark, str(tmp_path), required=("gameid",)).orderBy("gameid")
+    assert set(rows.columns) == {"gameid", "patch", "league", "result", "_file", "_line"}
+    got = [(r["gameid"], r["patch"], r["league"], r["result"], r["_file"].rsplit("/", 1)[1][:1]) for r in rows.collect()]
+    assert got == [("g1", "15.10", "LCK", None, "a"), ("g3", "14.20", "LPL", "1", "b"), ("g4", None, "LEC", None, "c"), ("g5", "13.1", "LCS", None, "d")]
+    bad = {r["file"].rsplit("/", 1)[1]: r["problem"] for r in tables.rejected_files(spark, str(tmp_path), ("gameid",)).collect()}
+    assert set(bad) == {"e.csv", "f.csv.gz", "g.csv"} and bad["g.csv"] == "missing columns: gameid"
+    assert [(r["file"].rsplit("/", 1)[1], r["lines"]) for r in tables.malformed_lines(spark, str(tmp_path)).collect()] == [("a.csv", 1)]
+    typed = tables.read_matches(spark, str(tmp_path / "b.csv"), spark.createDataFrame([], "gameid string, result int, patch double").schema)
+    assert dict(typed.dtypes)["result"] == "int" and typed.first()["patch"] == "14.20"
+    with pytest.raises(ValueError, match="no readable CSV file"):
+        tables.read_matches(spark, str(tmp_path / "e.csv"))
+
+
+def test_internationals_of_primary_teams_come_home(spark):
+    rows = [("LCS", 2026, "Spring", "Team L", "mid", "a"), ("MSI", 2026, "", "LY", "mid", "b"), ("EWC", 2026, "", " Sent ", "jng", "c"), ("FST", 2026, "", "G2", "top", "d"), ("EWC", 2026, "", "G2", " Top", "e"), ("LCS", 2026, "x", "New", "top", "f"), ("EWC", 2025, "", "Sent", "top", "g")]
+    df = spark.createDataFrame(rows, "league string, year int, split string, teamname string, position string, player string")
+    primary = spark.createDataFrame([("LCS", 2026, t) for t in ("Team L", "Sent", "LY")], "league string, year int, team string")
+    roles = {"top": "top", "mid": "mid", "jng": "jgl"}
+    got = tables.normalize_players(df, roles, {}, ["LCS"], ["MSI", "EWC", "FST"], primary, home={"EWC": ("LCS", "Qualifiers")})
+    assert got.columns == [*df.columns, "source_league"]
+    found = {r["player"]: (r["league"], r["source_league"], r["split"], r["position"]) for r in got.collect()}
+    assert found == {"a": ("LCS", "LCS", "Spring", "mid"), "b": ("MSI", "MSI", "", "mid"), "c": ("LCS", "EWC", "Qualifiers", "jgl"), "d": ("FST", "FST", "", "top"), "e": ("EWC", "EWC", "", "top"), "g": ("EWC", "EWC", "", "top")}
