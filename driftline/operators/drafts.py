@@ -12,6 +12,7 @@ from driftline.operators.versions import boost_lookup
 ANCHOR_SYNERGY = 1.35
 #: Prior of an item that its patch has not seen.
 UNSEEN = 0.001
+# Start weights of a board state's features.
 BOARD_START = [2.5, 1.8, 1.2, 0.4, 0.8]
 BOARD_FEATURES = ["meta", "comfort", "target", "counter", "phase"]
 
@@ -84,20 +85,22 @@ def board_features(actions: DataFrame, universe: DataFrame, meta: DataFrame, com
     """Each action with every legal item, whether it was chosen, and the five features of a board state.
 
     actions: action, league, patch, team, opponent, action_type, action_phase, champion,
-    unavailable, allies, enemies.  An unavailable item is left out unless it was chosen.  Pick
-    targets are pair boosts with allies behind the patch gate; ban targets are the opponent's
-    priors times the open role in the second ban phase.
+    unavailable, allies, enemies.  meta (action_type, league, patch, champion, prior) and comfort
+    (action_type, team, champion, comfort) hold each type's own shares; opponents (team, champion,
+    prior) those of the picks.  An unavailable item is left out unless it was chosen.  Pick
+    targets are pair boosts with allies behind the patch gate of the picks; ban targets are the
+    opponent's picks times the open role in the second ban phase.
     """
-    legal = actions.crossJoin(F.broadcast(universe.select(F.col("champion").alias("item"))))
+    legal = actions.crossJoin(universe.select(F.col("champion").alias("item")))
     legal = legal.where(~F.coalesce(F.array_contains("unavailable", F.col("item")), F.lit(False)) | (F.col("item") == F.col("champion")))
     base = legal.select(action, "league", "patch", "team", "opponent", "action_type", "action_phase", "item", (F.col("item") == F.col("champion")).alias("chosen"))
-    base = base.join(meta.withColumnRenamed("champion", "item"), ["league", "patch", "item"], "left").join(comfort.withColumnRenamed("champion", "item"), ["team", "item"], "left")
+    base = base.join(meta.withColumnRenamed("champion", "item"), ["action_type", "league", "patch", "item"], "left").join(comfort.withColumnRenamed("champion", "item"), ["action_type", "team", "item"], "left")
     pairs = actions.where("action_type = 'pick'").select(action, "league", "patch", F.explode(F.array_distinct("allies")).alias("ally"))
     pairs = pairs.join(base.where("action_type = 'pick'").select(action, "item"), action)
     a, b = F.least("item", "ally"), F.greatest("item", "ally")
     pairs = pairs.withColumns({"a": a, "b": b, "target": F.col("patch")})
     strength = boost_lookup(pairs.select("a", "b", "target").distinct(), boosts, seasons)
-    gated = meta_gate(pairs.join(strength, ["a", "b", "target"]), meta, ["league", "patch"], "champion", "item", "ally")
+    gated = meta_gate(pairs.join(strength, ["a", "b", "target"]), meta.where("action_type = 'pick'").drop("action_type"), ["league", "patch"], "champion", "item", "ally")
     ally = gated.groupBy(action, "item").agg(F.sum(F.col("boost") * F.col("gate")).alias("_ally"))
     second = actions.where("action_type = 'ban' AND action_phase = 'ban2'")
     opened = role_open(second.select(action, "enemies"), base.join(second.select(action), action, "left_semi").select(action, F.col("item").alias("champion")), roles, [action], "enemies", "champion")
@@ -124,6 +127,12 @@ def score_board(features: DataFrame, weights, action: str = "action_id") -> Data
     return df.withColumn("rank", F.row_number().over(window.orderBy(F.col("probability").desc(), "item"))).drop("_z", "_e")
 
 
+def evaluate_board(actions: DataFrame, features: DataFrame, weights, action: str = "action_id") -> DataFrame:
+    """Rank metrics of actions by their features; an action whose item no candidate list holds counts as missed."""
+    ranked = score_board(features, weights, action).where("chosen").select(action, "rank", "probability")
+    return models.rank_metrics(actions.select(action).join(ranked, action, "left"), "rank", "probability")
+
+
 def contested(options: DataFrame, keys: list[str], side: str, opponent: str, item: str) -> DataFrame:
     """Adds contested: whether the opposing side of the same keys lists the item too, without case."""
     other = options.select(*keys, F.col(opponent).alias(side), F.lower(item).alias("_k")).distinct().withColumn("contested", F.lit(True))

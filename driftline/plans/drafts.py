@@ -72,8 +72,9 @@ def player_assignment(spark, sf_dir):
     return drafts.assign_players(actions, players, ["gameid", "side", "champion"], ["player"]).select("gameid", "action_number", "champion", "player")
 
 
-def _roles(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("c"), F.col("event_id") % 40).alias("champion"), F.col("event_type").alias("role")).agg(F.count("*").alias("n"))
+def _roles(spark, sf_dir, rows=None):
+    events = table(spark, sf_dir, "events")
+    counts = (events if rows is None else events.where(rows)).groupBy(F.concat(F.lit("c"), F.col("event_id") % 40).alias("champion"), F.col("event_type").alias("role")).agg(F.count("*").alias("n"))
     return counts.select("champion", "role", (F.col("n") / F.sum("n").over(Window.partitionBy("champion"))).alias("p"))
 
 
@@ -105,7 +106,7 @@ def _actions(spark, sf_dir):
         F.when(own, F.col("blue_team")).otherwise(F.col("red_team")).alias("team"), F.when(other, F.col("blue_team")).otherwise(F.col("red_team")).alias("opponent"), "action_type", "action_phase", "champion",
         F.array_union(F.array_union("picked_before", "banned_before"), "pool").alias("unavailable"),
         F.when(own, seq.prior("champion", pick & own, window)).otherwise(seq.prior("champion", pick & other, window)).alias("allies"),
-        F.when(own, seq.prior("champion", pick & other, window)).otherwise(seq.prior("champion", pick & own, window)).alias("enemies"), F.col("gameid"), F.col("side"),
+        F.when(own, seq.prior("champion", pick & other, window)).otherwise(seq.prior("champion", pick & own, window)).alias("enemies"), F.col("gameid"), F.col("side"), "date", (F.col("conflicts") == "").alias("legal"),
     )
 
 
@@ -124,48 +125,59 @@ def meta_gate(spark, sf_dir):
     return drafts.meta_gate(pairs, _priors(picks, ["league", "patch"]), ["league", "patch"], "champion", "c", "a").select("league", "patch", "c", "a", rounded("gate", 8).alias("gate"))
 
 
+#: Games from this date on are tested; priors, roles and pairs come from legal actions before it.
+_CUTOFF = "2024-01-20"
+
+
 def board(spark, sf_dir):
-    """Features of all actions, with priors of games before a date."""
+    """(legal actions, their features): earlier games teach all priors, an action's own type its shares."""
     from driftline.operators import versions as ver
 
-    actions = _actions(spark, sf_dir)
-    picks = actions.where("action_type = 'pick'").withColumns({"major": F.lit(15), "group": F.concat_ws("-", "gameid", "side")})
+    actions = _actions(spark, sf_dir).where("legal").withColumn("tested", F.col("date") >= F.lit(_CUTOFF).cast("timestamp"))
+    known = actions.where("NOT tested")
+    picks = known.where("action_type = 'pick'").withColumns({"major": F.lit(15), "group": F.concat_ws("-", "gameid", "side")})
     boosts = ver.pair_boosts(picks, ["patch"], "group", "champion").withColumnRenamed("patch", "version").select("a", "b", "version", "boost")
-    meta, comfort = _priors(picks, ["league", "patch"]), _priors(picks, ["team"], "comfort")
-    universe = picks.select("champion").distinct()
-    return drafts.board_features(actions, universe, meta, comfort, _priors(picks, ["team"]), _roles(spark, sf_dir), boosts, ver.season_boosts(picks, "major", "group", "champion"))
-
-
-@plans.query("board_features", f"""WITH {_ACTIONS}, {_META}, {_ROLES}, un AS (SELECT DISTINCT champion AS item FROM ac WHERE action_type = 'pick'),
-po AS (SELECT DISTINCT g.gameid, unnest(list_concat(h.bp, h.rp)) AS item FROM sg g JOIN sg h ON h.series_id = g.series_id AND (h.date, h.game, h.gameid) < (g.date, g.game, g.gameid)),
-la AS (SELECT ac.gameid, ac.action_number, action_type, action_phase, side, champion, user_id, game, 'l' || (user_id % 3) AS league, {_VERSION} AS patch, item FROM ac CROSS JOIN un WHERE item = champion OR (NOT EXISTS (SELECT 1 FROM po WHERE po.gameid = ac.gameid AND po.item = un.item) AND NOT EXISTS (SELECT 1 FROM ac b WHERE b.gameid = ac.gameid AND b.action_number < ac.action_number AND b.champion = un.item))),
-co AS (SELECT user_id, side, champion, n::DOUBLE / (sum(n) OVER (PARTITION BY user_id, side))::DOUBLE AS prior FROM (SELECT user_id, side, champion, count(*) AS n FROM ac WHERE action_type = 'pick' GROUP BY ALL)),
-pg AS (SELECT DISTINCT {_VERSION} AS patch, gameid, side, champion FROM ac WHERE action_type = 'pick'), ga AS (SELECT patch, champion, count(*) AS g FROM pg GROUP BY ALL), gs AS (SELECT champion, count(*) AS g FROM pg GROUP BY ALL),
+    meta, comfort = _priors(known, ["action_type", "league", "patch"]), _priors(known, ["action_type", "team"], "comfort")
+    roles = _roles(spark, sf_dir, F.col("ts") < F.lit(_CUTOFF).cast("timestamp_ntz"))
+    features = drafts.board_features(actions, known.select("champion").distinct(), meta, comfort, _priors(picks, ["team"]), roles, boosts, ver.season_boosts(picks, "major", "group", "champion"))
+    return actions, features.join(actions.select("action_id", "tested"), "action_id")
+
+
+@plans.query("board_features", f"""WITH {_ACTIONS}, po AS (SELECT DISTINCT g.gameid, unnest(list_concat(h.bp, h.rp)) AS item FROM sg g JOIN sg h ON h.series_id = g.series_id AND (h.date, h.game, h.gameid) < (g.date, g.game, g.gameid)),
+lg AS (SELECT *, 'l' || (user_id % 3) AS league, {_VERSION} AS patch FROM ac WHERE NOT EXISTS (SELECT 1 FROM po WHERE po.gameid = ac.gameid AND po.item = ac.champion) AND NOT EXISTS (SELECT 1 FROM ac b WHERE b.gameid = ac.gameid AND b.action_number < ac.action_number AND b.champion = ac.champion)),
+kn AS (SELECT * FROM lg WHERE date < '{_CUTOFF}'), un AS (SELECT DISTINCT champion AS item FROM kn),
+me AS (SELECT action_type, league, patch, champion, n::DOUBLE / (sum(n) OVER (PARTITION BY action_type, league, patch))::DOUBLE AS prior FROM (SELECT action_type, league, patch, champion, count(*) AS n FROM kn GROUP BY ALL)),
+ro AS (SELECT champion, event_type AS role, n::DOUBLE / (sum(n) OVER (PARTITION BY champion))::DOUBLE AS p FROM (SELECT 'c' || (event_id % 40) AS champion, event_type, count(*) AS n FROM events WHERE ts < '{_CUTOFF}' GROUP BY ALL)),
+la AS (SELECT ac.gameid, ac.action_number, action_type, action_phase, side, champion, user_id, game, league, patch, item FROM lg ac CROSS JOIN un WHERE item = champion OR (NOT EXISTS (SELECT 1 FROM po WHERE po.gameid = ac.gameid AND po.item = un.item) AND NOT EXISTS (SELECT 1 FROM ac b WHERE b.gameid = ac.gameid AND b.action_number < ac.action_number AND b.champion = un.item))),
+co AS (SELECT action_type, user_id, side, champion, n::DOUBLE / (sum(n) OVER (PARTITION BY action_type, user_id, side))::DOUBLE AS prior FROM (SELECT action_type, user_id, side, champion, count(*) AS n FROM kn GROUP BY ALL)),
+pg AS (SELECT DISTINCT patch, gameid, side, champion FROM kn WHERE action_type = 'pick'), ga AS (SELECT patch, champion, count(*) AS g FROM pg GROUP BY ALL), gs AS (SELECT champion, count(*) AS g FROM pg GROUP BY ALL),
 pp AS (SELECT x.patch, x.champion AS a, y.champion AS b, count(*) AS n FROM pg x JOIN pg y ON x.gameid = y.gameid AND x.side = y.side AND x.champion < y.champion GROUP BY ALL),
 bo AS (SELECT a, b, split_part(pp.patch, '.', 2)::INT AS hn, 15 AS hm, least(0.25, n::DOUBLE / least(p.g, q.g) * n / (n + 8)) AS boost FROM pp JOIN ga p ON p.patch = pp.patch AND p.champion = a JOIN ga q ON q.patch = pp.patch AND q.champion = b WHERE n >= 3),
-pk AS (SELECT league, patch, max(prior) AS peak FROM me GROUP BY ALL),
+mp AS (SELECT * FROM me WHERE action_type = 'pick'), pk AS (SELECT league, patch, max(prior) AS peak FROM mp GROUP BY ALL),
 al AS (SELECT DISTINCT l.gameid, l.action_number, l.item, b.champion AS ally, l.league, l.patch, split_part(l.patch, '.', 2)::INT AS tn FROM la l JOIN ac b ON b.gameid = l.gameid AND b.side = l.side AND b.action_number < l.action_number AND b.action_type = 'pick' WHERE l.action_type = 'pick'),
 bs AS (SELECT al.gameid, al.action_number, al.item, al.ally, al.league, al.patch, least(0.25, avg(boost * exp(-0.15 * (tn - hn)))) AS boost FROM al JOIN bo ON a = least(item, ally) AND b = greatest(item, ally) AND hn <= tn AND tn - hn <= 4 GROUP BY ALL),
-tg AS (SELECT bs.gameid, bs.action_number, bs.item, sum(boost * CASE WHEN peak > 0 THEN sqrt(least(1.0, coalesce(x.prior, 0) / peak) * least(1.0, coalesce(y.prior, 0) / peak)) ELSE 1 END) AS target FROM bs LEFT JOIN pk USING (league, patch) LEFT JOIN me x ON x.league = bs.league AND x.patch = bs.patch AND x.champion = item LEFT JOIN me y ON y.league = bs.league AND y.patch = bs.patch AND y.champion = ally GROUP BY ALL),
+tg AS (SELECT bs.gameid, bs.action_number, bs.item, sum(boost * CASE WHEN peak > 0 THEN sqrt(least(1.0, coalesce(x.prior, 0) / peak) * least(1.0, coalesce(y.prior, 0) / peak)) ELSE 1 END) AS target FROM bs LEFT JOIN pk USING (league, patch) LEFT JOIN mp x ON x.league = bs.league AND x.patch = bs.patch AND x.champion = item LEFT JOIN mp y ON y.league = bs.league AND y.patch = bs.patch AND y.champion = ally GROUP BY ALL),
 en AS (SELECT DISTINCT a.gameid, a.action_number, b.champion FROM ac a JOIN ac b ON b.gameid = a.gameid AND b.side <> a.side AND b.action_number < a.action_number AND b.action_type = 'pick' WHERE a.action_phase = 'ban2'), fi AS (SELECT gameid, action_number, role, product(1 - p) AS unfilled FROM en JOIN ro USING (champion) GROUP BY ALL),
 op AS (SELECT a.gameid, a.action_number, ro.champion AS item, greatest(0.05, least(1.0, sum(p * coalesce(unfilled, 1)))) AS open FROM (SELECT DISTINCT gameid, action_number FROM en) a CROSS JOIN ro LEFT JOIN fi ON fi.gameid = a.gameid AND fi.action_number = a.action_number AND fi.role = ro.role GROUP BY ALL)
 SELECT la.gameid * 20 + la.action_number - 1 AS action_id, la.item, la.item = la.champion AS chosen, round_even(coalesce(me.prior, 0.001), 8) AS meta, round_even(coalesce(co.prior, 0), 8) AS comfort,
  round_even(CASE WHEN la.action_type = 'pick' THEN coalesce(tg.target, 0) ELSE coalesce(ot.prior, 0) * CASE WHEN la.action_phase = 'ban2' THEN coalesce(op.open, 1) ELSE 1 END END, 8) AS target, round_even(coalesce(me.prior, 0.001) * CASE WHEN la.action_phase IN ('pick1', 'ban1') THEN 1 ELSE 0.8 END, 8) AS phase
-FROM la LEFT JOIN me ON me.league = la.league AND me.patch = la.patch AND me.champion = la.item LEFT JOIN co ON co.user_id = la.user_id AND co.side = la.side AND co.champion = la.item LEFT JOIN co ot ON ot.user_id = la.user_id AND ot.side <> la.side AND ot.champion = la.item
+FROM la LEFT JOIN me ON me.action_type = la.action_type AND me.league = la.league AND me.patch = la.patch AND me.champion = la.item LEFT JOIN co ON co.action_type = la.action_type AND co.user_id = la.user_id AND co.side = la.side AND co.champion = la.item LEFT JOIN co ot ON ot.action_type = 'pick' AND ot.user_id = la.user_id AND ot.side <> la.side AND ot.champion = la.item
  LEFT JOIN tg ON tg.gameid = la.gameid AND tg.action_number = la.action_number AND tg.item = la.item LEFT JOIN op ON op.gameid = la.gameid AND op.action_number = la.action_number AND op.item = la.item""")
 def board_features(spark, sf_dir):
-    return board(spark, sf_dir).select("action_id", "item", "chosen", *(rounded(c, 8).alias(c) for c in ("meta", "comfort", "target", "phase")))
+    return board(spark, sf_dir)[1].select("action_id", "item", "chosen", *(rounded(c, 8).alias(c) for c in ("meta", "comfort", "target", "phase")))
 
 
 @plans.query("board_ranker")
 def board_ranker(spark, sf_dir):
-    """Weights fitted on even games and rank metrics on odd ones, for picks."""
-    features = board(spark, sf_dir).where("action_type = 'pick'")
-    even = F.floor(F.col("action_id") / 20) % 2 == 0
-    weights = drafts.fit_board(features.where(even))
-    ranked = drafts.score_board(features.where(~even), weights).where("chosen")
-    found = models.rank_metrics(ranked, "rank", "probability")
-    return found.select(*found.columns, *(F.lit(float(w)).alias(f"w_{c}") for c, w in zip(drafts.BOARD_FEATURES, weights, strict=True)))
+    """For picks and for bans: weights fitted on earlier games, and rank metrics on later ones."""
+    actions, features = board(spark, sf_dir)
+    found = []
+    for kind in ("pick", "ban"):
+        of_kind = features.where(F.col("action_type") == kind)
+        weights = drafts.fit_board(of_kind.where("NOT tested"))
+        metrics = drafts.evaluate_board(actions.where((F.col("action_type") == kind) & F.col("tested")), of_kind.where("tested"), weights)
+        found.append(metrics.select(F.lit(kind).alias("action_type"), *metrics.columns, *(F.lit(float(w)).alias(f"w_{c}") for c, w in zip(drafts.BOARD_FEATURES, weights, strict=True))))
+    return found[0].unionByName(found[1])
 
 
 _TAGS = "tg AS (SELECT DISTINCT 'tag' || (p_size % 5) AS tag, p_brand AS item FROM part WHERE p_size <= 10)"
