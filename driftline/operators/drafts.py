@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.operators import models
-from driftline.operators.versions import boost_lookup
 
 # Synergy of anchor pairs that no taxonomy names.
 ANCHOR_SYNERGY = 1.35
@@ -81,7 +82,7 @@ def pair_priority(pairs: DataFrame, synergies: DataFrame, anchors: DataFrame, ti
     return out.withColumn("priority", F.bround(base * F.col(tier_a) * F.col(tier_b) * F.col(comfort), 4)).drop("_x", "_y", "_score", "_anchor")
 
 
-def board_features(actions: DataFrame, universe: DataFrame, meta: DataFrame, comfort: DataFrame, opponents: DataFrame, roles: DataFrame, boosts: DataFrame, seasons: DataFrame, action: str = "action_id") -> DataFrame:
+def board_features(actions: DataFrame, universe: DataFrame, meta: DataFrame, comfort: DataFrame, opponents: DataFrame, roles: DataFrame, strength: Callable[[DataFrame], DataFrame] | None, action: str = "action_id", keys: tuple[str, ...] = ()) -> DataFrame:
     """Each action with every legal item, whether it was chosen, and the five features of a board state.
 
     actions: action, league, patch, team, opponent, action_type, action_phase, champion,
@@ -89,22 +90,25 @@ def board_features(actions: DataFrame, universe: DataFrame, meta: DataFrame, com
     (action_type, team, champion, comfort) hold each type's own shares; opponents (team, champion,
     prior) those of the picks.  An unavailable item is left out unless it was chosen.  Pick
     targets are pair boosts with allies behind the patch gate of the picks; ban targets are the
-    opponent's picks times the open role in the second ban phase.
+    opponent's picks times the open role in the second ban phase.  ``strength`` adds boost to
+    distinct (a, b, target version) and the actions' columns ``keys``; without it pairs count nothing.
     """
     legal = actions.crossJoin(universe.select(F.col("champion").alias("item")))
     legal = legal.where(~F.coalesce(F.array_contains("unavailable", F.col("item")), F.lit(False)) | (F.col("item") == F.col("champion")))
     base = legal.select(action, "league", "patch", "team", "opponent", "action_type", "action_phase", "item", (F.col("item") == F.col("champion")).alias("chosen"))
     base = base.join(meta.withColumnRenamed("champion", "item"), ["action_type", "league", "patch", "item"], "left").join(comfort.withColumnRenamed("champion", "item"), ["action_type", "team", "item"], "left")
-    pairs = actions.where("action_type = 'pick'").select(action, "league", "patch", F.explode(F.array_distinct("allies")).alias("ally"))
-    pairs = pairs.join(base.where("action_type = 'pick'").select(action, "item"), action)
-    a, b = F.least("item", "ally"), F.greatest("item", "ally")
-    pairs = pairs.withColumns({"a": a, "b": b, "target": F.col("patch")})
-    strength = boost_lookup(pairs.select("a", "b", "target").distinct(), boosts, seasons)
-    gated = meta_gate(pairs.join(strength, ["a", "b", "target"]), meta.where("action_type = 'pick'").drop("action_type"), ["league", "patch"], "champion", "item", "ally")
-    ally = gated.groupBy(action, "item").agg(F.sum(F.col("boost") * F.col("gate")).alias("_ally"))
+    ally = None
+    if strength is not None:
+        pairs = actions.where("action_type = 'pick'").select(action, "league", "patch", *keys, F.explode(F.array_distinct("allies")).alias("ally"))
+        pairs = pairs.join(base.where("action_type = 'pick'").select(action, "item"), action)
+        pairs = pairs.withColumns({"a": F.least("item", "ally"), "b": F.greatest("item", "ally"), "target": F.col("patch")})
+        known = strength(pairs.select("a", "b", "target", *keys).distinct())
+        gated = meta_gate(pairs.join(known, ["a", "b", "target", *keys]), meta.where("action_type = 'pick'").drop("action_type"), ["league", "patch"], "champion", "item", "ally")
+        ally = gated.groupBy(action, "item").agg(F.sum(F.col("boost") * F.col("gate")).alias("_ally"))
     second = actions.where("action_type = 'ban' AND action_phase = 'ban2'")
     opened = role_open(second.select(action, "enemies"), base.join(second.select(action), action, "left_semi").select(action, F.col("item").alias("champion")), roles, [action], "enemies", "champion")
-    out = base.join(ally, [action, "item"], "left").join(opened.select(action, F.col("champion").alias("item"), "open"), [action, "item"], "left")
+    out = base.withColumn("_ally", F.lit(0.0)) if ally is None else base.join(ally, [action, "item"], "left")
+    out = out.join(opened.select(action, F.col("champion").alias("item"), "open"), [action, "item"], "left")
     out = out.join(opponents.select(F.col("team").alias("opponent"), F.col("champion").alias("item"), F.col("prior").alias("_opp")), ["opponent", "item"], "left")
     seen = F.coalesce("prior", F.lit(UNSEEN))
     target = F.when(F.col("action_type") == "pick", F.coalesce("_ally", F.lit(0.0))).otherwise(F.coalesce("_opp", F.lit(0.0)) * F.coalesce("open", F.lit(1.0)))
@@ -124,7 +128,8 @@ def score_board(features: DataFrame, weights, action: str = "action_id") -> Data
     window = Window.partitionBy(action)
     df = features.withColumn("_z", z).withColumn("_e", F.exp(F.col("_z") - F.max("_z").over(window)))
     df = df.withColumn("probability", F.col("_e") / F.sum("_e").over(window))
-    return df.withColumn("rank", F.row_number().over(window.orderBy(F.col("probability").desc(), "item"))).drop("_z", "_e")
+    # sums in another order differ in their last digits, which must not settle ties
+    return df.withColumn("rank", F.row_number().over(window.orderBy(F.bround("probability", 9).desc(), "item"))).drop("_z", "_e")
 
 
 def evaluate_board(actions: DataFrame, features: DataFrame, weights, action: str = "action_id") -> DataFrame:

@@ -66,19 +66,20 @@ def candidate_scores(df: DataFrame, keys: list[str], weights: tuple[float, float
     return df.withColumn("bonus", F.col("base_pick_probability") * F.col("availability") * F.col("expected_points") * (F.col("multiplier") - 1))
 
 
-def teammate_synergy(df: DataFrame, boosts: DataFrame, keys: list[str], player: str, item: str, probability: str, rounds: int = 2, cap: float = 0.35) -> DataFrame:
+def teammate_synergy(df: DataFrame, boosts: DataFrame, keys: list[str], player: str, item: str, probability: str, rounds: int = 2, cap: float = 0.35, pair_keys: tuple[str, ...] = ()) -> DataFrame:
     """Moves pick probabilities towards items that go with teammates' likely items.
 
     Every round uses the last round's probabilities of all teammates; boosts holds
-    (a, b, boost) with a < b.  A player's teammates enter as the team's sum of an item
-    less the player's own, so no pairs of players are formed.
+    (a, b, boost) with a < b, and those of the keys (a week, say) that it differs by.  A
+    player's teammates enter as the team's sum of an item less the player's own, so no
+    pairs of players are formed.
     """
-    both = boosts.unionByName(boosts.select(F.col("b").alias("a"), F.col("a").alias("b"), "boost"))
+    both = boosts.unionByName(boosts.select(*pair_keys, F.col("b").alias("a"), F.col("a").alias("b"), "boost"))
     df = df.withColumn("p", F.col(probability))
     for _ in range(rounds):
         team = df.groupBy(*keys, F.col(item).alias("b")).agg(F.sum("p").alias("_team"))
         own = df.select(*keys, player, F.col(item).alias("b"), F.col("p").alias("_own"))
-        met = df.select(*keys, player, item).join(both.withColumnRenamed("a", item), item).join(team, [*keys, "b"]).join(own, [*keys, player, "b"], "left")
+        met = df.select(*keys, player, item).join(both.withColumnRenamed("a", item), [item, *pair_keys]).join(team, [*keys, "b"]).join(own, [*keys, player, "b"], "left")
         expected = F.sum(F.col("boost") * (F.col("_team") - F.coalesce("_own", F.lit(0.0))))
         synergy = met.groupBy(*keys, player, item).agg(F.least(F.lit(cap), expected).alias("_synergy"))
         df = df.drop("synergy").join(synergy, [*keys, player, item], "left").withColumn("synergy", F.coalesce("_synergy", F.lit(0.0))).drop("_synergy")

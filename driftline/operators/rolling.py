@@ -71,6 +71,12 @@ def realized_bonus(choices: DataFrame, played: DataFrame, keys: list[str], item:
     return out.withColumn("realized", F.coalesce("_points", F.lit(0.0)) * (F.col(multiplier) - 1) / F.greatest(F.lit(1), F.col(games))).drop("_points")
 
 
+def value_choices(candidates: DataFrame, keys: list[str], item: str, probability: str, bonus: str, carry: list[str]) -> DataFrame:
+    """The item of each target with the greatest expected bonus (of equal ones the likelier, then the first by name)."""
+    order = Window.partitionBy(*keys).orderBy(F.bround(bonus, 9).desc(), F.bround(probability, 9).desc(), item)
+    return candidates.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*keys, item, *carry)
+
+
 def summary(choices: DataFrame, keys: list[str], columns: dict[str, Column], digits: int = 4) -> DataFrame:
     """Number of choices and rounded means of some columns."""
     return choices.groupBy(*keys).agg(F.count("*").alias("targets"), *(F.bround(F.avg(c.cast("double")), digits).alias(n) for n, c in columns.items()))

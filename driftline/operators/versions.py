@@ -77,21 +77,23 @@ def season_boosts(df: DataFrame, major: str, group: str, item: str, cap: float =
     return pair_boosts(df, [major], group, item).select(major, "a", "b", F.least(F.lit(cap), part * F.col("boost")).alias("boost"))
 
 
-def boost_lookup(wanted: DataFrame, boosts: DataFrame, seasons: DataFrame, rate: float = 0.15, reach: int = 4, cap: float = 0.25) -> DataFrame:
+def boost_lookup(wanted: DataFrame, boosts: DataFrame, seasons: DataFrame, rate: float = 0.15, reach: int = 4, cap: float = 0.25, keys: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, target, boost) of pairs (a, b, target).
 
     Boosts (a, b, version, boost) of versions of the target's season, up to the target and
     within reach, are decayed and averaged over the number of these versions; without any,
     the latest earlier season (a, b, major, boost) counts, halved for each season between.
+    All tables may have further keys in common, as the week that a model is of.
     """
     (tm, tn), (vm, vn) = parse(F.col("target")), parse(F.col("version"))
+    pair, key = ["a", "b", *keys], ["a", "b", "target", *keys]
     near = (tm == vm) & (vn <= tn) & (tn - vn <= reach)
     w = decay(distance(F.col("target"), F.col("version")), rate)
-    now = wanted.join(boosts, ["a", "b"]).where(near).groupBy("a", "b", "target").agg(F.least(F.lit(cap), F.avg(w * F.col("boost"))).alias("now"))
+    now = wanted.join(boosts, pair).where(near).groupBy(*key).agg(F.least(F.lit(cap), F.avg(w * F.col("boost"))).alias("now"))
     gap = F.pow(F.lit(0.5), F.greatest(F.lit(0), F.max(tm) - F.max("major") - 1))
-    old = wanted.join(seasons, ["a", "b"]).where(F.col("major") < tm).groupBy("a", "b", "target").agg((F.max_by("boost", "major") * gap).alias("old"))
-    found = wanted.join(now, ["a", "b", "target"], "left").join(old, ["a", "b", "target"], "left")
-    return found.select("a", "b", "target", F.coalesce("now", "old", F.lit(0.0)).alias("boost"))
+    old = wanted.join(seasons, pair).where(F.col("major") < tm).groupBy(*key).agg((F.max_by("boost", "major") * gap).alias("old"))
+    found = wanted.join(now, key, "left").join(old, key, "left")
+    return found.select(*key, F.coalesce("now", "old", F.lit(0.0)).alias("boost"))
 
 
 def duos(df: DataFrame, keys: list[str], role: str, first: str, second: str, item: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import drafts, models, rolling
+from driftline.operators import drafts, rolling, walkforward
 from driftline.operators import sequences as seq
 from driftline.plans.base import Plans, micros, rounded, table
 
@@ -129,31 +129,42 @@ def meta_gate(spark, sf_dir):
 _CUTOFF = "2024-01-20"
 
 
-def board(spark, sf_dir):
-    """(legal actions, their features): earlier games teach all priors, an action's own type its shares."""
-    from driftline.operators import versions as ver
-
+def _earlier(spark, sf_dir):
+    """Legal actions, and what earlier games say: (actions, universe, meta, comfort, opponents, roles, picks)."""
     actions = _actions(spark, sf_dir).where("legal").withColumn("tested", F.col("date") >= F.lit(_CUTOFF).cast("timestamp"))
     known = actions.where("NOT tested")
     picks = known.where("action_type = 'pick'").withColumns({"major": F.lit(15), "group": F.concat_ws("-", "gameid", "side")})
-    boosts = ver.pair_boosts(picks, ["patch"], "group", "champion").withColumnRenamed("patch", "version").select("a", "b", "version", "boost")
     meta, comfort = _priors(known, ["action_type", "league", "patch"]), _priors(known, ["action_type", "team"], "comfort")
     roles = _roles(spark, sf_dir, F.col("ts") < F.lit(_CUTOFF).cast("timestamp_ntz"))
-    features = drafts.board_features(actions, known.select("champion").distinct(), meta, comfort, _priors(picks, ["team"]), roles, boosts, ver.season_boosts(picks, "major", "group", "champion"))
+    return actions, known.select("champion").distinct(), meta, comfort, _priors(picks, ["team"]), roles, picks
+
+
+def board(spark, sf_dir):
+    """(legal actions, their features): earlier games teach all priors, an action's own type its shares."""
+    from driftline.operators import versions as ver
+
+    actions, *priors, picks = _earlier(spark, sf_dir)
+    boosts = ver.pair_boosts(picks, ["patch"], "group", "champion").withColumnRenamed("patch", "version").select("a", "b", "version", "boost")
+    seasons = ver.season_boosts(picks, "major", "group", "champion")
+    features = drafts.board_features(actions, *priors, lambda wanted: ver.boost_lookup(wanted, boosts, seasons))
     return actions, features.join(actions.select("action_id", "tested"), "action_id")
 
 
-@plans.query("board_features", f"""WITH {_ACTIONS}, po AS (SELECT DISTINCT g.gameid, unnest(list_concat(h.bp, h.rp)) AS item FROM sg g JOIN sg h ON h.series_id = g.series_id AND (h.date, h.game, h.gameid) < (g.date, g.game, g.gameid)),
+_BOARD = f"""po AS (SELECT DISTINCT g.gameid, unnest(list_concat(h.bp, h.rp)) AS item FROM sg g JOIN sg h ON h.series_id = g.series_id AND (h.date, h.game, h.gameid) < (g.date, g.game, g.gameid)),
 lg AS (SELECT *, 'l' || (user_id % 3) AS league, {_VERSION} AS patch FROM ac WHERE NOT EXISTS (SELECT 1 FROM po WHERE po.gameid = ac.gameid AND po.item = ac.champion) AND NOT EXISTS (SELECT 1 FROM ac b WHERE b.gameid = ac.gameid AND b.action_number < ac.action_number AND b.champion = ac.champion)),
 kn AS (SELECT * FROM lg WHERE date < '{_CUTOFF}'), un AS (SELECT DISTINCT champion AS item FROM kn),
 me AS (SELECT action_type, league, patch, champion, n::DOUBLE / (sum(n) OVER (PARTITION BY action_type, league, patch))::DOUBLE AS prior FROM (SELECT action_type, league, patch, champion, count(*) AS n FROM kn GROUP BY ALL)),
 ro AS (SELECT champion, event_type AS role, n::DOUBLE / (sum(n) OVER (PARTITION BY champion))::DOUBLE AS p FROM (SELECT 'c' || (event_id % 40) AS champion, event_type, count(*) AS n FROM events WHERE ts < '{_CUTOFF}' GROUP BY ALL)),
-la AS (SELECT ac.gameid, ac.action_number, action_type, action_phase, side, champion, user_id, game, league, patch, item FROM lg ac CROSS JOIN un WHERE item = champion OR (NOT EXISTS (SELECT 1 FROM po WHERE po.gameid = ac.gameid AND po.item = un.item) AND NOT EXISTS (SELECT 1 FROM ac b WHERE b.gameid = ac.gameid AND b.action_number < ac.action_number AND b.champion = un.item))),
-co AS (SELECT action_type, user_id, side, champion, n::DOUBLE / (sum(n) OVER (PARTITION BY action_type, user_id, side))::DOUBLE AS prior FROM (SELECT action_type, user_id, side, champion, count(*) AS n FROM kn GROUP BY ALL)),
+la AS (SELECT ac.gameid, ac.action_number, action_type, action_phase, side, champion, user_id, game, date, league, patch, item FROM lg ac CROSS JOIN un WHERE item = champion OR (NOT EXISTS (SELECT 1 FROM po WHERE po.gameid = ac.gameid AND po.item = un.item) AND NOT EXISTS (SELECT 1 FROM ac b WHERE b.gameid = ac.gameid AND b.action_number < ac.action_number AND b.champion = un.item))),
+co AS (SELECT action_type, user_id, side, champion, n::DOUBLE / (sum(n) OVER (PARTITION BY action_type, user_id, side))::DOUBLE AS prior FROM (SELECT action_type, user_id, side, champion, count(*) AS n FROM kn GROUP BY ALL))"""
+_GATE = "mp AS (SELECT * FROM me WHERE action_type = 'pick'), pk AS (SELECT league, patch, max(prior) AS peak FROM mp GROUP BY ALL)"
+
+
+@plans.query("board_features", f"""WITH {_ACTIONS}, {_BOARD},
 pg AS (SELECT DISTINCT patch, gameid, side, champion FROM kn WHERE action_type = 'pick'), ga AS (SELECT patch, champion, count(*) AS g FROM pg GROUP BY ALL), gs AS (SELECT champion, count(*) AS g FROM pg GROUP BY ALL),
 pp AS (SELECT x.patch, x.champion AS a, y.champion AS b, count(*) AS n FROM pg x JOIN pg y ON x.gameid = y.gameid AND x.side = y.side AND x.champion < y.champion GROUP BY ALL),
 bo AS (SELECT a, b, split_part(pp.patch, '.', 2)::INT AS hn, 15 AS hm, least(0.25, n::DOUBLE / least(p.g, q.g) * n / (n + 8)) AS boost FROM pp JOIN ga p ON p.patch = pp.patch AND p.champion = a JOIN ga q ON q.patch = pp.patch AND q.champion = b WHERE n >= 3),
-mp AS (SELECT * FROM me WHERE action_type = 'pick'), pk AS (SELECT league, patch, max(prior) AS peak FROM mp GROUP BY ALL),
+{_GATE},
 al AS (SELECT DISTINCT l.gameid, l.action_number, l.item, b.champion AS ally, l.league, l.patch, split_part(l.patch, '.', 2)::INT AS tn FROM la l JOIN ac b ON b.gameid = l.gameid AND b.side = l.side AND b.action_number < l.action_number AND b.action_type = 'pick' WHERE l.action_type = 'pick'),
 bs AS (SELECT al.gameid, al.action_number, al.item, al.ally, al.league, al.patch, least(0.25, avg(boost * exp(-0.15 * (tn - hn)))) AS boost FROM al JOIN bo ON a = least(item, ally) AND b = greatest(item, ally) AND hn <= tn AND tn - hn <= 4 GROUP BY ALL),
 tg AS (SELECT bs.gameid, bs.action_number, bs.item, sum(boost * CASE WHEN peak > 0 THEN sqrt(least(1.0, coalesce(x.prior, 0) / peak) * least(1.0, coalesce(y.prior, 0) / peak)) ELSE 1 END) AS target FROM bs LEFT JOIN pk USING (league, patch) LEFT JOIN mp x ON x.league = bs.league AND x.patch = bs.patch AND x.champion = item LEFT JOIN mp y ON y.league = bs.league AND y.patch = bs.patch AND y.champion = ally GROUP BY ALL),
@@ -180,6 +191,52 @@ def board_ranker(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+def _walk_forward(spark, sf_dir, pairs: bool):
+    """(tested picks, features of all picks) with pair strengths of the picks before each tested week, and of all earlier games for those."""
+    actions, *priors, _ = _earlier(spark, sf_dir)
+    actions = actions.where("action_type = 'pick'").withColumn("time", F.unix_micros("date"))
+    locked = F.unix_micros(F.lit(_CUTOFF).cast("timestamp"))
+    actions = actions.withColumn("week", F.when(F.col("tested"), walkforward.week_start(F.col("time"))).otherwise(locked))
+    picks = actions.select(F.col("patch").alias("version"), F.concat_ws("-", "gameid", "side").alias("group"), "champion", "time")
+    strength = walkforward.pair_strength(picks, "group", "champion", "time") if pairs else None
+    features = drafts.board_features(actions, *priors, strength, keys=("week",))
+    return actions.where("tested"), features.join(actions.select("action_id", "tested"), "action_id")
+
+
+_METRICS = ["targets", "top1", "top5", "mrr", "log_loss"]
+
+
+@plans.query("pair_ablation", f"""WITH {_ACTIONS}, {_BOARD}, {_GATE}, wk AS (SELECT DISTINCT date_trunc('week', date) AS week FROM lg WHERE action_type = 'pick' AND date >= '{_CUTOFF}'), pg AS (SELECT DISTINCT patch, gameid, side, champion, date FROM lg WHERE action_type = 'pick'),
+ga AS (SELECT week, patch, champion, count(*) AS g FROM wk JOIN pg ON pg.date < week GROUP BY ALL), pp AS (SELECT week, x.patch, x.champion AS a, y.champion AS b, count(*) AS n FROM wk JOIN pg x ON x.date < week JOIN pg y ON x.gameid = y.gameid AND x.side = y.side AND x.champion < y.champion GROUP BY ALL),
+bo AS (SELECT pp.week, a, b, split_part(pp.patch, '.', 2)::INT AS hn, least(0.25, n::DOUBLE / least(p.g, q.g) * n / (n + 8)) AS boost FROM pp JOIN ga p ON p.week = pp.week AND p.patch = pp.patch AND p.champion = a JOIN ga q ON q.week = pp.week AND q.patch = pp.patch AND q.champion = b WHERE n >= 3),
+te AS (SELECT *, date_trunc('week', date) AS week FROM la WHERE action_type = 'pick' AND date >= '{_CUTOFF}'),
+al AS (SELECT DISTINCT l.gameid, l.action_number, l.item, b.champion AS ally, l.league, l.patch, l.week, split_part(l.patch, '.', 2)::INT AS tn FROM te l JOIN ac b ON b.gameid = l.gameid AND b.side = l.side AND b.action_number < l.action_number AND b.action_type = 'pick'),
+bs AS (SELECT al.gameid, al.action_number, al.item, al.ally, al.league, al.patch, least(0.25, avg(boost * exp(-0.15 * (tn - hn)))) AS boost FROM al JOIN bo ON bo.week = al.week AND a = least(item, ally) AND b = greatest(item, ally) AND hn <= tn AND tn - hn <= 4 GROUP BY ALL),
+tg AS (SELECT bs.gameid, bs.action_number, bs.item, sum(boost * CASE WHEN peak > 0 THEN sqrt(least(1.0, coalesce(x.prior, 0) / peak) * least(1.0, coalesce(y.prior, 0) / peak)) ELSE 1 END) AS target FROM bs LEFT JOIN pk USING (league, patch) LEFT JOIN mp x ON x.league = bs.league AND x.patch = bs.patch AND x.champion = item LEFT JOIN mp y ON y.league = bs.league AND y.patch = bs.patch AND y.champion = ally GROUP BY ALL),
+sc AS (SELECT te.gameid, te.action_number, te.item, te.item = te.champion AS chosen, variant, 2.5 * coalesce(mp.prior, 0.001) + 1.8 * coalesce(co.prior, 0) + 0.8 * coalesce(mp.prior, 0.001) * CASE WHEN te.action_phase = 'pick1' THEN 1 ELSE 0.8 END + CASE WHEN variant = 'with' THEN 1.2 * coalesce(tg.target, 0) ELSE 0 END AS z
+ FROM te CROSS JOIN (VALUES ('with'), ('without')) v(variant) LEFT JOIN mp ON mp.league = te.league AND mp.patch = te.patch AND mp.champion = te.item LEFT JOIN co ON co.action_type = 'pick' AND co.user_id = te.user_id AND co.side = te.side AND co.champion = te.item LEFT JOIN tg ON tg.gameid = te.gameid AND tg.action_number = te.action_number AND tg.item = te.item),
+pr AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY variant, gameid, action_number) AS p FROM sc), rk AS (SELECT *, row_number() OVER (PARTITION BY variant, gameid, action_number ORDER BY round_even(p, 9) DESC, item) AS r FROM pr),
+mt AS (SELECT variant, count(*)::DOUBLE AS targets, avg((r <= 1)::INT) AS top1, avg((r <= 5)::INT) AS top5, avg(1.0 / r) AS mrr, avg(-ln(p)) AS log_loss FROM rk WHERE chosen GROUP BY 1)
+SELECT variant, {', '.join(f'round_even({c}, 6) AS {c}' for c in _METRICS)} FROM (SELECT * FROM mt UNION ALL SELECT 'difference', {', '.join(f'x.{c} - y.{c}' for c in _METRICS)} FROM mt x, mt y WHERE x.variant = 'with' AND y.variant = 'without')""")
+def pair_ablation(spark, sf_dir):
+    """What pair strengths, known before each week, add to the ranks of later picks, at the start weights."""
+    found = []
+    for pairs in (True, False):
+        tested, features = _walk_forward(spark, sf_dir, pairs)
+        found.append(drafts.evaluate_board(tested, features.where("tested"), drafts.BOARD_START))
+    return walkforward.deltas(*found, _METRICS)
+
+
+@plans.query("pair_ablation_fitted")
+def pair_ablation_fitted(spark, sf_dir):
+    """The same with weights fitted on earlier picks, once with pairs and once without."""
+    found = []
+    for pairs in (True, False):
+        tested, features = _walk_forward(spark, sf_dir, pairs)
+        found.append(drafts.evaluate_board(tested, features.where("tested"), drafts.fit_board(features.where("NOT tested"))))
+    return walkforward.deltas(*found, _METRICS)
+
+
 _TAGS = "tg AS (SELECT DISTINCT 'tag' || (p_size % 5) AS tag, p_brand AS item FROM part WHERE p_size <= 10)"
 _RULES = "ru AS (SELECT s_suppkey AS rule, 'S' || s_suppkey AS counter, 'm' || (s_suppkey % 4) AS mechanism, (s_suppkey % 3)::DOUBLE AS severity, ['Brand#' || (s_suppkey % 5 + 1) || '1', 'brand#' || (s_suppkey % 5 + 1) || '2'] AS targets, CASE WHEN s_suppkey % 2 = 0 THEN 'tag' || (s_suppkey % 7) END AS target_tag FROM supplier)"
 
@@ -247,6 +304,65 @@ def rolling_hits(spark, sf_dir):
     return rolling.hits(ranked, targets, "key", "event_type", "actual").select("key.user_id", "key.week", F.array_join("predicted", ",").alias("predicted"), "hit_1", "hit_3")
 
 
+# What each item multiplies points by.
+_MULTIPLIERS = {"click": 1.3, "error": 1.4, "purchase": 1.5, "signup": 1.6, "view": 1.7}
+_PATCH = "'15.' || (1 + ({}::DATE - DATE '2024-01-01') // 6)"
+
+
+def _expected(source: str, number: int) -> str:
+    """SQL of a round of teammates' expectations."""
+    return f"""x{number} AS (SELECT c.team, c.player, c.week, c.item, any_value(c.p0) AS p0, least(0.35, coalesce(sum(bw.boost * m.p), 0)) AS s FROM {source} c LEFT JOIN bw ON bw.week = c.week AND bw.a = c.item LEFT JOIN {source} m ON m.team = c.team AND m.week = c.week AND m.player <> c.player AND m.item = bw.b GROUP BY c.team, c.player, c.week, c.item),
+c{number} AS (SELECT team, player, week, item, p0, p0 * (1 + s) / sum(p0 * (1 + s)) OVER (PARTITION BY team, player, week) AS p FROM x{number})"""
+
+
+_PRE_METRICS = ["targets", "top1", "top3", "realized"]
+_CASES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _MULTIPLIERS.items())
+
+
+@plans.query("predraft_ablation", f"""WITH {_SCORES}, pi AS (SELECT DISTINCT user_id % 30 AS team, ts::DATE AS day, {_PATCH.format('ts')} AS patch, event_type AS item FROM events), wk AS (SELECT DISTINCT week, 1 + (week::DATE - DATE '2024-01-01') // 6 AS tn FROM tt),
+ga AS (SELECT week, patch, item, count(*) AS g FROM wk JOIN pi ON day < week GROUP BY ALL), pp AS (SELECT week, tn, x.patch, x.item AS a, y.item AS b, count(*) AS n FROM wk JOIN pi x ON x.day < week JOIN pi y ON x.team = y.team AND x.day = y.day AND x.item < y.item GROUP BY ALL),
+bo AS (SELECT pp.week, tn, a, b, split_part(pp.patch, '.', 2)::INT AS hn, least(0.25, n::DOUBLE / least(p.g, q.g) * n / (n + 8)) AS boost FROM pp JOIN ga p ON p.week = pp.week AND p.patch = pp.patch AND p.item = a JOIN ga q ON q.week = pp.week AND q.patch = pp.patch AND q.item = b WHERE n >= 3),
+bs AS (SELECT week, a, b, least(0.25, avg(boost * exp(-0.15 * (tn - hn)))) AS boost FROM bo WHERE hn <= tn AND tn - hn <= 4 GROUP BY ALL), bw AS (SELECT week, a, b, boost FROM bs UNION ALL SELECT week, b, a, boost FROM bs),
+c0 AS (SELECT user_id % 30 AS team, user_id AS player, week, item, score AS p0, score AS p FROM rk WHERE (user_id % 30, week) IN (SELECT (team, week) FROM (SELECT DISTINCT user_id % 30 AS team, week, user_id FROM rk) GROUP BY team, week HAVING count(*) >= 2)), {_expected('c0', 1)}, {_expected('c1', 2)},
+al AS (SELECT 'without' AS variant, player, week, item, p0 AS p FROM c0 UNION ALL SELECT 'with', player, week, item, p FROM c2), ra AS (SELECT *, CASE item {_CASES} END AS mu, row_number() OVER (PARTITION BY variant, player, week ORDER BY round_even(p, 9) DESC, item) AS r FROM al),
+va AS (SELECT *, row_number() OVER (PARTITION BY variant, player, week ORDER BY round_even(p * (mu - 1), 9) DESC, round_even(p, 9) DESC, item) AS v FROM ra),
+pl AS (SELECT user_id AS player, date_trunc('week', ts) AS week, event_type AS item, sum(value) AS points, count(*) AS n FROM events GROUP BY ALL), gm AS (SELECT player, week, sum(n) AS games FROM pl GROUP BY ALL),
+pe AS (SELECT variant, va.player, va.week, max((r = 1 AND list_contains(actual, va.item))::INT) AS hit1, max((r <= 3 AND list_contains(actual, va.item))::INT) AS hit3, sum(CASE WHEN v = 1 THEN coalesce(points, 0) * (mu - 1) / games ELSE 0 END) AS realized FROM va JOIN tt ON tt.user_id = va.player AND tt.week = va.week JOIN gm ON gm.player = va.player AND gm.week = va.week LEFT JOIN pl ON pl.player = va.player AND pl.week = va.week AND pl.item = va.item GROUP BY ALL),
+mt AS (SELECT variant, count(*)::DOUBLE AS targets, avg(hit1) AS top1, avg(hit3) AS top3, avg(realized) AS realized FROM pe GROUP BY 1)
+SELECT variant, {', '.join(f'round_even({c}, 6) AS {c}' for c in _PRE_METRICS)} FROM (SELECT * FROM mt UNION ALL SELECT 'difference', {', '.join(f'x.{c} - y.{c}' for c in _PRE_METRICS)} FROM mt x, mt y WHERE x.variant = 'with' AND y.variant = 'without')""")
+def predraft_ablation(spark, sf_dir):
+    """What teammates' likely items, through pair strengths known before the week, add to rankings made before a draft."""
+    from driftline.operators import ranking
+
+    targets, ranked = _rolling(spark, sf_dir)
+    events = table(spark, sf_dir, "events")
+    patch = lambda day: F.concat(F.lit("15."), F.floor(F.datediff(day, F.lit("2024-01-01")) / 6) + 1)
+    picks = events.select(F.to_date("ts").alias("day"), F.concat_ws("-", F.col("user_id") % 30, F.to_date("ts")).alias("group"), "event_type").distinct()
+    picks = picks.select("group", "event_type", F.unix_micros(F.col("day").cast("timestamp")).alias("time"), patch(F.col("day")).alias("version"))
+    weeks = targets.select("week").distinct().select(F.unix_micros(F.col("week").cast("timestamp")).alias("week"), patch(F.col("week")).alias("target"))
+    items = picks.select(F.col("event_type").alias("a")).distinct()
+    wanted = items.join(items.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).join(weeks)
+    strength = walkforward.pair_strength(picks, "group", "event_type", "time")(wanted).drop("target")
+    df = ranked.select((F.col("key.user_id") % 30).alias("team"), F.col("key.user_id").alias("player"), F.unix_micros(F.col("key.week").cast("timestamp")).alias("week"), F.col("event_type"), F.col("score").alias("p0"))
+    several = df.groupBy("team", "week").agg(F.count_distinct("player").alias("players")).where("players >= 2")
+    df = df.join(several, ["team", "week"], "left_semi")
+    raised = ranking.teammate_synergy(df, strength, ["team", "week"], "player", "event_type", "p0", pair_keys=("week",))
+    multiplier = F.create_map(*(F.lit(x) for pair in _MULTIPLIERS.items() for x in pair))[F.col("event_type")]
+    played = events.select(F.col("user_id").alias("player"), F.unix_micros(F.date_trunc("week", "ts").cast("timestamp")).alias("week"), "event_type", "value")
+    games = played.groupBy("player", "week").agg(F.count("*").alias("games"))
+    actual = targets.select(F.struct("user_id", F.unix_micros(F.col("week").cast("timestamp")).alias("week")).alias("key"), "actual")
+    found = []
+    for frame, p in ((raised, "p"), (df, "p0")):
+        c = frame.select(F.struct(F.col("player").alias("user_id"), "week").alias("key"), "player", "week", "event_type", F.col(p).alias("p"), multiplier.alias("mu")).withColumn("bonus", F.col("p") * (F.col("mu") - 1))
+        order = Window.partitionBy("key").orderBy(F.bround("p", 9).desc(), "event_type")
+        hits = rolling.hits(c.withColumn("rank", F.row_number().over(order)), actual, "key", "event_type", "actual")
+        choice = rolling.value_choices(c, ["player", "week"], "event_type", "p", "bonus", ["mu"]).join(games, ["player", "week"])
+        worth = rolling.realized_bonus(choice, played, ["player", "week"], "event_type", "value", "games", "mu")
+        both = hits.select("key.user_id", "key.week", "hit_1", "hit_3").join(worth.select(F.col("player").alias("user_id"), "week", "realized"), ["user_id", "week"])
+        found.append(rolling.summary(both, [], {"top1": F.col("hit_1"), "top3": F.col("hit_3"), "realized": F.col("realized")}, 12))
+    return walkforward.deltas(*found, _PRE_METRICS)
+
+
 @plans.query("ban_discount", """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, n::DOUBLE / (sum(n) OVER (PARTITION BY user_id))::DOUBLE AS pr FROM c),
 d AS (SELECT user_id, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1), r AS (SELECT user_id, event_type, nd::DOUBLE / days AS rate FROM (SELECT user_id, event_type, count(DISTINCT ts::DATE) AS nd FROM events WHERE event_id % 2 = 0 GROUP BY ALL) JOIN d USING (user_id))
 SELECT user_id, event_type, round_even(pr * (1 - 0.60 * coalesce(rate, 0)), 8) AS adjusted FROM p LEFT JOIN r USING (user_id, event_type)""")
