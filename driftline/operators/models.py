@@ -26,15 +26,15 @@ def naive_bayes(train: DataFrame, targets: DataFrame, features: list[str], label
     return logs.select(key, label, (top / F.sum(top).over(Window.partitionBy(key))).alias("probability"))
 
 
-def logistic(df: DataFrame, features: list[str], label: str, steps: int = 200, rate: float = 0.1, ridge: float = 0.01, intercept: bool = True) -> np.ndarray:
-    """Weights of a logistic regression by gradient steps; each step's gradient is one aggregate over all rows.
+def logistic(df: DataFrame, features: list[str], label: str, steps: int = 200, rate: float = 0.1, ridge: float = 0.01, intercept: bool = True, start: list[float] | None = None) -> np.ndarray:
+    """Weights of a logistic regression by gradient steps from ``start`` (features first, then the intercept); each step's gradient is one aggregate over all rows.
 
     Features are first summed by distinct rows, which keeps steps small where features are few and discrete.
     """
     columns = features + ([] if not intercept else ["_one"])
     rows = df.where(F.col(label).isNotNull()).withColumn("_one", F.lit(1.0)).groupBy(*columns).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_hits")).persist()
     total = rows.agg(F.sum("_n")).first()[0] or 0
-    w = np.zeros(len(columns))
+    w = np.zeros(len(columns)) if start is None else np.array(start, dtype=float)
     for _ in range(steps if total else 0):
         z = F.lit(0.0)
         for c, v in zip(columns, w, strict=True):

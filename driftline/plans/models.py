@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import models
+from driftline.operators import models, winmodel
 from driftline.operators.folds import elo
 from driftline.plans.base import Plans, rounded, table
 from driftline.plans.folds import ELO, matches
 
 plans = Plans()
+#: Orders' years of the windows: training, confirmation, validation, test.
+_WINDOWS = {"development": (1995, 1996), "confirmation": (1997, 1997), "validation": (1998, 1998), "test": (1999, 2001)}
 
 ELO_SQL = f"""{ELO} SELECT league, count(*) AS rows, round_even(avg(((p >= 0.5) = (win = 1))::INT), 6) AS accuracy, round_even(avg(-(win * ln(least(1 - 1e-15, greatest(1e-15, p))) + (1 - win) * ln(1 - least(1 - 1e-15, greatest(1e-15, p))))), 6) AS log_loss, round_even(avg(pow(p - win, 2)), 6) AS brier
 FROM (SELECT *, 1 / (1 + pow(10, (rb - ra) / 400)) AS p FROM f JOIN m USING (league, k)) GROUP BY 1"""
@@ -104,3 +106,37 @@ def conditional_logit(spark, sf_dir):
     df = own.select("user_id", (F.col("n") / F.sum("n").over(window)).alias("share"), (F.col("m") / 50).alias("mean"), (F.row_number().over(window.orderBy(F.col("m").desc(), "event_type")) == 1).alias("chosen"))
     w = models.conditional_logit(df, "user_id", ["share", "mean"], "chosen", [2.5, 1.8])
     return spark.createDataFrame([(n, float(v)) for n, v in zip(("share", "mean"), w, strict=True)], "feature string, weight double")
+
+
+_WINDOW_SQL = "CASE " + " ".join(f"WHEN year BETWEEN {a} AND {b} THEN '{n}'" for n, (a, b) in _WINDOWS.items()) + " END"
+_WIN = f"""{ELO}, mt AS (SELECT m.*, f.ra, f.rb, year(m.date) AS year FROM m JOIN f ON f.league = m.league AND f.k = m.k), sd AS (SELECT l_orderkey, date, 'a' AS side, a AS team, win AS won FROM mt UNION ALL SELECT l_orderkey, date, 'b', b, 1 - win FROM mt),
+rt AS (SELECT l_orderkey, side, (coalesce(sum(won) OVER w, 0) + 2.5) / (count(won) OVER w + 5) AS rate FROM sd WINDOW w AS (PARTITION BY team ORDER BY date, l_orderkey ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+ft AS (SELECT mt.l_orderkey, win, year, 1 / (1 + pow(10, (rb - ra) / 400)) AS p_elo, ra - rb AS ed, x.rate AS wa, y.rate AS wb, x.rate - y.rate AS wd FROM mt JOIN rt x ON x.l_orderkey = mt.l_orderkey AND x.side = 'a' JOIN rt y ON y.l_orderkey = mt.l_orderkey AND y.side = 'b'),
+sc AS (SELECT stddev_samp(ed) AS es, stddev_samp(wd) AS ws FROM ft WHERE year BETWEEN {_WINDOWS['development'][0]} AND {_WINDOWS['development'][1]}), dv AS (SELECT ed / es AS x1, wd / ws AS x2, win AS y FROM ft, sc WHERE year BETWEEN {_WINDOWS['development'][0]} AND {_WINDOWS['development'][1]}),
+wt(i, w0, w1, w2) AS (SELECT 0, 0.0::DOUBLE, 0.5::DOUBLE, 0.2::DOUBLE UNION ALL SELECT i + 1, w0 - 0.1 * avg(p - y), w1 - 0.1 * (avg((p - y) * x1) + 0.01 * w1), w2 - 0.1 * (avg((p - y) * x2) + 0.01 * w2) FROM (SELECT wt.*, x1, x2, y, 1 / (1 + exp(-least(10.0, greatest(-10.0, w0 + w1 * x1 + w2 * x2)))) AS p FROM wt, dv WHERE i < 200) GROUP BY i, w0, w1, w2),
+pb AS (SELECT {_WINDOW_SQL} AS win_window, win, unnest([('even', 0.5::DOUBLE), ('win_rate', 1 / (1 + exp(-least(5.0, greatest(-5.0, 2 * wd))))), ('elo', p_elo), ('logistic', 1 / (1 + exp(-least(10.0, greatest(-10.0, w0 + w1 * ed / es + w2 * wd / ws)))))]) AS x FROM ft, sc, (SELECT * FROM wt WHERE i = 200)),
+me AS (SELECT win_window, x[1] AS model, count(*) AS rows, avg(((x[2] >= 0.5)::INT = win)::INT) AS accuracy, avg(-(win * ln(least(1 - 1e-15, greatest(1e-15, x[2]))) + (1 - win) * ln(1 - least(1 - 1e-15, greatest(1e-15, x[2]))))) AS log_loss, avg(pow(x[2] - win, 2)) AS brier FROM pb WHERE win_window IS NOT NULL GROUP BY ALL)"""
+
+
+def _win_report(spark, sf_dir):
+    order = ["date", "l_orderkey"]
+    rated = winmodel.pregame(elo(matches(spark, sf_dir), "league", order), "l_orderkey", order).withColumn("year", F.year("date"))
+    window = F.coalesce(*(F.when(F.col("year").between(a, b), n) for n, (a, b) in _WINDOWS.items()))
+    weights, by = winmodel.fit(rated.where(F.col("year").between(*_WINDOWS["development"])))
+    return winmodel.evaluate(winmodel.probabilities(rated, weights, by), window), weights
+
+
+@plans.query("win_models", f"{_WIN} SELECT win_window AS \"window\", model, rows, round_even(accuracy, 6) AS accuracy, round_even(log_loss, 6) AS log_loss, round_even(brier, 6) AS brier FROM me")
+def win_models(spark, sf_dir):
+    """Even chances, win rates, ratings and the fitted model in each window of years."""
+    return _win_report(spark, sf_dir)[0].select("window", "model", "rows", *(rounded(c, 6).alias(c) for c in ("accuracy", "log_loss", "brier")))
+
+
+@plans.query("win_gate", f"""{_WIN}, r AS (SELECT win_window AS w, model, round_even(log_loss, 4) AS l, round_even(brier, 4) AS b FROM me), v AS (SELECT x.w, x.l < y.l AND x.b < y.b AS better FROM r x JOIN r y ON x.w = y.w AND x.model = 'logistic' AND y.model = 'elo'),
+g AS (SELECT bool_or(w = 'confirmation' AND better) AS confirmed, bool_or(w = 'validation' AND better) AS validated FROM v)
+SELECT confirmed, validated, confirmed AND validated AS accepted, CASE WHEN confirmed AND validated THEN 'logistic' ELSE 'elo' END AS source, round_even(w1, 6) AS w_elo, round_even(w2, 6) AS w_rate, round_even(w0, 6) AS intercept FROM g, (SELECT * FROM wt WHERE i = 200)""")
+def win_gate(spark, sf_dir):
+    """Whether the fitted model is to be used in place of the ratings."""
+    report, weights = _win_report(spark, sf_dir)
+    names = ("w_elo", "w_rate", "intercept")
+    return winmodel.gate(report, "confirmation", "validation").withColumns({n: rounded(F.lit(w), 6) for n, w in zip(names, weights, strict=True)})
