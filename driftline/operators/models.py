@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +27,15 @@ def naive_bayes(train: DataFrame, targets: DataFrame, features: list[str], label
     return logs.select(key, label, (top / F.sum(top).over(Window.partitionBy(key))).alias("probability"))
 
 
-def logistic(df: DataFrame, features: list[str], label: str, steps: int = 200, rate: float = 0.1, ridge: float = 0.01, intercept: bool = True, start: list[float] | None = None) -> np.ndarray:
-    """Weights of a logistic regression by gradient steps from ``start`` (features first, then the intercept); each step's gradient is one aggregate over all rows.
+def logistic(df: DataFrame, features: list[str], label: str, steps: int = 200, rate: float = 0.1, ridge: float = 0.01, intercept: bool = True) -> np.ndarray:
+    """Weights of a logistic regression by gradient steps; each step's gradient is one aggregate over all rows.
 
     Features are first summed by distinct rows, which keeps steps small where features are few and discrete.
     """
     columns = features + ([] if not intercept else ["_one"])
     rows = df.where(F.col(label).isNotNull()).withColumn("_one", F.lit(1.0)).groupBy(*columns).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_hits")).persist()
     total = rows.agg(F.sum("_n")).first()[0] or 0
-    w = np.zeros(len(columns)) if start is None else np.array(start, dtype=float)
+    w = np.zeros(len(columns))
     for _ in range(steps if total else 0):
         z = F.lit(0.0)
         for c, v in zip(columns, w, strict=True):
@@ -47,6 +48,91 @@ def logistic(df: DataFrame, features: list[str], label: str, steps: int = 200, r
     return w
 
 
+def blocks(df: DataFrame, columns: list[str], rows: int = 100_000) -> DataFrame:
+    """Numeric columns as blocks of 64-bit floats, column after column; rows of a block stay in their task."""
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, rows):
+                part = batch.slice(low, rows)
+                data = b"".join(np.ascontiguousarray(c.to_numpy(zero_copy_only=False), dtype=np.float64).tobytes() for c in part.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["block"])
+
+    return df.select(*(F.col(c).cast("double") for c in columns)).mapInArrow(run, "block binary")
+
+
+#: Rows that one task takes in a step; so many or fewer are stepped through in a single task.
+TASK_ROWS = 200_000
+
+
+def logistic_many(df: DataFrame, fits: dict[str, tuple[list[str], str]], steps: int = 400, rate: float = 0.08, ridge: float = 0.01, clip: float = 30.0, start: dict[str, list[float]] | None = None, task_rows: int = TASK_ROWS) -> dict[str, np.ndarray]:
+    """Weights (intercept first) of several logistic regressions {name: (features, label)} on the same rows, by full-batch steps.
+
+    One pass a step returns the gradients of all fits: a task's sums are one row of as many numbers as there are weights.
+    Rows that fit one task make all steps there, with the same result.
+    """
+    columns = list(dict.fromkeys(c for features, label in fits.values() for c in (*features, label)))
+    data = blocks(df, columns).persist()
+    at = {name: ([columns.index(c) for c in features], columns.index(label)) for name, (features, label) in fits.items()}
+    names, first = list(fits), start or {}
+    weights = {name: np.array(first.get(name, np.zeros(len(features) + 1)), dtype=float) for name, (features, _) in fits.items()}
+
+    def sums(parts: list[np.ndarray], weights: dict[str, np.ndarray]) -> np.ndarray:
+        total, count = {n: np.zeros(len(w)) for n, w in weights.items()}, 0
+        for x in parts:
+            count += x.shape[1]
+            for n, w in weights.items():
+                own, y = x[at[n][0]], x[at[n][1]]
+                error = 1 / (1 + np.exp(-np.clip(w[0] + w[1:] @ own, -clip, clip))) - y
+                total[n] += np.append(error.sum(), own @ error)
+        return np.concatenate([[count], *total.values()])
+
+    def stepped(weights: dict[str, np.ndarray], found: np.ndarray) -> dict[str, np.ndarray]:
+        out, low = {}, 1
+        for n in names:
+            w = weights[n]
+            gradient = found[low : low + len(w)] / max(1.0, found[0])
+            gradient[1:] += ridge * w[1:]
+            out[n], low = w - rate * gradient, low + len(w)
+        return out
+
+    def over(frame: DataFrame, work) -> list[np.ndarray]:
+        """What work makes of each task's blocks."""
+
+        def run(batches):
+            parts = [np.frombuffer(b.as_buffer(), dtype=np.float64).reshape(len(columns), -1) for batch in batches for b in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([work(parts).tolist()], pa.list_(pa.float64()))], ["found"])
+
+        return [np.array(r["found"]) for r in frame.mapInArrow(run, "found array<double>").collect()]
+
+    def whole(parts):
+        w = weights
+        for _ in range(steps):
+            w = stepped(w, sums(parts, w))
+        return np.concatenate(list(w.values()))
+
+    rows = sum(over(data, lambda parts: np.array([sum(x.shape[1] for x in parts)], dtype=float)), np.zeros(1))[0]
+    tasks = max(1, -(-int(rows) // task_rows))
+    if tasks == 1:
+        flat = over(data.coalesce(1), whole)
+        ends = np.cumsum([len(w) for w in weights.values()])
+        weights = dict(zip(names, np.split(flat[0], ends[:-1]), strict=True)) if flat else weights
+    else:
+        data = data.coalesce(tasks)
+        for _ in range(steps):
+            weights = stepped(weights, np.sum(over(data, lambda parts, w=weights: sums(parts, w)), axis=0))
+    data.unpersist()
+    return weights
+
+
+def logistic_chance(weights: np.ndarray, features: list[str], clip: float = 30.0) -> Column:
+    """The chance that weights (intercept first) give a row."""
+    z = F.lit(float(weights[0]))
+    for c, w in zip(features, weights[1:], strict=True):
+        z = z + F.lit(float(w)) * F.col(c)
+    return 1 / (1 + F.exp(-F.least(F.lit(clip), F.greatest(F.lit(-clip), z))))
+
+
 def conditional_logit(candidates: DataFrame, group: str, features: list[str], chosen: str, start: list[float], steps: int = 10, rate: float = 0.05, ridge: float = 0.01, least: float = 0.001) -> np.ndarray:
     """Weights of a choice among each group's candidates, kept at or above ``least``; a step is one aggregate over all groups."""
     w = np.array(start, dtype=float)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from driftline.operators import asof, models
 
-# Start weights (rating gap, win-rate gap, intercept), and scales where training matches show no spread.
-START = [0.5, 0.2, 0.0]
+# Start weights (intercept, rating gap, win-rate gap), and scales where training matches show no spread.
+START = [0.0, 0.5, 0.2]
 NO_SPREAD = {"elo_diff": 100.0, "win_rate_diff": 0.2}
 #: Models in the order of a report; each is a column of ``probabilities``.
 MODELS = ("even", "win_rate", "elo", "logistic")
@@ -32,10 +32,10 @@ def scales(training: DataFrame) -> dict[str, float]:
 
 
 def fit(training: DataFrame, steps: int = 200) -> tuple[list[float], dict[str, float]]:
-    """(weights of both standardised gaps and the intercept, scales), from training matches only."""
+    """(weights of the intercept and both standardised gaps, scales), from training matches only."""
     by = scales(training)
     rows = training.select("a_win", *((F.col(c) / by[c]).alias(c) for c in by))
-    return models.logistic(rows, list(by), "a_win", steps, start=START).tolist(), by
+    return models.logistic_many(rows, {"win": (list(by), "a_win")}, steps, 0.1, clip=10.0, start={"win": START})["win"].tolist(), by
 
 
 def _chance(z: Column, most: float) -> Column:
@@ -44,8 +44,8 @@ def _chance(z: Column, most: float) -> Column:
 
 def probabilities(matches: DataFrame, weights: list[float], by: dict[str, float]) -> DataFrame:
     """Adds a chance of side a by each model."""
-    z = F.lit(weights[-1])
-    for (c, scale), w in zip(by.items(), weights, strict=False):
+    z = F.lit(weights[0])
+    for (c, scale), w in zip(by.items(), weights[1:], strict=True):
         z = z + F.lit(w) * F.col(c) / F.lit(scale)
     return matches.withColumns({"even": F.lit(0.5), "win_rate": _chance(2.0 * F.col("win_rate_diff"), 5.0), "elo": F.col("p_a"), "logistic": _chance(z, 10.0)})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import drafts, rolling, walkforward
+from driftline.operators import banstudy, drafts, rolling, walkforward
 from driftline.operators import sequences as seq
 from driftline.plans.base import Plans, micros, rounded, table
 
@@ -304,6 +304,59 @@ def rolling_hits(spark, sf_dir):
     return rolling.hits(ranked, targets, "key", "event_type", "actual").select("key.user_id", "key.week", F.array_join("predicted", ",").alias("predicted"), "hit_1", "hit_3")
 
 
+_BAN_X = ["meta_rate", "team_rate", "comfort", "surprise", "first_ban", "previous"]
+
+
+def _step(k: int) -> str:
+    """SQL of a weight after a step; k is 1 for the intercept, and the baseline's fits have zeros for what they leave out."""
+    x = "1" if k == 1 else f"CASE WHEN extended OR {k} <= 4 THEN x[{k - 1}] ELSE 0 END"
+    ridge = "" if k == 1 else f" + 0.01 * any_value(w)[{k}]"
+    return f"any_value(w)[{k}] - 0.08 * (avg((p - y) * {x}){ridge})"
+
+
+_LOGIT = "w[1] + " + " + ".join(f"w[{k}] * x[{k - 1}]" for k in range(2, 8))
+_BANS = f"""WITH RECURSIVE {_ACTIONS.replace('sg AS (', 'sg AS MATERIALIZED (', 1)}, tm AS (SELECT ac.*, 'l' || (user_id % 3) AS league, 't' || user_id || CASE WHEN side = 'Blue' THEN 'a' ELSE 'b' END AS team, 't' || user_id || CASE WHEN side = 'Blue' THEN 'b' ELSE 'a' END AS opponent FROM ac),
+bn AS (SELECT *, count(*) OVER (PARTITION BY league {{o}}) AS ln, count(*) OVER (PARTITION BY league, champion {{o}}) AS lh, count(*) OVER (PARTITION BY team {{o}}) AS bt, count(*) OVER (PARTITION BY team, champion {{o}}) AS bh, count(*) OVER (PARTITION BY team, opponent, champion {{o}}) AS previous FROM tm WHERE action_type = 'ban'),
+un AS (SELECT team AS k, champion, date, gameid, action_number, 1 AS pick FROM tm WHERE action_type = 'pick' UNION ALL SELECT opponent, champion, date, gameid, action_number, 0 FROM tm WHERE action_type = 'ban'),
+tp AS (SELECT *, coalesce(sum(pick) OVER (PARTITION BY k {{o}}), 0) AS pn, coalesce(sum(pick) OVER (PARTITION BY k, champion {{o}}), 0) AS ph FROM un),
+ra AS (SELECT bn.*, (lh + 2 * e) / (ln + 2) AS meta_rate, (bh + 2 * ((lh + 2 * e) / (ln + 2))) / (bt + 2) AS team_rate, (ph + 2 * e) / (pn + 2) AS comfort FROM bn JOIN tp ON tp.pick = 0 AND tp.gameid = bn.gameid AND tp.action_number = bn.action_number, (SELECT 1.0::DOUBLE / count(DISTINCT champion) AS e FROM tm)),
+ev AS (SELECT *, -ln(greatest(0.60 * meta_rate + 0.25 * team_rate + 0.15 * comfort, 1e-9)) AS surprise, (previous = 0)::INT::DOUBLE AS first_ban, EXISTS (SELECT 1 FROM tm p WHERE p.action_type = 'pick' AND p.team = ra.opponent AND p.champion = ra.champion AND p.date > ra.date AND p.date <= ra.date + INTERVAL 14 DAY AND p.series_id = ra.series_id) AS same_series,
+ EXISTS (SELECT 1 FROM tm p WHERE p.action_type = 'pick' AND p.team = ra.opponent AND p.champion = ra.champion AND p.date > ra.date AND p.date <= ra.date + INTERVAL 14 DAY AND p.series_id <> ra.series_id) AS next_series FROM ra)""".replace("{o}", "ORDER BY date, gameid, action_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+
+
+def _ban_events(spark, sf_dir):
+    """Bans with features and outcomes, from all actions in order of their games."""
+    df = seq.draft_actions(games(spark, sf_dir))
+    blue = F.col("side") == "Blue"
+    user = F.floor(F.col("gameid") / 100000)
+    teams = {"team": F.when(blue, F.col("blue_team")).otherwise(F.col("red_team")), "opponent": F.when(blue, F.col("red_team")).otherwise(F.col("blue_team"))}
+    actions = df.withColumns({**teams, "league": F.concat(F.lit("l"), user % 3), "time": F.unix_micros("date")}).select("gameid", "series_id", "action_number", "action_type", "league", "team", "opponent", F.col("champion").alias("item"), "time")
+    actions = actions.withColumn("action_id", F.col("gameid") * 20 + F.col("action_number") - 1)
+    bans = banstudy.ban_events(actions, ["time", "gameid", "action_number"], F.floor(F.col("time") / 86_400_000_000))
+    return banstudy.outcomes(bans, actions, "time", "series_id", "action_id")
+
+
+@plans.query("ban_events", f"""{_BANS} SELECT gameid * 20 + action_number - 1 AS action_id, {', '.join(f'round_even({c}, 9) AS {c}' for c in _BAN_X[:4])}, previous, same_series, next_series, same_series OR next_series AS within_days FROM ev""")
+def ban_events(spark, sf_dir):
+    found = _ban_events(spark, sf_dir)
+    return found.select("action_id", *(rounded(c, 9).alias(c) for c in _BAN_X[:4]), F.col("previous_matchup_bans").alias("previous"), *((F.col(c) > 0).alias(c) for c in banstudy.OUTCOMES))
+
+
+@plans.query("ban_study", f"""{_BANS}, lo AS (SELECT date, league, [{', '.join(f'{c}::DOUBLE' for c in _BAN_X)}] AS x, unnest(['same_series', 'next_series', 'within_days']) AS outcome, unnest([same_series::INT, next_series::INT, (same_series OR next_series)::INT])::DOUBLE AS y FROM ev),
+tr2 AS MATERIALIZED (SELECT outcome, y, x, unnest([true, false]) AS extended FROM lo WHERE date < '{_CUTOFF}'),
+wt(i, outcome, extended, w) AS (SELECT 0, outcome, extended, [0, 0, 0, 0, 0, 0, 0]::DOUBLE[] FROM (SELECT DISTINCT outcome, extended FROM tr2) UNION ALL
+ SELECT i + 1, outcome, extended, [{', '.join(_step(k) for k in range(1, 8))}]::DOUBLE[] FROM (SELECT wt.*, y, x, 1 / (1 + exp(-least(30.0, greatest(-30.0, {_LOGIT})))) AS p FROM wt JOIN tr2 USING (outcome, extended) WHERE i < 400) GROUP BY i, outcome, extended),
+te AS (SELECT outcome, extended, y, least(1 - 1e-9, greatest(1e-9, 1 / (1 + exp(-least(30.0, greatest(-30.0, {_LOGIT})))))) AS q FROM lo JOIN (SELECT * FROM wt WHERE i = 400) USING (outcome) WHERE date >= '{_CUTOFF}' AND league IN ('l0', 'l1')),
+me AS (SELECT outcome, extended, count(*) AS rows, sum(y)::BIGINT AS positives, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS l, avg(pow(q - y, 2)) AS b FROM te GROUP BY ALL)
+SELECT outcome, x.rows, x.positives, round_even(x.l, 7) AS baseline_log_loss, round_even(x.b, 7) AS baseline_brier, round_even(z.l, 7) AS extended_log_loss, round_even(z.b, 7) AS extended_brier, round_even(x.l - z.l, 7) AS delta_log_loss, round_even(x.b - z.b, 7) AS delta_brier FROM me x JOIN me z USING (outcome) WHERE NOT x.extended AND z.extended""")
+def ban_study(spark, sf_dir):
+    """Six fits on earlier bans, judged on later ones: each outcome without and with the features of the ban itself."""
+    events = _ban_events(spark, sf_dir)
+    later = F.col("time") >= F.unix_micros(F.lit(_CUTOFF).cast("timestamp"))
+    report = banstudy.evaluate(events.where(~later), events.where(later & F.col("league").isin("l0", "l1")))
+    return report.select("outcome", "rows", "positives", *(rounded(c, 7).alias(c) for c in report.columns if c.endswith(("log_loss", "brier"))))
+
+
 # What each item multiplies points by.
 _MULTIPLIERS = {"click": 1.3, "error": 1.4, "purchase": 1.5, "signup": 1.6, "view": 1.7}
 _PATCH = "'15.' || (1 + ({}::DATE - DATE '2024-01-01') // 6)"

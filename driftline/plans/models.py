@@ -138,5 +138,5 @@ SELECT confirmed, validated, confirmed AND validated AS accepted, CASE WHEN conf
 def win_gate(spark, sf_dir):
     """Whether the fitted model is to be used in place of the ratings."""
     report, weights = _win_report(spark, sf_dir)
-    names = ("w_elo", "w_rate", "intercept")
+    names = ("intercept", "w_elo", "w_rate")
     return winmodel.gate(report, "confirmation", "validation").withColumns({n: rounded(F.lit(w), 6) for n, w in zip(names, weights, strict=True)})
