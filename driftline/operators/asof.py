@@ -16,9 +16,18 @@ def before(keys: list, time: str, frame_days: float | None = None):
     return window.rangeBetween(Window.unboundedPreceding if frame_days is None else -int(frame_days * DAY), -1)
 
 
+#: Half-lives that a row may lie from the anchor: squares of weights, and sums of them, stay far from the ends of a double.
+FARTHEST = 400
+
+
 def decay_weight(time: str, half_life_days: float, anchor: int) -> Column:
-    """2^((t - anchor) / half-life); the cutoff's own factor cancels in means."""
-    return F.pow(F.lit(2.0), (F.col(time) - F.lit(anchor)) / F.lit(half_life_days * DAY))
+    """2^((t - anchor) / half-life); the cutoff's own factor cancels in means.
+
+    A row farther from the anchor than a double can hold is an error: nearer anchors or longer half-lives are needed there.
+    """
+    age = (F.col(time) - F.lit(anchor)) / F.lit(half_life_days * DAY)
+    too_far = F.raise_error(F.lit(f"a row lies more than {FARTHEST} half-lives from the anchor")).cast("double")
+    return F.when(F.abs(age) > FARTHEST, too_far).otherwise(F.pow(F.lit(2.0), age))
 
 
 def frame_sum(keys: list, time: str, value: Column, frame_days: float | None) -> Column:

@@ -16,12 +16,12 @@ def naive_bayes(train: DataFrame, targets: DataFrame, features: list[str], label
     total = classes.agg(F.sum("class_w").alias("total"), F.count("*").alias("classes"))
     long = known.unpivot([label, "_w"], features, "feature", "value").groupBy(label, "feature", "value").agg(F.sum("_w").alias("w"))
     sizes = long.groupBy("feature").agg(F.count_distinct("value").alias("values"))
-    wanted = targets.unpivot([key], features, "feature", "value").join(F.broadcast(sizes), "feature")
+    wanted = targets.unpivot([key], features, "feature", "value").join(sizes, "feature")
     seen = long.select("feature", "value").distinct().withColumn("seen", F.lit(True))
-    wanted = wanted.join(seen, ["feature", "value"], "left").join(F.broadcast(classes)).join(long, [label, "feature", "value"], "left")
+    wanted = wanted.join(seen, ["feature", "value"], "left").join(classes).join(long, [label, "feature", "value"], "left")
     values = F.col("values") + F.when(F.col("seen").isNull(), 1).otherwise(0)
     part = F.log((F.coalesce("w", F.lit(0.0)) + alpha) / (F.col("class_w") + alpha * values))
-    logs = wanted.groupBy(key, label, "class_w").agg(F.sum(part).alias("log")).join(F.broadcast(total))
+    logs = wanted.groupBy(key, label, "class_w").agg(F.sum(part).alias("log")).join(total)
     logs = logs.withColumn("log", F.col("log") + F.log((F.col("class_w") + alpha) / (F.col("total") + alpha * F.col("classes"))))
     top = F.exp(F.col("log") - F.max("log").over(Window.partitionBy(key)))
     return logs.select(key, label, (top / F.sum(top).over(Window.partitionBy(key))).alias("probability"))

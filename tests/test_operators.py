@@ -283,3 +283,10 @@ def test_teammates_count_without_the_player(spark):
     boosts = spark.createDataFrame([("x", "y", 0.2)], "a string, b string, boost double")
     got = {(r["player"], r["item"]): (round(r["p"], 6), round(r["synergy"], 6)) for r in ranking.teammate_synergy(df, boosts, ["team"], "player", "item", "chance", rounds=1).collect()}
     assert got == {("p", "x"): (round(0.72 / 1.12, 6), 0.2), ("p", "y"): (round(0.4 / 1.12, 6), 0.0), ("q", "y"): (1.0, 0.12), ("r", "x"): (1.0, 0.0)}
+
+
+def test_rows_too_far_from_the_anchor_are_an_error(spark):
+    df = spark.createDataFrame([("a", k * 400 * asof.DAY, 1.0) for k in range(3)], "k string, t long, v double")
+    assert asof.decayed_asof(df.where(F.col("t") <= 400 * asof.DAY), ["k"], "t", "v", 1.0, 1000, 0).where("rows > 0").first()["mean"] == 1
+    with pytest.raises(Exception, match="half-lives from the anchor"):
+        asof.decayed_asof(df, ["k"], "t", "v", 1.0, 1000, 0).collect()

@@ -139,8 +139,12 @@ def test_rolling_scores_match_plain_sums(spark):
 def test_trials_lie_on_the_simplex():
     trials = search.simplex_trials(30, 5)
     assert len(trials) == 31 and trials == search.simplex_trials(30, 5) and all(sum(t[1:]) == pytest.approx(1) for t in trials)
-    grown = search.maturity_trials(10, 5)
-    assert len(grown) == 11 and all(t[1] >= t[4] and t[2] <= t[5] and t[3] >= t[6] for t in grown)
+    grown = search.maturity_trials(5000, 5)
+    assert grown == search.maturity_trials(5000, 5) and [t[0] for t in grown] == list(range(5001)) and {t[7] for t in grown} == set(search.HORIZONS)
+    assert all(t[1] >= t[4] and t[2] <= t[5] and t[3] >= t[6] and sum(t[1:4]) == pytest.approx(1) == sum(t[4:7]) for t in grown)
+    # uniform on the triangle: each part has mean 1/3 and exceeds x with chance (1 - x)^2
+    parts = search.simplex(np.random.default_rng(1), 20_000)
+    assert parts.mean(axis=0) == pytest.approx([1 / 3] * 3, abs=0.01) and (parts > 0.5).mean(axis=0) == pytest.approx([0.25] * 3, abs=0.02)
     assert search.comfort_grid([0.25, 0.5], [0.0, 0.5], [20.0]) == [(0.0, 0.0, 40.0), (0.25, 0.0, 20.0), (0.5, 0.0, 20.0), (0.5, 0.5, 20.0)]
 
 
