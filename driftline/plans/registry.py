@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("asof", "rules", "contexts", "sequences", "drafts", "strategies", "records", "profiles", "versions", "rankings", "folds", "lineups", "markets", "models", "views")
+MODULES = ("asof", "rules", "contexts", "sequences", "drafts", "strategies", "records", "profiles", "versions", "rankings", "folds", "labs", "lineups", "markets", "models", "views")
 
 
 def _modules():
