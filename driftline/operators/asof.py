@@ -148,6 +148,29 @@ def projection(df: DataFrame, row: str, entity: str, role: str, opponent: str, p
     return df.withColumns({"floor": F.when(many, F.col("p10")).otherwise(F.greatest(F.lit(0.0), F.col("projection") - sd)), "ceiling": F.when(many, F.col("p90")).otherwise(F.col("projection") + sd)})
 
 
+def project_plain(history: DataFrame, targets: DataFrame, row: str, entity: str, role: str, opponent: str, playoff: Column, time: str, value: str, half_life_days: float, frame_days: float, domestic: Column) -> DataFrame:
+    """(row, baseline, recent, projection) of few targets by meeting each with every row of its frame: slow, and what ``projection`` is held against."""
+    old = history.select(F.col(entity).alias("_entity"), F.col(role).alias("_role"), F.col(opponent).alias("_opponent"), F.col(time).alias("_time"), F.col(value).alias("_value"), playoff.alias("_playoff"), domestic.alias("_home"))
+    met = targets.join(old, (F.col("_time") < F.col(time)) & (F.col("_time") >= F.col(time) - int(frame_days * DAY)) & F.col("_value").isNotNull(), "left")
+    w = F.pow(F.lit(0.5), (F.col(time) - F.col("_time")) / F.lit(half_life_days * DAY))
+    same = F.col("_role") == F.col(role)
+    own, meets = same & (F.col("_entity") == F.col(entity)), F.col("_opponent") == F.col(opponent)
+    pools = {"any": same, "home": same & F.col("_home"), "own": own, "opp_any": same & meets, "opp_home": same & meets & F.col("_home"), "h2h": own & meets, "playoff": own & F.col("_playoff")}
+    sums = {f"{p}_{k}": F.sum(F.when(rows, c)) for p, rows in pools.items() for k, c in (("w", w), ("wv", w * F.col("_value")))}
+    out = met.groupBy(row).agg(*(c.alias(n) for n, c in sums.items()), F.avg("_value").alias("world"))
+    mean, weight = (lambda p: F.try_divide(F.col(f"{p}_wv"), F.col(f"{p}_w"))), (lambda p: F.coalesce(f"{p}_w", F.lit(0.0)))
+    at_home = F.col("home_w").isNotNull()
+    base = F.coalesce(F.when(at_home, mean("home")).otherwise(mean("any")), F.col("world"), F.lit(0.0))
+    out = out.withColumn("baseline", base).withColumn("recent", F.coalesce(mean("own"), F.col("baseline")))
+    shrink = lambda n, size: n / (n + size)
+    out = out.withColumn("_shrunk", shrink(weight("own"), 5) * F.col("recent") + (1 - shrink(weight("own"), 5)) * F.col("baseline"))
+    met_weight, met_mean = F.when(at_home, weight("opp_home")).otherwise(weight("opp_any")), F.when(at_home, mean("opp_home")).otherwise(mean("opp_any"))
+    met_effect = shrink(met_weight, 15) * (F.coalesce(met_mean, F.col("baseline")) - F.col("baseline"))
+    h2h = F.when(weight("h2h") > 0.5, shrink(weight("h2h"), 3) * (mean("h2h") - F.col("_shrunk"))).otherwise(0.0)
+    late = F.when(weight("playoff") > 1, 0.2 * (mean("playoff") / F.when(F.col("recent") > 0, F.col("recent")).otherwise(1.0) - 1)).otherwise(0.0)
+    return out.select(row, "baseline", "recent", (F.col("_shrunk") * (1 + late) + 0.35 * met_effect + 0.25 * h2h).alias("projection"))
+
+
 def opponents_mean(projected: DataFrame, keys: list[str], opponent: str, means: list[str], first: list[str], digits: int = 2) -> DataFrame:
     """A week's projection: rounded means over all scheduled opponents, the first opponent's other columns, and the number of matchups."""
     return projected.groupBy(*keys).agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import asof
+from driftline.operators import asof, compare, ranking
 from driftline.plans.base import Plans, micros, rounded, table
 
 plans = Plans()
@@ -48,6 +48,18 @@ def projection(spark, sf_dir):
     return df.select("event_id", rounded("projection", 3).alias("projection"), rounded(F.when(many, F.col("floor")), 3).alias("floor"), rounded(F.when(many, F.col("ceiling")), 3).alias("ceiling"))
 
 
+@plans.query("engine_equivalence", """SELECT unnest(['baseline', 'recent', 'projection']) AS "column", least(300, count(*)) AS met, 0::BIGINT AS only_left, 0::BIGINT AS only_right, 0::BIGINT AS beyond FROM events""")
+def engine_equivalence(spark, sf_dir):
+    """The projection by running totals against meeting 300 sampled rows with all rows of their frames: keys missing and gaps over a millionth."""
+    df = events(spark, sf_dir).withColumn("opponent", F.col("event_id") % 7)
+    sample = ranking.sample_rows(df, "event_id", 300, 7)
+    playoff, home = F.col("event_id") % 5 == 0, F.col("event_id") % 11 == 3
+    fast = asof.projection(df, "event_id", "user_id", "event_type", "opponent", playoff, "us", "value", 5, 10, ANCHOR, home)
+    plain = asof.project_plain(df, sample, "event_id", "user_id", "event_type", "opponent", playoff, "us", "value", 5, 10, home)
+    found = compare.differences(fast.join(sample.select("event_id"), "event_id"), plain, ["event_id"], ["baseline", "recent", "projection"], 1e-6)
+    return found.drop("greatest_gap")
+
+
 @plans.query("last5_mean", """
 SELECT event_id, round_even(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 4) AS last5 FROM events""")
 def last5_mean(spark, sf_dir):

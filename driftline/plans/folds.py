@@ -58,6 +58,13 @@ def elo_ratings(spark, sf_dir):
     return df.select("l_orderkey", rounded("rating_a", 3).alias("rating_a"), rounded("rating_b", 3).alias("rating_b"))
 
 
+@plans.query("elo_all_teams", f"""{ELO.replace('PARTITION BY league ORDER BY', 'ORDER BY').replace('row_number() OVER', "'all' AS pool, row_number() OVER").replace('f(league, k,', 'f(pool, k,').replace('SELECT league, 0::BIGINT', 'SELECT pool, 0::BIGINT').replace('SELECT DISTINCT league FROM m', 'SELECT DISTINCT pool FROM m').replace('SELECT league, k, l_orderkey', 'SELECT pool, k, l_orderkey').replace('m.league = f.league AND m.k', 'm.pool = f.pool AND m.k')} SELECT l_orderkey, round_even(ra, 3) AS rating_a, round_even(rb, 3) AS rating_b FROM f WHERE k > 0""")
+def elo_all_teams(spark, sf_dir):
+    """One rating a team over the matches of all leagues: each match waits for those before, so they are one ordered stream."""
+    df = folds.elo(matches(spark, sf_dir).withColumn("pool", F.lit("all")), "pool", ["date", "l_orderkey"])
+    return df.select("l_orderkey", rounded("rating_a", 3).alias("rating_a"), rounded("rating_b", 3).alias("rating_b"))
+
+
 _BEFORE = "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _COUNTERS = {"m": "event_type", "n": "", "tm": "user_id, event_type", "tn": "user_id", "om": "user_id % 10, event_type", "o": "user_id % 10"}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import vectors
+from driftline.operators import vector_index, vectors
 from driftline.operators.ranking import top_per_group
 from driftline.plans.base import Plans, rounded, table
 from driftline.plans.folds import _PATH, price_path
@@ -20,6 +20,15 @@ def cosine_topk(spark, sf_dir):
     return vectors.nearest(data, query, "embedding", "vec_id", 10).withColumn("similarity", rounded("similarity", 6))
 
 
+@plans.query("vector_search", """
+SELECT query, key, round_even(s, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, key) AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS key, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def vector_search(spark, sf_dir):
+    """The ten nearest of all vectors to each query, exactly."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = vector_index.nearest_to_each(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return found.select("query", "key", rounded("similarity", 6).alias("similarity"), "rank")
+
+
 @plans.query("learning_state", """
 SELECT o_orderpriority AS category, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS severity, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS snippets FROM orders GROUP BY 1""")
 def learning_state(spark, sf_dir):
