@@ -41,7 +41,7 @@ CAPACITY, END_ID = 4096, 2
 MOST_OPEN = 2048
 LEAST_FINAL = 256
 #: Words and pieces remembered by a worker, about 0.2 kB each.
-REMEMBERED = 1_500_000
+REMEMBERED = 2_000_000
 #: Characters of text that are encoded together.
 BATCH_CHARS = 4_000_000
 #: Marks that stand alone as a piece behind a word.
@@ -76,7 +76,7 @@ class TextIds(bpe.Tokenizer):
         """Encodes new pieces and remembers them."""
         by_length: dict[int, list[str]] = {}
         for text in pieces:
-            by_length.setdefault(len(text.encode()), []).append(text)
+            by_length.setdefault(len(text) if text.isascii() else len(text.encode()), []).append(text)
         for length, group in by_length.items():
             data = np.frombuffer("".join(group).encode(), dtype=np.uint8).reshape(-1, length)
             parts = self.inner[data]
