@@ -21,8 +21,8 @@ texts meet their counts in a join, in which no key is frequent.
 
 Null and empty texts hold just their end.  Without training text all words are
 unknown and the model is that of equal classes.  Repeated rows count and score each;
-a null id counts as training text with an empty id.  Other columns are ignored; an
-empty table gives an empty result.
+a null id counts as an empty one, whose crc32 is 0, so such texts are held out.  Other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm import line_rules, packing
@@ -36,6 +37,37 @@ def test_base_counts(spark, documents, odd_rows):
     assert line_rules.line_rules(documents([])).count() == 0
 
 
+def plain_kept(rows, max_docs=20, max_share=0.02, min_left=0.3):
+    """The verdict of each (text, host), from counts of different texts by host and line."""
+    fold = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", x)).translate({k: k + 32 for k in range(65, 91)})
+    texts, holders = {}, {}
+    for text, host in rows:
+        whole = fold(text or "")
+        texts.setdefault(host, set()).add(whole)
+        for line in {fold(x) for x in (text or "").split("\n")} - {""}:
+            holders.setdefault((host, line), set()).add(whole)
+    bad = {k for k, h in holders.items() if len(h) > max_docs and len(h) > max_share * len(texts[k[0]])}
+    out = []
+    for text, host in rows:
+        n, _, _, _, repeated = base(text)
+        gone = sum(len(fold(x).split(" ")) for x in (text or "").split("\n") if fold(x) and (host, fold(x)) in bad)
+        out.append((not (n < 50 or 100 * repeated > 50 * n) and n - gone >= min_left * n, gone > 0))
+    return out
+
+
+@pytest.mark.parametrize("limits", [(20, 0.02, 0.3), (1, 0.0, 0.9)])
+def test_verdicts_are_those_of_plain_counts(spark, limits):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = docs.select("doc_id", "text", "source").collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    want = dict(zip((r["doc_id"] for r in rows), plain_kept([(r["text"], r["source"]) for r in rows], *limits), strict=True))
+    found = line_rules.line_rules(docs, max_docs=limits[0], max_share=limits[1], min_left=limits[2]).collect()
+    assert {r["id"]: (r["kept"], r["removed"] is not None) for r in found} == want
+    if limits[0] == 1:
+        # under tight limits lines go, and some documents with them that the base counts would keep
+        assert any(gone for _, gone in want.values()) and any(not r["kept"] and not r["base_failed"] for r in found)
+
+
 def story(k, words=60):
     return " ".join(f"s{k}w{i}" for i in range(words))
 
