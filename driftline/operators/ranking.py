@@ -53,6 +53,39 @@ def portfolio(df: DataFrame, entity: str, item: str, first: list, second: list,
     return picked
 
 
+# Tiers of the novelty categories, what the three opening picks stand for, and the ban rate above which comfort is left.
+TIERS = {"opening_round_baseline": "1.3x_opening_baseline", "already_played_by_player": "1.3x_comfort_floor", "unplayed_by_player": "1.5x_league_adoption", "unplayed_in_role": "1.7x_novelty_wildcard"}
+OPENING_BASES = ("Overall", "Player comfort", "International meta")
+PIVOT_ABOVE = 0.25
+
+
+def tiered_portfolio(df: DataFrame, keys: list[str], item: str, top: int = 3) -> DataFrame:
+    """Three picks of each novelty category of each key, and the pick to turn to where the comfortable one is often banned.
+
+    df: keys, item, novelty_category, expected_bonus, pick_probability, player_share, leading_share, ban_rate.
+    The opening category's picks are the best by bonus, by the player's share and by the leading
+    regions' share in turn, without repeats; those of the others the best by bonus.  Ties go by probability, then item.
+    """
+    by = lambda c: [F.col(c).desc(), F.col("pick_probability").desc(), F.col(item)]
+    opening = F.col("novelty_category") == "opening_round_baseline"
+    known = df.where(F.col("novelty_category").isin(*TIERS)).withColumn("_key", F.struct(*keys))
+    first = portfolio(known.where(opening), "_key", item, by("expected_bonus"), by("player_share"), by("leading_share"))
+    basis = F.element_at(F.array(*map(F.lit, OPENING_BASES)), F.col("slot"))
+    rest = top_per_group(known.where(~opening), ["_key", "novelty_category"], by("expected_bonus"), top)
+    picked = first.withColumn("portfolio_basis", basis).withColumnRenamed("slot", "portfolio_rank").unionByName(rest.withColumn("portfolio_basis", F.concat(F.lit("Rank "), "rank")).withColumnRenamed("rank", "portfolio_rank"))
+    tier = F.create_map(*(F.lit(x) for pair in TIERS.items() for x in pair))
+    picked = picked.withColumn("portfolio_tier", tier[F.col("novelty_category")])
+    # one comfortable pick and one with most upside a key, both of rank 1
+    best = picked.where("portfolio_rank = 1")
+    comfort = best.where((F.col("novelty_category") == "already_played_by_player") & (F.col("ban_rate") > PIVOT_ABOVE)).select("_key", F.col(item).alias("_from"))
+    upside = top_per_group(best.where(F.col("novelty_category").isin("unplayed_by_player", "unplayed_in_role")), ["_key"], by("expected_bonus"), 1).select("_key", F.col("novelty_category").alias("_to"), F.col("portfolio_tier").alias("_tier"))
+    out = picked.join(comfort.join(upside, "_key"), "_key", "left")
+    turned = F.col("_from").isNotNull()
+    pivot = turned & (F.col("portfolio_rank") == 1) & (F.col("novelty_category") == F.col("_to"))
+    out = out.withColumns({"risk_pivot_recommended": pivot, "risk_pivot_from": F.coalesce("_from", F.lit("")), "recommended_tier": F.coalesce("_tier", F.lit("")), "portfolio_strategy": F.when(turned, "pivot_from_high_ban_risk_comfort").otherwise("best_expected_value_within_tier")})
+    return out.drop("_key", "_from", "_to", "_tier")
+
+
 def candidate_scores(df: DataFrame, keys: list[str], weights: tuple[float, float, float] = (0.55, 0.30, 0.15), comfort_strength: float = 0.0) -> DataFrame:
     """Ranks candidates (player_share, domestic_share, leading_share, tier, priority, comfort, ban, denial, champ_mean, champ_weight, role_mean, multiplier) by expected bonus."""
     group = Window.partitionBy(*keys)

@@ -23,12 +23,12 @@ def _totals(events: DataFrame, probes: DataFrame, keys: list[str], time: str, fr
     return out.where(F.col("_probe") & (F.col("rows") > 0)).select(*keys, time, "total")
 
 
-def rolling_scores(history: DataFrame, targets: DataFrame, key: str, role: str, player: str, item: str, version: str, time: str, meta_weight: float, off_version: float, anchor: int, half_life_days: float = 90, frame_days: float = 730) -> DataFrame:
-    """(key, item, score, rank) of each target: meta_weight * the role's share + the rest * the player's share of each item.
+def rolling_parts(history: DataFrame, targets: DataFrame, key: str, role: str, player: str, item: str, version: str, time: str, anchor: int, half_life_days: float = 90, frame_days: float = 730) -> DataFrame:
+    """(key, item, all, same, own) of each target: weights of its role's rows, of those of its version, and of its player's.
 
-    Shares come from history rows in [time - frame, time), halved every half-life; rows of
-    another version count ``off_version`` in the role's share.  The half-life's factor at the
-    target cancels.  Targets without history of their role have no rows.
+    Weights are those of history rows in [time - frame, time), halved every half-life; the
+    half-life's factor at the target is left in and cancels in shares.  Targets without
+    history of their role have no rows.
     """
     rows = history.withColumn("w", decay_weight(time, half_life_days, anchor))
     by_role = rows.groupBy(role, item, time).agg(F.sum("w").alias("w"))
@@ -37,17 +37,41 @@ def rolling_scores(history: DataFrame, targets: DataFrame, key: str, role: str,
     wanted = targets.select(role, time, version).distinct()
     items = rows.select(role, item).distinct()
     grid = targets.select(role, time).distinct().join(items, role)
-    every = _totals(by_role, grid, [role, item], time, frame_days).withColumnRenamed("total", "_all")
-    same = _totals(by_version, wanted.join(rows.select(role, item, version).distinct(), [role, version]), [role, item, version], time, frame_days).withColumnRenamed("total", "_same")
-    own = _totals(by_player, targets.select(role, player, time).distinct().join(rows.select(role, player, item).distinct(), [role, player]), [role, player, item], time, frame_days).withColumnRenamed("total", "_own")
+    every = _totals(by_role, grid, [role, item], time, frame_days).withColumnRenamed("total", "all")
+    same = _totals(by_version, wanted.join(rows.select(role, item, version).distinct(), [role, version]), [role, item, version], time, frame_days).withColumnRenamed("total", "same")
+    own = _totals(by_player, targets.select(role, player, time).distinct().join(rows.select(role, player, item).distinct(), [role, player]), [role, player, item], time, frame_days).withColumnRenamed("total", "own")
     out = targets.select(key, role, player, version, time).join(every, [role, time]).join(same, [role, item, version, time], "left").join(own, [role, player, item, time], "left")
-    meta = off_version * F.col("_all") + (1 - off_version) * F.coalesce("_same", F.lit(0.0))
-    out = out.withColumns({"_meta": meta, "_own": F.coalesce("_own", F.lit(0.0))})
-    window = Window.partitionBy(key)
-    score = meta_weight * F.coalesce(F.try_divide(F.col("_meta"), F.sum("_meta").over(window)), F.lit(0.0)) + (1 - meta_weight) * F.coalesce(F.try_divide(F.col("_own"), F.sum("_own").over(window)), F.lit(0.0))
-    out = out.withColumn("score", score)
+    return out.select(key, item, "all", F.coalesce("same", F.lit(0.0)).alias("same"), F.coalesce("own", F.lit(0.0)).alias("own"))
+
+
+def _scored(parts: DataFrame, keys: list[str], item: str, meta_weight: Column, off_version: Column) -> DataFrame:
+    meta, window = off_version * F.col("all") + (1 - off_version) * F.col("same"), Window.partitionBy(*keys)
+    share = lambda c: F.coalesce(F.try_divide(c, F.sum(c).over(window)), F.lit(0.0))
+    out = parts.withColumn("_meta", meta).withColumn("score", meta_weight * share(F.col("_meta")) + (1 - meta_weight) * share(F.col("own")))
     # sums of weights in another order differ in their last digits, which must not settle ties
-    return out.withColumn("rank", F.row_number().over(window.orderBy(F.bround("score", 9).desc(), item))).select(key, item, "score", "rank")
+    return out.withColumn("rank", F.row_number().over(window.orderBy(F.bround("score", 9).desc(), item))).select(*keys, item, "score", "rank")
+
+
+def rolling_scores(history: DataFrame, targets: DataFrame, key: str, role: str, player: str, item: str, version: str, time: str, meta_weight: float, off_version: float, anchor: int, half_life_days: float = 90, frame_days: float = 730) -> DataFrame:
+    """(key, item, score, rank) of each target: meta_weight * the role's share + the rest * the player's share of each item; rows of another version count ``off_version`` in the role's share."""
+    parts = rolling_parts(history, targets, key, role, player, item, version, time, anchor, half_life_days, frame_days)
+    return _scored(parts, [key], item, F.lit(meta_weight), F.lit(off_version))
+
+
+# The weights that are tried.
+META_WEIGHTS, OFF_VERSIONS = (0.50, 0.70, 0.85, 0.95, 1.00), (0.05, 0.15, 0.30)
+
+
+def tuned(parts: DataFrame, targets: DataFrame, key: str, item: str, actual: str, meta_weights=META_WEIGHTS, off_versions=OFF_VERSIONS) -> DataFrame:
+    """(meta_weight, off_version, targets, hit_1, hit_3, place) of every pair of weights over the same parts, so that history is read once; place 1 is the best by hit_3, then hit_1, then in the order tried."""
+    trials = F.array(*(F.struct(F.lit(float(m)).alias("meta_weight"), F.lit(float(o)).alias("off_version"), F.lit(i * len(off_versions) + j).alias("_n")) for i, m in enumerate(meta_weights) for j, o in enumerate(off_versions)))
+    each = parts.withColumn("_trial", F.explode(trials)).select("*", "_trial.meta_weight", "_trial.off_version", "_trial._n").drop("_trial")
+    ranked = _scored(each, [key, "meta_weight", "off_version", "_n"], item, F.col("meta_weight"), F.col("off_version")).where("rank <= 3")
+    met = ranked.join(targets.select(key, F.col(actual).alias("_actual")), key).withColumn("_hit", F.array_contains("_actual", F.col(item)))
+    by_target = met.groupBy(key, "meta_weight", "off_version", "_n").agg(F.max(F.when(F.col("rank") == 1, F.col("_hit")).otherwise(False).cast("int")).alias("_1"), F.max(F.col("_hit").cast("int")).alias("_3"))
+    out = by_target.groupBy("meta_weight", "off_version", "_n").agg(F.count("*").alias("targets"), F.bround(F.avg("_1"), 4).alias("hit_1"), F.bround(F.avg("_3"), 4).alias("hit_3"))
+    # fifteen rows
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("hit_3").desc(), F.col("hit_1").desc(), "_n"))).drop("_n")
 
 
 def hits(ranked: DataFrame, targets: DataFrame, key: str, item: str, actual: str, top: int = 3) -> DataFrame:

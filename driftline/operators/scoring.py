@@ -103,6 +103,21 @@ def phase(split: Column, playoffs: Column) -> Column:
     return F.when(playoffs, F.concat(split, F.lit(" Playoffs"))).otherwise(split)
 
 
+# Splits of rows that name none, by the start of their date; all others are Spring.
+UNNAMED_SPLITS = {"2026-04": "Spring", "2026-05": "Spring", "2026-06": "Spring", "2025-10": "Lock-In", "2026-01": "Lock-In", "2026-02": "Lock-In", "2026-03": "Lock-In"}
+QUALIFIERS = "NA EWC Qualifiers"
+
+
+def build_phase(split: str, date: str, playoffs: str) -> Column:
+    """The phase of a row: its split (named by month where it has none), with the play-offs apart."""
+    own = F.trim(F.coalesce(F.col(split).cast("string"), F.lit("")))
+    months = F.create_map(*(F.lit(x) for pair in UNNAMED_SPLITS.items() for x in pair))
+    unnamed = F.coalesce(months[F.substring(F.coalesce(F.col(date).cast("string"), F.lit("")), 1, 7)], F.lit("Spring"))
+    name = F.when(own.contains("EWC"), QUALIFIERS).when(own.isin("", "nan", "None", "Regular"), unnamed).otherwise(own)
+    late = F.trim(F.coalesce(F.col(playoffs).cast("string"), F.lit("0"))) == "1"
+    return F.when(late & ~name.endswith("Playoffs"), F.concat(name, F.lit(" Playoffs"))).otherwise(name)
+
+
 def alias(column: str, names: dict[str, str]) -> Column:
     """A name's canonical form, compared without case."""
     pairs = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k.lower(), v)))

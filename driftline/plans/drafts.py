@@ -283,11 +283,16 @@ sc AS (SELECT user_id, week, item, 0.7 * (m.w / sum(m.w) OVER g) + 0.3 * coalesc
 rk AS (SELECT *, row_number() OVER (PARTITION BY user_id, week ORDER BY round_even(score, 9) DESC, item) AS rank FROM sc)"""
 
 
-def _rolling(spark, sf_dir):
+def _targets(spark, sf_dir):
+    """(history, targets of a week) of rolling rankings."""
     events = table(spark, sf_dir, "events").withColumns({"us": micros("ts"), "role": F.col("user_id") % 5, "version": F.col("event_id") % 4})
     weekly = events.where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("user_id", "role", F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week"))
     targets = weekly.agg(F.min("us").alias("us"), F.min_by("version", F.struct("ts", "event_id")).alias("version"), F.collect_set("event_type").alias("actual"))
-    targets = targets.withColumn("key", F.struct("user_id", "week"))
+    return events, targets.withColumn("key", F.struct("user_id", "week"))
+
+
+def _rolling(spark, sf_dir):
+    events, targets = _targets(spark, sf_dir)
     ranked = rolling.rolling_scores(events, targets, "key", "role", "user_id", "event_type", "version", "us", 0.7, 0.15, 1_704_067_200_000_000, frame_days=10)
     return targets, ranked
 
@@ -297,6 +302,20 @@ def rolling_rankings(spark, sf_dir):
     return _rolling(spark, sf_dir)[1].select("key.user_id", "key.week", F.col("event_type").alias("item"), rounded("score", 7).alias("score"), "rank")
 
 
+@plans.query("rolling_tuning", f"""WITH {_TARGETS}, hi AS (SELECT *, user_id % 5 AS role, event_id % 4 AS version FROM events),
+ms AS (SELECT t.user_id, t.week, h.event_type AS item, sum({_W}) AS a, coalesce(sum(CASE WHEN h.version = t.version THEN {_W} END), 0) AS s FROM tt t JOIN hi h ON h.role = t.role AND h.ts < t.start AND h.ts >= t.start - INTERVAL 10 DAY GROUP BY ALL),
+ps AS (SELECT t.user_id, t.week, h.event_type AS item, sum({_W}) AS w FROM tt t JOIN hi h ON h.user_id = t.user_id AND h.ts < t.start AND h.ts >= t.start - INTERVAL 10 DAY GROUP BY ALL),
+tr AS (SELECT mw, ow, row_number() OVER () AS n FROM (SELECT unnest([0.5, 0.7, 0.85, 0.95, 1.0]::DOUBLE[]) AS mw), (SELECT unnest([0.05, 0.15, 0.3]::DOUBLE[]) AS ow)),
+sc AS (SELECT mw, ow, user_id, week, item, mw * ((ow * a + (1 - ow) * s) / sum(ow * a + (1 - ow) * s) OVER g) + (1 - mw) * coalesce(p.w / sum(p.w) OVER g, 0) AS score FROM ms LEFT JOIN ps p USING (user_id, week, item), tr WINDOW g AS (PARTITION BY mw, ow, user_id, week)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY mw, ow, user_id, week ORDER BY round_even(score, 9) DESC, item) AS r FROM sc), ht AS (SELECT mw, ow, user_id, week, max((r = 1 AND list_contains(actual, item))::INT) AS h1, max((r <= 3 AND list_contains(actual, item))::INT) AS h3 FROM rk JOIN tt USING (user_id, week) GROUP BY ALL),
+su AS (SELECT mw AS meta_weight, ow AS off_version, count(*) AS targets, round_even(avg(h1), 4) AS hit_1, round_even(avg(h3), 4) AS hit_3 FROM ht GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY hit_3 DESC, hit_1 DESC, meta_weight, off_version)::INT AS place FROM su""")
+def rolling_tuning(spark, sf_dir):
+    """All fifteen pairs of weights of the rolling rankings, best first."""
+    events, targets = _targets(spark, sf_dir)
+    parts = rolling.rolling_parts(events, targets, "key", "role", "user_id", "event_type", "version", "us", 1_704_067_200_000_000, frame_days=10)
+    return rolling.tuned(parts, targets, "key", "event_type", "actual")
+
+
 @plans.query("rolling_hits", f"""WITH {_SCORES}, be AS (SELECT user_id, week, list(item ORDER BY rank) AS predicted FROM rk WHERE rank <= 3 GROUP BY ALL)
 SELECT user_id, week::TIMESTAMP AS week, array_to_string(predicted, ',') AS predicted, list_contains(actual, predicted[1]) AS hit_1, len(list_intersect(predicted, actual)) > 0 AS hit_3 FROM be JOIN tt USING (user_id, week)""")
 def rolling_hits(spark, sf_dir):

@@ -44,6 +44,27 @@ def portfolio(spark, sf_dir):
     return rk.portfolio(df, "entity", "item", *([F.col(x).desc(), "item"] for x in "abc")).select("entity", "item", "slot")
 
 
+_OPTIONS = """c AS (SELECT user_id, 'c' || (event_id % 40) AS item, count(*) AS n, avg(value) AS m, avg((value < 10)::INT) AS ban_rate, event_id % 40 AS k FROM events GROUP BY user_id, event_id % 40), g AS (SELECT item, sum(n) AS gn FROM c GROUP BY 1),
+o AS (SELECT user_id, item, CASE WHEN user_id % 4 = 0 THEN 'opening_round_baseline' WHEN k % 3 = 0 THEN 'already_played_by_player' WHEN k % 3 = 1 THEN 'unplayed_by_player' ELSE 'unplayed_in_role' END AS cat, round_even(m, 6) AS b, round_even(n::DOUBLE / sum(n) OVER (PARTITION BY user_id), 9) AS p, round_even(n * m, 6) AS own, round_even(gn::DOUBLE / (SELECT sum(n) FROM c), 9) AS lead, ban_rate FROM c JOIN g USING (item))"""
+
+
+@plans.query("tiered_portfolio", f"""WITH {_OPTIONS}, q1 AS (SELECT * FROM o WHERE cat = 'opening_round_baseline' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY b DESC, p DESC, item) = 1), r2 AS (SELECT o.* FROM o ANTI JOIN q1 USING (user_id, item) WHERE cat = 'opening_round_baseline'), q2 AS (SELECT * FROM r2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY own DESC, p DESC, item) = 1),
+q3 AS (SELECT r2.* FROM r2 ANTI JOIN q2 USING (user_id, item) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY lead DESC, p DESC, item) = 1), qr AS (SELECT *, row_number() OVER (PARTITION BY user_id, cat ORDER BY b DESC, p DESC, item)::INT AS r FROM o WHERE cat <> 'opening_round_baseline'),
+pk AS (SELECT *, 1 AS r, 'Overall' AS basis FROM q1 UNION ALL SELECT *, 2, 'Player comfort' FROM q2 UNION ALL SELECT *, 3, 'International meta' FROM q3 UNION ALL SELECT *, 'Rank ' || r FROM qr WHERE r <= 3),
+co AS (SELECT user_id, item AS comfort FROM pk WHERE r = 1 AND cat = 'already_played_by_player' AND ban_rate > 0.25), up AS (SELECT user_id, cat AS up_cat FROM pk WHERE r = 1 AND cat IN ('unplayed_by_player', 'unplayed_in_role') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY b DESC, p DESC, item) = 1), tu AS (SELECT * FROM co JOIN up USING (user_id))
+SELECT user_id, item, r AS portfolio_rank, basis AS portfolio_basis, CASE cat {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rk.TIERS.items())} END AS portfolio_tier, coalesce(r = 1 AND cat = up_cat, false) AS risk_pivot_recommended, coalesce(comfort, '') AS risk_pivot_from, coalesce(CASE up_cat {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in rk.TIERS.items())} END, '') AS recommended_tier FROM pk LEFT JOIN tu USING (user_id)""")
+def tiered_portfolio(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 40)
+    own = rows.groupBy("user_id", "k").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.avg((F.col("value") < 10).cast("int")).alias("ban_rate"))
+    world = rows.groupBy("k").agg(F.count("*").alias("gn"))
+    total = rows.agg(F.count("*").alias("all_n"))
+    category = F.when(F.col("user_id") % 4 == 0, "opening_round_baseline").when(F.col("k") % 3 == 0, "already_played_by_player").when(F.col("k") % 3 == 1, "unplayed_by_player").otherwise("unplayed_in_role")
+    df = own.join(world, "k").join(total)
+    df = df.select("user_id", F.concat(F.lit("c"), "k").alias("item"), category.alias("novelty_category"), rounded("m", 6).alias("expected_bonus"), rounded(F.col("n") / F.sum("n").over(rk.Window.partitionBy("user_id")), 9).alias("pick_probability"), rounded(F.col("n") * F.col("m"), 6).alias("player_share"), rounded(F.col("gn") / F.col("all_n"), 9).alias("leading_share"), "ban_rate")
+    found = rk.tiered_portfolio(df, ["user_id"], "item")
+    return found.select("user_id", "item", "portfolio_rank", "portfolio_basis", "portfolio_tier", "risk_pivot_recommended", "risk_pivot_from", "recommended_tier")
+
+
 @plans.query("novelty_multiplier", """
 WITH h AS (SELECT DISTINCT user_id % 5 AS role, user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-03'), c AS (SELECT user_id, user_id % 5 AS role, t AS event_type FROM (SELECT DISTINCT user_id FROM events), (SELECT DISTINCT event_type AS t FROM events))
 SELECT user_id, event_type, CASE WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.role = c.role AND h.event_type = c.event_type) THEN 1.7::DOUBLE WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = c.user_id AND h.event_type = c.event_type) THEN 1.5 ELSE 1.3 END AS multiplier FROM c""")

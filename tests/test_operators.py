@@ -290,3 +290,22 @@ def test_rows_too_far_from_the_anchor_are_an_error(spark):
     assert asof.decayed_asof(df.where(F.col("t") <= 400 * asof.DAY), ["k"], "t", "v", 1.0, 1000, 0).where("rows > 0").first()["mean"] == 1
     with pytest.raises(Exception, match="half-lives from the anchor"):
         asof.decayed_asof(df, ["k"], "t", "v", 1.0, 1000, 0).collect()
+
+
+def test_phases_are_named_by_split_month_and_playoffs(spark):
+    rows = [("Spring", "2025-02-01", "0", "Spring"), (None, "2026-05-02", "1", "Spring Playoffs"), ("Regular", "2025-10-30", None, "Lock-In"), ("nan", "2024-07-01", "0", "Spring"), ("EWC Main", "2025-07-01", "1", "NA EWC Qualifiers Playoffs"), ("Summer Playoffs", "2025-08-01", "1", "Summer Playoffs"), (" ", None, " 1 ", "Spring Playoffs")]
+    df = spark.createDataFrame(rows, "split string, date string, playoffs string, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", scoring.build_phase("split", "date", "playoffs").alias("got")).collect())
+
+
+def test_comfort_that_is_often_banned_is_left(spark):
+    def row(player, item, category, bonus, ban):
+        return player, item, category, bonus, 0.1, 0.0, 0.0, ban
+
+    comfort, league, wild = "already_played_by_player", "unplayed_by_player", "unplayed_in_role"
+    rows = [row("a", "x", comfort, 2.0, 0.3), row("a", "y", league, 1.0, 0.0), row("a", "z", wild, 3.0, 0.0), row("a", "w", wild, 2.0, 0.0), row("b", "x", comfort, 2.0, 0.25), row("b", "y", league, 9.0, 0.0), row("c", "x", comfort, 1.0, 0.9)]
+    df = spark.createDataFrame(rows, "player string, item string, novelty_category string, expected_bonus double, pick_probability double, player_share double, leading_share double, ban_rate double")
+    got = {(r["player"], r["item"]): r for r in ranking.tiered_portfolio(df, ["player"], "item").collect()}
+    assert len(got) == 7 and [k for k, r in got.items() if r["risk_pivot_recommended"]] == [("a", "z")]
+    assert {r["risk_pivot_from"] for k, r in got.items() if k[0] == "a"} == {"x"} and got["a", "y"]["recommended_tier"] == "1.7x_novelty_wildcard"
+    assert got["b", "y"]["portfolio_strategy"] == got["c", "x"]["portfolio_strategy"] == "best_expected_value_within_tier" and got["a", "w"]["portfolio_rank"] == 2
