@@ -15,6 +15,23 @@ def profile(df: DataFrame, keys: list[str], counted: dict[str, str], averaged: d
     )
 
 
+def role_profiles(rows: DataFrame, context: list[str], role: str, item: str, game: str, win: Column, complete: Column, player: str, team: str, time: str, performance: list[str]) -> DataFrame:
+    """One row for each context, role and item: games, wins, complete games, players, teams, first and last time, means over complete games, and shares of the role's games.
+
+    Values that are no numbers are left out of sums and means; rates are rounded to 4 digits, means to 3.
+    """
+    keys = [*context, role, item]
+    means = [F.bround(F.avg(F.when(complete, F.col(c).try_cast("double"))), 3).alias(f"avg_{c.replace(' ', '_')}") for c in performance]
+    out = rows.groupBy(*keys).agg(
+        F.count(game).alias("champion_games"), F.coalesce(F.sum(win.cast("long")), F.lit(0)).alias("wins"), F.count_if(F.coalesce(complete, F.lit(False))).alias("complete_stat_games"), F.count_distinct(player).alias("unique_players"),
+        F.count_distinct(team).alias("unique_teams"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), *means,
+    )
+    # a role's games are the sum of its items'
+    out = out.withColumn("role_games_in_context", F.sum("champion_games").over(Window.partitionBy(*context, role)))
+    share = lambda a, b: F.bround(F.try_divide(F.col(a), F.col(b)), 4)
+    return out.withColumns({"role_pick_rate": share("champion_games", "role_games_in_context"), "win_rate": share("wins", "champion_games"), "complete_stats_share": share("complete_stat_games", "champion_games")})
+
+
 def tiers(df: DataFrame, keys: list[str], item: str, game: str, win: Column) -> DataFrame:
     """Presence, shrunken win rate, score and tier of each item of a context."""
     games = df.groupBy(*keys).agg(F.count_distinct(game).alias("games"))
@@ -62,6 +79,44 @@ def rates(df: DataFrame, keys: list[str], item: str, game: str, banned: Column)
     return items.join(games, keys).select(*keys, item, (F.col("bans") / F.col("games")).alias("ban_rate"), (F.col("picks") / F.col("games")).alias("pick_rate"))
 
 
+def draft_rates_before(actions: DataFrame, targets: DataFrame, item: str = "champion", days: float = 365) -> DataFrame:
+    """(target, item, ban_rate, pick_rate, public_ban_rate, games): how often a target's opponent bans and picks items, and how often anybody bans them.
+
+    actions: game, team, time (epoch micros), patch, action_type, item.  targets: target (unique), opponent, cutoff,
+    patch.  A target's pool are the actions in [cutoff - days, cutoff) of its patch, if there are any, else of all patches.
+    Rates count actions by the pool's games (the opponent's own, or all).  A target without games of its
+    opponent has no rows.  Counts are differences of running totals at the pool's ends, so no action meets a target.
+    """
+    frame = int(days * 86_400_000_000)
+    actions = actions.where(F.col(item).isNotNull())
+    def between(rows: DataFrame, asked: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Adds to asked (keys, cutoff and others, all rows different) how many rows (keys, time, n) lie in its frame."""
+        ends = F.explode(F.array(F.struct(F.col("cutoff").alias("_at"), F.lit(1).alias("_sign")), F.struct((F.col("cutoff") - F.lit(frame)).alias("_at"), F.lit(-1).alias("_sign"))))
+        probes = asked.withColumn("_ends", ends).select("*", "_ends._at", "_ends._sign").drop("_ends")
+        both = probes.unionByName(rows.select(*keys, F.col("time").alias("_at"), "n"), allowMissingColumns=True)
+        total = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = both.withColumn("_total", total).where("_sign IS NOT NULL")
+        return met.groupBy(*asked.columns).agg(F.sum(F.col("_sign") * F.col("_total")).alias(name))
+
+    one = F.lit(1).cast("long").alias("n")
+    by_patch = actions.groupBy("patch", "time").agg(F.count("*").alias("n"))
+    pool = between(by_patch, targets, ["patch"], "_same")
+    # the patch to which a pool is held, or that of all patches
+    pool = pool.withColumn("pool", F.when(F.col("_same") > 0, F.col("patch")).otherwise(F.lit(""))).select("target", "opponent", "cutoff", "pool")
+    both = actions.withColumn("pool", F.explode(F.array(F.col("patch"), F.lit(""))))
+    own_games = both.select("pool", F.col("team").alias("opponent"), "game", "time").distinct().select("pool", "opponent", "time", one)
+    games = both.select("pool", "game", "time").distinct().select("pool", "time", one)
+    asked = between(games, between(own_games, pool, ["pool", "opponent"], "games").where("games > 0"), ["pool"], "_public")
+    items = both.select("pool", F.col("team").alias("opponent"), item).distinct()
+    out = asked.join(items, ["pool", "opponent"])
+    for kind in ("ban", "pick"):
+        rows = both.where(F.col("action_type") == kind).groupBy("pool", F.col("team").alias("opponent"), item, "time").agg(F.count("*").alias("n"))
+        out = between(rows, out, ["pool", "opponent", item], f"_{kind}")
+    public = both.where("action_type = 'ban'").groupBy("pool", item, "time").agg(F.count("*").alias("n"))
+    out = between(public, out, ["pool", item], "_bans").where("_ban + _pick > 0")
+    return out.select("target", item, (F.col("_ban") / F.col("games")).alias("ban_rate"), (F.col("_pick") / F.col("games")).alias("pick_rate"), (F.col("_bans") / F.col("_public")).alias("public_ban_rate"), "games")
+
+
 def availability(ban: Column, denial: Column) -> Column:
     return F.greatest(F.lit(0.05), F.least(F.lit(1.0), 1 - (0.70 * ban + 0.30 * denial)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import banstudy, drafts, rolling, walkforward
+from driftline.operators import banstudy, drafts, profiles, rolling, walkforward
 from driftline.operators import sequences as seq
 from driftline.plans.base import Plans, micros, rounded, table
 
@@ -274,6 +274,23 @@ def pair_priority(spark, sf_dir):
     return drafts.pair_priority(pairs, synergies, spark.createDataFrame(_ANCHORS, "a string, b string"), "ta", "tb", "comfort").select("a", "b", "priority")
 
 
+@plans.query("opponent_rates", f"""WITH {_ACTIONS}, a AS (SELECT *, 't' || user_id || CASE WHEN side = 'Blue' THEN 'a' ELSE 'b' END AS team, {_VERSION} AS patch FROM ac),
+t AS (SELECT DISTINCT gameid AS target, 't' || user_id || 'b' AS opponent, date AS cutoff, CASE WHEN user_id % 2 = 0 THEN '15.99' ELSE {_VERSION} END AS patch FROM sg), p AS (SELECT t.target, t.opponent, t.cutoff, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.date < t.cutoff AND a.date >= t.cutoff - INTERVAL 20 DAY AND a.patch = t.patch) THEN t.patch ELSE '' END AS pool FROM t),
+m AS (SELECT p.target, p.opponent, a.* FROM p JOIN a ON a.date < p.cutoff AND a.date >= p.cutoff - INTERVAL 20 DAY AND (p.pool = '' OR a.patch = p.pool)),
+g AS (SELECT target, count(DISTINCT gameid) AS public, count(DISTINCT CASE WHEN team = opponent THEN gameid END) AS games FROM m GROUP BY 1),
+o AS (SELECT target, champion, sum((action_type = 'ban')::INT) AS b, sum((action_type = 'pick')::INT) AS k FROM m WHERE team = opponent GROUP BY ALL), u AS (SELECT target, champion, sum((action_type = 'ban')::INT) AS pb FROM m GROUP BY ALL)
+SELECT o.target, o.champion, round_even(b::DOUBLE / games, 6) AS ban_rate, round_even(k::DOUBLE / games, 6) AS pick_rate, round_even(pb::DOUBLE / public, 6) AS public_ban_rate, games FROM o JOIN g USING (target) JOIN u ON u.target = o.target AND u.champion = o.champion""")
+def opponent_rates(spark, sf_dir):
+    """Each game's opponent as known before it: its bans and picks of the last days, of the game's patch if anybody has played it (half of the games name a patch that nobody has)."""
+    df = seq.draft_actions(games(spark, sf_dir))
+    patch = F.concat(F.lit("15."), F.col("game") % 6 + 1)
+    team = F.when(F.col("side") == "Blue", F.col("blue_team")).otherwise(F.col("red_team"))
+    actions = df.select(F.col("gameid").alias("game"), team.alias("team"), F.unix_micros("date").alias("time"), patch.alias("patch"), "action_type", "champion")
+    targets = games(spark, sf_dir).select(F.col("gameid").alias("target"), F.col("red_team").alias("opponent"), F.unix_micros("date").alias("cutoff"), F.when(F.floor(F.col("gameid") / 100000) % 2 == 0, "15.99").otherwise(patch).alias("patch"))
+    found = profiles.draft_rates_before(actions, targets, days=20)
+    return found.select("target", "champion", *(rounded(c, 6).alias(c) for c in ("ban_rate", "pick_rate", "public_ban_rate")), "games")
+
+
 _TARGETS = "tt AS (SELECT user_id, date_trunc('week', ts) AS week, user_id % 5 AS role, min(ts) AS start, arg_min(event_id % 4, (ts, event_id)) AS version, list(DISTINCT event_type) AS actual FROM events WHERE ts >= '2024-01-15' GROUP BY ALL)"
 _W = "pow(0.5, (epoch_us(start) - epoch_us(ts)) / (90 * 86400000000.0))"
 _SCORES = f"""{_TARGETS}, hi AS (SELECT *, user_id % 5 AS role, event_id % 4 AS version FROM events),

@@ -25,6 +25,19 @@ def role_profiles(spark, sf_dir):
     return df.withColumns({"avg_quantity": rounded("avg_quantity"), "avg_discount": rounded("avg_discount", 6)})
 
 
+_PERFORMANCE = ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_linenumber", "p_size", "p_retailprice", "l_suppkey", "l_partkey"]
+
+
+@plans.query("role_profile_table", f"""
+WITH l AS {_LINES}, g AS (SELECT year, p_type, p_brand, count(l_orderkey) AS champion_games, sum((l_linestatus = 'F')::INT)::BIGINT AS wins, sum((l_returnflag <> 'R')::INT)::BIGINT AS complete_stat_games, count(DISTINCT l_suppkey) AS unique_players, count(DISTINCT l_shipdate::DATE) AS unique_teams, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen,
+ {', '.join(f"round_even(avg(CASE WHEN l_returnflag <> 'R' THEN {c}::DOUBLE END), 3) AS avg_{c}" for c in _PERFORMANCE)} FROM l GROUP BY ALL)
+SELECT *, (sum(champion_games) OVER r)::BIGINT AS role_games_in_context, round_even(champion_games::DOUBLE / (sum(champion_games) OVER r)::DOUBLE, 4) AS role_pick_rate, round_even(wins::DOUBLE / champion_games, 4) AS win_rate, round_even(complete_stat_games::DOUBLE / champion_games, 4) AS complete_stats_share FROM g WINDOW r AS (PARTITION BY year, p_type)""")
+def role_profile_table(spark, sf_dir):
+    """All aggregates of an item's profile by year and role."""
+    lines = _lines(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_p"), "p_size", "p_retailprice"), F.col("l_partkey") == F.col("_p")).withColumn("day", F.to_date("l_shipdate"))
+    return prof.role_profiles(lines, ["year"], "p_type", "p_brand", "l_orderkey", F.col("l_linestatus") == "F", F.col("l_returnflag") != "R", "l_suppkey", "day", "l_shipdate", _PERFORMANCE)
+
+
 @plans.query("presence", f"""
 WITH l AS {_LINES} SELECT year, p_brand, round_even(count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END)::DOUBLE / any_value(games), 6) AS ban_rate, round_even(count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_orderkey END)::DOUBLE / any_value(games), 6) AS pick_rate
 FROM l JOIN (SELECT year, count(DISTINCT l_orderkey) AS games FROM l GROUP BY 1) USING (year) GROUP BY ALL""")
