@@ -186,10 +186,29 @@ def pearson(x: str, y: str) -> Column:
     return F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))
 
 
-def average_ranks(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """Adds the rank of a value inside its keys, ties sharing their mean rank."""
-    order, ties = Window.partitionBy(*keys).orderBy(column), Window.partitionBy(*keys, column)
-    return df.withColumn(name, F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
+#: Distinct values that one task orders on average.
+RANKED_VALUES = 1_000_000
+
+
+def average_ranks(df: DataFrame, keys: list[str], column: str, name: str, values: int = RANKED_VALUES) -> DataFrame:
+    """Adds the rank of a number inside its keys, ties sharing their mean rank; nulls come first and share theirs.
+
+    Rows are counted by value before anything is ordered.  Values are ordered inside ranges of equal
+    width, so that few keys do not mean few tasks, and the ranges' totals, which are few rows, are added.
+    """
+    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    found = counts.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
+    ranges = max(1, -(-found["n"] // values))
+    width = (float(found["high"]) - float(found["low"])) / ranges if found["high"] is not None else 0.0
+    counts = counts.withColumn("_range", F.floor((F.col(column) - F.lit(found["low"])) / F.lit(width)) if width > 0 else F.when(F.col(column).isNotNull(), 0))
+    ahead = lambda *order: Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_all"))
+    totals = totals.withColumn("_earlier", F.coalesce(F.sum("_all").over(ahead(*keys, "_range")), F.lit(0))).drop("_all")
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (*keys, "_range")]
+    inside = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead(*keys, "_range", column)), F.lit(0)))
+    ranks = inside.alias("x").join(totals.alias("y"), same).select(*(F.col(f"x.{k}").alias(f"_k{i}") for i, k in enumerate(keys)), F.col(f"x.{column}").alias("_value"), (F.col("_earlier") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    met = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(column).eqNullSafe(F.col("_value"))]
+    return df.join(ranks, met).drop("_value", *(f"_k{i}" for i in range(len(keys))))
 
 
 def grid_search(candidates: DataFrame, trials: DataFrame, target: str, features: list[str], hit: str, bonus: str, tie: str) -> DataFrame:

@@ -39,8 +39,8 @@ def legal_candidates(df: DataFrame, universe: DataFrame, used: str) -> DataFrame
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """A sample of n rows that depends on keys and seed only."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """A sample of n rows that depends on keys and seed only, by a SHA-256 of both."""
+    return df.orderBy(F.sha2(F.concat_ws(":", F.col(key), F.lit(seed)).cast("binary"), 256), key).limit(n)
 
 
 def portfolio(df: DataFrame, entity: str, item: str, first: list, second: list, third: list) -> DataFrame:

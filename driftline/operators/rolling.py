@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.asof import DAY, decay_weight
+from driftline.operators.asof import decay_weight, hot_frame_sums
 
 #: Fixed value: how much of a targeted ban rate is taken off an item's probability.
 BAN_DISCOUNT = 0.60
 
 
 def _totals(events: DataFrame, probes: DataFrame, keys: list[str], time: str, frame_days: float) -> DataFrame:
-    """Probes (keys, time) with the sum of events' w in [time - frame, time), from two running totals."""
-    both = events.select(*keys, time, F.col("w"), F.lit(False).alias("_probe")).unionByName(probes.select(*keys, time, F.lit(0.0).alias("w"), F.lit(True).alias("_probe")))
-    window = Window.partitionBy(*keys).orderBy(time)
-    low = F.sum("w").over(window.rangeBetween(Window.unboundedPreceding, -int(frame_days * DAY) - 1))
-    low_n = F.count(F.when(~F.col("_probe"), 1)).over(window.rangeBetween(Window.unboundedPreceding, -int(frame_days * DAY) - 1))
-    high = F.sum("w").over(window.rangeBetween(Window.unboundedPreceding, -1))
-    high_n = F.count(F.when(~F.col("_probe"), 1)).over(window.rangeBetween(Window.unboundedPreceding, -1))
-    out = both.withColumns({"total": F.coalesce(high, F.lit(0.0)) - F.coalesce(low, F.lit(0.0)), "rows": high_n - low_n})
-    return out.where(F.col("_probe") & (F.col("rows") > 0)).select(*keys, time, "total")
+    """Probes (keys, time) with the sum of events' w in [time - frame, time), where there are any; keys may hold many events."""
+    both = events.select(*keys, time, F.col("w"), F.lit(1.0).alias("_n"), F.lit(False).alias("_probe")).unionByName(probes.select(*keys, time, F.lit(0.0).alias("w"), F.lit(0.0).alias("_n"), F.lit(True).alias("_probe")))
+    both = both.withColumn("_row", F.struct(*keys, time))
+    sums = hot_frame_sums(both, "_row", keys, time, {"total": F.col("w"), "_rows": F.col("_n")}, frame_days, asked=F.col("_probe"))
+    return sums.where("_rows > 0.5").select("_row.*", "total")
 
 
 def rolling_parts(history: DataFrame, targets: DataFrame, key: str, role: str, player: str, item: str, version: str, time: str, anchor: int, half_life_days: float = 90, frame_days: float = 730) -> DataFrame:

@@ -126,6 +126,6 @@ def teammate_expectation(spark, sf_dir):
     return rk.teammate_synergy(df, pairs, ["team"], "player", "item", "chance").select("player", "item", rounded("p", 6).alias("p"), rounded("synergy", 6).alias("synergy"))
 
 
-@plans.query("seeded_sample")
+@plans.query("seeded_sample", "SELECT o_orderkey FROM orders ORDER BY sha256(o_orderkey || ':7'), o_orderkey LIMIT 100")
 def seeded_sample(spark, sf_dir):
     return rk.sample_rows(table(spark, sf_dir, "orders"), "o_orderkey", 100, 7).select("o_orderkey")

@@ -96,3 +96,17 @@ def test_ban_events_and_outcomes(spark):
     report = spark.createDataFrame([("x", 0.1), ("y", 0.0000001)], "outcome string, delta_log_loss double")
     assert banstudy.decision(report).first().asDict() == {"consistently_improves": False, "production_weight": "zero"}
     assert banstudy.decision(report.where("outcome = 'x'")).first()["consistently_improves"]
+
+
+def test_ranks_by_ranges_are_plain_ranks(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice([None, 1.5, -3.0, 7.25, float(k)])) for k in range(300)]
+    df = spark.createDataFrame(rows, "n int, key string, v double")
+    for values in (1_000_000, 20):
+        got = {r["n"]: r["rank"] for r in models.average_ranks(df, ["key"], "v", "rank", values).collect()}
+        for n, key, v in rows:
+            low = lambda x: (x is not None, x or 0.0)
+            own = [low(x) for _, k, x in rows if k == key]
+            assert got[n] == sum(x < low(v) for x in own) + (own.count(low(v)) + 1) / 2
+    assert models.average_ranks(df.limit(0), ["key"], "v", "rank").count() == 0
+    assert [r["rank"] for r in models.average_ranks(df.where("v = 1.5 AND key = 'a'").limit(3), ["key"], "v", "rank").collect()] == [2.0] * 3
