@@ -107,15 +107,24 @@ def teammate_synergy(df: DataFrame, boosts: DataFrame, keys: list[str], player:
     player's teammates enter as the team's sum of an item less the player's own, so no
     pairs of players are formed.
     """
-    both = boosts.unionByName(boosts.select(*pair_keys, F.col("b").alias("a"), F.col("a").alias("b"), "boost"))
+    both = boosts.select(*pair_keys, "a", "b", "boost").unionByName(boosts.select(*pair_keys, F.col("b").alias("a"), F.col("a").alias("b"), "boost"))
+    partners = both.groupBy(*pair_keys, F.col("b").alias(item)).agg(F.collect_list(F.struct(F.col("a").alias("to"), "boost")).alias("_partners"))
+    kept = [c for c in df.columns if c not in (*keys, player, item, "p", "synergy")]
     df = df.withColumn("p", F.col(probability))
     for _ in range(rounds):
-        team = df.groupBy(*keys, F.col(item).alias("b")).agg(F.sum("p").alias("_team"))
-        own = df.select(*keys, player, F.col(item).alias("b"), F.col("p").alias("_own"))
-        met = df.select(*keys, player, item).join(both.withColumnRenamed("a", item), [item, *pair_keys]).join(team, [*keys, "b"]).join(own, [*keys, player, "b"], "left")
-        expected = F.sum(F.col("boost") * (F.col("_team") - F.coalesce("_own", F.lit(0.0))))
-        synergy = met.groupBy(*keys, player, item).agg(F.least(F.lit(cap), expected).alias("_synergy"))
-        df = df.drop("synergy").join(synergy, [*keys, player, item], "left").withColumn("synergy", F.coalesce("_synergy", F.lit(0.0))).drop("_synergy")
+        # every candidate gives its chance, times the boost, to each of its partners, and itself to its own place
+        own = F.array(F.struct(F.col(item).alias("to"), F.lit(0.0).alias("gives"), F.struct(F.lit(True).alias("_there"), *kept).alias("row")))
+        given = F.transform(F.coalesce("_partners", F.array()), lambda x: F.struct(x["to"].alias("to"), (x["boost"] * F.col("p")).alias("gives"), F.lit(None).cast(_type_of(df, kept)).alias("row")))
+        long = df.join(partners, [item, *pair_keys], "left").select(*keys, player, F.explode(F.concat(own, given)).alias("_x")).select(*keys, player, F.col("_x.to").alias(item), "_x.gives", "_x.row")
+        met = long.groupBy(*keys, player, item).agg(F.max("row").alias("row"), F.sum("gives").alias("_own"))
+        # what a team gives to an item, less the player's own part, is what its teammates give
+        team = F.sum("_own").over(Window.partitionBy(*keys, item))
+        df = met.withColumn("_team", team).where("row IS NOT NULL").withColumn("synergy", F.least(F.lit(cap), F.col("_team") - F.col("_own"))).select(*keys, player, item, *(F.col("row")[c].alias(c) for c in kept), "synergy")
         raised = F.col(probability) * (1 + F.col("synergy"))
         df = df.withColumn("p", F.coalesce(F.try_divide(raised, F.sum(raised).over(Window.partitionBy(*keys, player))), F.lit(0.0)))
     return df
+
+
+def _type_of(df: DataFrame, columns: list[str]) -> str:
+    kinds = dict(df.dtypes)
+    return "struct<_there:boolean," + ",".join(f"`{c}`:{kinds[c]}" for c in columns) + ">"
