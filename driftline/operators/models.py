@@ -186,6 +186,15 @@ def pearson(x: str, y: str) -> Column:
     return F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))
 
 
+def available_ranks(probabilities: DataFrame, offered: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label, probability, rank) of the labels that are offered to each key (key, label), made to sum to 1 again; the likeliest first, ties by label."""
+    met = probabilities.join(offered.select(key, label).distinct(), [key, label])
+    window = Window.partitionBy(key)
+    out = met.withColumn("probability", F.col("probability") / F.sum("probability").over(window))
+    # sums in another order differ in their last digits, which must not settle ties
+    return out.withColumn("rank", F.row_number().over(window.orderBy(F.bround("probability", 9).desc(), label)))
+
+
 #: Distinct values that one task orders on average.
 RANKED_VALUES = 1_000_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftline.operators import banstudy, drafts, profiles, rolling, walkforward
+from driftline.operators import banstudy, drafts, models, profiles, rolling, walkforward
 from driftline.operators import sequences as seq
 from driftline.plans.base import Plans, micros, rounded, table
 
@@ -191,6 +191,35 @@ def board_ranker(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+_NB_FEATURES = ["league", "patch", "team", "opponent", "action_phase"]
+_NB_PARTS = " + ".join(f"ln((coalesce(f{i}.n, 0) + 1) / (cw.n + nv{i}.n + CASE WHEN sn{i}.v IS NULL THEN 1 ELSE 0 END))" for i in range(len(_NB_FEATURES)))
+_NB_JOINS = " ".join(f"JOIN nv nv{i} ON nv{i}.action_type = te.action_type AND nv{i}.feature = '{c}' LEFT JOIN sn sn{i} ON sn{i}.action_type = te.action_type AND sn{i}.feature = '{c}' AND sn{i}.v = te.{c} LEFT JOIN fc f{i} ON f{i}.action_type = te.action_type AND f{i}.feature = '{c}' AND f{i}.v = te.{c} AND f{i}.champion = te.item" for i, c in enumerate(_NB_FEATURES))
+
+
+@plans.query("bayes_backtest", f"""WITH {_ACTIONS}, {_BOARD}, tk AS (SELECT *, 't' || user_id || CASE WHEN side = 'Blue' THEN 'a' ELSE 'b' END AS team, 't' || user_id || CASE WHEN side = 'Blue' THEN 'b' ELSE 'a' END AS opponent FROM kn),
+cw AS (SELECT action_type, champion, count(*)::DOUBLE AS n FROM tk GROUP BY ALL), ct AS (SELECT action_type, sum(n) AS total, count(*) AS classes FROM cw GROUP BY 1),
+lo AS (SELECT action_type, champion, unnest([{', '.join(repr(c) for c in _NB_FEATURES)}]) AS feature, unnest([{', '.join(_NB_FEATURES)}]) AS v FROM tk), fc AS (SELECT action_type, feature, v, champion, count(*)::DOUBLE AS n FROM lo GROUP BY ALL), sn AS (SELECT DISTINCT action_type, feature, v FROM lo), nv AS (SELECT action_type, feature, count(*) AS n FROM sn GROUP BY ALL),
+te AS (SELECT *, 't' || user_id || CASE WHEN side = 'Blue' THEN 'a' ELSE 'b' END AS team, 't' || user_id || CASE WHEN side = 'Blue' THEN 'b' ELSE 'a' END AS opponent FROM la WHERE date >= '{_CUTOFF}'),
+sc AS (SELECT te.action_type, te.gameid, te.action_number, te.item, te.item = te.champion AS chosen, ln((cw.n + 1) / (ct.total + ct.classes)) + {_NB_PARTS} AS lg FROM te JOIN cw ON cw.action_type = te.action_type AND cw.champion = te.item JOIN ct ON ct.action_type = te.action_type {_NB_JOINS}),
+pr AS (SELECT *, exp(lg) / sum(exp(lg)) OVER (PARTITION BY gameid, action_number) AS p FROM sc), rk AS (SELECT *, row_number() OVER (PARTITION BY gameid, action_number ORDER BY round_even(p, 9) DESC, item) AS r FROM pr),
+al AS (SELECT DISTINCT action_type, gameid, action_number FROM te)
+SELECT action_type, count(*) AS targets, round_even(avg(coalesce((r <= 1)::INT, 0)), 6) AS top1, round_even(avg(coalesce((r <= 5)::INT, 0)), 6) AS top5, round_even(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round_even(avg(-ln(greatest(p, 1e-15))), 6) AS log_loss FROM al LEFT JOIN (SELECT * FROM rk WHERE chosen) USING (action_type, gameid, action_number) GROUP BY 1""")
+def bayes_backtest(spark, sf_dir):
+    """Naive Bayes of picks and of bans, learned from earlier legal actions and ranked among what later boards leave."""
+    actions, universe, *_ = _earlier(spark, sf_dir)
+    found = []
+    for kind in ("pick", "ban"):
+        mine = actions.where(F.col("action_type") == kind)
+        train, test = mine.where("NOT tested"), mine.where("tested")
+        chances = models.naive_bayes(train, test, _NB_FEATURES, "champion", "action_id")
+        legal = test.select("action_id", "unavailable", F.col("champion").alias("_own")).crossJoin(universe).where(~F.coalesce(F.array_contains("unavailable", F.col("champion")), F.lit(False)) | (F.col("champion") == F.col("_own")))
+        ranked = models.available_ranks(chances, legal, "action_id", "champion")
+        own = test.select("action_id", "champion").join(ranked, ["action_id", "champion"], "left")
+        metrics = models.rank_metrics(own, "rank", "probability")
+        found.append(metrics.select(F.lit(kind).alias("action_type"), "targets", *(rounded(c, 6).alias(c) for c in ("top1", "top5", "mrr", "log_loss"))))
+    return found[0].unionByName(found[1])
+
+
 def _walk_forward(spark, sf_dir, pairs: bool):
     """(tested picks, features of all picks) with pair strengths of the picks before each tested week, and of all earlier games for those."""
     actions, *priors, _ = _earlier(spark, sf_dir)
