@@ -80,6 +80,30 @@ def confirmation(spark, sf_dir):
     return best.select("trial", *(rounded(c, 6).alias(c) for c in ("development_hit_rate", "development_bonus", "confirmation_hit_rate", "confirmation_bonus")))
 
 
+_GRID = search.comfort_grid([0.25, 0.5, 1.5], [0.0, 0.5], [40.0, 400.0])
+_MATURITY = [(*t[:7], t[7] * 10) for t in search.maturity_trials(20, 20260723)]
+
+
+def _searched_sql(name: str, trials: list[tuple], columns: list[str], shares: str) -> str:
+    values = ", ".join("(" + ", ".join([str(t[0]), *(f"{v!r}::DOUBLE" for v in t[1:])]) + ")" for t in trials)
+    return f"""WITH {_CANDIDATES}, tr(trial, {', '.join(columns)}) AS (VALUES {values}), bs AS (SELECT trial, hit, realized FROM (SELECT *, ({shares}) * factor * expected_points * (novelty - 1) AS s FROM (SELECT *, least(1.0, games / greatest(1.0, horizon)) AS m FROM ft, tr)) QUALIFY row_number() OVER (PARTITION BY trial, user_id, week ORDER BY round_even(s, 9) DESC, item) = 1)
+SELECT trial, count(*) AS targets, round_even(avg(hit::INT), 6) AS hit_rate, round_even(avg(realized), 6) AS mean_bonus FROM bs GROUP BY 1"""
+
+
+@plans.query("comfort_search", _searched_sql("comfort", [(k, *g) for k, g in enumerate(_GRID)], search.COMFORT, "(0.45::DOUBLE * player_share + 0.25::DOUBLE * domestic_share + 0.30::DOUBLE * leading_share) * (1 + ((1 - m) * early + m * mature) * player_share)"))
+def comfort_search(spark, sf_dir):
+    """The whole grid of comfort strengths."""
+    found = search.comfort_search(candidates(spark, sf_dir), _GRID)
+    return found.select("trial", "targets", rounded("hit_rate", 6).alias("hit_rate"), rounded("mean_bonus", 6).alias("mean_bonus"))
+
+
+@plans.query("maturity_search", _searched_sql("maturity", _MATURITY, search.MATURITY, " + ".join(f"(early_{n} + (mature_{n} - early_{n}) * m) * {n}_share" for n in ("player", "domestic", "leading"))))
+def maturity_search(spark, sf_dir):
+    """Seeded trials of weights that move as a split matures."""
+    found = search.maturity_search(candidates(spark, sf_dir), _MATURITY)
+    return found.select("trial", "targets", rounded("hit_rate", 6).alias("hit_rate"), rounded("mean_bonus", 6).alias("mean_bonus"))
+
+
 @plans.query("series_choices", """WITH ch AS (SELECT user_id, ts::DATE AS day, arg_max(event_type, (value, event_id)) AS item, count(*) AS games, 1.3 + 0.2 * (user_id % 3) AS multiplier FROM events WHERE event_id % 3 = 0 GROUP BY ALL), pl AS (SELECT user_id, ts::DATE AS day, event_type AS item, sum(value) AS points FROM events WHERE event_id % 3 > 0 GROUP BY ALL)
 SELECT user_id, day, item, points IS NOT NULL AS hit, round_even(coalesce(points, 0) * (multiplier - 1)::DOUBLE / greatest(1, games), 6) AS realized FROM ch LEFT JOIN pl USING (user_id, day, item)""")
 def series_choices(spark, sf_dir):
