@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.operators import context, folds
-from driftline.plans.base import Plans, rounded, table
+from driftline.operators.asof import bucket_length
+from driftline.plans.base import Plans, micros, rounded, table
 
 plans = Plans()
+HOUR = 3_600_000_000
 
 
 def _weeks(spark, sf_dir):
@@ -75,6 +77,8 @@ SELECT event_id, round_even(-ln(0.60 * ((m + 0.4) / (n + 2)) + 0.25 * ((tm + 0.4
 def surprise_counters(spark, sf_dir):
     df = table(spark, sf_dir, "events").withColumn("target", F.col("user_id") % 10)
     hot = {"m": ["event_type"], "n": [], "om": ["target", "event_type"], "o": ["target"]}
-    df = folds.counters(df, ["ts", "event_id"], {"tm": ["user_id", "event_type"], "tn": ["user_id"]}, hot, F.date_trunc("hour", "ts"))
+    # buckets of time by the number of rows, an hour at most
+    bucket = min(HOUR, bucket_length(df.withColumn("us", micros("ts")), "us"))
+    df = folds.counters(df, ["ts", "event_id"], {"tm": ["user_id", "event_type"], "tn": ["user_id"]}, hot, F.floor(micros("ts") / F.lit(bucket)))
     mean = 0.60 * folds.smoothed(F.col("m"), F.col("n"), 0.2) + 0.25 * folds.smoothed(F.col("tm"), F.col("tn"), 0.2) + 0.15 * folds.smoothed(F.col("om"), F.col("o"), 0.2)
     return df.select("event_id", rounded(-F.log(mean), 6).alias("surprise"))
