@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("asof", "ablations", "rules", "contexts", "sequences", "drafts", "storage", "strategies", "records", "profiles", "versions", "rankings", "folds", "labs", "lineups", "markets", "models", "views")
+MODULES = ("asof", "ablations", "rules", "contexts", "sequences", "drafts", "storage", "streams", "strategies", "records", "profiles", "versions", "rankings", "folds", "labs", "lineups", "markets", "models", "views")
 
 
 def _modules():

@@ -128,3 +128,19 @@ def test_buckets_of_time_follow_the_rows(spark):
     rows = spark.createDataFrame([(k, "ab"[k % 2], (k * 7919) % (3 * DAY), float(k)) for k in range(200)], "n long, k string, t long, v double")
     wide, narrow = ({r["n"]: r["s"] for r in asof.hot_frame_sums(rows, "n", ["k"], "t", {"s": F.col("v")}, 1.0, bucket).collect()} for bucket in (DAY, 12_345_678))
     assert wide == narrow and len(wide) == 200
+
+
+def test_streamed_pools_put_late_rows_in_their_place(spark, tmp_path):
+    import datetime
+
+    from driftline.streaming import pools
+
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda hours: start + datetime.timedelta(hours=hours)
+    files = [[(1, "k", at(5), "b"), (2, "k", at(30), "c")], [(3, "k", at(20), "a"), (4, "q", at(31), "x")], [(5, "k", at(2), "z"), (6, "k", at(90), "d")], [(7, "far", at(200), "y")]]
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, "row long, key string, ts timestamp, item string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("row long, key string, ts timestamp, item string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["row"]: (r["first_item"], r["pool"]) for r in pools.drained(pools.running_pools(stream, "key", "row", "ts", "item", "12 hours"), str(tmp_path / "out")).collect()}
+    # row 3 came late and stands before row 2; row 5 came after the watermark had passed it; row 7 still waits
+    assert got == {1: ("b", []), 3: ("b", ["b"]), 2: ("b", ["a", "b"]), 4: ("x", []), 6: ("b", ["a", "b", "c"])}
