@@ -41,6 +41,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written once to the shared folder and read from there, for one that several steps read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def micros(column: str | Column) -> Column:
     """Epoch microseconds of a timestamp without zone, read as UTC."""
     return F.unix_micros(F.to_utc_timestamp(F.col(column).cast("timestamp") if isinstance(column, str) else column.cast("timestamp"), F.current_timezone()))

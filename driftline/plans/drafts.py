@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import banstudy, drafts, models, profiles, rolling, walkforward
 from driftline.operators import sequences as seq
-from driftline.plans.base import Plans, micros, rounded, table
+from driftline.plans.base import Plans, micros, rounded, stored, table
 
 plans = Plans()
 #: Hours between games of one series; a user's twenty events take days.
@@ -181,7 +181,7 @@ def board_features(spark, sf_dir):
 @plans.query("board_ranker")
 def board_ranker(spark, sf_dir):
     """For picks and for bans: weights fitted on earlier games, and rank metrics on later ones."""
-    actions, features = board(spark, sf_dir)
+    actions, features = (stored(x, n) for x, n in zip(board(spark, sf_dir), ("actions", "features"), strict=True))
     found = []
     for kind in ("pick", "ban"):
         of_kind = features.where(F.col("action_type") == kind)
@@ -251,7 +251,7 @@ def pair_ablation(spark, sf_dir):
     """What pair strengths, known before each week, add to the ranks of later picks, at the start weights."""
     found = []
     for pairs in (True, False):
-        tested, features = _walk_forward(spark, sf_dir, pairs)
+        tested, features = (stored(x, n) for x, n in zip(_walk_forward(spark, sf_dir, pairs), ("tested", "features"), strict=True))
         found.append(drafts.evaluate_board(tested, features.where("tested"), drafts.BOARD_START))
     return walkforward.deltas(*found, _METRICS)
 
@@ -261,7 +261,7 @@ def pair_ablation_fitted(spark, sf_dir):
     """The same with weights fitted on earlier picks, once with pairs and once without."""
     found = []
     for pairs in (True, False):
-        tested, features = _walk_forward(spark, sf_dir, pairs)
+        tested, features = (stored(x, n) for x, n in zip(_walk_forward(spark, sf_dir, pairs), ("tested", "features"), strict=True))
         found.append(drafts.evaluate_board(tested, features.where("tested"), drafts.fit_board(features.where("NOT tested"))))
     return walkforward.deltas(*found, _METRICS)
 
@@ -416,7 +416,7 @@ me AS (SELECT outcome, extended, count(*) AS rows, sum(y)::BIGINT AS positives,
 SELECT outcome, x.rows, x.positives, round_even(x.l, 7) AS baseline_log_loss, round_even(x.b, 7) AS baseline_brier, round_even(z.l, 7) AS extended_log_loss, round_even(z.b, 7) AS extended_brier, round_even(x.l - z.l, 7) AS delta_log_loss, round_even(x.b - z.b, 7) AS delta_brier FROM me x JOIN me z USING (outcome) WHERE NOT x.extended AND z.extended""")
 def ban_study(spark, sf_dir):
     """Six fits on earlier bans, judged on later ones: each outcome without and with the features of the ban itself."""
-    events = _ban_events(spark, sf_dir)
+    events = stored(_ban_events(spark, sf_dir), "bans")
     later = F.col("time") >= F.unix_micros(F.lit(_CUTOFF).cast("timestamp"))
     report = banstudy.evaluate(events.where(~later), events.where(later & F.col("league").isin("l0", "l1")))
     return report.select("outcome", "rows", "positives", *(rounded(c, 7).alias(c) for c in report.columns if c.endswith(("log_loss", "brier"))))
@@ -463,8 +463,8 @@ def predraft_ablation(spark, sf_dir):
     strength = walkforward.pair_strength(picks, "group", "event_type", "time")(wanted).drop("target")
     df = ranked.select((F.col("key.user_id") % 30).alias("team"), F.col("key.user_id").alias("player"), F.unix_micros(F.col("key.week").cast("timestamp")).alias("week"), F.col("event_type"), F.col("score").alias("p0"))
     several = df.groupBy("team", "week").agg(F.count_distinct("player").alias("players")).where("players >= 2")
-    df = df.join(several, ["team", "week"], "left_semi")
-    raised = ranking.teammate_synergy(df, strength, ["team", "week"], "player", "event_type", "p0", pair_keys=("week",))
+    df = stored(df.join(several, ["team", "week"], "left_semi"), "rankings")
+    raised = stored(ranking.teammate_synergy(df, stored(strength, "strength"), ["team", "week"], "player", "event_type", "p0", pair_keys=("week",)), "raised")
     multiplier = F.create_map(*(F.lit(x) for pair in _MULTIPLIERS.items() for x in pair))[F.col("event_type")]
     played = events.select(F.col("user_id").alias("player"), F.unix_micros(F.date_trunc("week", "ts").cast("timestamp")).alias("week"), "event_type", "value")
     games = played.groupBy("player", "week").agg(F.count("*").alias("games"))
