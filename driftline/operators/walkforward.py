@@ -59,8 +59,9 @@ def pair_strength(picks: DataFrame, group: str, item: str, time: str, week: str
 
 
 def deltas(with_part: DataFrame, without: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """Three rows of one-row metrics: with the part, without it, and the difference."""
+    """Three rows of one-row metrics: with the part, without it, and the difference; none where the first column counts nothing."""
     both = with_part.select(*(F.col(c).alias(f"w_{c}") for c in columns)).join(without.select(*(F.col(c).alias(f"o_{c}") for c in columns)))
     rows = [("with", lambda c: F.col(f"w_{c}")), ("without", lambda c: F.col(f"o_{c}")), ("difference", lambda c: F.col(f"w_{c}") - F.col(f"o_{c}"))]
     packed = F.array(*(F.struct(F.lit(name).alias("variant"), *(F.bround(of(c).cast("double"), digits).alias(c) for c in columns)) for name, of in rows))
-    return both.select(F.explode(packed).alias("x")).select("x.*")
+    some = (F.col(f"w_{columns[0]}") > 0) & (F.col(f"o_{columns[0]}") > 0)
+    return both.where(some).select(F.explode(packed).alias("_case")).select("_case.*")

@@ -47,19 +47,19 @@ y AS (SELECT x.*, round_even(projection, 2) AS off, round_even(projection + beta
 rk AS (SELECT *, {', '.join(f'rank() OVER (PARTITION BY win_window ORDER BY {c}) + (count(*) OVER (PARTITION BY win_window, {c}) - 1) / 2.0 AS r_{n}' for n, c in (('v', 'value'), ('off', 'off'), ('on', '"on"')))} FROM y),
 co AS (SELECT win_window, count(*) AS slates, {', '.join(f'avg(abs(v - {w})) AS coach_{w[0:3].strip(chr(34)) if w == "off" else "on"}' for w in ('off', '"on"'))} FROM (SELECT win_window, game, side, avg(value) AS v, avg(off) AS off, avg("on") AS "on" FROM y GROUP BY ALL HAVING count(*) = 5) GROUP BY 1),
 st AS (SELECT win_window, count(*) AS observations, {', '.join(f'avg(abs(value - {c})) AS mae_{n}, sqrt(avg(pow(value - {c}, 2))) AS rmse_{n}, corr(value, {c}) AS pearson_{n}, corr(r_v, r_{n}) AS spearman_{n}' for n, c in (('off', 'off'), ('on', '"on"')))} FROM rk GROUP BY 1),
-sh AS (SELECT win_window, observations, slates, {', '.join(f'round_even({m}_{w}, 4) AS {m}_{w}' for m in (*ablation.METRICS, 'coach') for w in ('off', 'on'))} FROM st JOIN co USING (win_window)),
-dl AS (SELECT *, {', '.join(f'round_even({m}_on - {m}_off, 4) AS {m}_delta' for m in ('mae', 'rmse', 'pearson'))} FROM sh)"""
+sh AS (SELECT win_window, observations, slates, {', '.join(f'round_even({m}_{w}, 8) AS {m}_{w}' for m in (*ablation.METRICS, 'coach') for w in ('off', 'on'))} FROM st JOIN co USING (win_window)),
+dl AS (SELECT *, {', '.join(f'round_even({m}_on - {m}_off, 8) AS {m}_delta' for m in ('mae', 'rmse', 'pearson'))} FROM sh)"""
 
 
 @plans.query("win_chance_ablation", f'{_ROWS} SELECT win_window AS "window", * EXCLUDE (win_window) FROM dl')
 def win_chance_ablation(spark, sf_dir):
     """Errors and correlations of the projection without and with the chance of winning, in each window."""
-    return ablation.by_window(_adjusted(spark, sf_dir)[0], "value", ["game", "side"])
+    return ablation.by_window(_adjusted(spark, sf_dir)[0], "value", ["game", "side"], 8)
 
 
-@plans.query("win_chance_by_role", f'{_ROWS} SELECT win_window AS "window", role, round_even(avg(abs(value - off)), 4) AS mae_off, round_even(avg(abs(value - "on")), 4) AS mae_on FROM y GROUP BY ALL')
+@plans.query("win_chance_by_role", f'{_ROWS} SELECT win_window AS "window", role, round_even(avg(abs(value - off)), 8) AS mae_off, round_even(avg(abs(value - "on")), 8) AS mae_on FROM y GROUP BY ALL')
 def win_chance_by_role(spark, sf_dir):
-    return ablation.by_role(_adjusted(spark, sf_dir)[0], "value", "role")
+    return ablation.by_role(_adjusted(spark, sf_dir)[0], "value", "role", 8)
 
 
 @plans.query("win_chance_gate", f"""{_ROWS}, g AS (SELECT coalesce(bool_or(CASE WHEN win_window = 'confirmation' THEN mae_delta < 0 AND rmse_delta <= 0.01 END), false) AS confirmed, coalesce(bool_or(CASE WHEN win_window = 'validation' THEN mae_delta < 0 AND rmse_delta <= 0.01 END), false) AS validated FROM dl)
@@ -67,4 +67,4 @@ SELECT confirmed, validated, confirmed AND validated AS passed, round_even(beta,
 def win_chance_gate(spark, sf_dir):
     """Whether the chance of winning is to be part of the projection, and what it is worth."""
     rows, beta = _adjusted(spark, sf_dir)
-    return ablation.gate(ablation.by_window(rows, "value", ["game", "side"]), "confirmation", "validation").withColumn("beta", rounded(F.lit(beta), 6))
+    return ablation.gate(ablation.by_window(rows, "value", ["game", "side"], 8), "confirmation", "validation").withColumn("beta", rounded(F.lit(beta), 6))
