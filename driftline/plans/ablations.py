@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftline.operators import ablation, asof, folds
 from driftline.plans.asof import ANCHOR, events
 from driftline.plans.asof import plans as asof_plans
-from driftline.plans.base import Plans, rounded
+from driftline.plans.base import Plans, rounded, stored
 
 plans = Plans()
 _ENDS = {"development": "2024-01-12", "confirmation": "2024-01-18", "validation": "2024-01-24", "test": "2024-02-10"}
@@ -30,7 +30,7 @@ def _rows(spark, sf_dir):
 
 
 def _adjusted(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = stored(_rows(spark, sf_dir), "projected")
     beta = ablation.coefficient(rows.where("window = 'development'").withColumn("chance", F.coalesce("chance", F.lit(0.5))), "value", "projection", "chance")
     return ablation.adjusted(rows, "projection", "chance", beta), beta
 
