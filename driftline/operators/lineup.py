@@ -115,6 +115,8 @@ def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, va
     rules = _Rules(slots, variety, opponent, penalty, slot_weights)
     items = items.where(F.col(cost).isNotNull() & F.col(value).isNotNull()) if opponent else pruned(items, [*keys, slot, group], cost, value, item, k)
     markets = _markets(items, keys, slots, slot, group, cost, value, item, opponent).where(F.col("_least") <= budget + 1e-9)
+    # whole markets are few; dealt once more, they are what all halves are opened from
+    markets = markets.repartition(F.xxhash64(*keys))
     every = list(range(len(slots)))
     cut = len(slots) // 2
     if not cut:
