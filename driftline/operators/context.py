@@ -13,12 +13,17 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def attach_context(rows: DataFrame, context: DataFrame, keys: list[str], values: list[str], prefix: str, flip: tuple[str, dict] | None = None) -> DataFrame:
-    """Left-joins context values under a prefix; flip maps a key's values to those of the other side first."""
+    """Left-joins context values under a prefix; flip maps a key's values to those of the other side first.  A key with two rows of context is an error."""
     if flip:
         column, pairs = flip
         swap = F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
         context = context.withColumn(column, swap[F.col(column)])
-    return rows.join(context.select(*keys, *(F.col(v).alias(f"{prefix}{v}") for v in values)), keys, "left")
+    # counted by the keys of the join, so that the join finds its rows where the count has put them
+    one = context.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.count("*").alias("_n"), *(F.first(v).alias(f"{prefix}{v}") for v in values))
+    twice = F.raise_error(F.concat(F.lit("more than one row of context for: "), F.concat_ws(", ", *keys)))
+    kinds = dict(one.dtypes)
+    checked = [F.when(F.col("_n") > 1, twice.cast(kinds[f"{prefix}{v}"])).otherwise(F.col(f"{prefix}{v}")).alias(f"{prefix}{v}") for v in values]
+    return rows.join(one.select(*keys, *checked), keys, "left")
 
 
 def two_sided(df: DataFrame, group: str, side: str, measures: dict[str, Column]) -> DataFrame:

@@ -309,3 +309,12 @@ def test_comfort_that_is_often_banned_is_left(spark):
     assert len(got) == 7 and [k for k, r in got.items() if r["risk_pivot_recommended"]] == [("a", "z")]
     assert {r["risk_pivot_from"] for k, r in got.items() if k[0] == "a"} == {"x"} and got["a", "y"]["recommended_tier"] == "1.7x_novelty_wildcard"
     assert got["b", "y"]["portfolio_strategy"] == got["c", "x"]["portfolio_strategy"] == "best_expected_value_within_tier" and got["a", "w"]["portfolio_rank"] == 2
+
+
+def test_two_rows_of_context_are_an_error(spark):
+    rows = spark.createDataFrame([("g", "Blue"), ("h", "Red"), (None, "Red")], "g string, side string")
+    more = spark.createDataFrame([("g", "Blue", 1, ["x"]), ("h", "Red", 2, ["y"]), ("h", "Red", 3, ["z"]), (None, "Red", 4, []), (None, "Red", 5, [])], "g string, side string, v int, items array<string>")
+    got = context.attach_context(rows, more.where("v <> 3"), ["g", "side"], ["v", "items"], "team_").collect()
+    assert {(r["g"], r["team_v"], tuple(r["team_items"] or [])) for r in got} == {("g", 1, ("x",)), ("h", 2, ("y",)), (None, None, ())}
+    with pytest.raises(Exception, match="more than one row of context"):
+        context.attach_context(rows, more, ["g", "side"], ["v", "items"], "team_").collect()
