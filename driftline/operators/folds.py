@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions.numbers import half_even
+
 
 @dataclass(frozen=True)
 class Market:
@@ -29,7 +31,7 @@ def price_step(price: Column, score: Column, m: Market) -> Column:
         factor = F.when(price >= level, value).otherwise(factor)
     change = F.lit(m.rate) * (score - m.neutral)
     change = F.when(change > 0, change * factor).otherwise(change)
-    return F.least(F.lit(m.ceiling), F.greatest(F.lit(m.floor), F.bround(price + change, m.digits)))
+    return F.least(F.lit(m.ceiling), F.greatest(F.lit(m.floor), half_even(price + change, m.digits)))
 
 
 def price_paths(weeks: DataFrame, entity: str, week: str, period: str, score: str, m: Market = Market()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftline.functions.numbers import half_even, ordered_mean
 from driftline.operators import context, folds
 from driftline.operators.asof import bucket_length
 from driftline.plans.base import Plans, micros, rounded, table
@@ -13,7 +14,7 @@ HOUR = 3_600_000_000
 
 
 def _weeks(spark, sf_dir):
-    df = table(spark, sf_dir, "events").groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.bround(F.avg("value"), 1).alias("score"))
+    df = table(spark, sf_dir, "events").groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(half_even(ordered_mean("value", "ts", "event_id"), 1).alias("score"))
     return df.withColumn("period", F.when(F.col("week") < F.lit("2024-01-15").cast("date"), "Spring").otherwise("Summer"))
 
 
