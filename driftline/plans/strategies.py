@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from driftline.functions.numbers import ordered_mean
 from driftline.operators import asof, rolling, search
 from driftline.plans.asof import ANCHOR, events
 from driftline.plans.base import Plans, rounded, table
@@ -135,7 +136,7 @@ def slate_errors(spark, sf_dir):
 SELECT user_id, week, round_even(avg(projection), 1) AS projection, arg_min(n, CASE WHEN known THEN opponent ELSE '' END) AS n, count(DISTINCT CASE WHEN known THEN opponent END) AS scheduled_matchups FROM p GROUP BY ALL""")
 def week_projection(spark, sf_dir):
     opponent = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("t"), F.col("event_id") % 3)).otherwise("")
-    df = table(spark, sf_dir, "events").groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week"), opponent.alias("opponent")).agg(F.floor(F.avg("value")).alias("projection"), F.count("*").alias("n"))
+    df = table(spark, sf_dir, "events").groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week"), opponent.alias("opponent")).agg(F.floor(ordered_mean("value", "ts", "event_id")).alias("projection"), F.count("*").alias("n"))
     return asof.opponents_mean(df, ["user_id", "week"], "opponent", ["projection"], ["n"], 1)
 
 
