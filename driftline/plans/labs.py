@@ -29,12 +29,12 @@ def _profiles(spark, sf_dir):
     number, game = F.col("event_id"), F.floor(F.col("event_id") / 10)
     blue = number % 10 < 5
     rows = table(spark, sf_dir, "events").select(
-        game.alias("game"), F.when(blue, "Blue").otherwise("Red").alias("side"), F.concat(F.lit("p"), F.col("user_id") % 40).alias("player"), F.concat(F.lit("L"), game % 2).alias("league"), F.when(game % 3 == 0, "Spring").otherwise("Summer").alias("phase"), F.col("event_type").alias("position"),
+        number.alias("number"), game.alias("game"), F.when(blue, "Blue").otherwise("Red").alias("side"), F.concat(F.lit("p"), F.col("user_id") % 40).alias("player"), F.concat(F.lit("L"), game % 2).alias("league"), F.when(game % 3 == 0, "Spring").otherwise("Summer").alias("phase"), F.col("event_type").alias("position"),
         F.concat(F.lit("c"), number * 7 % 40).alias("champion"), ((game + F.when(blue, 0).otherwise(1)) % 2).cast("double").alias("win"), "value", (number % 1000).alias("dpm"), F.concat(F.lit("t"), F.col("user_id") % 7).alias("team"), F.to_date("ts").alias("day"), F.concat(F.lit("15."), game % 4).alias("patch"),
     )
     banned = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.concat(F.lit("c"), (F.col("game") * 3 + F.when(F.col("side") == "Blue", 0).otherwise(11) + k * 5) % 40))
     sides = rows.select("game", "side", *_CONTEXT).distinct().withColumn("bans", banned)
-    return labs.profiles(rows, sides, _KEYS, _CONTEXT, "champion", "game", "side", "win", {"value": 6, "dpm": 1}, "team", "day", "patch")
+    return labs.profiles(rows, sides, _KEYS, _CONTEXT, "champion", "game", "side", "win", {"value": 6, "dpm": 1}, "team", "day", "patch", ["number"])
 
 
 def _fixed(column, digits: int = 4):
