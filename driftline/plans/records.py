@@ -57,18 +57,31 @@ def normalize_players(spark, sf_dir):
     return tables.normalize_players(rows, roles, {"N4": "N1"}, _TIERS, _ABROAD, primary).select("o_orderkey", "league", "source_league", "position")
 
 
+#: Customer numbers that one market document covers.
+_DOCUMENT = 5000
+
+
 def market(spark, sf_dir):
-    """One market document for each nation: its suppliers are teams, its customers players."""
-    teams = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("C"), "s_suppkey").alias("code"), F.col("s_name").alias("name"))).alias("teams"), F.array_sort(F.collect_list("s_suppkey")).alias("keys"))
-    docs = table(spark, sf_dir, "customer").join(teams, F.col("c_nationkey") == F.col("s_nationkey"))
-    pick = F.element_at("keys", (F.col("c_custkey") % F.size("keys") + 1).cast("int")).cast("string")
-    other = F.element_at("keys", ((F.col("c_custkey") + 1) % F.size("keys") + 1).cast("int")).cast("string")
+    """Market documents of each nation, one for every so many customer numbers: its suppliers are teams, its customers players.
+
+    A document names the teams that its players need, so that neither a row nor a document grows with the tables.
+    """
+    nation = Window.partitionBy("s_nationkey")
+    place = F.row_number().over(nation.orderBy("s_suppkey")) - 1
+    teams = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), place.alias("_place"), F.struct(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("C"), "s_suppkey").alias("code"), F.col("s_name").alias("name")).alias("_team"))
+    sizes = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("_size"))
+    # nations are few: their sizes go to all tasks
+    customers = table(spark, sf_dir, "customer").join(F.broadcast(sizes), "c_nationkey")
+    for name, shift in (("_pick", 0), ("_other", 1)):
+        at = teams.select("c_nationkey", F.col("_place").alias(f"{name}_place"), F.col("_team").alias(name))
+        customers = customers.withColumn(f"{name}_place", ((F.col("c_custkey") + shift) % F.col("_size")).cast("int")).join(at, ["c_nationkey", f"{name}_place"])
     player = F.struct(
-        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("summonerName"), F.col("c_mktsegment").alias("role"), pick.alias("teamId"),
-        F.bround(F.col("c_acctbal") / 100, 1).alias("price"), F.bround(F.col("c_acctbal") / 110, 1).alias("previousPrice"), F.array(other, pick).alias("opponentIds"),
+        F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("summonerName"), F.col("c_mktsegment").alias("role"), F.col("_pick.id").alias("teamId"),
+        F.bround(F.col("c_acctbal") / 100, 1).alias("price"), F.bround(F.col("c_acctbal") / 110, 1).alias("previousPrice"), F.array("_other.id", "_pick.id").alias("opponentIds"),
     )
     text_of = F.to_json(F.struct(F.struct(F.col("c_nationkey").cast("string").alias("id"), F.concat(F.lit("Round "), "c_nationkey").alias("name")).alias("round"), "teams", "roundPlayers"))
-    return docs.groupBy("c_nationkey", "teams").agg(F.collect_list(player).alias("roundPlayers")).select(F.from_json(text_of, tables.MARKET).alias("d")).select("d.*")
+    docs = customers.groupBy("c_nationkey", F.floor(F.col("c_custkey") / _DOCUMENT).alias("_part")).agg(F.array_distinct(F.flatten(F.collect_list(F.array("_pick", "_other")))).alias("teams"), F.collect_list(player).alias("roundPlayers"))
+    return docs.select(F.from_json(text_of, tables.MARKET).alias("d")).select("d.*")
 
 
 @plans.query("flatten_market", """WITH t AS (SELECT s_nationkey AS c_nationkey, list(s_suppkey ORDER BY s_suppkey) AS keys FROM supplier GROUP BY 1), p AS (SELECT c.*, keys[c_custkey % len(keys) + 1] AS team, keys[(c_custkey + 1) % len(keys) + 1] AS other, round_even(c_acctbal / 100, 1) AS price, round_even(c_acctbal / 110, 1) AS previous FROM customer c JOIN t USING (c_nationkey))

@@ -143,14 +143,16 @@ MARKET = T.StructType.fromJson(
 
 def flatten_market(raw: DataFrame, captured_at: str) -> DataFrame:
     """One row a player of market documents of schema ``MARKET``, with team, opponents as pipe text, and price change."""
-    code = F.map_from_entries(F.transform("teams", lambda t: F.struct(t["id"], t["code"])))
-    name = F.map_from_entries(F.transform("teams", lambda t: F.struct(t["id"], t["name"])))
-    df = raw.select("round", code.alias("code"), name.alias("name"), F.explode("roundPlayers").alias("p"))
-    return df.select(
+    known = F.map_from_entries(F.transform("teams", lambda t: F.struct(t["id"], F.struct(t["code"], t["name"]))))
+    # bound as one entry, the teams of a document are mapped once and not for each player, and no player's row carries them all
+    document = F.array(F.struct(known.alias("known"), F.col("roundPlayers").alias("players")))
+    met = lambda known, p: F.struct(p.alias("p"), known[p["teamId"]].alias("team"), F.transform(p["opponentIds"], lambda x: known[x]["code"]).alias("opponents"))
+    df = raw.select("round", F.flatten(F.transform(document, lambda d: F.transform(d["players"], lambda p: met(d["known"], p)))).alias("rows"))
+    return df.select("round", F.explode("rows").alias("x")).select(
         F.lit(captured_at).cast("timestamp").alias("captured_at_utc"), F.col("round.id").alias("round_id"), F.col("round.name").alias("round_name"),
-        F.col("p.id").alias("round_player_id"), F.col("p.summonerName").alias("summoner_name"), F.col("p.role").alias("role"), F.col("p.teamId").alias("team_id"),
-        F.col("code")[F.col("p.teamId")].alias("team_code"), F.col("name")[F.col("p.teamId")].alias("team_name"), F.col("p.price").alias("price"), F.col("p.previousPrice").alias("previous_round_price"),
-        F.bround(F.col("p.price") - F.col("p.previousPrice"), 4).alias("price_change"), F.array_join(F.transform("p.opponentIds", lambda x: F.col("code")[x]), "|").alias("opponent_codes"),
+        F.col("x.p.id").alias("round_player_id"), F.col("x.p.summonerName").alias("summoner_name"), F.col("x.p.role").alias("role"), F.col("x.p.teamId").alias("team_id"),
+        F.col("x.team.code").alias("team_code"), F.col("x.team.name").alias("team_name"), F.col("x.p.price").alias("price"), F.col("x.p.previousPrice").alias("previous_round_price"),
+        F.bround(F.col("x.p.price") - F.col("x.p.previousPrice"), 4).alias("price_change"), F.array_join("x.opponents", "|").alias("opponent_codes"),
     )
 
 
