@@ -146,8 +146,7 @@ def board(spark, sf_dir):
     actions, *priors, picks = _earlier(spark, sf_dir)
     boosts = ver.pair_boosts(picks, ["patch"], "group", "champion").withColumnRenamed("patch", "version").select("a", "b", "version", "boost")
     seasons = ver.season_boosts(picks, "major", "group", "champion")
-    features = drafts.board_features(actions, *priors, lambda wanted: ver.boost_lookup(wanted, boosts, seasons))
-    return actions, features.join(actions.select("action_id", "tested"), "action_id")
+    return actions, drafts.board_features(actions, *priors, lambda wanted: ver.boost_lookup(wanted, boosts, seasons), kept=("tested",))
 
 
 _BOARD = f"""po AS (SELECT DISTINCT g.gameid, unnest(list_concat(h.bp, h.rp)) AS item FROM sg g JOIN sg h ON h.series_id = g.series_id AND (h.date, h.game, h.gameid) < (g.date, g.game, g.gameid)),
