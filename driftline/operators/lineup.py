@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,11 +27,22 @@ def pruned(items: DataFrame, keys: list[str], cost: str, value: str, item: str,
     return counted.where((F.col("_dearer") + F.col("_first") < k) & (F.col("_cheaper") + F.col("_first") < k)).drop("_value", "_cost", "_dearer", "_cheaper", "_first")
 
 
+def complete(items: DataFrame, keys: list[str], slots: list, slot: str) -> DataFrame:
+    """Items of markets that have one for every slot; no other market has a line-up."""
+    names = list(dict.fromkeys(slots))
+    bit = F.coalesce(*(F.when(F.col(slot) == name, F.lit(1 << n)) for n, name in enumerate(names)))
+    held = F.bit_or(bit).over(Window.partitionBy(*keys))
+    return items.withColumn("_held", held).where(F.col("_held") == (1 << len(names)) - 1).drop("_held")
+
+
 def with_bonus(players: DataFrame, options: DataFrame, keys: list[str], rank: str, bonus: str, item: str) -> DataFrame:
     """Players with the item and expected bonus of their first option (least rank, then greatest bonus), names compared without case; empty and 0 without one."""
-    order = Window.partitionBy(*(F.lower(k) for k in keys)).orderBy(rank, F.col(bonus).desc(), item)
-    first = options.select(*(F.lower(k).alias(f"_{k}") for k in keys), F.col(item).alias("_item"), F.col(bonus).alias("_bonus"), F.row_number().over(order).alias("_r"))
-    met = players.withColumns({f"_{k}": F.lower(k) for k in keys}).join(first.where("_r = 1").drop("_r"), [f"_{k}" for k in keys], "left")
+    names = [f"_{k}" for k in keys]
+    given = players.withColumns({f"_{k}": F.lower(k) for k in keys})
+    # options that no player has are dropped before they are put in order
+    offered = options.select(*(F.lower(k).alias(f"_{k}") for k in keys), F.col(rank).alias("_rank"), F.col(item).alias("_item"), F.col(bonus).alias("_bonus")).join(given.select(*names).distinct(), names, "left_semi")
+    first = offered.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_rank", F.col("_bonus").desc(), "_item"))).where("_r = 1").drop("_r", "_rank")
+    met = given.join(first, names, "left")
     return met.withColumns({item: F.coalesce("_item", F.lit("")), bonus: F.coalesce("_bonus", F.lit(0.0))}).drop(*(f"_{k}" for k in keys), "_item", "_bonus")
 
 
@@ -100,7 +112,7 @@ def _bounded(half: DataFrame, other: DataFrame, keys, numbers, rules: _Rules, bu
     return out.withColumn("most", F.greatest(base, base * (1 + rules.most(groups)))).drop("_left", "_offer", "_asks", "_best")
 
 
-def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, value: str, item: str, budget: float, variety: dict[int, float], k: int, opponent: str | None = None, penalty: float = 0.0, market: list[str] | None = None, slot_weights: dict | None = None) -> DataFrame:
+def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, value: str, item: str, budget: float, variety: dict[int, float], k: int, opponent: str | None = None, penalty: float = 0.0, market: list[str] | None = None, slot_weights: dict | None = None, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best line-ups of each market by rank score, total, base and least cost; without market columns all items are one market.
 
     Only half line-ups are formed.  What a half can reach at best is its own value and the best
@@ -108,15 +120,22 @@ def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, va
     of the greatest reach are tried with each other, and their k-th best score bounds the answer: halves, and
     pairs of halves, that cannot reach it are dropped before a pair becomes a row.  The result is exact.
     Two slots whose groups meet (``opponent`` lists an item's opponents) cost the penalty times the lesser
-    weight of both slots (1 unless given).
+    weight of both slots (1 unless given).  ``store`` writes a table and reads it again: markets are read several
+    times, and without it what they come from is computed each time.
     """
     keys = market or ["_market"]
     items = items if market else items.withColumn("_market", F.lit(0))
     rules = _Rules(slots, variety, opponent, penalty, slot_weights)
-    items = items.where(F.col(cost).isNotNull() & F.col(value).isNotNull()) if opponent else pruned(items, [*keys, slot, group], cost, value, item, k)
+    items = items.where(F.col(cost).isNotNull() & F.col(value).isNotNull())
+    items = complete(items, keys, slots, slot) if market else items
+    items = items if opponent else pruned(items, [*keys, slot, group], cost, value, item, k)
     markets = _markets(items, keys, slots, slot, group, cost, value, item, opponent).where(F.col("_least") <= budget + 1e-9)
-    # whole markets are few; dealt once more, they are what all halves are opened from
-    markets = markets.repartition(F.xxhash64(*keys))
+    # whole markets are few; dealt once more, they are what all halves are opened from, and no half moves after.
+    # A number is given since few bytes become many halves: without one, they would be put together by their bytes
+    session = items.sparkSession
+    parts = min(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    markets = (store(markets) if store else markets).withColumn("_deal", F.xxhash64(*keys)).repartition(parts, "_deal")
+    keys = ["_deal", *keys]
     every = list(range(len(slots)))
     cut = len(slots) // 2
     if not cut:
@@ -140,11 +159,13 @@ def optimize(items: DataFrame, slots: list, slot: str, group: str, cost: str, va
         first = renamed[0].join(bound, keys, "left").where(reaching("most"))
         second = renamed[1].join(bound.withColumnRenamed("_bound", "_other"), keys, "left").where(F.col("_other").isNull() | (F.col("_most") >= F.col("_other") - SLACK)).drop("_other")
         groups = F.size(F.array_distinct(F.array(*(f"group{n}" for n in every))))
-        reach = F.greatest(F.col("base"), F.col("base") * (1 + rules.bonus(groups)))
-        lineup = rules.scored(paired(first, second).where(F.col("_bound").isNull() | (reach >= F.col("_bound") - SLACK)).drop("most", "_most", "_bound"))
+        enough = lambda bonus: F.greatest(F.col("base"), F.col("base") * (1 + bonus)) >= F.col("_bound") - SLACK
+        # the greatest bonus of all first, so that groups are only counted where they decide
+        reached = enough(rules.most(F.lit(len(slots)))) & enough(rules.bonus(groups))
+        lineup = rules.scored(paired(first, second).where(F.col("_bound").isNull() | reached).drop("most", "_most", "_bound"))
     order = [F.col(c).desc() for c in ("rank_score", "total", "base")] + ["cost", *(f"item{n}" for n in every)]
     ranked = lineup.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
-    return ranked if market else ranked.drop("_market")
+    return ranked.drop("_deal") if market else ranked.drop("_deal", "_market")
 
 
 def documents(best: DataFrame, slots: list, items: DataFrame, keys: list[str], slot: str, item: str, details: list[str], options: DataFrame, option_order: list, entry: Column) -> DataFrame:
@@ -158,7 +179,9 @@ def documents(best: DataFrame, slots: list, items: DataFrame, keys: list[str], s
     long = long.select(*keys, "rank", "cost", "base", "groups", "total", "conflict", "rank_score", "_n", "_x.slot", "_x.item")
     known = items.select(*keys, F.col(slot).alias("slot"), F.col(item).alias("item"), *details)
     place = Window.partitionBy(*keys, item).orderBy(*option_order)
-    listed = options.withColumn("_r", F.row_number().over(place)).groupBy(*keys, F.col(item).alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", entry.alias("_e")))), lambda x: x["_e"]).alias("options"))
+    # options of items that are in no line-up are dropped before they are put in order
+    chosen = options.join(long.select(*keys, "item").withColumnRenamed("item", item).distinct(), [*keys, item], "left_semi")
+    listed = chosen.withColumn("_r", F.row_number().over(place)).groupBy(*keys, F.col(item).alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", entry.alias("_e")))), lambda x: x["_e"]).alias("options"))
     met = long.join(known, [*keys, "slot", "item"]).join(listed, [*keys, "item"], "left")
     row = F.struct("_n", F.struct("slot", "item", *details, F.coalesce("options", F.array()).alias("options")).alias("_row"))
     lineups = met.groupBy(*keys, "rank", "cost", "base", "groups", "total", "conflict", "rank_score").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["_row"]).alias("items"))

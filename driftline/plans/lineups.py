@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftline.operators import lineup
-from driftline.plans.base import Plans, table
+from driftline.plans.base import Plans, stored, table
 
 plans = Plans()
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -19,14 +19,14 @@ WITH m AS {_MARKET}, l AS (SELECT s0.customer, s0.season, concat_ws('-', {', '.j
 SELECT customer, season, items, round_even(cost, 2) AS cost, round_even(base, 2) AS base, total, groups FROM (SELECT *, round_even(base * (1 + CASE WHEN groups >= 6 THEN 0.25 WHEN groups >= 5 THEN 0.10 ELSE 0 END), 2) AS total FROM l WHERE cost <= 420 + 1e-9)
 QUALIFY row_number() OVER (PARTITION BY customer, season ORDER BY total DESC, round_even(base, 2) DESC, round_even(cost, 2), i0, i1, i2, i3, i4, i5) <= 3""")
 def lineup_topk(spark, sf_dir):
-    best = lineup.optimize(_items(spark, sf_dir), TYPES, "slot", "grp", "cost", "value", "item", 420.0, {5: 0.10, 6: 0.25}, 3, market=["customer", "season"])
+    best = lineup.optimize(_items(spark, sf_dir), TYPES, "slot", "grp", "cost", "value", "item", 420.0, {5: 0.10, 6: 0.25}, 3, market=["customer", "season"], store=lambda x: stored(x, "markets"))
     return best.select("customer", "season", F.concat_ws("-", *(F.col(f"item{n}").cast("string") for n in range(6))).alias("items"), "cost", "base", "total", F.col("groups").cast("long").alias("groups"))
 
 
 def _items(spark, sf_dir):
-    """The parts of a customer and year, one row each."""
+    """The parts of a customer and year, one row each, dealt by customer, so that markets need no other deal."""
     bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    return bought.select(F.col("o_custkey").alias("customer"), F.year("o_orderdate").cast("long").alias("season"), F.col("p_type").alias("slot"), F.col("p_brand").alias("grp"), (F.col("p_retailprice") - 880).alias("cost"), F.col("p_size").cast("double").alias("value"), F.col("p_partkey").alias("item")).distinct()
+    return bought.select(F.col("o_custkey").alias("customer"), F.year("o_orderdate").cast("long").alias("season"), F.col("p_type").alias("slot"), F.col("p_brand").alias("grp"), (F.col("p_retailprice") - 880).alias("cost"), F.col("p_size").cast("double").alias("value"), F.col("p_partkey").alias("item")).repartition("customer").distinct()
 
 
 #: Slots of half risk, and what two items of opposing brands cost.
@@ -41,15 +41,15 @@ b AS (SELECT *, round_even(total - conflict, 2) AS score, row_number() OVER (PAR
 
 
 def _with_conflicts(spark, sf_dir):
-    """(items with bonus and opponent, their two best line-ups under conflicts)."""
+    """(items of markets that have line-ups, the two best line-ups of these with bonus and opponent)."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     options = lines.select(F.col("o_custkey").cast("string").alias("customer"), F.year("o_orderdate").cast("string").alias("season"), F.col("l_partkey").cast("string").alias("part"), F.struct("l_quantity", -F.col("l_discount"), "l_returnflag").alias("place"), F.bround(F.col("l_discount") * 100, 2).alias("bonus"), F.col("l_returnflag").alias("option"))
-    items = _items(spark, sf_dir).withColumns({"part": F.col("item").cast("string")})
-    keyed = items.withColumns({c: F.col(c).cast("string") for c in ("customer", "season")})
+    items = stored(lineup.complete(_items(spark, sf_dir), ["customer", "season"], TYPES, "slot"), "items")
+    keyed = items.withColumn("part", F.col("item").cast("string")).withColumns({c: F.col(c).cast("string") for c in ("customer", "season")})
     keyed = lineup.with_bonus(keyed, options, ["customer", "season", "part"], "place", "bonus", "option")
     opposing = F.concat(F.lit("Brand#"), F.substring("grp", 7, 9).cast("int") % 25 + 1)
-    items = keyed.withColumns({"customer": F.col("customer").cast("long"), "season": F.col("season").cast("long"), "worth": F.col("value") + F.col("bonus"), "opponents": F.array(opposing)}).drop("part")
-    best = lineup.optimize(items, TYPES, "slot", "grp", "cost", "worth", "item", 420.0, {5: 0.10, 6: 0.25}, 2, "opponents", _PENALTY, ["customer", "season"], _WEIGHTS)
+    players = keyed.withColumns({"customer": F.col("customer").cast("long"), "season": F.col("season").cast("long"), "worth": F.col("value") + F.col("bonus"), "opponents": F.array(opposing)}).drop("part")
+    best = lineup.optimize(players, TYPES, "slot", "grp", "cost", "worth", "item", 420.0, {5: 0.10, 6: 0.25}, 2, "opponents", _PENALTY, ["customer", "season"], _WEIGHTS, lambda x: stored(x, "markets"))
     return items, best
 
 
@@ -66,6 +66,7 @@ SELECT customer, season, string_agg(text, '|' ORDER BY rank) AS lineups FROM (SE
 def lineup_documents(spark, sf_dir):
     """One stored document a market, read back: its line-ups, their items and each item's options."""
     items, best = _with_conflicts(spark, sf_dir)
+    best = stored(best, "best")
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     options = lines.select(F.col("o_custkey").alias("customer"), F.year("o_orderdate").cast("long").alias("season"), F.col("l_partkey").alias("item"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag"))
     found = lineup.documents(best, TYPES, items, ["customer", "season"], "slot", "item", ["grp"], options, ["quantity", "flag"], F.struct("flag", "quantity"))
