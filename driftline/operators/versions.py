@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Minor versions at which a season turns, and the distance rules' constants.
@@ -66,10 +66,15 @@ def pairs(df: DataFrame, keys: list[str], group: str, item: str) -> DataFrame:
 
 def pair_boosts(df: DataFrame, keys: list[str], group: str, item: str, least: int = 3, cap: float = 0.25) -> DataFrame:
     """min(cap, n / min(n_a, n_b) * n / (n + 8)) of pairs that met often enough."""
-    met = pairs(df, keys, group, item).where(F.col("n") >= least)
-    alone = df.groupBy(*keys, item).agg(F.count_distinct(group).alias("games"))
-    out = met.join(alone.select(*keys, F.col(item).alias("a"), F.col("games").alias("n_a")), [*keys, "a"]).join(alone.select(*keys, F.col(item).alias("b"), F.col("games").alias("n_b")), [*keys, "b"])
-    return out.select(*keys, "a", "b", "n", F.least(F.lit(cap), F.col("n") / F.least("n_a", "n_b") * F.col("n") / (F.col("n") + 8)).alias("boost"))
+    sets = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys, group).agg(F.sort_array(F.collect_set(item)).alias("items"))
+    a = sets.select(*keys, "items", group, F.posexplode("items").alias("i", "a"))
+    # an item's own games are its pairs with nothing, so that games are read once
+    others = F.slice("items", F.col("i") + 2, F.size("items"))
+    none = F.array(F.lit(None).cast(dict(df.dtypes)[item]))
+    counted = a.select(*keys, "a", F.explode(F.when(F.col(group).isNull(), others).otherwise(F.concat(others, none))).alias("b")).groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
+    alone = F.max(F.when(F.col("b").isNull(), F.col("n")))
+    out = counted.withColumns({"n_a": alone.over(Window.partitionBy(*keys, "a")), "n_b": alone.over(Window.partitionBy(*keys, F.coalesce("b", "a")))}).where(F.col("b").isNotNull() & (F.col("n") >= least))
+    return out.where("n_a IS NOT NULL AND n_b IS NOT NULL").select(*keys, "a", "b", "n", F.least(F.lit(cap), F.col("n") / F.least("n_a", "n_b") * F.col("n") / (F.col("n") + 8)).alias("boost"))
 
 
 def season_boosts(df: DataFrame, major: str, group: str, item: str, cap: float = 0.05, part: float = 0.20) -> DataFrame:
