@@ -2,29 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def label_chances(train: DataFrame, targets: DataFrame, features: list[str], label: str, weight: Column | None = None, alpha: float = 1.0, name: str = "chances") -> DataFrame:
+    """Targets with a list of (label, probability) of every label, in order of labels: smoothed weighted counts of categorical features; an unseen value adds one to the values' number.
+
+    A value's terms of all labels are one list and meet the targets so: a target stays one row and not one a label and feature.
+    """
+    known = train.where(F.col(label).isNotNull()).select(F.col(label).alias("_label"), *features, (F.lit(1.0) if weight is None else weight).alias("_w"))
+    classes = F.array_sort(F.collect_list(F.struct("_label", "class_w")))
+    one = known.groupBy("_label").agg(F.sum("_w").alias("class_w")).agg(classes.alias("_classes"), F.sum("class_w").alias("_total"))
+    out, lists, unseen = targets, [], []
+
+    def terms_of(count: Callable[[Column], Column], values: Column) -> Column:
+        return F.transform("_classes", lambda c: F.log((count(c["_label"]) + alpha) / (c["class_w"] + alpha * values)))
+
+    for i, feature in enumerate(features):
+        counts = known.where(F.col(feature).isNotNull()).groupBy(feature, "_label").agg(F.sum("_w").alias("_n"))
+        seen = counts.groupBy(F.col(feature).alias(f"_value{i}")).agg(F.map_from_entries(F.collect_list(F.struct("_label", "_n"))).alias("_of"))
+        sizes = seen.agg(F.count("*").alias(f"_size{i}"))
+        terms = terms_of(lambda name: F.coalesce(F.col("_of")[name], F.lit(0.0)), F.col(f"_size{i}"))
+        value = seen.crossJoin(one.select("_classes")).crossJoin(sizes).select(f"_value{i}", terms.alias(f"_terms{i}"))
+        out = out.join(value, F.col(feature) == F.col(f"_value{i}"), "left")
+        one = one.crossJoin(sizes)
+        unseen.append(terms_of(lambda name: F.lit(0.0), F.col(f"_size{i}") + 1).alias(f"_unseen{i}"))
+        lists.append((f"_terms{i}", f"_unseen{i}"))
+    out = out.crossJoin(one.select("_classes", "_total", *unseen))
+
+    def log(c: Column, at: Column) -> Column:
+        found = F.log((c["class_w"] + alpha) / (F.col("_total") + alpha * F.size("_classes")))
+        for terms, none in lists:
+            found = found + F.get(F.coalesce(terms, none), at)
+        return found
+
+    # lists bound as one entry are made once, though each label needs their greatest value or their sum
+    bound = lambda x, use: F.flatten(F.transform(F.array(x), use))
+    logs = bound(F.transform("_classes", log), lambda x: F.transform(F.array(F.array_max(x)), lambda most: F.transform(x, lambda v: F.exp(v - most))))
+    shares = bound(F.flatten(logs), lambda x: F.transform(F.array(F.aggregate(x, F.lit(0.0), lambda a, v: a + v)), lambda total: F.transform(x, lambda v: v / total)))
+    chances = F.zip_with("_classes", F.flatten(shares), lambda c, p: F.struct(c["_label"].alias("label"), p.alias("probability")))
+    return out.select(*(F.col(c) for c in targets.columns), chances.alias(name))
+
+
 def naive_bayes(train: DataFrame, targets: DataFrame, features: list[str], label: str, key: str, weight: Column | None = None, alpha: float = 1.0) -> DataFrame:
     """(key, label, probability) of every label, from smoothed weighted counts of categorical features; an unseen value adds one to the values' number."""
-    w = F.lit(1.0) if weight is None else weight
-    known = train.where(F.col(label).isNotNull()).withColumn("_w", w)
-    classes = known.groupBy(label).agg(F.sum("_w").alias("class_w"))
-    total = classes.agg(F.sum("class_w").alias("total"), F.count("*").alias("classes"))
-    long = known.unpivot([label, "_w"], features, "feature", "value").groupBy(label, "feature", "value").agg(F.sum("_w").alias("w"))
-    sizes = long.groupBy("feature").agg(F.count_distinct("value").alias("values"))
-    wanted = targets.unpivot([key], features, "feature", "value").join(sizes, "feature")
-    seen = long.select("feature", "value").distinct().withColumn("seen", F.lit(True))
-    wanted = wanted.join(seen, ["feature", "value"], "left").join(classes).join(long, [label, "feature", "value"], "left")
-    values = F.col("values") + F.when(F.col("seen").isNull(), 1).otherwise(0)
-    part = F.log((F.coalesce("w", F.lit(0.0)) + alpha) / (F.col("class_w") + alpha * values))
-    logs = wanted.groupBy(key, label, "class_w").agg(F.sum(part).alias("log")).join(total)
-    logs = logs.withColumn("log", F.col("log") + F.log((F.col("class_w") + alpha) / (F.col("total") + alpha * F.col("classes"))))
-    top = F.exp(F.col("log") - F.max("log").over(Window.partitionBy(key)))
-    return logs.select(key, label, (top / F.sum(top).over(Window.partitionBy(key))).alias("probability"))
+    chances = label_chances(train, targets.select(key, *features), features, label, weight, alpha)
+    return chances.select(key, F.explode("chances").alias("_x")).select(key, F.col("_x.label").alias(label), "_x.probability")
 
 
 def logistic(df: DataFrame, features: list[str], label: str, steps: int = 200, rate: float = 0.1, ridge: float = 0.01, intercept: bool = True) -> np.ndarray:
@@ -195,6 +223,13 @@ def available_ranks(probabilities: DataFrame, offered: DataFrame, key: str, labe
     return out.withColumn("rank", F.row_number().over(window.orderBy(F.bround("probability", 9).desc(), label)))
 
 
+def ranked_list(chances: str | Column, offered: Callable[[Column], Column]) -> Column:
+    """A list of (label, probability, rank) of the chances whose label is offered: as ``available_ranks``, inside a row."""
+    kept = F.transform(F.array(F.filter(chances, lambda x: offered(x["label"]))), lambda x: F.struct(x.alias("x"), F.aggregate(x, F.lit(0.0), lambda a, v: a + v["probability"]).alias("total")))
+    scaled = F.flatten(F.transform(kept, lambda k: F.transform(k["x"], lambda v: F.struct((-F.bround(v["probability"] / k["total"], 9)).alias("order"), v["label"].alias("label"), (v["probability"] / k["total"]).alias("probability")))))
+    return F.transform(F.array_sort(scaled), lambda v, at: F.struct(v["label"].alias("label"), v["probability"].alias("probability"), (at + 1).alias("rank")))
+
+
 #: Distinct values that one task orders on average.
 RANKED_VALUES = 1_000_000
 

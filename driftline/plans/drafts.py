@@ -205,15 +205,17 @@ al AS (SELECT DISTINCT action_type, gameid, action_number FROM te)
 SELECT action_type, count(*) AS targets, round_even(avg(coalesce((r <= 1)::INT, 0)), 6) AS top1, round_even(avg(coalesce((r <= 5)::INT, 0)), 6) AS top5, round_even(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round_even(avg(-ln(greatest(p, 1e-15))), 6) AS log_loss FROM al LEFT JOIN (SELECT * FROM rk WHERE chosen) USING (action_type, gameid, action_number) GROUP BY 1""")
 def bayes_backtest(spark, sf_dir):
     """Naive Bayes of picks and of bans, learned from earlier legal actions and ranked among what later boards leave."""
-    actions, universe, *_ = _earlier(spark, sf_dir)
+    actions = _earlier(spark, sf_dir)[0].select("action_id", "action_type", *_NB_FEATURES, "champion", "unavailable", "tested")
+    actions = stored(actions, "actions")
+    universe = actions.where("NOT tested").agg(F.collect_set("champion").alias("_items"))
     found = []
     for kind in ("pick", "ban"):
         mine = actions.where(F.col("action_type") == kind)
         train, test = mine.where("NOT tested"), mine.where("tested")
-        chances = models.naive_bayes(train, test, _NB_FEATURES, "champion", "action_id")
-        legal = test.select("action_id", "unavailable", F.col("champion").alias("_own")).crossJoin(universe).where(~F.coalesce(F.array_contains("unavailable", F.col("champion")), F.lit(False)) | (F.col("champion") == F.col("_own")))
-        ranked = models.available_ranks(chances, legal, "action_id", "champion")
-        own = test.select("action_id", "champion").join(ranked, ["action_id", "champion"], "left")
+        chances = models.label_chances(train, test, _NB_FEATURES, "champion").crossJoin(universe)
+        legal = lambda item: F.array_contains("_items", item) & (~F.coalesce(F.array_contains("unavailable", item), F.lit(False)) | (item == F.col("champion")))
+        own = F.filter(models.ranked_list("chances", legal), lambda x: x["label"] == F.col("champion"))
+        own = chances.select(F.get(own, F.lit(0)).alias("_own")).select("_own.rank", "_own.probability")
         metrics = models.rank_metrics(own, "rank", "probability")
         found.append(metrics.select(F.lit(kind).alias("action_type"), "targets", *(rounded(c, 6).alias(c) for c in ("top1", "top5", "mrr", "log_loss"))))
     return found[0].unionByName(found[1])
