@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,19 +101,26 @@ def logistic_many(df: DataFrame, fits: dict[str, tuple[list[str], str]], steps:
     Rows that fit one task make all steps there, with the same result.
     """
     columns = list(dict.fromkeys(c for features, label in fits.values() for c in (*features, label)))
-    data = blocks(df, columns).persist()
-    at = {name: ([columns.index(c) for c in features], columns.index(label)) for name, (features, label) in fits.items()}
+    # a step's job reads the cached blocks as they are, without planning or converting rows
+    data = blocks(df, columns).rdd.map(lambda r: bytes(r["block"])).persist(StorageLevel.MEMORY_AND_DISK)
     names, first = list(fits), start or {}
     weights = {name: np.array(first.get(name, np.zeros(len(features) + 1)), dtype=float) for name, (features, _) in fits.items()}
+    # fits of the same features are one product
+    shared: dict[tuple[int, ...], list[str]] = {}
+    for name, (features, _) in fits.items():
+        shared.setdefault(tuple(columns.index(c) for c in features), []).append(name)
+    labels = {name: columns.index(label) for name, (_, label) in fits.items()}
 
     def sums(parts: list[np.ndarray], weights: dict[str, np.ndarray]) -> np.ndarray:
         total, count = {n: np.zeros(len(w)) for n, w in weights.items()}, 0
         for x in parts:
             count += x.shape[1]
-            for n, w in weights.items():
-                own, y = x[at[n][0]], x[at[n][1]]
-                error = 1 / (1 + np.exp(-np.clip(w[0] + w[1:] @ own, -clip, clip))) - y
-                total[n] += np.append(error.sum(), own @ error)
+            for at, same in shared.items():
+                own = x[at[0] : at[-1] + 1] if at and at == tuple(range(at[0], at[-1] + 1)) else x[list(at)]
+                w = np.array([weights[n] for n in same])
+                error = 1 / (1 + np.exp(-np.clip(w[:, :1] + w[:, 1:] @ own, -clip, clip))) - x[[labels[n] for n in same]]
+                for n, found in zip(same, np.column_stack([error.sum(axis=1), error @ own.T]), strict=True):
+                    total[n] += found
         return np.concatenate([[count], *total.values()])
 
     def stepped(weights: dict[str, np.ndarray], found: np.ndarray) -> dict[str, np.ndarray]:
@@ -124,14 +132,9 @@ def logistic_many(df: DataFrame, fits: dict[str, tuple[list[str], str]], steps:
             out[n], low = w - rate * gradient, low + len(w)
         return out
 
-    def over(frame: DataFrame, work) -> list[np.ndarray]:
+    def over(frame: RDD, work) -> list[np.ndarray]:
         """What work makes of each task's blocks."""
-
-        def run(batches):
-            parts = [np.frombuffer(b.as_buffer(), dtype=np.float64).reshape(len(columns), -1) for batch in batches for b in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([work(parts).tolist()], pa.list_(pa.float64()))], ["found"])
-
-        return [np.array(r["found"]) for r in frame.mapInArrow(run, "found array<double>").collect()]
+        return frame.mapPartitions(lambda found: [work([np.frombuffer(block, dtype=np.float64).reshape(len(columns), -1) for block in found])]).collect()
 
     def whole(parts):
         w = weights

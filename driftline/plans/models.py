@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import models, winmodel
 from driftline.operators.folds import elo
-from driftline.plans.base import Plans, rounded, table
+from driftline.plans.base import Plans, rounded, stored, table
 from driftline.plans.folds import ELO, matches
 
 plans = Plans()
@@ -120,7 +120,9 @@ me AS (SELECT win_window, x[1] AS model, count(*) AS rows, avg(((x[2] >= 0.5)::I
 
 def _win_report(spark, sf_dir):
     order = ["date", "l_orderkey"]
-    rated = winmodel.pregame(elo(matches(spark, sf_dir), "league", order), "l_orderkey", order).withColumn("year", F.year("date"))
+    # ratings are one fold over all matches, read for both sides' rates, for scales, the fit and the report
+    rated = winmodel.pregame(stored(elo(matches(spark, sf_dir), "league", order), "ratings"), "l_orderkey", order)
+    rated = stored(rated.withColumn("year", F.year("date")), "matches")
     window = F.coalesce(*(F.when(F.col("year").between(a, b), n) for n, (a, b) in _WINDOWS.items()))
     weights, by = winmodel.fit(rated.where(F.col("year").between(*_WINDOWS["development"])))
     return winmodel.evaluate(winmodel.probabilities(rated, weights, by), window), weights
