@@ -312,11 +312,14 @@ o AS (SELECT target, champion, sum((action_type = 'ban')::INT) AS b, sum((action
 SELECT o.target, o.champion, round_even(b::DOUBLE / games, 6) AS ban_rate, round_even(k::DOUBLE / games, 6) AS pick_rate, round_even(pb::DOUBLE / public, 6) AS public_ban_rate, games FROM o JOIN g USING (target) JOIN u ON u.target = o.target AND u.champion = o.champion""")
 def opponent_rates(spark, sf_dir):
     """Each game's opponent as known before it: its bans and picks of the last days, of the game's patch if anybody has played it (half of the games name a patch that nobody has)."""
-    df = seq.draft_actions(games(spark, sf_dir))
+    # games and their actions are read by every count
+    found = stored(games(spark, sf_dir), "games")
+    df = seq.draft_actions(found)
     patch = F.concat(F.lit("15."), F.col("game") % 6 + 1)
     team = F.when(F.col("side") == "Blue", F.col("blue_team")).otherwise(F.col("red_team"))
     actions = df.select(F.col("gameid").alias("game"), team.alias("team"), F.unix_micros("date").alias("time"), patch.alias("patch"), "action_type", "champion")
-    targets = games(spark, sf_dir).select(F.col("gameid").alias("target"), F.col("red_team").alias("opponent"), F.unix_micros("date").alias("cutoff"), F.when(F.floor(F.col("gameid") / 100000) % 2 == 0, "15.99").otherwise(patch).alias("patch"))
+    actions = stored(actions, "actions")
+    targets = found.select(F.col("gameid").alias("target"), F.col("red_team").alias("opponent"), F.unix_micros("date").alias("cutoff"), F.when(F.floor(F.col("gameid") / 100000) % 2 == 0, "15.99").otherwise(patch).alias("patch"))
     found = profiles.draft_rates_before(actions, targets, days=20)
     return found.select("target", "champion", *(rounded(c, 6).alias(c) for c in ("ban_rate", "pick_rate", "public_ban_rate")), "games")
 
