@@ -400,7 +400,8 @@ def _ban_events(spark, sf_dir):
     user = F.floor(F.col("gameid") / 100000)
     teams = {"team": F.when(blue, F.col("blue_team")).otherwise(F.col("red_team")), "opponent": F.when(blue, F.col("red_team")).otherwise(F.col("blue_team"))}
     actions = df.withColumns({**teams, "league": F.concat(F.lit("l"), user % 3), "time": F.unix_micros("date")}).select("gameid", "series_id", "action_number", "action_type", "league", "team", "opponent", F.col("champion").alias("item"), "time")
-    actions = actions.withColumn("action_id", F.col("gameid") * 20 + F.col("action_number") - 1)
+    # counts, outcomes and the number of items all read the actions
+    actions = stored(actions.withColumn("action_id", F.col("gameid") * 20 + F.col("action_number") - 1), "actions")
     bans = banstudy.ban_events(actions, ["time", "gameid", "action_number"], F.floor(F.col("time") / 86_400_000_000))
     return banstudy.outcomes(bans, actions, "time", "series_id", "action_id")
 
