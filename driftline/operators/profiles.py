@@ -89,31 +89,34 @@ def draft_rates_before(actions: DataFrame, targets: DataFrame, item: str = "cham
     """
     frame = int(days * 86_400_000_000)
     actions = actions.where(F.col(item).isNotNull())
-    def between(rows: DataFrame, asked: DataFrame, keys: list[str], name: str) -> DataFrame:
-        """Adds to asked (keys, cutoff and others, all rows different) how many rows (keys, time, n) lie in its frame."""
+
+    def between(rows: DataFrame, asked: DataFrame, keys: list[str], *names: str) -> DataFrame:
+        """Adds to asked (keys, cutoff and others, all rows different) the sums of names over the rows (keys, time, names) in its frame."""
         ends = F.explode(F.array(F.struct(F.col("cutoff").alias("_at"), F.lit(1).alias("_sign")), F.struct((F.col("cutoff") - F.lit(frame)).alias("_at"), F.lit(-1).alias("_sign"))))
         probes = asked.withColumn("_ends", ends).select("*", "_ends._at", "_ends._sign").drop("_ends")
-        both = probes.unionByName(rows.select(*keys, F.col("time").alias("_at"), "n"), allowMissingColumns=True)
-        total = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        met = both.withColumn("_total", total).where("_sign IS NOT NULL")
-        return met.groupBy(*asked.columns).agg(F.sum(F.col("_sign") * F.col("_total")).alias(name))
+        both = probes.unionByName(rows.select(*keys, F.col("time").alias("_at"), *names), allowMissingColumns=True)
+        before = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+        met = both.withColumns({n: F.coalesce(F.sum(n).over(before), F.lit(0)) for n in names}).where("_sign IS NOT NULL")
+        return met.groupBy(*asked.columns).agg(*(F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names))
+
+    def one(name: str) -> Column:
+        return F.lit(1).cast("long").alias(name)
 
-    one = F.lit(1).cast("long").alias("n")
-    by_patch = actions.groupBy("patch", "time").agg(F.count("*").alias("n"))
+    by_patch = actions.groupBy("patch", "time").agg(F.count("*").alias("_same"))
     pool = between(by_patch, targets, ["patch"], "_same")
     # the patch to which a pool is held, or that of all patches
     pool = pool.withColumn("pool", F.when(F.col("_same") > 0, F.col("patch")).otherwise(F.lit(""))).select("target", "opponent", "cutoff", "pool")
-    both = actions.withColumn("pool", F.explode(F.array(F.col("patch"), F.lit(""))))
-    own_games = both.select("pool", F.col("team").alias("opponent"), "game", "time").distinct().select("pool", "opponent", "time", one)
-    games = both.select("pool", "game", "time").distinct().select("pool", "time", one)
+    both = actions.withColumn("pool", F.explode(F.array(F.col("patch"), F.lit("")))).withColumnRenamed("team", "opponent")
+    own_games = both.select("pool", "opponent", "game", "time").distinct().select("pool", "opponent", "time", one("games"))
+    games = both.select("pool", "game", "time").distinct().select("pool", "time", one("_public"))
     asked = between(games, between(own_games, pool, ["pool", "opponent"], "games").where("games > 0"), ["pool"], "_public")
-    items = both.select("pool", F.col("team").alias("opponent"), item).distinct()
-    out = asked.join(items, ["pool", "opponent"])
-    for kind in ("ban", "pick"):
-        rows = both.where(F.col("action_type") == kind).groupBy("pool", F.col("team").alias("opponent"), item, "time").agg(F.count("*").alias("n"))
-        out = between(rows, out, ["pool", "opponent", item], f"_{kind}")
-    public = both.where("action_type = 'ban'").groupBy("pool", item, "time").agg(F.count("*").alias("n"))
-    out = between(public, out, ["pool", item], "_bans").where("_ban + _pick > 0")
+    # an item for each team and pool grows as the input does, and its files are so small that the planner would broadcast it
+    items = both.select("pool", "opponent", item).distinct().hint("merge")
+    kinds = (F.count_if(F.col("action_type") == kind).alias(f"_{kind}") for kind in ("ban", "pick"))
+    own = both.groupBy("pool", "opponent", item, "time").agg(*kinds)
+    out = between(own, asked.join(items, ["pool", "opponent"]), ["pool", "opponent", item], "_ban", "_pick").where("_ban + _pick > 0")
+    public = both.where("action_type = 'ban'").groupBy("pool", item, "time").agg(F.count("*").alias("_bans"))
+    out = between(public, out, ["pool", item], "_bans")
     return out.select("target", item, (F.col("_ban") / F.col("games")).alias("ban_rate"), (F.col("_pick") / F.col("games")).alias("pick_rate"), (F.col("_bans") / F.col("_public")).alias("public_ban_rate"), "games")
 
 

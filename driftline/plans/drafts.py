@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from driftline.functions.numbers import half_even
 from driftline.operators import banstudy, drafts, models, profiles, rolling, walkforward
 from driftline.operators import sequences as seq
 from driftline.plans.base import Plans, micros, rounded, stored, table
@@ -321,7 +322,7 @@ def opponent_rates(spark, sf_dir):
     actions = stored(actions, "actions")
     targets = found.select(F.col("gameid").alias("target"), F.col("red_team").alias("opponent"), F.unix_micros("date").alias("cutoff"), F.when(F.floor(F.col("gameid") / 100000) % 2 == 0, "15.99").otherwise(patch).alias("patch"))
     found = profiles.draft_rates_before(actions, targets, days=20)
-    return found.select("target", "champion", *(rounded(c, 6).alias(c) for c in ("ban_rate", "pick_rate", "public_ban_rate")), "games")
+    return found.select("target", "champion", *(half_even(c, 6).alias(c) for c in ("ban_rate", "pick_rate", "public_ban_rate")), "games")
 
 
 _TARGETS = "tt AS (SELECT user_id, date_trunc('week', ts) AS week, user_id % 5 AS role, min(ts) AS start, arg_min(event_id % 4, (ts, event_id)) AS version, list(DISTINCT event_type) AS actual FROM events WHERE ts >= '2024-01-15' GROUP BY ALL)"
